@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiloom.llm import bpe, licenses
+from lexiloom.llm import bpe, licenses, packing, quality
 from lexiloom.storage import table
 
 
@@ -17,8 +17,26 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.piece_digests(
+        packing.pack(
+            table(spark, sf_dir, "documents"),
+            public_tokenizers.path("byte_bpe_50k.json"),
+            public_tokenizers.path("byte_bpe_50k.tiktoken"),
+            public_tokenizers.PATTERN,
+        )
+    )
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_byte_bpe": op2_byte_bpe,
+    "op4_hilbert_packing": op4_hilbert_packing,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 ORACLE: dict[str, str] = {}
