@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiloom.llm import bpe, licenses, packing, quality
+from lexiloom.llm import bpe, licenses, packing, quality, secrets
 from lexiloom.storage import table
 
 
@@ -28,6 +28,10 @@ def op4_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
@@ -37,6 +41,7 @@ QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_byte_bpe": op2_byte_bpe,
     "op4_hilbert_packing": op4_hilbert_packing,
+    "op6_secret_scan": op6_secret_scan,
     "op10_quality_classifier": op10_quality_classifier,
 }
 ORACLE: dict[str, str] = {}
