@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiloom.llm import bpe, licenses, packing, quality, secrets
+from lexiloom.llm import bpe, chat, licenses, packing, quality, secrets
 from lexiloom.storage import table
 
 
@@ -32,6 +32,13 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op7_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.format_paths(chat.as_replies(said.unionByName(more))))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
@@ -42,6 +49,7 @@ QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op4_hilbert_packing": op4_hilbert_packing,
     "op6_secret_scan": op6_secret_scan,
+    "op7_reply_trees": op7_reply_trees,
     "op10_quality_classifier": op10_quality_classifier,
 }
 ORACLE: dict[str, str] = {}
