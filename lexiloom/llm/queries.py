@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lexiloom.llm import bpe, chat, licenses, packing, quality, secrets
+from lexiloom.llm import bpe, chat, kdtree, licenses, lsh, packing, quality, secrets
 from lexiloom.storage import table
 
 
@@ -17,6 +18,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_multiprobe_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsh.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 def op4_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.piece_digests(
         packing.pack(
@@ -28,6 +33,10 @@ def op4_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_kdtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kdtree.exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -47,7 +56,9 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_multiprobe_lsh": op3_multiprobe_lsh,
     "op4_hilbert_packing": op4_hilbert_packing,
+    "op5_kdtree_top_k": op5_kdtree_top_k,
     "op6_secret_scan": op6_secret_scan,
     "op7_reply_trees": op7_reply_trees,
     "op10_quality_classifier": op10_quality_classifier,
