@@ -87,22 +87,30 @@ def root_paths(replies: DataFrame, branches: int | None = 1) -> DataFrame:
     """tree, leaf, rank, node, place: the paths of the ``branches`` best leaves of each tree, all leaves for None.
 
     A leaf's rank in its tree is by the mean score of its path, best first, ties to the longer path and
-    then the smaller leaf. Each doubling step is written to the shared folder before the next.
+    then the smaller leaf. Each doubling step is written to the shared folder before the next; messages
+    whose root is reached take no further part in it.
     Messages that reply to one another in a circle have no root and are left out.
     """
     nodes = replies.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
     known = nodes.select(F.col("tree").alias("t"), F.col("node").alias("n"))
     first = nodes.join(known, F.col("tree").eqNullSafe(F.col("t")) & (F.col("parent") == F.col("n")), "left")
     step = materialize(first.select("tree", "node", F.col("n").alias("up"), F.col("score").alias("sum"), F.lit(1).cast("long").alias("size")), "chat-step")
-    steps, most = [], step.count()
+    steps, ended, most = [], [step.where(F.col("up").isNull())], step.count()
     while not (rest := step.where(F.col("up").isNotNull())).isEmpty() and 1 << len(steps) <= most:
         steps.append(rest.select(F.col("tree").alias("t"), F.col("node").alias("n"), "up"))
-        above = step.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("next"), F.col("sum").alias("s"), F.col("size").alias("z"))
-        joined = step.join(above, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("n")), "left")
+        above = rest
+        for done in ended:
+            above = above.unionByName(done)
+        above = above.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("next"), F.col("sum").alias("s"), F.col("size").alias("z"))
+        joined = rest.join(above, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("n")), "left")
         both = [(F.col(x) + F.coalesce(F.col(y), F.lit(0))).alias(x) for x, y in (("sum", "s"), ("size", "z"))]
         step = materialize(joined.select("tree", "node", F.col("next").alias("up"), *both), "chat-step")
+        ended.append(step.where(F.col("up").isNull()))
+    tops = ended[0]
+    for done in ended[1:]:
+        tops = tops.unionByName(done)
     inner = nodes.select(F.col("tree").alias("t"), F.col("parent").alias("p")).where(F.col("p").isNotNull()).distinct()
-    leaves = step.where(F.col("up").isNull()).join(inner, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("p")), "left_anti")
+    leaves = tops.join(inner, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("p")), "left_anti")
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc(F.col("sum") / F.col("size")), F.desc("size"), "node"))
     leaves = leaves.select("tree", F.col("node").alias("leaf"), "size", rank.cast("long").alias("rank"))
     if branches is not None:
