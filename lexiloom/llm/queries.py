@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm import bpe, chat, kdtree, licenses, lsh, packing, quality, secrets
+from lexiloom.llm import bpe, chat, jaccard, kdtree, licenses, lsh, packing, quality, secrets
 from lexiloom.storage import table
 
 
@@ -48,6 +48,10 @@ def op7_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_paths(chat.as_replies(said.unionByName(more))))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_classes(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
@@ -61,6 +65,7 @@ QUERIES = {
     "op5_kdtree_top_k": op5_kdtree_top_k,
     "op6_secret_scan": op6_secret_scan,
     "op7_reply_trees": op7_reply_trees,
+    "op8_jaccard_join": op8_jaccard_join,
     "op10_quality_classifier": op10_quality_classifier,
 }
 ORACLE: dict[str, str] = {}
