@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from lexiloom.storage import materialize
 
 #: Entries of a group of buckets that one task holds, and queries that it handles at once.
-GROUP_ROWS, BLOCK_ROWS = 8_192, 512
+GROUP_ROWS, BLOCK_ROWS = 32_768, 128
 
 
 @dataclass(frozen=True)
