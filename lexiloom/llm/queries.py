@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm import bpe, chat, jaccard, kdtree, licenses, lsh, packing, quality, secrets
+from lexiloom.llm import bpe, chat, jaccard, kdtree, licenses, lsh, packing, quality, secrets, suffixdedup
 from lexiloom.storage import table
 
 
@@ -52,6 +52,10 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_classes(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.dedup_digests(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
@@ -66,6 +70,7 @@ QUERIES = {
     "op6_secret_scan": op6_secret_scan,
     "op7_reply_trees": op7_reply_trees,
     "op8_jaccard_join": op8_jaccard_join,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_quality_classifier": op10_quality_classifier,
 }
 ORACLE: dict[str, str] = {}
