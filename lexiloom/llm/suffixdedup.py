@@ -279,7 +279,8 @@ def deduplicated(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
     new number of characters.
     """
     clean, rest = _with_spans(docs, removed_spans(docs, length, id_col, text_col), id_col, text_col)
-    text_at, spans_at = docs.columns.index(text_col), len(docs.columns)
+    names, schema = docs.columns, docs.schema
+    text_at, spans_at = names.index(text_col), len(names)
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -294,7 +295,7 @@ def deduplicated(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
                     keep.append(bool(kept))
             columns = [*batch.columns[:spans_at]]
             columns[text_at] = pa.array(texts, batch.column(text_at).type)
-            yield pa.RecordBatch.from_arrays(columns, names=docs.columns).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
 
-    out = clean.unionByName(rest.mapInArrow(run, docs.schema))
+    out = clean.unionByName(rest.mapInArrow(run, schema))
     return out if length_col is None else out.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType))
