@@ -11,11 +11,12 @@ of their 1-prefix hold the heavy sets and those light sets that are large enough
 The boundary minimises an estimated cost: subsets to enumerate on one side, list entries and the
 pairs that lists of their mean length give on the other.
 
-Equal sets are one class from the start. A list with more members than LIST_MEMBERS is not expanded
-into all pairs: its members are first compared with a leader of like size and with their neighbours
-by size. Once those links are joined to components, only its members in different components are compared
-(all of them, so no link between different texts is lost). Every candidate pair is verified on
-the whole sets. Sets are hashed by 64 bits; one collision needs some 2**32 shingles.
+Equal sets are one class from the start. The members of a list need not be expanded into pairs: edges
+along each list, as many as it has members, join the candidates to clusters, and no link leads out of a
+cluster. Every cluster's texts travel once to where they are compared; clusters of more than BLOCK_SETS
+texts do so by pairs of blocks. There all pairs are verified on their whole sets, and as many links
+leave the task as connect what is linked. Sets are hashed by 64 bits; one collision needs some 2**32
+shingles.
 
 Frequencies only order the shingles and may be rough: they are counted exactly over all texts for shingles
 that repeat within a block of texts, into 2**SKETCH_BITS counters, whose logarithms are broadcast (1 MiB).
@@ -37,9 +38,9 @@ from lexiloom.llm.vectext import U64, mix, shingle_hashes, slices, utf8
 from lexiloom.operators.linking import connected_components
 from lexiloom.storage import materialize
 
-#: Logarithm of the frequency counters; hashes of a counted block; list members that are expanded
-#: into pairs; logarithm of the bits that tell which texts' sets are asked for.
-SKETCH_BITS, BLOCK_HASHES, LIST_MEMBERS, FILTER_BITS = 20, 2_000_000, 48, 26
+#: Logarithm of the frequency counters; hashes of a counted block; texts of a block of a cluster;
+#: logarithm of the bits that tell which texts are asked for.
+SKETCH_BITS, BLOCK_HASHES, BLOCK_SETS, FILTER_BITS = 20, 2_000_000, 512, 26
 
 
 def _sets(raw: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -181,64 +182,124 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         yield held
 
 
-_PAIR = "kind int, a long, b long, size long"
+def _list_edges(percent: int, light: int):
+    """Edges that connect the members of each list that sizes allow to link, one for each member at most.
 
-
-def _pairs(kind: int, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for at in range(0, len(a), 100_000):
-        part = slice(at, at + 100_000)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a[part]), kind, np.int32)), pa.array(a[part]), pa.array(b[part]), pa.array(size[part])], names=["kind", "a", "b", "size"])
-
-
-def _list_pairs(percent: int, light: int):
-    """Candidates of each list: kind 0 are pairs; kind 1 are the members (a) of a long list (b)."""
+    Members come sorted by size. If two of them may link by size, so may all neighbours between them; an
+    edge to the first member or else to the one before therefore keeps them connected.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]):
         for key, size, node in _runs(batches):
-            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            fresh = np.concatenate([[True], key[1:] != key[:-1]])
+            starts = np.flatnonzero(fresh)
             length = np.diff(np.append(starts, len(key)))
-            long = np.repeat(length > LIST_MEMBERS, length)
-            listed = (key & 1) == 1
-            at = np.flatnonzero(~long)
-            for d in range(1, LIST_MEMBERS):
-                at = at[at + d < len(key)]
-                at = at[(key[at] == key[at + d]) & (100 * size[at] >= percent * size[at + d])]
-                if not len(at):
-                    break
-                real = at[~(listed[at] & (size[at + d] <= light))]
-                yield from _pairs(0, node[real], node[real + d], size[real])
-            for a, b in zip(starts[length > LIST_MEMBERS].tolist(), (starts + length)[length > LIST_MEMBERS].tolist(), strict=True):
-                own, members = size[a:b], node[a:b]
-                leaders, lead = np.zeros(b - a, np.int64), 0
-                while lead < b - a:
-                    end = lead + int(np.searchsorted(own[lead:], 100 * own[lead] // percent, side="right"))
-                    leaders[lead:end] = lead
-                    lead = end
-                every = np.arange(b - a)
-                first = every[leaders != every]
-                near = every[:-1][100 * own[:-1] >= percent * own[1:]]
-                yield from _pairs(0, np.concatenate([members[leaders[first]], members[near]]), np.concatenate([members[first], members[near + 1]]), np.concatenate([own[first], own[near]]))
-                yield from _pairs(1, members, np.full(b - a, key[a]), own)
+            largest = np.repeat(size[starts + length - 1], length)
+            first = np.repeat(starts, length)
+            real = ~fresh & ~(((key & 1) == 1) & (largest <= light))
+            to_first = real & (100 * size[first] >= percent * size)
+            before = np.maximum(np.arange(len(key)) - 1, 0)
+            to_before = real & ~to_first & (100 * size[before] >= percent * size)
+            a = np.concatenate([node[first][to_first], node[before][to_before]])
+            b = np.concatenate([node[to_first], node[to_before]])
+            # most lists of near copies have the same members
+            both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+            for at in range(0, len(both), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(both[at : at + 100_000, 0]), pa.array(both[at : at + 100_000, 1])], names=["a", "b"])
 
     return run
 
 
-def _rest_pairs(percent: int):
-    """Pairs of members of long lists that are in different components."""
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of two lists of sets, by scanning the lists of their common elements."""
+    sizes = [len(x) for x in (*left, *right)]
+    elements, place = np.unique(np.concatenate([*left, *right]) if sizes else np.zeros(0, U64), return_inverse=True)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    common = np.bincount(place, minlength=len(elements)) > 1
+    column = np.cumsum(common) - 1
+    kept = common[place]
+    row, place = row[kept], column[place[kept]]
+    order = np.argsort(place, kind="stable")
+    row, place = row[order], place[order]
+    total = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, int(common.sum()), 4_096):
+        lo, hi = np.searchsorted(place, (at, at + 4_096))
+        width = int(place[hi - 1]) - at + 1
+        dense = np.zeros((len(sizes), width), np.float32)
+        dense[row[lo:hi], place[lo:hi] - at] = 1
+        total += dense[: len(left)] @ dense[len(left) :].T
+    return total.astype(np.int64)
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Edges enough to connect what all edges connect."""
+    top: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := top.setdefault(x, x)) != x:
+            top[x] = x = top[up]
+        return x
+
+    out = []
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        if (u := find(x)) != (v := find(y)):
+            top[max(u, v)] = min(u, v)
+            out.append((x, y))
+    return out
+
+
+def _block_links(n: int, percent: int):
+    """Of each pair of blocks: kind 0, links enough to connect what all links connect; kind 1, a document's number of links."""
+
+    def pair(alone: bool, nodes: list[int], sides: list[int], texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        raw = np.frombuffer(b"".join(texts), np.uint8)
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in texts])])
+        rows, hashes = _sets(raw, offsets, n)
+        sets = np.split(hashes, np.searchsorted(rows, np.arange(1, len(texts))))
+        at = np.array(nodes)
+        side = np.array(sides)
+        one, two = (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+        two = one if alone else two
+        if not len(one) or not len(two):
+            return np.zeros((3, 0), np.int64)
+        size = np.array([len(x) for x in sets])
+        both = overlaps([sets[i] for i in one], [sets[i] for i in two])
+        linked = 100 * both >= percent * (size[one][:, None] + size[two][None, :] - both)
+        linked &= at[one][:, None] != at[two][None, :]
+        if alone:
+            linked = np.triu(linked, 1)
+        x, y = np.nonzero(linked)
+        x, y = at[one[x]], at[two[y]]
+        forest = np.array(_forest(x, y), np.int64).reshape(-1, 2)
+        counted, number = np.unique(np.concatenate([x, y]), return_counts=True)
+        return np.stack([np.concatenate([np.zeros(len(forest), np.int64), np.ones(len(counted), np.int64)]), np.concatenate([forest[:, 0], counted]), np.concatenate([forest[:, 1], number])])
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for key, size, node, component in _runs(batches):
-            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            for a, b in zip(starts.tolist(), np.append(starts[1:], len(key)).tolist(), strict=True):
-                own, members, part = size[a:b], node[a:b], component[a:b]
-                names, counts = np.unique(part, return_counts=True)
-                if len(names) < 2:
-                    continue
-                most = names[np.argmax(counts)]
-                for i in np.flatnonzero(part != most).tolist():
-                    fit = (part != part[i]) & (100 * own >= percent * own[i]) & (100 * own[i] >= percent * own) & ((part == most) | (np.arange(b - a) > i))
-                    other = members[fit]
-                    yield from _pairs(0, np.full(len(other), members[i]), other, own[fit])
+        key, nodes, sides, texts, seen = None, [], [], [], set()
+        out: list[np.ndarray] = []
+
+        def flush():
+            columns = np.concatenate(out, axis=1) if out else np.zeros((3, 0), np.int64)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["kind", "a", "b"])
+
+        for batch in batches:
+            for cluster, i, j, side, node, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != (cluster, i, j):
+                    if len(nodes) > 1:
+                        out.append(pair(key[1] == key[2], nodes, sides, texts))
+                        if len(out) > 200:
+                            yield flush()
+                    key, nodes, sides, texts, seen = (cluster, i, j), [], [], [], set()
+                text = text.encode()
+                if (node, text) not in seen:
+                    seen.add((node, text))
+                    nodes.append(node)
+                    sides.append(side)
+                    texts.append(text)
+        if len(nodes) > 1:
+            out.append(pair(key[1] == key[2], nodes, sides, texts))
+        yield flush()
 
     return run
 
@@ -268,49 +329,24 @@ def id_filter(ids: DataFrame) -> np.ndarray:
     return words.view(U64)
 
 
-def _sets_of(docs: DataFrame, wanted: np.ndarray, n: int, id_col: str, text_col: str) -> DataFrame:
-    """id, members binary (sorted hashes) of the texts whose ids pass the filter."""
-    sent = docs.sparkSession.sparkContext.broadcast(wanted)
+def _passing(texts: DataFrame, wanted: np.ndarray) -> DataFrame:
+    """The rows whose ids pass the filter."""
+    sent = texts.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]):
         words = sent.value
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            places = _filter_places(np.ascontiguousarray(ids))
+            places = _filter_places(np.ascontiguousarray(batch.column(0).to_numpy()))
             hit = ((words[places >> 6] >> (places & 63).astype(U64)) & U64(1)).astype(bool)
-            batch = batch.filter(pa.array(hit[: len(ids)] & hit[len(ids) :]))
-            raw, offsets = utf8(batch.column(1))
-            for lo, hi in slices(offsets, 2_000_000):
-                rows, hashes = _sets(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], n)
-                ends = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=hi - lo))]) * 8
-                data = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(hashes.tobytes())])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), data], names=["id", "members"])
-
-    return _texts(docs, id_col, text_col).where(F.col("id").isNotNull()).mapInArrow(run, "id long, members binary")
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sets link."""
-
-    def run(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.filter(pa.array(hit[: batch.num_rows] & hit[batch.num_rows :]))
 
-    left = sets.select(F.col("id").alias("a"), F.col("members").alias("x"))
-    right = sets.select(F.col("id").alias("b"), F.col("members").alias("y"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return texts.where(F.col("id").isNotNull() & F.col("text").isNotNull()).mapInArrow(run, "id long, text string")
 
 
 def similar_classes(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, class_id (smallest id with an equal set), component_id (smallest id reachable by links), n_links.
 
-    One row for each text. ``n_links`` counts the class's verified links with other classes; members of
-    long lists that became connected through others are not compared with one another.
+    One row for each text. ``n_links`` counts the class's links with other classes.
     """
     levels, sizes = frequencies(docs, n, id_col, text_col)
     seen = levels[levels > 0].astype(float)
@@ -322,24 +358,20 @@ def similar_classes(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str
         "jaccard-classes",
     )
     listed = classes.select(F.explode("keys").alias("key"), "size", "node").repartition("key").sortWithinPartitions("key", "size", "node")
-    found = materialize(listed.mapInArrow(_list_pairs(percent, light), _PAIR).distinct(), "jaccard-candidates")
-    pairs, long = found.where("kind = 0"), found.where("kind = 1")
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = materialize(_sets_of(docs, id_filter(nodes), n, id_col, text_col).join(nodes, "id", "left_semi").dropDuplicates(["id"]), "jaccard-members")
-    links = materialize(_verified(pairs, sets, percent), "jaccard-links")
-    components = connected_components(links, "a", "b")
-    if not long.isEmpty():
-        named = long.join(components, F.col("a") == F.col("node"), "left").select(F.col("b").alias("key"), "size", F.col("a").alias("node"), F.coalesce("component", "a").alias("component"))
-        rest = named.repartition("key").sortWithinPartitions("key", "size", "node").mapInArrow(_rest_pairs(percent), _PAIR)
-        rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        more = materialize(_verified(rest.join(tried, ["a", "b"], "left_anti"), sets, percent), "jaccard-more-links")
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            components = connected_components(links, "a", "b")
-    ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").count()
+    clusters = connected_components(listed.mapInArrow(_list_edges(percent, light), "a long, b long"), "a", "b")
+    counts = clusters.groupBy("component").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("blocks"))
+    members = clusters.join(counts, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    members = materialize(members, "jaccard-members")
+    texts = _passing(_texts(docs, id_col, text_col), id_filter(members.select("node")))
+    met = texts.join(members, F.col("id") == F.col("node")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    i, j = F.least("block", "other"), F.greatest("block", "other")
+    met = met.select("component", i.alias("i"), j.alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "node", "text")
+    met = met.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "node")
+    found = materialize(met.mapInArrow(_block_links(n, percent), "kind long, a long, b long"), "jaccard-links")
+    components = connected_components(found.where("kind = 0"), "a", "b")
+    ends = found.where("kind = 1").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("count"))
     told = classes.select("class_key", "node").join(components, "node", "left").join(ends, "node", "left")
     told = materialize(told.select("class_key", F.col("node").alias("class_id"), F.coalesce("component", "node").alias("component_id"), F.coalesce("count", F.lit(0)).alias("n_links")), "jaccard-told")
-    return every.join(told, "class_key", "left").select(
+    return every.select("id", "n_shingles", "class_key").join(told, "class_key", "left").select(
         F.col("id").alias(id_col), "n_shingles", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("component_id", "id").alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")
     )
