@@ -16,9 +16,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     folder between rounds, and only a counter of changes comes to the driver. Nodes of very high degree
     are summed up map-side before their shuffle.
     """
-    a = edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull()).select(F.col(src).alias("u"), F.col(dst).alias("v"))
+    a = materialize(edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull()).select(F.col(src).alias("u"), F.col(dst).alias("v")).distinct(), "cc-edges")
     b = a.select(F.col("v").alias("u"), F.col("u").alias("v"))
-    both = materialize(a.union(b).where(F.col("u") != F.col("v")).distinct(), "cc-edges")
+    both = a.union(b).where(F.col("u") != F.col("v"))
     alone = a.where(F.col("u") == F.col("v")).select("u")
     labels = materialize(
         both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label"))
