@@ -11,8 +11,13 @@ of their 1-prefix hold the heavy sets and those light sets that are large enough
 The boundary minimises an estimated cost: subsets to enumerate on one side, list entries and the
 pairs that lists of their mean length give on the other.
 
-Equal sets are one class from the start. The members of a list need not be expanded into pairs: edges
-along each list, as many as it has members, join the candidates to clusters, and no link leads out of a
+For long texts one common element is often chance, so heavy sets take l = 1 + size / COMMON_SHARE, lengthen
+their prefixes by as many elements, and must share l of them. Short lists give their pairs, which are
+counted; a long list, of more than LIST_MEMBERS sets, does not need to be expanded: as many edges as it
+has members connect all of them. Linked sets that share no long list have all l elements in short ones, so
+no link is lost.
+
+Equal sets are one class from the start. Candidates join to clusters, and no link leads out of a
 cluster. Every cluster's texts travel once to where they are compared; clusters of more than BLOCK_SETS
 texts do so by pairs of blocks. There all pairs are verified on their whole sets, and as many links
 leave the task as connect what is linked. Sets are hashed by 64 bits; one collision needs some 2**32
@@ -31,16 +36,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.llm.vectext import U64, mix, shingle_hashes, slices, utf8
 from lexiloom.operators.linking import connected_components
 from lexiloom.storage import materialize
 
-#: Logarithm of the frequency counters; hashes of a counted block; texts of a block of a cluster;
+#: Logarithm of the frequency counters; hashes of a counted block; members of a list that are paired;
+#: elements of a set for each further common one that is asked for; texts of a block of a cluster;
 #: logarithm of the bits that tell which texts are asked for.
-SKETCH_BITS, BLOCK_HASHES, BLOCK_SETS, FILTER_BITS = 20, 2_000_000, 512, 26
+SKETCH_BITS, BLOCK_HASHES, LIST_MEMBERS, COMMON_SHARE, BLOCK_SETS, FILTER_BITS = 20, 2_000_000, 48, 64, 512, 26
 
 
 def _sets(raw: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -104,6 +110,11 @@ def least_overlap(size: np.ndarray | int, percent: int) -> np.ndarray | int:
     return -(-percent * size // 100)
 
 
+def common_elements(size):
+    """How many elements of their prefixes linked heavy sets are asked to share; takes and gives numbers or columns."""
+    return 1 + (F.floor(size / COMMON_SHARE) if isinstance(size, Column) else size // COMMON_SHARE)
+
+
 def boundary(sizes: dict[int, int], list_length: float, percent: int) -> int:
     """The light sets' largest size, among powers of two, with the least estimated cost."""
     best, chosen = float("inf"), 1
@@ -132,7 +143,7 @@ def signatures(docs: DataFrame, n: int, percent: int, levels: np.ndarray, light:
         one = size - least_overlap(size, percent) + 1
         out = []
         if size > light or size >= small:
-            out.append(own[:one] | U64(1))
+            out.append(own[: one - 1 + common_elements(size)] | U64(1))
         if 2 <= size <= light:
             first, second = np.triu_indices(min(one + 1, size), 1)
             out.append(mix(own[first] * U64(0x9E3779B97F4A7C15) + own[second]) & ~U64(1))
@@ -183,29 +194,45 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
 
 
 def _list_edges(percent: int, light: int):
-    """Edges that connect the members of each list that sizes allow to link, one for each member at most.
+    """Candidates of each list, as a < b with the smaller size.
 
-    Members come sorted by size. If two of them may link by size, so may all neighbours between them; an
-    edge to the first member or else to the one before therefore keeps them connected.
+    kind 0: a pair of an inverted list, which counts towards the pair's common elements.
+    kind 1: edges enough to connect all members whose sizes allow links, from subsets of light sets and
+    from lists of more than LIST_MEMBERS members. Members come sorted by size; if two of them may link by
+    size, so may all neighbours between them, so an edge to the first member or else to the one before
+    keeps them connected.
     """
 
+    def told(kind: int, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
+        rows = np.stack([np.minimum(a, b), np.maximum(a, b), size], 1)
+        if kind:
+            rows = np.unique(rows, axis=0)  # most long lists of near copies have the same members
+        for at in range(0, len(rows), 100_000):
+            part = rows[at : at + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int32)), *(pa.array(np.ascontiguousarray(c)) for c in part.T)], names=["kind", "a", "b", "size"])
+
     def run(batches: Iterator[pa.RecordBatch]):
         for key, size, node in _runs(batches):
             fresh = np.concatenate([[True], key[1:] != key[:-1]])
             starts = np.flatnonzero(fresh)
             length = np.diff(np.append(starts, len(key)))
+            listed = (key & 1) == 1
+            whole = np.repeat(length > LIST_MEMBERS, length) | ~listed
             largest = np.repeat(size[starts + length - 1], length)
             first = np.repeat(starts, length)
-            real = ~fresh & ~(((key & 1) == 1) & (largest <= light))
+            real = whole & ~fresh & ~(listed & (largest <= light))
             to_first = real & (100 * size[first] >= percent * size)
             before = np.maximum(np.arange(len(key)) - 1, 0)
             to_before = real & ~to_first & (100 * size[before] >= percent * size)
-            a = np.concatenate([node[first][to_first], node[before][to_before]])
-            b = np.concatenate([node[to_first], node[to_before]])
-            # most lists of near copies have the same members
-            both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-            for at in range(0, len(both), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(both[at : at + 100_000, 0]), pa.array(both[at : at + 100_000, 1])], names=["a", "b"])
+            yield from told(1, np.concatenate([node[first][to_first], node[before][to_before]]), np.concatenate([node[to_first], node[to_before]]), np.concatenate([size[first][to_first], size[before][to_before]]))
+            at = np.flatnonzero(~whole)
+            for d in range(1, LIST_MEMBERS):
+                at = at[at + d < len(key)]
+                at = at[(key[at] == key[at + d]) & (100 * size[at] >= percent * size[at + d])]
+                if not len(at):
+                    break
+                heavy = at[size[at + d] > light]
+                yield from told(0, node[heavy], node[heavy + d], size[heavy])
 
     return run
 
@@ -358,7 +385,9 @@ def similar_classes(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str
         "jaccard-classes",
     )
     listed = classes.select(F.explode("keys").alias("key"), "size", "node").repartition("key").sortWithinPartitions("key", "size", "node")
-    clusters = connected_components(listed.mapInArrow(_list_edges(percent, light), "a long, b long"), "a", "b")
+    found = materialize(listed.mapInArrow(_list_edges(percent, light), "kind int, a long, b long, size long").groupBy("kind", "a", "b", "size").count(), "jaccard-candidates")
+    near = found.where((F.col("kind") == 1) | (F.col("count") >= common_elements(F.col("size"))))
+    clusters = connected_components(near, "a", "b")
     counts = clusters.groupBy("component").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("blocks"))
     members = clusters.join(counts, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     members = materialize(members, "jaccard-members")
