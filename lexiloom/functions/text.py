@@ -131,7 +131,7 @@ def tokens_exact(texts: pd.Series) -> pd.Series:
     return texts.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalized_exact(texts: pd.Series) -> pd.Series:
     """Compatibility-composed, fully case-folded, white space collapsed."""
     return texts.map(lambda x: None if x is None else " ".join(unicodedata.normalize("NFKC", x).casefold().split()))
