@@ -8,7 +8,7 @@ are dealt into shards by minimizer, so equal strings always meet, and each shard
 are sorted as one suffix array by induction with disk-backed queues (``induced``). Neighbouring
 suffixes with ``length`` common bytes give the smallest document id for each string.
 
-Scale. Exact copies of a whole text are settled by its digest. A stretch that stands in many documents
+Scale. Exact copies of a whole text are settled by its digest and take no part in the rest. A stretch that stands in many documents
 is sorted once, with its smallest document. Shards have a bounded size, save that the stretches of
 one minimizer stay together; the queues spill to a task's scratch file then. All decisions are made on
 the input, in every document at once.
@@ -113,21 +113,19 @@ def _occurrences(docs: DataFrame, length: int, gram: int, known: np.ndarray) ->
 
 
 def _repeated_minimizers(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """minimizer: those that occur in two different texts."""
+    """minimizer: those that occur in two documents."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             raw, offsets = utf8(batch.column(1))
+            ids = batch.column(0).to_numpy()
             for lo, hi in slices(offsets, 2_000_000):
-                part, own = raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
-                rows, _, _, least = minimizers(part, own, length, gram)
+                rows, _, _, least = minimizers(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], length, gram)
                 if len(rows):
-                    data = part.tobytes()
-                    keys = np.array([text_key(data[own[i] : own[i + 1]]) for i in range(hi - lo)], np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(least.view(np.int64)), pa.array(keys[rows])], names=["minimizer", "text_key"])
+                    yield pa.RecordBatch.from_arrays([pa.array(least.view(np.int64)), pa.array(ids[lo:hi][rows])], names=["minimizer", "doc"])
 
-    found = docs.mapInArrow(run, "minimizer long, text_key long")
-    return found.groupBy("minimizer").agg(F.min("text_key").alias("a"), F.max("text_key").alias("b")).where("a <> b").select("minimizer")
+    found = docs.mapInArrow(run, "minimizer long, doc long")
+    return found.groupBy("minimizer").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a <> b").select("minimizer")
 
 
 def _first_owners(shards: DataFrame, length: int) -> DataFrame:
@@ -183,7 +181,11 @@ def removed_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", tex
     texts = _texts(docs, id_col, text_col).where(F.octet_length("text") >= length)
     digest = materialize(_digests(texts), "dedup-digests")
     least = digest.groupBy("sha").agg(F.min("doc").alias("least"), F.count("*").alias("rows")).where("rows > 1")
-    copies = digest.join(least, "sha").where(F.col("doc") > F.col("least")).select("doc", "text_key", F.lit(0).cast("long").alias("start"), F.col("n").alias("stop"))
+    copies = digest.join(least, "sha").where(F.col("doc") > F.col("least")).select("doc", "text_key", F.lit(0).cast("long").alias("start"), F.col("n").alias("stop")).distinct()
+    copies = materialize(copies, "dedup-copies")
+    clean, rest = _parted(texts, copies, "doc", "text")
+    gone = copies.select(F.col("doc").alias("_doc"), F.col("text_key").alias("_text_key"))
+    texts = clean.unionByName(rest.join(gone, ["_doc", "_text_key"], "left_anti").select("doc", "text"))
     repeated = materialize(_repeated_minimizers(texts, length, gram), "dedup-minimizers")
     found = materialize(_occurrences(texts, length, gram, id_filter(repeated)), "dedup-stretches")
     total = found.agg(F.sum(F.octet_length("content")).alias("n")).first()["n"] or 0
@@ -207,13 +209,13 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _with_spans(docs: DataFrame, spans: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """The rows that surely lose nothing, and the others with the column _spans (null: they lose nothing either).
+def _parted(docs: DataFrame, named: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The rows whose ids are surely not among ``named``.doc, and the others with the columns _doc and _text_key.
 
-    A filter of the ids of ``spans`` parts the rows where they are read, so only the second kind,
-    with their texts, take part in a join.
+    A filter of the ids parts the rows where they are read, so only the second kind, with their
+    texts, take part in joins.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(id_filter(spans.select("doc")))
+    sent = docs.sparkSession.sparkContext.broadcast(id_filter(named.select("doc")))
     schema = docs.schema
     id_at, text_at = docs.columns.index(id_col), docs.columns.index(text_col)
 
@@ -236,8 +238,12 @@ def _with_spans(docs: DataFrame, spans: DataFrame, id_col: str, text_col: str) -
         return run
 
     wide = StructType([*schema.fields]).add("_doc", LongType()).add("_text_key", LongType())
-    clean = docs.mapInArrow(part(False), schema)
-    rest = docs.mapInArrow(part(True), wide)
+    return docs.mapInArrow(part(False), schema), docs.mapInArrow(part(True), wide)
+
+
+def _with_spans(docs: DataFrame, spans: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The rows that surely lose nothing, and the others with the column _spans (null: they lose nothing either)."""
+    clean, rest = _parted(docs, spans, id_col, text_col)
     keyed = spans.select(F.col("doc").alias("_doc"), F.col("text_key").alias("_text_key"), F.col("spans").alias("_spans"))
     return clean, rest.join(keyed, ["_doc", "_text_key"], "left").select(*(rest[c] for c in docs.columns), "_spans")
 
