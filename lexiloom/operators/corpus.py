@@ -8,14 +8,13 @@ from pyspark.sql import functions as F
 from lexiloom.checks import require_empty
 from lexiloom.functions.text import NOT_SPACE, SPACE, draw, normalized, text_hash, word_count
 from lexiloom.operators.linking import connected_components
+from lexiloom.storage import materialize
 
 # Words of near-duplicate grams, size of the sketch, least similarity as a share of 5, excerpt bounds, split shares and seed.
 GRAM, SKETCH, NEAR = 5, 16, 0.8
 LEAST_WORDS, MOST_WORDS, SHORT_WORDS = 80, 250, 150
 TRAIN_BELOW, CALIBRATION_BELOW = 0.6, 0.8
 SEED = "split-v1"
-#: Members of a sketch bucket that are paired with one another; larger buckets are paired by blocks of this size.
-BUCKET = 256
 
 
 def exact_groups(records: DataFrame, id_col: str, label_col: str, text_col: str) -> DataFrame:
@@ -69,7 +68,8 @@ def near_duplicates(records: DataFrame, id_col: str, label_col: str, text_col: s
     Records with equal gram sets appear as pairs with the smallest id of their set (jaccard 1);
     between different sets, the smallest ids stand for all.
     """
-    sets = gram_sets(records, id_col, text_col).where(F.size("grams") > 0)
+    # written once: four plans read the sets, and a filter pushed below them would tokenise again for every gram
+    sets = materialize(gram_sets(records, id_col, text_col), "gram-sets").where(F.size("grams") > 0)
     labels = records.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"))
     keyed = sets.withColumn("set_key", F.sha2(F.array_join(F.array_sort("grams"), ""), 256))
     first = keyed.groupBy("set_key").agg(F.min("id").alias("first"))

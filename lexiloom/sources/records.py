@@ -62,11 +62,10 @@ def flatten_answers(rows: DataFrame, dataset: str, generator: str = "unnamed mod
     for column, label, made_by in (("human_answers", "human", None), ("chatgpt_answers", "ai", generator)):
         part = numbered.select("row", group.alias("source_group"), F.posexplode(column).alias("position", "text"))
         parts.append(part.select(
-            F.concat_ws(":", "source_group", F.lit(label), F.col("row").cast("string"), F.col("position").cast("string")).alias("id"), "text", F.lit(label).alias("label"),
+            F.concat_ws(":", "source_group", F.lit(label), F.col("row").cast("string"), F.col("position").cast("string")).alias("id"), "row", "text", F.lit(label).alias("label"),
             "source_group", "position", F.lit(made_by).cast("string").alias("generator"), F.sha2("text", 256).alias("content_sha256"), text_hash(F.col("text")).alias("normalized_text_sha256"),
         ))
-    out = parts[0].unionByName(parts[1])
-    return out
+    return parts[0].unionByName(parts[1])
 
 
 def zip_members(spark: SparkSession, path: str, most_members: int = 1_000, most_bytes: int = 1 << 28) -> DataFrame:
