@@ -36,6 +36,8 @@ from lexiloom.storage import materialize
 
 #: Bytes of a gram, windows of a stretch at most, bytes of stretches in a shard.
 GRAM, STRETCH, SHARD_BYTES = 20, 64, 8 << 20
+#: Bytes of text whose hashes are in memory at once, save for a single longer text.
+SLICE_BYTES = 1 << 20
 #: A null id in comparisons.
 LAST = (1 << 63) - 1
 
@@ -80,21 +82,38 @@ def minimizers(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int = GR
     return rows[at], at, np.minimum(stops[which] - at, STRETCH), least[at]
 
 
-def _occurrences(docs: DataFrame, length: int, gram: int, known: np.ndarray) -> DataFrame:
+def passing(ids: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which ids pass a filter of ``id_filter``."""
+    places = _filter_places(np.ascontiguousarray(ids))
+    hit = ((bits[places >> 6] >> (places & 63).astype(U64)) & U64(1)).astype(bool)
+    return hit[: len(ids)] & hit[len(ids) :]
+
+
+def _scanned(texts: tuple[DataFrame, DataFrame, np.ndarray], scan, ddl: str) -> DataFrame:
+    """``scan`` over the batches of (all texts, texts that pass a filter, the filter): the first without those that pass."""
+    every, rest, filtered = texts
+    sent = every.sparkSession.sparkContext.broadcast(filtered)
+
+    def clean(batches: Iterator[pa.RecordBatch]):
+        bits = sent.value
+        yield from scan(batch.filter(pa.array(~passing(batch.column(0).to_numpy(), bits))) for batch in batches)
+
+    return every.mapInArrow(clean, ddl).unionByName(rest.mapInArrow(scan, ddl))
+
+
+def _occurrences(texts: tuple[DataFrame, DataFrame, np.ndarray], length: int, gram: int, known: np.ndarray) -> DataFrame:
     """minimizer, content_key, doc, text_key, start, content of the stretches whose minimizer passes the filter."""
-    sent = docs.sparkSession.sparkContext.broadcast(known)
+    sent = texts[0].sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]):
         bits = sent.value
         for batch in batches:
             raw, offsets = utf8(batch.column(1))
             ids = batch.column(0).to_numpy()
-            for lo, hi in slices(offsets, 2_000_000):
+            for lo, hi in slices(offsets, SLICE_BYTES):
                 part, own = raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
                 rows, at, size, least = minimizers(part, own, length, gram)
-                places = _filter_places(least.view(np.int64))
-                hit = ((bits[places >> 6] >> (places & 63).astype(U64)) & U64(1)).astype(bool)
-                hit = hit[: len(rows)] & hit[len(rows) :]
+                hit = passing(least.view(np.int64), bits)
                 rows, at, size, least = rows[hit], at[hit], size[hit], least[hit]
                 if not len(rows):
                     continue
@@ -109,22 +128,22 @@ def _occurrences(docs: DataFrame, length: int, gram: int, known: np.ndarray) ->
                     names=["minimizer", "content_key", "doc", "text_key", "start", "content"],
                 )
 
-    return docs.mapInArrow(run, "minimizer long, content_key long, doc long, text_key long, start long, content binary")
+    return _scanned(texts, run, "minimizer long, content_key long, doc long, text_key long, start long, content binary")
 
 
-def _repeated_minimizers(docs: DataFrame, length: int, gram: int) -> DataFrame:
+def _repeated_minimizers(texts: tuple[DataFrame, DataFrame, np.ndarray], length: int, gram: int) -> DataFrame:
     """minimizer: those that occur in two documents."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             raw, offsets = utf8(batch.column(1))
             ids = batch.column(0).to_numpy()
-            for lo, hi in slices(offsets, 2_000_000):
+            for lo, hi in slices(offsets, SLICE_BYTES):
                 rows, _, _, least = minimizers(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], length, gram)
                 if len(rows):
                     yield pa.RecordBatch.from_arrays([pa.array(least.view(np.int64)), pa.array(ids[lo:hi][rows])], names=["minimizer", "doc"])
 
-    found = docs.mapInArrow(run, "minimizer long, doc long")
+    found = _scanned(texts, run, "minimizer long, doc long")
     return found.groupBy("minimizer").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a <> b").select("minimizer")
 
 
@@ -183,11 +202,12 @@ def removed_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", tex
     least = digest.groupBy("sha").agg(F.min("doc").alias("least"), F.count("*").alias("rows")).where("rows > 1")
     copies = digest.join(least, "sha").where(F.col("doc") > F.col("least")).select("doc", "text_key", F.lit(0).cast("long").alias("start"), F.col("n").alias("stop")).distinct()
     copies = materialize(copies, "dedup-copies")
-    clean, rest = _parted(texts, copies, "doc", "text")
+    named = id_filter(copies.select("doc"))
+    _, rest = _parted(texts, named, "doc", "text")
     gone = copies.select(F.col("doc").alias("_doc"), F.col("text_key").alias("_text_key"))
-    texts = clean.unionByName(rest.join(gone, ["_doc", "_text_key"], "left_anti").select("doc", "text"))
-    repeated = materialize(_repeated_minimizers(texts, length, gram), "dedup-minimizers")
-    found = materialize(_occurrences(texts, length, gram, id_filter(repeated)), "dedup-stretches")
+    parts = (texts, rest.join(gone, ["_doc", "_text_key"], "left_anti").select("doc", "text"), named)
+    repeated = materialize(_repeated_minimizers(parts, length, gram), "dedup-minimizers")
+    found = materialize(_occurrences(parts, length, gram, id_filter(repeated)), "dedup-stretches")
     total = found.agg(F.sum(F.octet_length("content")).alias("n")).first()["n"] or 0
     shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_BYTES))
     distinct = found.groupBy("minimizer", "content_key").agg(F.min("doc").alias("doc"), F.min("content").alias("content"))
@@ -209,13 +229,13 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _parted(docs: DataFrame, named: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """The rows whose ids are surely not among ``named``.doc, and the others with the columns _doc and _text_key.
+def _parted(docs: DataFrame, named: np.ndarray, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The rows whose ids do not pass the filter ``named``, and the others with the columns _doc and _text_key.
 
-    A filter of the ids parts the rows where they are read, so only the second kind, with their
+    The filter parts the rows where they are read, so only the second kind, with their
     texts, take part in joins.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(id_filter(named.select("doc")))
+    sent = docs.sparkSession.sparkContext.broadcast(named)
     schema = docs.schema
     id_at, text_at = docs.columns.index(id_col), docs.columns.index(text_col)
 
@@ -224,9 +244,7 @@ def _parted(docs: DataFrame, named: DataFrame, id_col: str, text_col: str) -> tu
             bits = sent.value
             for batch in batches:
                 ids = batch.column(id_at).cast(pa.int64()).fill_null(LAST).to_numpy()
-                places = _filter_places(np.ascontiguousarray(ids))
-                hit = ((bits[places >> 6] >> (places & 63).astype(U64)) & U64(1)).astype(bool)
-                hit = hit[: len(ids)] & hit[len(ids) :]
+                hit = passing(ids, bits)
                 kept = batch.filter(pa.array(hit == inside))
                 if inside:
                     raw, offsets = utf8(kept.column(text_at))
@@ -243,7 +261,7 @@ def _parted(docs: DataFrame, named: DataFrame, id_col: str, text_col: str) -> tu
 
 def _with_spans(docs: DataFrame, spans: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """The rows that surely lose nothing, and the others with the column _spans (null: they lose nothing either)."""
-    clean, rest = _parted(docs, spans, id_col, text_col)
+    clean, rest = _parted(docs, id_filter(spans.select("doc")), id_col, text_col)
     keyed = spans.select(F.col("doc").alias("_doc"), F.col("text_key").alias("_text_key"), F.col("spans").alias("_spans"))
     return clean, rest.join(keyed, ["_doc", "_text_key"], "left").select(*(rest[c] for c in docs.columns), "_spans")
 
