@@ -50,16 +50,17 @@ def gram_sets(records: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def near_candidates(sets: DataFrame) -> DataFrame:
-    """left, right: pairs of records that share one of their 16 smallest grams.
+    """left, right: pairs of records of like size that share one of their 16 smallest grams.
 
     Equal gram sets enter once, with their smallest id, and are linked to the others of their kind by
     ``near_duplicates``, so copies are never paired with one another.
     """
-    sketch = sets.select("id", F.explode(F.slice(F.array_sort("grams"), 1, SKETCH)).alias("gram"))
+    sketch = sets.select("id", F.size("grams").alias("n"), F.explode(F.slice(F.array_sort("grams"), 1, SKETCH)).alias("gram"))
     many = sketch.groupBy("gram").count().where("count > 1").select("gram")
     sketch = sketch.join(many, "gram", "left_semi")
-    other = sketch.select(F.col("id").alias("right"), "gram")
-    return sketch.withColumnRenamed("id", "left").join(other, "gram").where("left < right").select("left", "right").distinct()
+    other = sketch.select(F.col("id").alias("right"), F.col("n").alias("m"), "gram")
+    near = (F.col("left") < F.col("right")) & (F.least("n", "m") / F.greatest("n", "m") >= NEAR)
+    return sketch.withColumnRenamed("id", "left").join(other, "gram").where(near).select("left", "right").distinct()
 
 
 def near_duplicates(records: DataFrame, id_col: str, label_col: str, text_col: str) -> DataFrame:
@@ -79,7 +80,7 @@ def near_duplicates(records: DataFrame, id_col: str, label_col: str, text_col: s
     pairs = near_candidates(distinct)
     a = distinct.select(F.col("id").alias("left"), F.col("grams").alias("a"))
     b = distinct.select(F.col("id").alias("right"), F.col("grams").alias("b"))
-    both = pairs.join(a, "left").join(b, "right").where(F.least(F.size("a"), F.size("b")) / F.greatest(F.size("a"), F.size("b")) >= NEAR)
+    both = pairs.join(a, "left").join(b, "right")
     both = both.withColumn("shared", F.size(F.array_intersect("a", "b")))
     near = both.select("left", "right", (F.col("shared") / (F.size("a") + F.size("b") - F.col("shared"))).alias("jaccard")).where(F.col("jaccard") >= NEAR)
     every = near.unionByName(equal)

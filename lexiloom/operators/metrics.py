@@ -18,6 +18,8 @@ from lexiloom.operators.corpus import record_families
 # The 95 % quantile of the standard normal distribution, error caps, and the release limits.
 Z95 = 1.6448536269514722
 CAP = 0.01
+#: Ranges of scores for running sums.
+SCORE_BUCKETS = 4_096
 LEAST_HUMAN_GROUPS, LEAST_AI_GROUPS, LEAST_RECALL, LEAST_COVERAGE, MOST_FPR = 300, 100, 0.8, 0.6, 0.01
 
 
@@ -94,6 +96,26 @@ def brier(rows: DataFrame, dims: list[str] | None = None) -> DataFrame:
     return rows.groupBy(*(dims or [])).agg(F.avg(F.pow(F.col("score") - F.col("label"), 2)).alias("brier"))
 
 
+def running_sums(per: DataFrame, columns: list[str], dims: list[str] | None = None, descending: bool = False, own: bool = True) -> DataFrame:
+    """``per`` (a row for each score and dims) with the columns summed up over all lower scores, and its own if ``own``.
+
+    Scores are cut into SCORE_BUCKETS ranges: their totals are summed up over the few ranges, and rows only within
+    a range, so no task holds all distinct scores.
+    """
+    dims = dims or []
+    cut = per.withColumn("_b", F.floor(F.col("score") * SCORE_BUCKETS))
+    by = (lambda c: F.desc(c)) if descending else (lambda c: F.asc(c))
+    totals = cut.groupBy(*dims, "_b").agg(*(F.sum(c).alias("_t_" + c) for c in columns))
+    over = Window.partitionBy(*dims).orderBy(by("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(*(F.col(d).alias("_d_" + d) for d in dims), F.col("_b").alias("_k"), *(F.coalesce(F.sum("_t_" + c).over(over), F.lit(0)).alias("_t_" + c) for c in columns))
+    on = F.col("_b") == F.col("_k")
+    for d in dims:
+        on = on & F.col(d).eqNullSafe(F.col("_d_" + d))
+    inside = Window.partitionBy(*dims, "_b").orderBy(by("score")).rowsBetween(Window.unboundedPreceding, 0 if own else -1)
+    joined = cut.join(before, on)
+    return joined.select(*dims, "score", *((F.col("_t_" + c) + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias("run_" + c) for c in columns), *(c for c in per.columns if c not in (*dims, "score")))
+
+
 def auroc(rows: DataFrame, dims: list[str] | None = None) -> DataFrame:
     """Mann-Whitney probability with half credit for ties; null where a class is missing.
 
@@ -101,8 +123,8 @@ def auroc(rows: DataFrame, dims: list[str] | None = None) -> DataFrame:
     """
     dims = dims or []
     per = rows.groupBy(*dims, "score").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.partitionBy(*dims).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = per.withColumn("won", F.col("p") * below + 0.5 * F.col("p") * F.col("n"))
+    below = F.col("run_n")
+    won = running_sums(per, ["n"], dims, own=False).withColumn("won", F.col("p") * below + 0.5 * F.col("p") * F.col("n"))
     return won.groupBy(*dims).agg(ratio(F.sum("won"), F.sum("p") * F.sum("n")).alias("auroc"))
 
 
@@ -144,18 +166,17 @@ def family_rates(decided: DataFrame, dims: list[str] | None = None) -> DataFrame
 def threshold_options(rows: DataFrame) -> DataFrame:
     """For each distinct score c: units of each label with a maximum >= c, and with a minimum <= c.
 
-    ``rows`` have unit. Counts come from running sums over the distinct scores, from both ends; the number
-    of distinct scores bounds the windows, and they hold counts only.
+    ``rows`` have unit. Counts come from running sums over the distinct scores, from both ends.
     """
     scores = rows.select("score").distinct()
     per = rows.groupBy("label", "unit").agg(F.max("score").alias("hi"), F.min("score").alias("lo"))
     counts = per.groupBy(F.col("hi").alias("score")).agg(F.count_if(F.col("label") == 1).alias("hi_ai"), F.count_if(F.col("label") == 0).alias("hi_human"))
     lows = per.groupBy(F.col("lo").alias("score")).agg(F.count_if(F.col("label") == 1).alias("lo_ai"), F.count_if(F.col("label") == 0).alias("lo_human"))
     table = scores.join(counts, "score", "left").join(lows, "score", "left").na.fill(0)
-    up, down = Window.orderBy("score"), Window.orderBy(F.desc("score"))
-    return table.select(
-        "score", *(F.sum(c).over(down).alias(c) for c in ("hi_ai", "hi_human")), *(F.sum(c).over(up).alias(c) for c in ("lo_ai", "lo_human"))
-    )
+    high = running_sums(table.select("score", "hi_ai", "hi_human"), ["hi_ai", "hi_human"], descending=True)
+    low = running_sums(table.select("score", "lo_ai", "lo_human"), ["lo_ai", "lo_human"])
+    told = high.select("score", F.col("run_hi_ai").alias("hi_ai"), F.col("run_hi_human").alias("hi_human"))
+    return told.join(low.select("score", F.col("run_lo_ai").alias("lo_ai"), F.col("run_lo_human").alias("lo_human")), "score")
 
 
 def select_thresholds(rows: DataFrame, ai_cap: float = CAP, human_cap: float = CAP) -> DataFrame:
