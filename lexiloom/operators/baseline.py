@@ -30,7 +30,9 @@ def featured(rows: DataFrame, text_col: str = "text") -> DataFrame:
     """rows with the columns word_terms and char_terms."""
     low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
     tokens = F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
-    return rows.withColumn("word_terms", _grams(tokens, 1, 2, " ")).withColumn("char_terms", _grams(F.split(low, ""), 3, 5, ""))
+    # the grams read their arrays from columns: an expression inside a lambda would be evaluated for every gram
+    split = rows.withColumn("_tokens", tokens).withColumn("_letters", F.split(low, ""))
+    return split.withColumn("word_terms", _grams(F.col("_tokens"), 1, 2, " ")).withColumn("char_terms", _grams(F.col("_letters"), 3, 5, "")).drop("_tokens", "_letters")
 
 
 def train(rows: DataFrame, text_col: str = "text", label_col: str = "label") -> PipelineModel:
