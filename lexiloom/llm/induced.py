@@ -24,10 +24,16 @@ import numpy as np
 MAX_QUEUES, QUEUE_BYTES = 4_096, 256 << 20
 
 
+def place_type(n: int) -> type:
+    """The smaller integer type that holds places of a text of n characters."""
+    return np.int32 if n < 2**31 - 1 else np.int64
+
+
 class DiskQueues:
-    """First-in first-out queues of int64 arrays, one for each character; parts over the budget are on disk."""
+    """First-in first-out queues of integer arrays, one for each character; parts over the budget are on disk."""
 
-    def __init__(self, characters: int, budget: int = QUEUE_BYTES):
+    def __init__(self, characters: int, kind: type = np.int64, budget: int = QUEUE_BYTES):
+        self.kind = kind
         self.parts: list[list] = [[] for _ in range(characters)]
         self.budget, self.held, self.file = budget, 0, None
 
@@ -55,12 +61,12 @@ class DiskQueues:
         for part in self.parts[character]:
             if isinstance(part, tuple):
                 self.file.seek(part[0])
-                out.append(np.frombuffer(self.file.read(part[1]), np.int64))
+                out.append(np.frombuffer(self.file.read(part[1]), self.kind))
             else:
                 self.held -= part.nbytes
                 out.append(part)
         self.parts[character] = []
-        return np.concatenate(out) if out else np.zeros(0, np.int64)
+        return np.concatenate(out) if out else np.zeros(0, self.kind)
 
     def close(self) -> None:
         if self.file is not None:
@@ -79,9 +85,12 @@ def smaller_types(text: np.ndarray) -> np.ndarray:
 
 def induce(text: np.ndarray, is_s: np.ndarray, seeds: np.ndarray, characters: int, budget: int = QUEUE_BYTES) -> np.ndarray:
     """All suffixes in order, from the LMS suffixes in order."""
+    kind = place_type(len(text))
+    seeds = seeds.astype(kind)
+    none = np.zeros(0, kind)
     first = text[seeds]
     by_character = np.split(seeds, np.searchsorted(first, np.arange(1, characters))) if (first[1:] >= first[:-1]).all() else _grouped(seeds, first, characters)
-    queues = DiskQueues(characters, budget)
+    queues = DiskQueues(characters, kind, budget)
     larger: list[np.ndarray] = []
     for c in range(characters):
         level, levels = queues.pop(c), []
@@ -92,10 +101,10 @@ def induce(text: np.ndarray, is_s: np.ndarray, seeds: np.ndarray, characters: in
             same = text[before] == c
             queues.push(text[before[~same]], before[~same])
             level = before[same]
-        larger.append(np.concatenate(levels) if levels else np.zeros(0, np.int64))
+        larger.append(np.concatenate(levels) if levels else none)
         before = by_character[c][by_character[c] > 0] - 1
         queues.push(text[before], before)
-    smaller: list[np.ndarray] = [np.zeros(0, np.int64)] * characters
+    smaller: list[np.ndarray] = [none] * characters
     for c in range(characters - 1, -1, -1):
         level, levels = queues.pop(c), []
         while len(level):
@@ -157,16 +166,19 @@ def suffix_array(text: np.ndarray, characters: int, depth: int, budget: int = QU
     if len(text) < 3:
         return np.argsort(text, kind="stable").astype(np.int64)
     is_s = smaller_types(text)
-    lms = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
-    following = np.zeros(len(text), np.int64)
-    following[lms] = np.append(lms[1:], len(text) - 1)
+    kind = place_type(len(text))
+    lms = (np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1).astype(kind)
+    following = np.zeros(len(text), kind)
+    following[lms] = np.append(lms[1:], kind(len(text) - 1))
     is_lms = np.zeros(len(text), bool)
     is_lms[lms] = True
     rough = induce(text, is_s, lms, characters, budget)
     ordered = rough[is_lms[rough]]
-    names = np.zeros(len(text), np.int64)
+    del rough, is_lms
+    names = np.zeros(len(text), kind)
     names[ordered] = np.cumsum(_names(text, ordered, following)) - 1
     reduced = names[lms]
+    del names, following
     number = int(reduced.max()) + 1
     if number == len(lms):
         seeds = ordered
@@ -196,10 +208,13 @@ def repeats(strings: list[bytes], owners: np.ndarray, length: int, budget: int =
     text[place] = code[raw]
     text[-1] = 0
     order = suffix_array(text, int(code[-1]) + 1, length, budget)
-    owner = np.repeat(np.arange(len(sizes)), sizes + 1)
-    left = np.repeat(ends - 1, sizes + 1) - np.arange(ends[-1])
+    del place
+    kind = place_type(len(text))
+    left = np.repeat((ends - 1).astype(kind), sizes + 1) - np.arange(ends[-1], dtype=kind)
     order = order[order < ends[-1]]
     order = order[left[order] >= length]
+    del left
+    owner = np.repeat(np.arange(len(sizes), dtype=kind), sizes + 1)
     narrow = text.astype(np.uint16).view(np.uint8)
     narrow = np.concatenate([narrow, np.zeros(16, np.uint8)])
     words = np.ndarray((len(text),), "<u8", narrow.data, strides=(2,))

@@ -32,10 +32,10 @@ from pyspark.sql.types import LongType, StructType
 from lexiloom.llm.induced import repeats
 from lexiloom.llm.jaccard import _filter_places, id_filter
 from lexiloom.llm.vectext import U64, mix, slices, utf8
-from lexiloom.storage import materialize
+from lexiloom.storage import free_shuffles, materialize
 
 #: Bytes of a gram, windows of a stretch at most, bytes of stretches in a shard.
-GRAM, STRETCH, SHARD_BYTES = 20, 64, 8 << 20
+GRAM, STRETCH, SHARD_BYTES = 20, 64, 4 << 20
 #: Bytes of text whose hashes are in memory at once, save for a single longer text.
 SLICE_BYTES = 1 << 20
 #: A null id in comparisons.
@@ -154,6 +154,8 @@ def _first_owners(shards: DataFrame, length: int) -> DataFrame:
         found = repeats(group["content"].to_pylist(), group["doc"].to_numpy(), length)
         ends = np.concatenate([[0], np.cumsum([len(x) for x in found])])
         flat = np.concatenate(found) if found else np.zeros(0, np.int64)
+        del found
+        pa.default_memory_pool().release_unused()
         return pa.table({"minimizer": group["minimizer"], "content_key": group["content_key"], "first": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))})
 
     return shards.groupBy("shard").applyInArrow(run, "minimizer long, content_key long, first array<long>")
@@ -207,6 +209,7 @@ def removed_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", tex
     gone = copies.select(F.col("doc").alias("_doc"), F.col("text_key").alias("_text_key"))
     parts = (texts, rest.join(gone, ["_doc", "_text_key"], "left_anti").select("doc", "text"), named)
     repeated = materialize(_repeated_minimizers(parts, length, gram), "dedup-minimizers")
+    free_shuffles(docs.sparkSession)
     found = materialize(_occurrences(parts, length, gram, id_filter(repeated)), "dedup-stretches")
     total = found.agg(F.sum(F.octet_length("content")).alias("n")).first()["n"] or 0
     shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_BYTES))
