@@ -135,7 +135,8 @@ def wilson(successes: Column, total: Column, z: float = Z95) -> tuple[Column, Co
     scale = 1 + z * z / n
     center = (p + z * z / (2 * n)) / scale
     half = z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / scale
-    return F.greatest(F.lit(0.0), center - half), F.least(F.lit(1.0), center + half)
+    # greatest and least pass over nulls
+    return F.when(n.isNotNull(), F.greatest(F.lit(0.0), center - half)), F.when(n.isNotNull(), F.least(F.lit(1.0), center + half))
 
 
 def family_rates(decided: DataFrame, dims: list[str] | None = None) -> DataFrame:

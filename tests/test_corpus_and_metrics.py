@@ -22,7 +22,8 @@ def test_excerpt_choices(spark):
     assert one("w " * 400) == ("first_250_words", 250)
     assert one("too short") is None
     assert one("Title\n\n" + "w " * 90 + "\n \nend") == ("natural_paragraph", 90)
-    assert one(" w" * 100 + "\n") == ("whole_short_document", 100)
+    assert one(" w" * 100 + "\n") == ("natural_paragraph", 100)
+    assert one("w " * 50 + "\n\n" + "w " * 60) == ("whole_short_document", 110)
 
 
 def test_families_link_over_absent_groups(spark):
