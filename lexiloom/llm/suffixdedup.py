@@ -25,9 +25,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructType
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from lexiloom.llm.induced import repeats
 from lexiloom.llm.jaccard import _filter_places, id_filter
@@ -90,7 +91,7 @@ def passing(ids: np.ndarray, bits: np.ndarray) -> np.ndarray:
 
 
 def _scanned(texts: tuple[DataFrame, DataFrame, np.ndarray], scan, ddl: str) -> DataFrame:
-    """``scan`` over the batches of (all texts, texts that pass a filter, the filter): the first without those that pass."""
+    """``scan`` over the batches of (all texts, packed texts that pass a filter, the filter): the first without those that pass."""
     every, rest, filtered = texts
     sent = every.sparkSession.sparkContext.broadcast(filtered)
 
@@ -98,7 +99,10 @@ def _scanned(texts: tuple[DataFrame, DataFrame, np.ndarray], scan, ddl: str) ->
         bits = sent.value
         yield from scan(batch.filter(pa.array(~passing(batch.column(0).to_numpy(), bits))) for batch in batches)
 
-    return every.mapInArrow(clean, ddl).unionByName(rest.mapInArrow(scan, ddl))
+    def packed(batches: Iterator[pa.RecordBatch]):
+        yield from scan(pa.RecordBatch.from_arrays([b.column(0), pa.array([unpacked(x.as_py()) for x in b.column(1)], pa.large_binary()).cast(pa.large_string())], names=["doc", "text"]) for b in batches)
+
+    return every.mapInArrow(clean, ddl).unionByName(rest.mapInArrow(packed, ddl))
 
 
 def _occurrences(texts: tuple[DataFrame, DataFrame, np.ndarray], length: int, gram: int, known: np.ndarray) -> DataFrame:
@@ -236,7 +240,7 @@ def _parted(docs: DataFrame, named: np.ndarray, id_col: str, text_col: str) -> t
     """The rows whose ids do not pass the filter ``named``, and the others with the columns _doc and _text_key.
 
     The filter parts the rows where they are read, so only the second kind, with their
-    texts, take part in joins.
+    texts, take part in joins; their texts travel compressed, as binary.
     """
     sent = docs.sparkSession.sparkContext.broadcast(named)
     schema = docs.schema
@@ -245,23 +249,31 @@ def _parted(docs: DataFrame, named: np.ndarray, id_col: str, text_col: str) -> t
     def part(inside: bool):
         def run(batches: Iterator[pa.RecordBatch]):
             bits = sent.value
+            pack = zstandard.ZstdCompressor(level=3).compress
             for batch in batches:
                 ids = batch.column(id_at).cast(pa.int64()).fill_null(LAST).to_numpy()
                 hit = passing(ids, bits)
                 kept = batch.filter(pa.array(hit == inside))
                 if inside:
-                    raw, offsets = utf8(kept.column(text_at))
-                    keys = [text_key(raw[a:b].tobytes()) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(ids[hit]), pa.array(keys, pa.int64())], names=[*kept.schema.names, "_doc", "_text_key"])
+                    texts = [x.as_buffer().to_pybytes() if x.is_valid else None for x in kept.column(text_at)]
+                    columns = [*kept.columns, pa.array(ids[hit]), pa.array([text_key(x or b"") for x in texts], pa.int64())]
+                    columns[text_at] = pa.array([None if x is None else pack(x) for x in texts], pa.binary())
+                    yield pa.RecordBatch.from_arrays(columns, names=[*kept.schema.names, "_doc", "_text_key"])
                 else:
                     yield kept
 
         return run
 
-    wide = StructType([*schema.fields]).add("_doc", LongType()).add("_text_key", LongType())
+    fields = list(schema.fields)
+    fields[text_at] = StructField(text_col, BinaryType())
+    wide = StructType(fields).add("_doc", LongType()).add("_text_key", LongType())
     return docs.mapInArrow(part(False), schema), docs.mapInArrow(part(True), wide)
 
 
+def unpacked(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 def _with_spans(docs: DataFrame, spans: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """The rows that surely lose nothing, and the others with the column _spans (null: they lose nothing either)."""
     clean, rest = _parted(docs, id_filter(spans.select("doc")), id_col, text_col)
@@ -289,7 +301,7 @@ def dedup_digests(docs: DataFrame, length: int = 50, id_col: str = "doc_id", tex
         for batch in batches:
             rows = []
             for text, spans in zip(batch.column(1), batch.column(2), strict=True):
-                data = text.as_buffer().to_pybytes()
+                data = unpacked(text.as_py())
                 kept, removed, runs = _kept(data, spans.as_py())
                 rows.append((len(data), removed, runs, hashlib.sha256(kept).hexdigest()))
             if rows:
@@ -313,15 +325,16 @@ def deduplicated(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
         for batch in batches:
             texts, keep = [], []
             for text, spans in zip(batch.column(text_at), batch.column(spans_at), strict=True):
-                if not spans.is_valid or not text.is_valid:
-                    texts.append(text.as_py())
+                data = unpacked(text.as_py()) if text.is_valid else None
+                if data is None or not spans.is_valid:
+                    texts.append(None if data is None else data.decode())
                     keep.append(True)
                 else:
-                    kept = _kept(text.as_buffer().to_pybytes(), spans.as_py())[0].decode("utf-8", "ignore")
+                    kept = _kept(data, spans.as_py())[0].decode("utf-8", "ignore")
                     texts.append(kept)
                     keep.append(bool(kept))
             columns = [*batch.columns[:spans_at]]
-            columns[text_at] = pa.array(texts, batch.column(text_at).type)
+            columns[text_at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
 
     out = clean.unionByName(rest.mapInArrow(run, schema))
