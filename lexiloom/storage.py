@@ -34,6 +34,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch between the JVM and Python; of texts, the default of 10,000 takes tens of MB on either side.
+BATCH_ROWS = 1_000
+_BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Use small Arrow batches in this session, unless its configuration names a size of its own."""
+    if not spark.sparkContext.getConf().contains(_BATCH_KEY) and int(spark.conf.get(_BATCH_KEY)) > BATCH_ROWS:
+        spark.conf.set(_BATCH_KEY, str(BATCH_ROWS))
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished jobs that nothing refers to any more.
 
