@@ -39,9 +39,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.vectext import U64, mix, shingle_hashes, slices, utf8
+from lexiloom.llm.vectext import SLICE_BYTES, U64, mix, shingle_hashes, slices, utf8
 from lexiloom.operators.linking import connected_components
-from lexiloom.storage import materialize
+from lexiloom.storage import materialize, small_batches
 
 #: Logarithm of the frequency counters; hashes of a counted block; members of a list that are paired;
 #: elements of a set for each further common one that is asked for; texts of a block of a cluster;
@@ -84,7 +84,7 @@ def frequencies(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str =
 
         for batch in batches:
             raw, offsets = utf8(batch.column(0))
-            for lo, hi in slices(offsets, 2_000_000):
+            for lo, hi in slices(offsets, SLICE_BYTES):
                 rows, hashes = _sets(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], n)
                 own = np.bincount(rows, minlength=hi - lo)
                 sizes += np.bincount(np.log2(own[own > 0]).astype(int), minlength=64)
@@ -153,7 +153,7 @@ def signatures(docs: DataFrame, n: int, percent: int, levels: np.ndarray, light:
         known = sent.value
         for batch in batches:
             raw, offsets = utf8(batch.column(1))
-            for lo, hi in slices(offsets, 2_000_000):
+            for lo, hi in slices(offsets, SLICE_BYTES):
                 rows, hashes = _sets(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], n)
                 sizes = np.bincount(rows, minlength=hi - lo)
                 sums = np.zeros(hi - lo, U64)
@@ -375,6 +375,7 @@ def similar_classes(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str
 
     One row for each text. ``n_links`` counts the class's links with other classes.
     """
+    small_batches(docs.sparkSession)
     levels, sizes = frequencies(docs, n, id_col, text_col)
     seen = levels[levels > 0].astype(float)
     light = boundary(sizes, float(np.exp2(seen - 1).mean()) if len(seen) else 1.0, percent)

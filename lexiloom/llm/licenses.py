@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lexiloom.llm.vectext import slices, utf8
+from lexiloom.llm.vectext import SLICE_BYTES, slices, utf8
 
 # The phrases of the base labels.
 BASE_PHRASES = {
@@ -241,7 +241,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         for batch in batches:
             raw, offsets = utf8(batch.column(1))
             data = raw.tobytes()
-            for lo, hi in slices(offsets, 4_000_000):
+            for lo, hi in slices(offsets, 2 * SLICE_BYTES):
                 texts = [data[offsets[i] : offsets[i + 1]].translate(_FOLD) for i in range(lo, hi)]
                 words = (b" " + _PART + b" ").join(texts).split()
                 ids = np.fromiter((number(w, 0) for w in words), np.int32, len(words))

@@ -29,7 +29,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.storage import materialize
+from lexiloom.storage import materialize, small_batches
 
 #: Buckets of the hashed vectors, projected dimensions and bits of a grid coordinate.
 BUCKETS, DIMENSIONS, BITS = 1_024, 3, 10
@@ -168,6 +168,7 @@ def pack(
     The tokenised documents are written once to the shared folder; the only shuffle carries their
     compact ids. Partitions hold about ``partition_bytes`` of ids each, whatever the input's size.
     """
+    small_batches(docs.sparkSession)
     paths = (json_path, ranks_path, pattern)
     tokens = materialize(tokenize(docs, paths, end_id, id_col, text_col), "packing-tokens")
     totals = tokens.agg(

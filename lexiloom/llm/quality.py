@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.vectext import LOWER, slices, span_hashes, utf8, words
+from lexiloom.llm.vectext import LOWER, SLICE_BYTES, slices, span_hashes, utf8, words
+from lexiloom.storage import small_batches
 
 #: Hashed features, grades, and labelled rows that the fit may use.
 FEATURE_BITS, GRADES, SAMPLE_ROWS = 18, 3, 12_000
@@ -169,13 +170,14 @@ def sampled_features(docs: DataFrame, grades: DataFrame, id_col: str = "doc_id",
 
     The sampled ids have at most ``sample_rows`` rows, so the join broadcasts them.
     """
+    small_batches(docs.sparkSession)
     sample = grades.orderBy(F.xxhash64(id_col), id_col).limit(sample_rows)
     joined = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col)).join(F.broadcast(sample), id_col)
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             raw, offsets = utf8(batch.column(1))
-            for lo, hi in slices(offsets, 2_000_000):
+            for lo, hi in slices(offsets, SLICE_BYTES):
                 rows, feature = features(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 ends = np.searchsorted(rows, np.arange(hi - lo + 1))
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(feature, pa.int32()))
@@ -208,7 +210,7 @@ def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col
         own = OrdinalModel(*sent.value)
         for batch in batches:
             raw, offsets = utf8(batch.column(1))
-            for lo, hi in slices(offsets, 2_000_000):
+            for lo, hi in slices(offsets, SLICE_BYTES):
                 s = own.scores(*features(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]), hi - lo)
                 tail = own.tails(s)[:, -1]
                 keep = tail >= keep_at if own.fitted else np.ones(len(s), bool)
@@ -228,7 +230,7 @@ def kept_documents(docs: DataFrame, model: OrdinalModel, text_col: str = "text",
         own = OrdinalModel(*sent.value)
         for batch in batches:
             raw, offsets = utf8(batch.column(at))
-            for lo, hi in slices(offsets, 2_000_000):
+            for lo, hi in slices(offsets, SLICE_BYTES):
                 s = own.scores(*features(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]), hi - lo)
                 if own.fitted:
                     yield batch.slice(lo, hi - lo).filter(pa.array(own.tails(s)[:, -1] >= keep_at))

@@ -32,13 +32,11 @@ from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from lexiloom.llm.induced import repeats
 from lexiloom.llm.jaccard import _filter_places, id_filter
-from lexiloom.llm.vectext import U64, mix, slices, utf8
-from lexiloom.storage import free_shuffles, materialize
+from lexiloom.llm.vectext import SLICE_BYTES, U64, mix, slices, utf8
+from lexiloom.storage import free_shuffles, materialize, small_batches
 
 #: Bytes of a gram, windows of a stretch at most, bytes of stretches in a shard.
 GRAM, STRETCH, SHARD_BYTES = 20, 64, 4 << 20
-#: Bytes of text whose hashes are in memory at once, save for a single longer text.
-SLICE_BYTES = 1 << 20
 #: A null id in comparisons.
 LAST = (1 << 63) - 1
 
@@ -203,6 +201,7 @@ def _digests(texts: DataFrame) -> DataFrame:
 
 def removed_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM) -> DataFrame:
     """doc, text_key, spans array<struct<start,stop>> (sorted, may overlap) of the documents that lose bytes."""
+    small_batches(docs.sparkSession)
     texts = _texts(docs, id_col, text_col).where(F.octet_length("text") >= length)
     digest = materialize(_digests(texts), "dedup-digests")
     least = digest.groupBy("sha").agg(F.min("doc").alias("least"), F.count("*").alias("rows")).where("rows > 1")

@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
+#: Bytes of text whose hashes are in memory at once, save for a single longer text.
+SLICE_BYTES = 1 << 19
 #: Odd multiplier of the polynomial hash and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 BASE_INV = pow(BASE, -1, 1 << 64)
