@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import gc
+import contextlib
 import tempfile
 import uuid
 
@@ -22,15 +22,34 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + _OWN[app]
 
 
+_CLEAN_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def _shuffles_cleaned(spark: SparkSession):
+    """Executions started inside delete their shuffle files when they end."""
+    before = spark.conf.get(_CLEAN_KEY, None)
+    spark.conf.set(_CLEAN_KEY, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEAN_KEY)
+        else:
+            spark.conf.set(_CLEAN_KEY, before)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it back.
 
     This cuts the lineage at files that outlive any executor, so a lost machine costs one
-    re-read rather than a recomputation of the whole plan.
+    re-read rather than a recomputation of the whole plan. Once the table is written, the shuffle
+    files that led to it are deleted.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/lexiloom/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with _shuffles_cleaned(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -45,14 +64,5 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH_KEY, str(BATCH_ROWS))
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished jobs that nothing refers to any more.
-
-    They go when the driver collects its garbage, which a driver with little to do rarely does by itself.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
