@@ -66,6 +66,7 @@ INGEST = f"""SELECT doc_id, array_to_string(list_filter([
     CASE WHEN len({_words("coalesce(text, '')")}) < 5 THEN 'words' END], lambda x: x IS NOT NULL), ',') AS problems FROM documents"""
 REQUEST = f"""SELECT doc_id, CASE WHEN text IS NULL OR trim(text) = '' THEN 'blank' WHEN length(text) > 50000 THEN 'too long'
     WHEN contains(text, chr(0)) THEN 'invalid characters' WHEN len({_words('text')}) > 12000 THEN 'too many words' ELSE 'fine' END AS problem FROM documents"""
+PROVENANCE = "SELECT count(*) FILTER (doc_id % 50 = 0) AS hash, 0 AS license, 0 AS evidence, count(*) FILTER (doc_id % 7 = 0) AS attribution, 0 AS label FROM documents"
 URLS = r"""SELECT page_id, coalesce(regexp_matches(url, '^https?://[^/?#@\s]+([/?#][^\s]*)?$'), false) AS valid,
     regexp_extract(url, '^[a-z]+://([^/?#:@]+)', 1) AS host FROM pages"""
 
@@ -257,6 +258,7 @@ LEDGER = f"WITH {_LEDGER} SELECT * FROM led"
 LEDGER_STEPS = f"WITH {_LEDGER} SELECT issue, event_id, status, changed FROM ch"
 LEDGER_COUNTS = f"WITH {_LEDGER} SELECT status, count(*) AS n, count(*) FILTER (blocking) AS blocking FROM led GROUP BY status"
 BLOCKERS = f"WITH {_LEDGER} SELECT issue FROM led WHERE status <> 'resolved' AND blocking"
+LEDGER_HISTORY = f"WITH {_LEDGER} SELECT issue, string_agg(event_id || ':' || status, ',' ORDER BY rn) AS history FROM ch WHERE changed GROUP BY issue"
 GATE_STATUS = "SELECT r_regionkey AS gate, r_regionkey > 1 AND (SELECT bool_and(value < 1e9) FROM events WHERE event_type IN ('error', 'click')) AND (SELECT count(DISTINCT event_type) = 2 FROM events WHERE event_type IN ('error', 'click')) AS passed FROM region"
 SETS = """WITH a AS (SELECT doc_id FROM documents WHERE doc_id % 2 = 0), b AS (SELECT doc_id FROM labels)
     SELECT 'union' AS operation, count(*) AS n, sum(doc_id)::BIGINT AS total FROM (SELECT doc_id FROM a UNION SELECT doc_id FROM b)

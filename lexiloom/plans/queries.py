@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.functions import text as T
-from lexiloom.operators import corpus, ledger, linking, metrics, overlap, review, windows
+from lexiloom.operators import baseline, corpus, ledger, linking, metrics, overlap, review, windows
 from lexiloom.plans import oracles as S
 from lexiloom.sources import library, markup, records
 from lexiloom.storage import materialize, table
@@ -92,6 +92,14 @@ def request_validation(spark, d):
     return docs(spark, d).select("doc_id", F.coalesce(library.request_problem(F.col("text")), F.lit("fine")).alias("problem"))
 
 
+@query(S.PROVENANCE)
+def provenance_check(spark, d):
+    rows = docs(spark, d).select("text", F.when(F.col("doc_id") % 50 == 0, "changed").otherwise(F.sha2("text", 256)).alias("content_sha256"),
+        F.when(F.col("lang") == "en", "CC-BY-4.0").otherwise("CC0-1.0").alias("license_id"),
+        F.to_json(F.struct(F.when(F.col("doc_id") % 7 != 0, F.col("source")).alias("attribution"), F.lit("stated").alias("license_evidence"))).alias("metadata"))
+    return library.provenance_problems(rows)
+
+
 @query(S.URLS)
 def url_filter(spark, d):
     return table(spark, d, "pages").select("page_id", T.valid_url(F.col("url")).alias("valid"), F.try_parse_url("url", F.lit("HOST")).alias("host"))
@@ -551,6 +559,19 @@ def judged_reviews(spark, d):
     return review.judge(cases).select("id", F.array_join("failures", ",").alias("failures"), "passed")
 
 
+@query()
+def review_totals(spark, d):
+    return review.review_counts(_checked(spark, d))
+
+
+@query()
+def baseline_scores(spark, d):
+    """Scores of the held-out half of the labelled documents by a baseline fitted on the other half."""
+    rows = table(spark, d, "labels").join(docs(spark, d), "doc_id").select("doc_id", "text", F.col("quality").alias("label"))
+    rows = materialize(rows, "baseline-rows")
+    return baseline.predict(baseline.train(rows.where("doc_id % 2 = 0")), rows.where("doc_id % 2 = 1")).select("doc_id", "label", "score")
+
+
 # --- ledger
 
 def _observed(spark, d):
@@ -578,6 +599,12 @@ def ledger_blockers(spark, d):
     return ledger.blockers(ledger.fold(_observed(spark, d), "issue", ["ts", "event_id"]), "issue")
 
 
+@query(S.LEDGER_HISTORY)
+def ledger_history(spark, d):
+    told = ledger.history(_observed(spark, d), "issue", ["ts", "event_id"])
+    return told.select("issue", F.array_join(F.transform("history", lambda h: F.concat_ws(":", h["event_id"].cast("string"), h["status"])), ",").alias("history"))
+
+
 @query(S.GATE_STATUS)
 def gate_status(spark, d):
     checks = table(spark, d, "events").groupBy(F.col("event_type").alias("check_id")).agg(F.bool_and(F.col("value") < 1e9).alias("passed"))
