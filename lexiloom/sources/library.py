@@ -45,7 +45,7 @@ def request_problem(text: Column) -> Column:
 
 
 def _pointer(spark: SparkSession, path: str):
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_current.json")
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/current.json")
     return hadoop, hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
@@ -53,7 +53,7 @@ def _manifest(spark: SparkSession, path: str) -> dict | None:
     name, system = _pointer(spark, path)
     if not system.exists(name):
         return None
-    return json.loads("\n".join(r.value for r in spark.read.text(f"{path}/_current.json").collect()))
+    return json.loads("\n".join(r.value for r in spark.read.text(f"{path}/current.json").collect()))
 
 
 def open_library(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -85,7 +85,7 @@ def upsert(spark: SparkSession, path: str, incoming: DataFrame) -> DataFrame:
     fresh = index(added.join(good.select("document_id"), "document_id", "left_semi"))
     replaced.unionByName(fresh.select(replaced.columns)).write.parquet(f"{path}/{name}/index")
     place, system = _pointer(spark, path)
-    draft = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_draft-{name}.json")
+    draft = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/draft-{name}.json")
     out = system.create(draft, True)
     out.write(bytearray(json.dumps({"version": VERSION, "tables": name}).encode()))
     out.close()
