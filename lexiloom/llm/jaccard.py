@@ -281,8 +281,10 @@ def _block_links(n: int, percent: int):
     def pair(alone: bool, nodes: list[int], sides: list[int], texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         raw = np.frombuffer(b"".join(texts), np.uint8)
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in texts])])
-        rows, hashes = _sets(raw, offsets, n)
-        sets = np.split(hashes, np.searchsorted(rows, np.arange(1, len(texts))))
+        sets = []
+        for lo, hi in slices(offsets, SLICE_BYTES):
+            rows, hashes = _sets(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], n)
+            sets += np.split(hashes, np.searchsorted(rows, np.arange(1, hi - lo)))
         at = np.array(nodes)
         side = np.array(sides)
         one, two = (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
