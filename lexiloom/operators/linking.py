@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 from lexiloom.storage import materialize
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """node, component: for every node of an undirected edge list, the smallest node that it reaches.
 
-    Null ends make no edge. Each round takes the smallest label over a node and its neighbours and then
-    the label of that label, so the distance covered doubles; labels live in a table in the shared
-    folder between rounds, and only a counter of changes comes to the driver. Nodes of very high degree
-    are summed up map-side before their shuffle.
+    Null ends make no edge. In each round all nodes of one label move together to the smallest label that
+    any of them or a neighbour has, and then each takes the label of its label. So a whole tree hooks to a
+    neighbouring one in one round, and the distance covered along labels doubles. Rounds go on until no
+    label moves: labels only fall, so this ends, and then all labels of a component are equal. Labels live
+    in a table in the shared folder between rounds, and only a flag of changes comes to the driver. Nodes
+    of very high degree and labels of many nodes are summed up map-side before their shuffle.
     """
     a = materialize(edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull()).select(F.col(src).alias("u"), F.col(dst).alias("v")).distinct(), "cc-edges")
     b = a.select(F.col("v").alias("u"), F.col("u").alias("v"))
@@ -25,14 +27,13 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         .unionByName(alone.select(F.col("u").alias("node"), F.col("u").alias("label"))).groupBy("node").agg(F.min("label").alias("label")),
         "cc-labels",
     )
-    for _ in range(max_rounds):
+    while True:
         seen = labels.select(F.col("node").alias("v"), F.col("label").alias("seen"))
         near = both.join(seen, "v").groupBy("u").agg(F.min("seen").alias("near")).withColumnRenamed("u", "node")
-        nearer = labels.join(near, "node", "left").select("node", "label", F.least("label", F.coalesce("near", "label")).alias("new"))
-        above = labels.select(F.col("node").alias("new"), F.col("label").alias("above"))
-        # a label is itself a node; where it has moved on already, follow it
-        nxt = materialize(nearer.join(above, "new", "left").select("node", F.least("new", F.coalesce("above", "new")).alias("label"), (F.least("new", F.coalesce("above", "new")) < F.col("label")).alias("moved")), "cc-labels")
-        labels = nxt.select("node", "label")
-        if nxt.where("moved").isEmpty():
+        hooks = labels.join(near, "node", "left").groupBy("label").agg(F.min(F.least("label", F.coalesce("near", "label"))).alias("hook"))
+        hooked = materialize(labels.join(hooks, "label").select("node", "hook", (F.col("hook") < F.col("label")).alias("moved")), "cc-hooked")
+        if hooked.where("moved").isEmpty():
             return labels.withColumnRenamed("label", "component")
-    raise RuntimeError(f"no convergence after {max_rounds} rounds")
+        # a label is itself a node; where it has moved on already, follow it
+        above = hooked.select(F.col("node").alias("hook"), F.col("hook").alias("label"))
+        labels = materialize(hooked.join(above, "hook").select("node", "label"), "cc-labels")

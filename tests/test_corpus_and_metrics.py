@@ -43,6 +43,14 @@ def test_components_do_not_depend_on_order(spark):
     assert {c for n, c in first if n >= 100} == {100}
 
 
+@pytest.mark.parametrize("kind", ["zig-zag", "shuffled"])
+def test_components_of_long_chains(spark, kind):
+    order = {"zig-zag": [0, *range(149, 0, -1)], "shuffled": random.Random(5).sample(range(1000), 1000)}[kind]
+    edges = [*zip(order, order[1:]), (5000, 5001), (6000, 6000), (7000, None)]
+    got = dict(map(tuple, linking.connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()))
+    assert got == {n: 0 for n in order} | {5000: 5000, 5001: 5000, 6000: 6000}
+
+
 def test_dedup_quarantines_conflicts(spark):
     df = spark.createDataFrame([("a", "ai", "Same  text"), ("b", "human", "same text"), ("c", "ai", "other"), ("d", "ai", "Other ")], "id string, label string, text string")
     admitted, removed, conflicts = corpus.exact_dedup(df, "id", "label", "text")
