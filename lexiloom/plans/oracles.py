@@ -117,6 +117,10 @@ NEAR = rf"""WITH t AS (SELECT doc_id AS id, lang, regexp_extract_all({_normal("c
       a.lang IS DISTINCT FROM b.lang AS label_conflict FROM p JOIN u a ON a.id = l JOIN u b ON b.id = r)
     SELECT "left", "right", jaccard, label_conflict FROM j WHERE ratio >= 0.8 AND jaccard >= 0.8
     UNION ALL SELECT f.first, f.id, 1.0, a.lang IS DISTINCT FROM f.lang FROM f JOIN documents a ON a.doc_id = f.first WHERE f.id <> f.first"""
+RELATED_FULL = f"""WITH {_REMOVED}, adm AS (SELECT d.* FROM documents d JOIN g ON d.doc_id = kept),
+    n AS (WITH documents AS (SELECT * FROM adm) SELECT * FROM ({NEAR})),
+    p AS (SELECT 'exact_normalized_text' AS reason, kept AS l, doc_id AS r FROM h JOIN g USING (sha) WHERE doc_id <> kept UNION ALL SELECT 'near_duplicate_text', "left", "right" FROM n)
+    SELECT reason, l || ',' || r AS record_ids, array_to_string(list_sort(list_distinct([a.source, b.source])), ',') AS source_groups FROM p JOIN documents a ON a.doc_id = l JOIN documents b ON b.doc_id = r"""
 COMPONENTS = f"""WITH RECURSIVE r AS (SELECT doc_id AS id, sha256({_normal('text')}) AS full_text, sha256(substr(text, 1, 60)) AS opening FROM documents WHERE text IS NOT NULL),
     {_closure('r', ['full_text', 'opening'])} SELECT id AS doc_id, unit AS family FROM unit"""
 _TRIM = f"'^{SP}+|{SP}+$'"

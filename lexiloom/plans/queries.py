@@ -295,10 +295,22 @@ def leakage_check(spark, d):
 
 @query(S.RELATED)
 def related_groups(spark, d):
+    """Relations of copies alone, as in its SQL; ``related_groups_full`` has those of near pairs too."""
     removed = corpus.exact_dedup(docs(spark, d), "doc_id", "lang", "text")[1]
     none = removed.select(F.col("kept").alias("left"), F.col("removed").alias("right")).limit(0)
     groups = docs(spark, d).select(F.col("doc_id").alias("id"), F.col("source").alias("source_group"))
-    found = corpus.related_groups(removed, none, groups)
+    return _listed(corpus.related_groups(removed, none, groups))
+
+
+@query(S.RELATED_FULL)
+def related_groups_full(spark, d):
+    """Both kinds of relations: copies of equal normalised text, and near pairs among the records that are admitted."""
+    admitted, removed, _ = corpus.exact_dedup(docs(spark, d), "doc_id", "lang", "text")
+    groups = docs(spark, d).select(F.col("doc_id").alias("id"), F.col("source").alias("source_group"))
+    return _listed(corpus.related_groups(removed, corpus.near_duplicates(admitted, "doc_id", "lang", "text"), groups))
+
+
+def _listed(found: DataFrame) -> DataFrame:
     return found.select("reason", F.array_join(F.transform("record_ids", lambda x: x.cast("string")), ",").alias("record_ids"), F.array_join("source_groups", ",").alias("source_groups"))
 
 

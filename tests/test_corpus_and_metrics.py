@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lexiloom import checks
 from lexiloom.operators import corpus, linking, metrics
+from lexiloom.plans import queries
 
 ROW = "id long, label int, score double, source_group string, text_sha256 string, prompt string, generator string, length_bucket string, split string"
 
@@ -144,3 +145,11 @@ def test_order_does_not_change_splits(spark):
     first = {r.id: r.split for r in corpus.assign_splits(df).collect()}
     again = {r.id: r.split for r in corpus.assign_splits(df.orderBy(F.desc("id"))).collect()}
     assert first == again and set(first.values()) == {"train", "calibration", "test"}
+
+
+def test_related_groups_have_near_pairs_of_admitted_records(spark, tmp_path):
+    words = [f"w{i}" for i in range(100)]
+    rows = [(1, " ".join(words), "en", "A"), (2, " ".join([*words, "more"]), "en", "B"), (3, " ".join(words).upper(), "en", "C"), (4, "short", "en", "D")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(map(tuple, queries.QUERIES["related_groups_full"](spark, str(tmp_path)).collect()))
+    assert got == [("exact_normalized_text", "1,3", "A,C"), ("near_duplicate_text", "1,2", "A,B")]
