@@ -96,6 +96,8 @@ TOP_DOCUMENTS = f"""WITH {_GRAMS}, n AS (SELECT passage_id, document_id, count(D
     SELECT passage_id, document_id, seeds, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY passage_id ORDER BY seeds DESC, document_id) AS rank FROM n) WHERE rank <= 24"""
 BOUNDED_HITS = f"""WITH {_GRAMS} SELECT passage_id, document_id, q_pos::INT AS q_pos, s_pos::INT AS s_pos, everything > 5 AS truncated FROM (
     SELECT *, row_number() OVER (PARTITION BY passage_id ORDER BY gram, document_id, s_pos, q_pos) AS n, count(*) OVER (PARTITION BY passage_id) AS everything FROM hit WHERE s_pos % 5 = 0) WHERE n <= 5"""
+BOUNDED_HITS_FULL = f"""WITH {_GRAMS} SELECT passage_id, document_id, q_pos::INT AS q_pos, s_pos::INT AS s_pos, everything > 12000 AS truncated FROM (
+    SELECT *, row_number() OVER (PARTITION BY passage_id ORDER BY gram, document_id, s_pos, q_pos) AS n, count(*) OVER (PARTITION BY passage_id) AS everything FROM hit WHERE s_pos % 5 = 0) WHERE n <= 12000"""
 SUPPRESSED = f"""WITH {_BLOCKS}, every AS (SELECT * FROM block UNION SELECT passage_id, document_id, q_start, q_end - 2, s_start, s_end - 2, matched - 2 FROM block),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY passage_id, document_id ORDER BY matched DESC, 2 * matched / (q_end - q_start + s_end - s_start) DESC, q_start, s_start) AS place FROM every)
     SELECT passage_id, document_id, q_start, q_end, s_start, s_end, matched FROM ranked r WHERE NOT EXISTS (SELECT 1 FROM ranked o WHERE o.passage_id = r.passage_id AND o.document_id = r.document_id

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions import text as T
 from lexiloom.operators import overlap
+from lexiloom.plans import queries
 
 BASE = (
     "Measurements collected during several winter expeditions revealed unexpected salinity gradients beneath floating glacier tongues, "
@@ -112,3 +113,11 @@ def test_hits_over_the_bound_are_reported(spark):
     hits = spark.createDataFrame([("p", f"d{i}", 0, i, f"g{i}") for i in range(4)], "passage_id string, document_id string, q_pos int, s_pos int, gram string")
     assert [r.truncated for r in overlap.bounded_hits(hits, 2).collect()] == [True, True]
     assert not any(r.truncated for r in overlap.bounded_hits(hits, 9).collect())
+
+
+def test_registered_hits_are_kept_up_to_the_bound_of_the_operator(spark, tmp_path):
+    words = " ".join(f"w{i}" for i in range(60))
+    spark.createDataFrame([("p", words)], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(1, words)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.QUERIES["bounded_hits_full"](spark, str(tmp_path)).collect()
+    assert sorted((r.q_pos, r.s_pos, r.truncated) for r in got) == [(i, i, False) for i in range(0, 56, 5)]
