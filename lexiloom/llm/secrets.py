@@ -4,7 +4,8 @@ Everything here is DataFrame functions; no Python runs on the executors. The pat
 spans. Beyond them, each maximal run of token characters that is long enough and has both a letter
 and a digit is scored by two first-order Markov models over characters, one of random strings and
 one of ordinary identifiers, both trained from labelled samples. Runs whose log-likelihood ratio
-passes the threshold are secrets too, of kind markov, unless a base span already overlaps them.
+passes the threshold are secrets too, of kind markov, unless base spans cover all of them; one that is
+covered in part keeps its whole span, which then overlaps the base spans.
 
 Offsets come from splitting a text by a pattern: the lengths of the parts between the matches
 and of the matches add up to their starts. Texts without a match take none of these steps.
@@ -162,7 +163,9 @@ def find_spans(docs: DataFrame, text_col: str = "text", table: list[float] | Non
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base, runs = spans_column(text, table, min_odds)
     found = docs.withColumn("_base", base).withColumn("_runs", runs)
-    free = F.filter("_runs", lambda r: ~F.exists("_base", lambda b: (b["at"] < r["stop"]) & (r["at"] < b["stop"])))
+    # base spans come by their starts: how far they cover the run from its start on without a gap
+    reach = lambda r: F.aggregate("_base", r["at"], lambda at, b: F.when(b["at"] <= at, F.greatest(at, b["stop"])).otherwise(at))
+    free = F.filter("_runs", lambda r: reach(r) < r["stop"])
     return found.withColumn("_markov", free).drop("_runs")
 
 
