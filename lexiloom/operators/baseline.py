@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+import numpy as np
+from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +38,23 @@ def featured(rows: DataFrame, text_col: str = "text") -> DataFrame:
     return split.withColumn("word_terms", _grams(F.col("_tokens"), 1, 2, " ")).withColumn("char_terms", _grams(F.col("_letters"), 3, 5, "")).drop("_tokens", "_letters")
 
 
+class Sublinear(Transformer, HasInputCol, HasOutputCol):
+    """1 + log of each count of a vector; zeros stay."""
+
+    def __init__(self, inputCol: str, outputCol: str):
+        super().__init__()
+        self._set(inputCol=inputCol, outputCol=outputCol)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        # MLlib has no such stage, and column functions would spell out all the zeros
+        damped = F.udf(_damped, VectorUDT())
+        return dataset.withColumn(self.getOutputCol(), damped(F.col(self.getInputCol())))
+
+
+def _damped(v: SparseVector) -> SparseVector:
+    return SparseVector(v.size, v.indices, 1 + np.log(v.values))
+
+
 def train(rows: DataFrame, text_col: str = "text", label_col: str = "label") -> PipelineModel:
     """Fit on the training rows alone; each class has half of all weight."""
     counts = {r[label_col]: r["count"] for r in rows.groupBy(label_col).count().collect()}
@@ -44,7 +64,7 @@ def train(rows: DataFrame, text_col: str = "text", label_col: str = "label") ->
     for name, terms, least in (("word", WORD_TERMS, WORD_DOCUMENTS), ("char", CHAR_TERMS, CHAR_DOCUMENTS)):
         stages += [
             CountVectorizer(inputCol=f"{name}_terms", outputCol=f"{name}_counts", vocabSize=terms, minDF=least),
-            IDF(inputCol=f"{name}_counts", outputCol=f"{name}_idf"), Normalizer(inputCol=f"{name}_idf", outputCol=f"{name}_vector"),
+            Sublinear(f"{name}_counts", f"{name}_damped"), IDF(inputCol=f"{name}_damped", outputCol=f"{name}_idf"), Normalizer(inputCol=f"{name}_idf", outputCol=f"{name}_vector"),
         ]
     stages += [VectorAssembler(inputCols=["word_vector", "char_vector"], outputCol="features"), LogisticRegression(featuresCol="features", labelCol=label_col, weightCol="weight", regParam=1 / (C * max(total, 1)), maxIter=100)]
     return Pipeline(stages=stages).fit(featured(rows, text_col).withColumn("weight", weight))

@@ -254,6 +254,7 @@ VERDICT = f"""WITH {_LABELLED}, v AS (SELECT doc_id, sum(length(text))::BIGINT A
     SELECT doc_id, CASE WHEN characters = analyzed_characters AND k = 1 THEN label ELSE 'inconclusive' END AS label, characters, analyzed_characters, characters = analyzed_characters AS full_coverage FROM v"""
 ROLLUP = f"WITH {_LABELLED} SELECT count(*) FILTER (scheduled AND length(text) > 1200) AS truncated, sum(words) FILTER (scheduled)::BIGINT AS words, array_to_string(list_sort(list(DISTINCT status)), ',') AS statuses FROM n"
 COMPARE = f"""WITH {_SCORED} SELECT id, round(CASE WHEN id % 6 = 0 THEN score / 2 - score END, 9) AS change, id % 6 = 0 AS comparable FROM scored WHERE id % 2 = 0 OR id % 3 = 0"""
+COMPARE_FULL = f"WITH {_SCORED} SELECT id, round(second_score - score, 9) AS change, score IS NOT NULL AS comparable FROM scored"
 
 _LEDGER = """o AS (SELECT user_id AS issue, ts, event_id, event_type <> 'error' AS passed, user_id % 3 = 0 AS blocking, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
     f AS (SELECT issue, min(rn) AS fail FROM o WHERE NOT passed GROUP BY issue), p AS (SELECT o.issue, min(rn) AS pass FROM o JOIN f USING (issue) WHERE passed AND rn > fail GROUP BY o.issue),
@@ -270,3 +271,4 @@ SETS = """WITH a AS (SELECT doc_id FROM documents WHERE doc_id % 2 = 0), b AS (S
     SELECT 'union' AS operation, count(*) AS n, sum(doc_id)::BIGINT AS total FROM (SELECT doc_id FROM a UNION SELECT doc_id FROM b)
     UNION ALL SELECT 'intersect', count(*), sum(doc_id)::BIGINT FROM (SELECT doc_id FROM a INTERSECT SELECT doc_id FROM b)
     UNION ALL SELECT 'except', count(*), sum(doc_id)::BIGINT FROM (SELECT doc_id FROM a EXCEPT SELECT doc_id FROM b)"""
+SETS_FULL = SETS.replace(" WHERE doc_id % 2 = 0", "")

@@ -528,6 +528,14 @@ def model_comparison(spark, d):
     return told.select("id", F.round("change", 9).alias("change"), "comparable")
 
 
+@query(S.COMPARE_FULL)
+def model_comparison_full(spark, d):
+    """All documents before, by one score, and after, by another."""
+    rows = scored(spark, d).withColumn("label", F.lit("x"))
+    told = windows.compare_runs(rows, rows.withColumn("score", F.col("second_score")))
+    return told.select("id", F.round("change", 9).alias("change"), "comparable")
+
+
 @query()
 def display_segments(spark, d):
     pairs = overlap.seeds(passages(spark, d), held(spark, d)).select("passage_id", "document_id").distinct()
@@ -585,10 +593,11 @@ def review_totals(spark, d):
 
 @query()
 def baseline_scores(spark, d):
-    """Scores of the held-out half of the labelled documents by a baseline fitted on the other half."""
-    rows = table(spark, d, "labels").join(docs(spark, d), "doc_id").select("doc_id", "text", F.col("quality").alias("label"))
+    """Scores of all labelled documents by a baseline fitted on those of the train split."""
+    split = corpus.split_name(F.sha2(F.concat("source", F.lit("/"), F.expr("doc_id div 40").cast("string")), 256))
+    rows = table(spark, d, "labels").join(docs(spark, d), "doc_id").select("doc_id", "text", F.col("quality").alias("label"), split.alias("split"))
     rows = materialize(rows, "baseline-rows")
-    return baseline.predict(baseline.train(rows.where("doc_id % 2 = 0")), rows.where("doc_id % 2 = 1")).select("doc_id", "label", "score")
+    return baseline.predict(baseline.train(rows.where("split = 'train'")), rows).select("doc_id", "label", "split", "score")
 
 
 # --- ledger
@@ -635,8 +644,16 @@ def gate_status(spark, d):
 
 @query(S.SETS)
 def set_operations(spark, d):
-    a = docs(spark, d).select("doc_id").where("doc_id % 2 = 0")
-    b = table(spark, d, "labels").select("doc_id")
+    """Documents of even ids and labels, as in its SQL; ``set_operations_full`` takes all documents."""
+    return _sets(docs(spark, d).select("doc_id").where("doc_id % 2 = 0"), table(spark, d, "labels").select("doc_id"))
+
+
+@query(S.SETS_FULL)
+def set_operations_full(spark, d):
+    return _sets(docs(spark, d).select("doc_id"), table(spark, d, "labels").select("doc_id"))
+
+
+def _sets(a: DataFrame, b: DataFrame) -> DataFrame:
     parts = {"union": a.union(b).distinct(), "intersect": a.intersect(b), "except": a.subtract(b)}
     out = None
     for name, part in parts.items():

@@ -1,8 +1,10 @@
 import hashlib
+import math
 import zipfile
 
 import duckdb
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 import __spark_entry__
@@ -123,6 +125,19 @@ def test_baseline_learns(spark):
     assert all((r.score > 0.5) == (r.label == 1) for r in told.collect())
 
 
+def test_baseline_damps_counts(spark):
+    df = spark.createDataFrame([(Vectors.sparse(5, [1, 3], [1.0, 8.0]),)], ["n"])
+    got = baseline.Sublinear("n", "out").transform(df).head().out
+    assert (got.size, got.indices.tolist(), got.values.tolist()) == (5, [1, 3], [1.0, pytest.approx(1 + math.log(8))])
+
+
+def test_baseline_scores_all_labelled_documents(spark):
+    rows = __spark_entry__.queries()["baseline_scores"](spark, SF).collect()
+    wanted = spark.read.parquet(f"{SF}/labels.parquet").join(spark.read.parquet(f"{SF}/documents.parquet"), "doc_id").select("doc_id").collect()
+    assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in wanted)
+    assert {r.split for r in rows} == {"train", "calibration", "test"}
+
+
 def canonical(columns, rows):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
     fix = lambda v: repr(v) if isinstance(v, float) else str(v)
