@@ -130,6 +130,8 @@ _EXCERPT = f"""e AS (SELECT doc_id, text, {_count('text')} AS n, list_filter(reg
     regexp_extract_all(text, '{NS}+{SP}*') AS w FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
   x AS (SELECT doc_id, CASE WHEN len(p) > 0 THEN 'natural_paragraph' WHEN n < 80 THEN 'too_short' WHEN n <= 250 THEN 'whole_short_document' ELSE 'first_250_words' END AS kind,
     regexp_replace(CASE WHEN len(p) > 0 THEN p[1] WHEN n <= 250 THEN text ELSE array_to_string(w[1:250], '') END, {_TRIM}, '', 'g') AS excerpt FROM e)"""
+COMPONENTS_FULL = f"""WITH RECURSIVE {_EXCERPT}, r AS (SELECT d.doc_id AS id, sha256({_normal('d.text')}) AS full_text, CASE WHEN kind <> 'too_short' THEN sha256({_normal('excerpt')}) END AS excerpt,
+    d.source || '/' || (d.doc_id // 40) AS source_group FROM documents d JOIN x ON x.doc_id = d.doc_id), {_closure('r', ['full_text', 'excerpt', 'source_group'])} SELECT id AS doc_id, unit AS family FROM unit"""
 EXCERPTS = f"""WITH {_EXCERPT} SELECT doc_id, kind, {_count('excerpt')}::INT AS words, CASE WHEN {_count('excerpt')} < 150 THEN '80-149' ELSE '150-250' END AS length_bucket,
     md5(excerpt) AS excerpt_md5 FROM x WHERE kind <> 'too_short'"""
 EXCERPT_COUNTS = f"WITH {_EXCERPT} SELECT kind, count(*) AS n FROM x GROUP BY kind"
@@ -152,6 +154,8 @@ OVERLAP_KEYS = f"WITH {_SCORED} " + " UNION ALL ".join(
 )
 TRANSITIVE = """WITH m AS (SELECT n_regionkey, min('n' || n_nationkey) AS c FROM nation GROUP BY n_regionkey)
     SELECT 'n' || n_nationkey AS node, c AS component FROM nation JOIN m USING (n_regionkey) UNION ALL SELECT 'r' || n_regionkey, c FROM m"""
+TRANSITIVE_FULL = """WITH m AS (SELECT c_nationkey, min('c' || c_custkey) AS c FROM customer WHERE c_custkey IS NOT NULL GROUP BY c_nationkey)
+    SELECT 'c' || c_custkey AS node, c AS component FROM customer JOIN m USING (c_nationkey) WHERE c_custkey IS NOT NULL UNION ALL SELECT 'n' || c_nationkey, c FROM m WHERE c_nationkey IS NOT NULL"""
 
 _COUNTS = """count(*) AS records, count(*) FILTER (label = 0) AS human, count(*) FILTER (label = 1) AS ai, count(*) FILTER (label = 1 AND decision = 'ai') AS tp, count(*) FILTER (label = 0 AND decision = 'ai') AS fp,
     count(*) FILTER (label = 0 AND decision = 'human') AS tn, count(*) FILTER (label = 1 AND decision = 'human') AS fn, count(*) FILTER (label = 0 AND decision = 'uncertain') AS abstain_human, count(*) FILTER (label = 1 AND decision = 'uncertain') AS abstain_ai"""

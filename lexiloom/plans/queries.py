@@ -258,11 +258,20 @@ def near_duplicates(spark, d):
 
 @query(S.COMPONENTS)
 def source_components(spark, d):
+    """Families of texts by text hash and opening, as in its SQL; ``source_components_full`` has the keys of the reference."""
     rows = docs(spark, d).where(F.col("text").isNotNull())
     keys = {"full_text": T.text_hash(F.col("text")), "opening": F.sha2(F.substring("text", 1, 60), 256)}
     return corpus.record_families(rows, keys, "doc_id").withColumnRenamed("id", "doc_id")
 
 
+@query(S.COMPONENTS_FULL)
+def source_components_full(spark, d):
+    """Families of all documents by text hash, excerpt hash and source group."""
+    cut = corpus.excerpts(docs(spark, d), "doc_id", "text").select(F.col("id").alias("doc_id"), "excerpt_sha256")
+    keys = {"full_text": T.text_hash(F.col("text")), "excerpt": F.col("excerpt_sha256"), "source_group": F.concat("source", F.lit("/"), F.expr("doc_id div 40").cast("string"))}
+    return corpus.record_families(docs(spark, d).join(cut, "doc_id", "left"), keys, "doc_id").withColumnRenamed("id", "doc_id")
+
+
 @query(S.EXCERPTS)
 def excerpts(spark, d):
     cut = corpus.excerpts(docs(spark, d), "doc_id", "text")
@@ -352,11 +361,18 @@ def split_overlaps(spark, d):
 
 @query(S.TRANSITIVE)
 def transitive_links(spark, d):
-    """Components over the plain edge list customer to nation."""
+    """Components over the plain edge list nation to region, as in its SQL; ``transitive_links_full`` has customers."""
     edges = table(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("src"), F.concat(F.lit("r"), "n_regionkey").alias("dst"))
     return linking.connected_components(edges)
 
 
+@query(S.TRANSITIVE_FULL)
+def transitive_links_full(spark, d):
+    """Components over the plain edge list customer to nation."""
+    edges = table(spark, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("src"), F.concat(F.lit("n"), "c_nationkey").alias("dst"))
+    return linking.connected_components(edges)
+
+
 # --- metrics
 
 @query(S.CONFUSION)

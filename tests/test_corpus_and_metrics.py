@@ -153,3 +153,11 @@ def test_related_groups_have_near_pairs_of_admitted_records(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     got = sorted(map(tuple, queries.QUERIES["related_groups_full"](spark, str(tmp_path)).collect()))
     assert got == [("exact_normalized_text", "1,3", "A,C"), ("near_duplicate_text", "1,2", "A,B")]
+
+
+def test_sources_link_by_excerpt_and_keep_null_texts(spark, tmp_path):
+    shared = " ".join(f"w{i}" for i in range(100))
+    rows = [(1, "first opening\n\n" + shared, "A"), (41, "another one\n\n" + shared, "B"), (42, None, "B"), (90, None, "C")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = dict(map(tuple, queries.QUERIES["source_components_full"](spark, str(tmp_path)).select("doc_id", "family").collect()))
+    assert got == {1: 1, 41: 1, 42: 1, 90: 90}
