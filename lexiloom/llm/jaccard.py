@@ -14,20 +14,25 @@ pairs that lists of their mean length give on the other.
 For long texts one common element is often chance, so heavy sets take l = 1 + size / COMMON_SHARE, lengthen
 their prefixes by as many elements, and must share l of them. Short lists give their pairs, which are
 counted; a long list, of more than LIST_MEMBERS sets, does not need to be expanded: as many edges as it
-has members connect all of them. Linked sets that share no long list have all l elements in short ones, so
-no link is lost.
+has members connect all of them. The same holds for members of any list for which l is 1. Linked sets that
+share no long list have all l elements in short ones, so no link is lost.
 
 Equal sets are one class from the start. Candidates join to clusters, and no link leads out of a
-cluster. Every cluster's texts travel once to where they are compared; clusters of more than BLOCK_SETS
-texts do so by pairs of blocks. There all pairs are verified on their whole sets, and as many links
-leave the task as connect what is linked. Sets are hashed by 64 bits; one collision needs some 2**32
-shingles.
+cluster. A cluster's texts travel once, in blocks of at most BLOCK_SETS or so. In each block all pairs are
+verified on their whole sets, and what is linked becomes one group, named by its smallest id. Of
+clusters of several blocks the groups' own texts then meet in blocks again, until they fit one block or
+hardly merge any more. Only groups that are still apart, of one cluster, are compared member by member, by pairs
+of blocks; pairs of one group are not needed. So a group of near copies costs as much as it has texts,
+and still every pair of a cluster is verified or known to be connected. Sets are hashed by 64 bits;
+one collision needs some 2**32 shingles.
 
 Frequencies only order the shingles and may be rough: they are counted exactly over all texts for shingles
 that repeat within a block of texts, into 2**SKETCH_BITS counters, whose logarithms are broadcast (1 MiB).
 
 Defined results: null, empty and white-space texts have no shingles and link with nothing; repeated rows are
-classes of equal sets; a null id is never a component's name; an empty table gives an empty result.
+classes of equal sets; rows that share an id are one document whose texts all link for it; a null id is never
+a component's name; a very long text is hashed whole, alone in its slice; other columns are left aside; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -197,10 +202,10 @@ def _list_edges(percent: int, light: int):
     """Candidates of each list, as a < b with the smaller size.
 
     kind 0: a pair of an inverted list, which counts towards the pair's common elements.
-    kind 1: edges enough to connect all members whose sizes allow links, from subsets of light sets and
-    from lists of more than LIST_MEMBERS members. Members come sorted by size; if two of them may link by
-    size, so may all neighbours between them, so an edge to the first member or else to the one before
-    keeps them connected.
+    kind 1: edges enough to connect all members whose sizes allow links, from subsets of light sets,
+    from lists of more than LIST_MEMBERS members, and from the members of other lists that need one
+    common element. Members come sorted by size; if two of them may link by size, so may all neighbours
+    between them, so an edge to the first member or else to the one before keeps them connected.
     """
 
     def told(kind: int, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -213,6 +218,7 @@ def _list_edges(percent: int, light: int):
 
     def run(batches: Iterator[pa.RecordBatch]):
         for key, size, node in _runs(batches):
+            every = np.arange(len(key))
             fresh = np.concatenate([[True], key[1:] != key[:-1]])
             starts = np.flatnonzero(fresh)
             length = np.diff(np.append(starts, len(key)))
@@ -220,12 +226,17 @@ def _list_edges(percent: int, light: int):
             whole = np.repeat(length > LIST_MEMBERS, length) | ~listed
             largest = np.repeat(size[starts + length - 1], length)
             first = np.repeat(starts, length)
-            real = whole & ~fresh & ~(listed & (largest <= light))
+            one = size < COMMON_SHARE
+            # of a short list: members up to the last one that needs one common element, and those after it that may link with that one
+            until = np.repeat(np.maximum.reduceat(np.where(one, every, -1), starts) if len(starts) else starts, length)
+            real = ~fresh & ~(listed & (largest <= light)) & (whole | (every <= until))
             to_first = real & (100 * size[first] >= percent * size)
-            before = np.maximum(np.arange(len(key)) - 1, 0)
+            before = np.maximum(every - 1, 0)
             to_before = real & ~to_first & (100 * size[before] >= percent * size)
-            yield from told(1, np.concatenate([node[first][to_first], node[before][to_before]]), np.concatenate([node[to_first], node[to_before]]), np.concatenate([size[first][to_first], size[before][to_before]]))
-            at = np.flatnonzero(~whole)
+            to_until = ~whole & (until >= 0) & (every > until) & (size > light) & (100 * size[np.maximum(until, 0)] >= percent * size)
+            ends = [(first, to_first), (before, to_before), (until, to_until)]
+            yield from told(1, *(np.concatenate(x) for x in zip(*((node[end][real], node[real], size[end][real]) for end, real in ends), strict=True)))
+            at = np.flatnonzero(~whole & ~one)
             for d in range(1, LIST_MEMBERS):
                 at = at[at + d < len(key)]
                 at = at[(key[at] == key[at + d]) & (100 * size[at] >= percent * size[at + d])]
@@ -258,8 +269,8 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return total.astype(np.int64)
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Edges enough to connect what all edges connect."""
+def _stars(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """(smallest, other) of all that the edges connect."""
     top: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -267,67 +278,61 @@ def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
             top[x] = x = top[up]
         return x
 
-    out = []
     for x, y in zip(a.tolist(), b.tolist(), strict=True):
         if (u := find(x)) != (v := find(y)):
             top[max(u, v)] = min(u, v)
-            out.append((x, y))
-    return out
+    return np.array([(find(x), x) for x in list(top) if find(x) != x], np.int64).reshape(-1, 2)
 
 
 def _block_links(n: int, percent: int):
-    """Of each pair of blocks: kind 0, links enough to connect what all links connect; kind 1, a document's number of links."""
+    """(a, b): of the labels that one pair of blocks links, the smallest of what is connected and each other one."""
 
-    def pair(alone: bool, nodes: list[int], sides: list[int], texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def pair(alone: bool, labels: list[int], sides: list[int], texts: list[bytes]) -> np.ndarray:
         raw = np.frombuffer(b"".join(texts), np.uint8)
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in texts])])
         sets = []
         for lo, hi in slices(offsets, SLICE_BYTES):
             rows, hashes = _sets(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], n)
             sets += np.split(hashes, np.searchsorted(rows, np.arange(1, hi - lo)))
-        at = np.array(nodes)
+        at = np.array(labels)
         side = np.array(sides)
         one, two = (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
         two = one if alone else two
         if not len(one) or not len(two):
-            return np.zeros((3, 0), np.int64)
+            return np.zeros((0, 2), np.int64)
         size = np.array([len(x) for x in sets])
         both = overlaps([sets[i] for i in one], [sets[i] for i in two])
         linked = 100 * both >= percent * (size[one][:, None] + size[two][None, :] - both)
         linked &= at[one][:, None] != at[two][None, :]
-        if alone:
-            linked = np.triu(linked, 1)
         x, y = np.nonzero(linked)
-        x, y = at[one[x]], at[two[y]]
-        forest = np.array(_forest(x, y), np.int64).reshape(-1, 2)
-        counted, number = np.unique(np.concatenate([x, y]), return_counts=True)
-        return np.stack([np.concatenate([np.zeros(len(forest), np.int64), np.ones(len(counted), np.int64)]), np.concatenate([forest[:, 0], counted]), np.concatenate([forest[:, 1], number])])
+        met = np.unique(np.stack([np.minimum(at[one[x]], at[two[y]]), np.maximum(at[one[x]], at[two[y]])], 1), axis=0)
+        return _stars(met[:, 0], met[:, 1])
 
     def run(batches: Iterator[pa.RecordBatch]):
-        key, nodes, sides, texts, seen = None, [], [], [], set()
+        key, labels, sides, texts, seen = None, [], [], [], set()
         out: list[np.ndarray] = []
 
         def flush():
-            columns = np.concatenate(out, axis=1) if out else np.zeros((3, 0), np.int64)
+            columns = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["kind", "a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns.T], names=["a", "b"])
 
         for batch in batches:
-            for cluster, i, j, side, node, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for cluster, i, j, side, label, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if key != (cluster, i, j):
-                    if len(nodes) > 1:
-                        out.append(pair(key[1] == key[2], nodes, sides, texts))
+                    if len(labels) > 1:
+                        out.append(pair(key[1] == key[2], labels, sides, texts))
                         if len(out) > 200:
                             yield flush()
-                    key, nodes, sides, texts, seen = (cluster, i, j), [], [], [], set()
+                    key, labels, sides, texts, seen = (cluster, i, j), [], [], [], set()
                 text = text.encode()
-                if (node, text) not in seen:
-                    seen.add((node, text))
-                    nodes.append(node)
+                if (label, text) not in seen:
+                    seen.add((label, text))
+                    labels.append(label)
                     sides.append(side)
                     texts.append(text)
-        if len(nodes) > 1:
-            out.append(pair(key[1] == key[2], nodes, sides, texts))
+        if len(labels) > 1:
+            out.append(pair(key[1] == key[2], labels, sides, texts))
         yield flush()
 
     return run
@@ -372,10 +377,79 @@ def _passing(texts: DataFrame, wanted: np.ndarray) -> DataFrame:
     return texts.where(F.col("id").isNotNull() & F.col("text").isNotNull()).mapInArrow(run, "id long, text string")
 
 
+def candidates(classes: DataFrame, percent: int, light: int) -> DataFrame:
+    """a, b: edges between classes (key arrays ``keys``) that connect all that may link."""
+    listed = classes.select(F.explode("keys").alias("key"), "size", "node").repartition("key").sortWithinPartitions("key", "size", "node")
+    found = listed.mapInArrow(_list_edges(percent, light), "kind int, a long, b long, size long").groupBy("kind", "a", "b", "size").count()
+    return found.where((F.col("kind") == 1) | (F.col("count") >= common_elements(F.col("size")))).select("a", "b").where("a <> b").distinct()
+
+
+def verified(texts: DataFrame, placed: DataFrame, n: int, percent: int) -> DataFrame:
+    """a, b of ``_block_links`` for the texts of ``placed``: component, i, j, side, node, label; i, j names a pair of blocks."""
+    met = _passing(texts, id_filter(placed.select("node"))).join(placed, F.col("id") == F.col("node"))
+    met = met.select("component", "i", "j", "side", "label", "text").repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "label")
+    return materialize(met.mapInArrow(_block_links(n, percent), "a long, b long"), "jaccard-links")
+
+
+def _relabelled(labels: DataFrame, stars: DataFrame) -> DataFrame:
+    moved = stars.select(F.col("a").alias("to"), F.col("b").alias("label"))
+    return labels.join(moved, "label", "left").select("component", "node", F.coalesce("to", "label").alias("label"))
+
+
+def _apart(labels: DataFrame) -> DataFrame:
+    """component, i, j, side, node, label: the pairs of blocks in which groups of one cluster that are still apart meet.
+
+    Groups of BLOCK_SETS members have blocks of their own, which are not compared with one another; the
+    others of a cluster share blocks.
+    """
+    wide = labels.join(labels.groupBy("component").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("component"), "component", "left_semi")
+    sizes = wide.groupBy("component", "label").agg(F.count("*").alias("n")).withColumn("own", F.col("n") >= BLOCK_SETS)
+    pooled = sizes.where("not own").groupBy("component").agg(F.sum("n").alias("pool"))
+    sizes = sizes.join(pooled, "component", "left").withColumn("blocks", F.ceil(F.when(F.col("own"), F.col("n")).otherwise(F.col("pool")) / BLOCK_SETS))
+    part = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    group = F.when(F.col("own"), F.col("label"))
+    named = wide.join(sizes.select("component", "label", "own", "blocks"), ["component", "label"]).select("component", "node", "label", group.alias("group"), F.xxhash64("component", group, part).alias("block"))
+    named = materialize(named, "jaccard-apart")
+    blocks = named.select("component", "group", "block").distinct()
+    other = blocks.select("component", F.col("group").alias("other"), F.col("block").alias("j"))
+    pairs = blocks.withColumnRenamed("block", "i").join(other, "component").where("i <= j and (group is null or other is null or group <> other)").select("component", "i", "j")
+    met = pairs.select("component", "i", "j", F.lit(0).alias("side"), F.col("i").alias("block")).unionByName(pairs.where("i <> j").select("component", "i", "j", F.lit(1).alias("side"), F.col("j").alias("block")))
+    return materialize(named.join(met, ["component", "block"]).select("component", "i", "j", "side", "node", "label"), "jaccard-pairs")
+
+
+def linked_labels(texts: DataFrame, clusters: DataFrame, n: int, percent: int) -> DataFrame:
+    """component, node, label: the smallest node that a node of a cluster reaches by links."""
+    labels = clusters.select("component", "node", F.col("node").alias("label"))
+    groups, several, level = clusters, None, 0
+    while True:
+        counts = groups.groupBy("component").agg(F.count("*").alias("members")).where("members > 1")
+        placed = groups.join(counts, "component").withColumn("i", F.pmod(F.xxhash64("node", F.lit(level)), F.ceil(F.col("members") / BLOCK_SETS)))
+        placed = materialize(placed, "jaccard-blocks")
+        stars = verified(texts, placed.select("component", "i", F.col("i").alias("j"), F.lit(0).alias("side"), "node", F.col("node").alias("label")), n, percent)
+        labels = materialize(_relabelled(labels, stars), "jaccard-labels")
+        wide = placed.where(F.col("members") > BLOCK_SETS)
+        before = wide.count()
+        if several is None:
+            if not before:
+                return labels
+            several = materialize(wide.select("component").distinct(), "jaccard-several")
+        if not before:
+            break
+        groups = materialize(wide.join(stars, F.col("node") == F.col("b"), "left_anti").select("component", "node"), "jaccard-groups")
+        level += 1
+        if groups.count() * 2 > before:
+            break
+    pairs = _apart(labels.join(several, "component", "left_semi"))
+    if pairs.isEmpty():
+        return labels
+    last = connected_components(verified(texts, pairs, n, percent), "a", "b")
+    return _relabelled(labels, last.select(F.col("component").alias("a"), F.col("node").alias("b")))
+
+
 def similar_classes(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, class_id (smallest id with an equal set), component_id (smallest id reachable by links), n_links.
+    """id, n_shingles, class_id (smallest id with an equal set), component_id (smallest id reachable by links).
 
-    One row for each text. ``n_links`` counts the class's links with other classes.
+    One row for each text.
     """
     small_batches(docs.sparkSession)
     levels, sizes = frequencies(docs, n, id_col, text_col)
@@ -387,23 +461,10 @@ def similar_classes(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str
         .agg(F.min("id").alias("node"), F.first("n_shingles").alias("size"), F.min_by("keys", "id").alias("keys")),
         "jaccard-classes",
     )
-    listed = classes.select(F.explode("keys").alias("key"), "size", "node").repartition("key").sortWithinPartitions("key", "size", "node")
-    found = materialize(listed.mapInArrow(_list_edges(percent, light), "kind int, a long, b long, size long").groupBy("kind", "a", "b", "size").count(), "jaccard-candidates")
-    near = found.where((F.col("kind") == 1) | (F.col("count") >= common_elements(F.col("size"))))
-    clusters = connected_components(near, "a", "b")
-    counts = clusters.groupBy("component").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("blocks"))
-    members = clusters.join(counts, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    members = materialize(members, "jaccard-members")
-    texts = _passing(_texts(docs, id_col, text_col), id_filter(members.select("node")))
-    met = texts.join(members, F.col("id") == F.col("node")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    i, j = F.least("block", "other"), F.greatest("block", "other")
-    met = met.select("component", i.alias("i"), j.alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "node", "text")
-    met = met.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "node")
-    found = materialize(met.mapInArrow(_block_links(n, percent), "kind long, a long, b long"), "jaccard-links")
-    components = connected_components(found.where("kind = 0"), "a", "b")
-    ends = found.where("kind = 1").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("count"))
-    told = classes.select("class_key", "node").join(components, "node", "left").join(ends, "node", "left")
-    told = materialize(told.select("class_key", F.col("node").alias("class_id"), F.coalesce("component", "node").alias("component_id"), F.coalesce("count", F.lit(0)).alias("n_links")), "jaccard-told")
+    clusters = connected_components(candidates(classes, percent, light), "a", "b")
+    components = linked_labels(_texts(docs, id_col, text_col), clusters, n, percent).select("node", F.col("label").alias("component_id"))
+    told = classes.select("class_key", "node").join(components, "node", "left")
+    told = materialize(told.select("class_key", F.col("node").alias("class_id"), F.coalesce("component_id", "node").alias("component_id")), "jaccard-told")
     return every.select("id", "n_shingles", "class_key").join(told, "class_key", "left").select(
-        F.col("id").alias(id_col), "n_shingles", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("component_id", "id").alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")
+        F.col("id").alias(id_col), "n_shingles", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("component_id", "id").alias("component_id")
     )

@@ -127,7 +127,8 @@ def shingle_hashes(raw: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.nda
     available = counts[rows] - position
     for k in range(1, n):
         shifted = np.zeros_like(h)
-        shifted[: len(h) - k] = h[k:]
+        left = max(len(h) - k, 0)
+        shifted[:left] = h[k : k + left]
         nxt = mix(total * U64(0xD6E8FEB86659FD93) + shifted + U64(k + 1))
         total = np.where(available > k, nxt, total)
     keep = (available >= n) | ((position == 0) & (counts[rows] < n))

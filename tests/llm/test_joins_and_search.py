@@ -169,3 +169,48 @@ def test_search_of_few_or_no_vectors(spark, search):
     assert search(vectors(spark, [])).count() == 0
     got = sorted((r.query_id, r.rank, r.vec_id) for r in search(vectors(spark, [(2, [1.0, 0.0], 1), (3, [1.0, 0.0], 1), (5, [0.5, 0.5], 1)])).collect())
     assert got == [(2, 1, 3), (2, 2, 5)]
+
+
+@pytest.mark.parametrize("words", range(1, 6))
+def test_jaccard_of_tables_of_few_words(spark, words):
+    rows = [(7, " ".join("abcde"[:words])), (9, " ".join("ABCDE"[:words]))]
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.similar_classes(texts(spark, rows)).collect()} == {(7, max(1, words - 3), 7), (9, max(1, words - 3), 7)}
+    got = jaccard.similar_classes(texts(spark, rows[:1])).collect()
+    assert [(r.doc_id, r.n_shingles, r.component_id) for r in got] == [(7, max(1, words - 3), 7)]
+
+
+def near_group(rng, m, length, edits):
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(900)]
+    base = [rng.choice(words) for _ in range(length)]
+    for i in range(m):
+        own = list(base)
+        for _ in range(rng.randrange(0, edits)):
+            own[rng.randrange(length)] = rng.choice(words)
+        yield i, " ".join(own)
+
+
+@pytest.mark.parametrize("m,length", [(500, 55), (1_000, 55), (2_000, 120), (4_000, 55)])
+def test_edges_of_near_copies_stay_linear(spark, m, length, monkeypatch):
+    seen = []
+    real = jaccard.connected_components
+
+    def counted(edges, *names):
+        seen.append(edges.count())
+        return real(edges, *names)
+
+    monkeypatch.setattr(jaccard, "connected_components", counted)
+    rows = list(near_group(random.Random(m), m, length, 3))
+    got = jaccard.similar_classes(texts(spark, rows)).collect()
+    assert len(got) == m and {r.component_id for r in got if r.doc_id > 0 and r.component_id == 0}
+    assert max(seen) <= 3 * m
+
+
+def test_jaccard_of_groups_that_chance_joins(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 8)
+    rng = random.Random(5)
+    rows = [(k * 100 + i, t) for k in range(3) for i, t in near_group(rng, 30, 40, 6)]
+    _, want = brute.jaccard_components(rows)
+    clusters = spark.createDataFrame([(0, i) for i, _ in rows], "component long, node long")
+    docs = texts(spark, rows).withColumnRenamed("doc_id", "id")
+    got = {r.node: r.label for r in jaccard.linked_labels(docs, clusters, 4, 85).collect()}
+    assert got == want
