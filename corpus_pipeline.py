@@ -37,13 +37,13 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join: of each component of near copies the document with the smallest id stays.
 
-    Near copies share words of five with a similarity of 0.8 or more. Rows that repeat the id that
-    stays count as copies too: one of them stays. Rows without an id stay.
+    Near copies share words of five with a similarity of 0.8 or more. Of rows that repeat the id that
+    stays, one of each text stays. Rows without an id stay.
     """
     docs = docs.select(*COLUMNS)
     told = jaccard.similar_classes(docs, n=5, percent=80)
     stays = told.where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    named = docs.where("doc_id is not null").join(stays, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
+    named = docs.where("doc_id is not null").join(stays, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id", "text"])
     return named.unionByName(docs.where("doc_id is null")).select(*COLUMNS)
 
 
