@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 import unicodedata
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
@@ -27,14 +28,27 @@ NOT_SPACE = r"[^\p{IsWhite_Space}\x1c-\x1f]"
 NUMBER = r"\d+(?:[.,:]\d+)*"
 
 
+#: Letters beyond ASCII for which lower case, with ß as ss, is the whole of compatibility folding.
+PLAIN = r"À-ÖØ-öø-įĴ-ľŁ-ňŊ-žА-яЁёЀ-Џѐђѓєѕіїјљњћќѝўџ一-鿿"
+#: A word character, or a mark, that needs more than that; any character that does in a whole text.
+_INTRICATE_WORD = rf"[[\p{{L}}\p{{N}}\p{{M}}]&&[^\x00-\x7f{PLAIN}]]"
+_INTRICATE_TEXT = rf"[^\x00-\x7f{PLAIN}–—‘’“”]"
+
+
 def fold(text: Column) -> Column:
-    """Caseless form by built-ins: exact for text in composed form whose only special case is ß."""
+    """Caseless form by built-ins, for texts without intricate characters."""
     return F.replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), F.lit("’"), F.lit("'"))
 
 
 def words(text: Column) -> Column:
-    """Folded words of a text, in order."""
-    return F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), fold)
+    """Compatibility-folded words of a text, in order.
+
+    Texts with characters whose folding Spark has no function for go through ``tokens_exact``;
+    the others stay in built-ins, with the same result.
+    """
+    intricate = text.rlike(_INTRICATE_WORD)
+    exact = F.transform(tokens_exact(F.when(intricate, text)), lambda t: t["value"])
+    return F.when(intricate, exact).otherwise(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), fold))
 
 
 def gram(tokens: Column, start: Column, n: int = 5) -> Column:
@@ -55,8 +69,10 @@ def fingerprint(joined: Column) -> Column:
 
 
 def normalized(text: Column) -> Column:
-    """Folded, white space collapsed to single spaces and trimmed."""
-    return F.trim(F.regexp_replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), f"{SPACE}+", " "))
+    """Compatibility-folded, white space collapsed to single spaces and trimmed; built-ins where they are exact."""
+    intricate = text.rlike(_INTRICATE_TEXT)
+    plain = F.trim(F.regexp_replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), f"{SPACE}+", " "))
+    return F.when(intricate, normalized_exact(F.when(intricate, text))).otherwise(plain)
 
 
 def text_hash(text: Column) -> Column:
@@ -116,22 +132,32 @@ def valid_url(url: Column, optional: bool = False) -> Column:
     return (url.isNull() | (url == "") | fine) if optional else fine
 
 
-_EXACT_WORD = re.compile(rf"(?:[^\W_][{MARKS}]*)+(?:['’](?:[^\W_][{MARKS}]*)+)*")
+_LOCATED = re.compile(WORD.replace(r"[\p{L}\p{N}]", r"[^\W_]"))
+_TOKENS = pa.struct([("value", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
 
 
-@F.pandas_udf(ArrayType(StructType([StructField("value", StringType()), StructField("start", IntegerType()), StructField("end", IntegerType())])))
-def tokens_exact(texts: pd.Series) -> pd.Series:
-    """Words with full Unicode compatibility folding and code-point offsets into the unmodified text."""
+def _folded(forms: pa.Array) -> pa.Array:
+    """Full compatibility folding of strings, each distinct one folded once."""
+    coded = forms.dictionary_encode()
+    return pa.array([unicodedata.normalize("NFKC", x).casefold() for x in coded.dictionary.to_pylist()], pa.string()).take(coded.indices)
 
-    def one(text):
-        if text is None:
-            return []
-        return [{"value": unicodedata.normalize("NFKC", m.group()).casefold().replace("’", "'"), "start": m.start(), "end": m.end()} for m in _EXACT_WORD.finditer(text)]
 
-    return texts.map(one)
+@F.arrow_udf(ArrayType(StructType([StructField("value", StringType()), StructField("start", IntegerType()), StructField("end", IntegerType())])))
+def tokens_exact(texts: pa.Array) -> pa.Array:
+    """Words with full Unicode compatibility folding and code-point offsets into the unmodified text; a null text has none."""
+    places, ends, forms = [], [0], []
+    for text in texts.to_pylist():
+        if text is not None:
+            for found in _LOCATED.finditer(text):
+                places.append(found.span())
+                forms.append(found[0].replace("’", "'"))
+        ends.append(len(places))
+    at = np.array(places, np.int32).reshape(-1, 2)
+    flat = pa.StructArray.from_arrays([_folded(pa.array(forms, pa.string())), pa.array(at[:, 0].copy()), pa.array(at[:, 1].copy())], fields=list(_TOKENS))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
 
 
-@F.pandas_udf(StringType())
-def normalized_exact(texts: pd.Series) -> pd.Series:
+@F.arrow_udf(StringType())
+def normalized_exact(texts: pa.Array) -> pa.Array:
     """Compatibility-composed, fully case-folded, white space collapsed."""
-    return texts.map(lambda x: None if x is None else " ".join(unicodedata.normalize("NFKC", x).casefold().split()))
+    return pa.array([None if x is None else " ".join(unicodedata.normalize("NFKC", x).casefold().split()) for x in texts.to_pylist()], pa.string())

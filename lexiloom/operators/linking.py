@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.storage import materialize
+from lexiloom.storage import Scratch
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", owner: Scratch | None = None) -> DataFrame:
     """node, component: for every node of an undirected edge list, the smallest node that it reaches.
 
     Null ends make no edge. In each round all nodes of one label move together to the smallest label that
@@ -16,24 +16,27 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     neighbouring one in one round, and the distance covered along labels doubles. Rounds go on until no
     label moves: labels only fall, so this ends, and then all labels of a component are equal. Labels live
     in a table in the shared folder between rounds, and only a flag of changes comes to the driver. Nodes
-    of very high degree and labels of many nodes are summed up map-side before their shuffle.
+    of very high degree and labels of many nodes are summed up map-side before their shuffle. The result reads a
+    table, which ``owner`` deletes if given.
     """
-    a = materialize(edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull()).select(F.col(src).alias("u"), F.col(dst).alias("v")).distinct(), "cc-edges")
-    b = a.select(F.col("v").alias("u"), F.col("u").alias("v"))
-    both = a.union(b).where(F.col("u") != F.col("v"))
-    alone = a.where(F.col("u") == F.col("v")).select("u")
-    labels = materialize(
-        both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label"))
-        .unionByName(alone.select(F.col("u").alias("node"), F.col("u").alias("label"))).groupBy("node").agg(F.min("label").alias("label")),
-        "cc-labels",
-    )
-    while True:
-        seen = labels.select(F.col("node").alias("v"), F.col("label").alias("seen"))
-        near = both.join(seen, "v").groupBy("u").agg(F.min("seen").alias("near")).withColumnRenamed("u", "node")
-        hooks = labels.join(near, "node", "left").groupBy("label").agg(F.min(F.least("label", F.coalesce("near", "label"))).alias("hook"))
-        hooked = materialize(labels.join(hooks, "label").select("node", "hook", (F.col("hook") < F.col("label")).alias("moved")), "cc-hooked")
-        if hooked.where("moved").isEmpty():
-            return labels.withColumnRenamed("label", "component")
-        # a label is itself a node; where it has moved on already, follow it
-        above = hooked.select(F.col("node").alias("hook"), F.col("hook").alias("label"))
-        labels = materialize(hooked.join(above, "hook").select("node", "label"), "cc-labels")
+    with Scratch(edges.sparkSession) as put:
+        a = put(edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull()).select(F.col(src).alias("u"), F.col(dst).alias("v")).distinct(), "cc-edges")
+        b = a.select(F.col("v").alias("u"), F.col("u").alias("v"))
+        both = a.union(b).where(F.col("u") != F.col("v"))
+        alone = a.where(F.col("u") == F.col("v")).select("u")
+        labels = put(
+            both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label"))
+            .unionByName(alone.select(F.col("u").alias("node"), F.col("u").alias("label"))).groupBy("node").agg(F.min("label").alias("label")),
+            "cc-labels",
+        )
+        while True:
+            seen = labels.select(F.col("node").alias("v"), F.col("label").alias("seen"))
+            near = both.join(seen, "v").groupBy("u").agg(F.min("seen").alias("near")).withColumnRenamed("u", "node")
+            hooks = labels.join(near, "node", "left").groupBy("label").agg(F.min(F.least("label", F.coalesce("near", "label"))).alias("hook"))
+            hooked = put(labels.join(hooks, "label").select("node", "hook", (F.col("hook") < F.col("label")).alias("moved")), "cc-hooked")
+            if hooked.where("moved").isEmpty():
+                return (put.keep(labels) if owner is None else put.give(labels, owner)).withColumnRenamed("label", "component")
+            # a label is itself a node; where it has moved on already, follow it
+            above = hooked.select(F.col("node").alias("hook"), F.col("hook").alias("label"))
+            old, labels = labels, put(hooked.join(above, "hook").select("node", "label"), "cc-labels")
+            put.drop(old, hooked)

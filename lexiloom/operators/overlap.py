@@ -3,25 +3,61 @@
 Everything up to the near-run chains is joins, windows and aggregates. The library side is first probed at
 every fifth place only (its index); just the (passage, document) pairs that share such a seed are then
 compared at all places, so the wide explode touches few documents.
+
+``search`` is bounded by default, for each passage on its own: hits, documents, runs and matches. Whatever a bound
+leaves out makes the passage's status ``partial``; ``EXACT`` has no bounds and leaves out nothing.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.functions.text import STOP_WORDS, grams, tokens_exact, utf16_offset, words
+from lexiloom.storage import Scratch
 
 # Words of a seed, places between indexed seeds, least words of exact and near spans,
 # least similarity and largest extent of near spans, words a near span may skip, and the bounds of a report.
 SEED, STRIDE = 5, 5
 MIN_EXACT, MIN_NEAR, MIN_SIMILARITY, MAX_SPAN, MAX_GAP, MAX_HOPS = 12, 18, 0.85, 250, 4, 20
-TOP_DOCUMENTS, TOP_BLOCKS, TOP_MATCHES, MAX_HITS = 24, 400, 40, 12_000
+TOP_DOCUMENTS, TOP_BLOCKS, TOP_MATCHES, MAX_HITS, MAX_RUNS = 24, 400, 40, 12_000, 3_000
+# What is said of a passage's outcome, and of a match that should be reviewed.
+SUMMARIES = {
+    "unavailable": "The local reference library is unavailable. No source comparison was completed.",
+    "empty": "The local reference library is empty. No source comparison was completed.",
+    "insufficient_text": "At least 12 words are needed for this local overlap check.",
+    "matched": "Matching wording was found in the local reference library. Review sources and attribution; overlap alone does not establish plagiarism.",
+    "partial": "No source match was returned by this incomplete local comparison.",
+    "complete": "No source match found in the local corpus. This does not establish originality or exclude paraphrased reuse.",
+}
+PARTIAL = "Results are partial because comparison limits were reached. Absence of a match is inconclusive."
+NOTE_TITLE = "Review quotation and attribution"
+NOTE_ACTION = (
+    "Check whether this wording is already correctly quoted and cited. If you reuse it, preserve its meaning and credit the source; "
+    "add your own analysis where it contributes. This does not predict an AI score change."
+)
+SOURCE = ["title", "url", "license_id", "license_url", "source_provider", "attribution", "license_evidence"]
 
 BLOCK = ["passage_id", "document_id", "q_start", "q_end", "s_start", "s_end", "matched"]
 
 
+@dataclass(frozen=True)
+class Bounds:
+    """The most hits, documents and runs of a passage, runs of a passage and document, and matches shown; None is no bound."""
+
+    hits: int | None = MAX_HITS
+    documents: int | None = TOP_DOCUMENTS
+    runs: int | None = MAX_RUNS
+    pair_runs: int | None = TOP_BLOCKS
+    matches: int | None = TOP_MATCHES
+
+
+EXACT = Bounds(None, None, None, None, None)
+
+
 def tokenized(df: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
     return df.select(F.col(id_col).alias(name), words(F.coalesce(F.col(text_col), F.lit(""))).alias("tokens"))
 
@@ -38,11 +74,15 @@ def seeds(passages: DataFrame, library: DataFrame, passage_id: str = "passage_id
     return index(library, document_id, text).join(asked, "gram").select("passage_id", "document_id", "q_pos", "s_pos", "gram")
 
 
-def top_documents(found: DataFrame, k: int = TOP_DOCUMENTS) -> DataFrame:
+def ranked_documents(found: DataFrame) -> DataFrame:
     """passage_id, document_id, seeds, rank: documents by distinct matched seeds, ties to the smaller id."""
     counted = found.groupBy("passage_id", "document_id").agg(F.countDistinct("gram").alias("seeds"))
-    rank = F.row_number().over(Window.partitionBy("passage_id").orderBy(F.desc("seeds"), "document_id"))
-    return counted.withColumn("rank", rank).where(F.col("rank") <= k)
+    return counted.withColumn("rank", F.row_number().over(Window.partitionBy("passage_id").orderBy(F.desc("seeds"), "document_id")))
+
+
+def top_documents(found: DataFrame, k: int = TOP_DOCUMENTS) -> DataFrame:
+    """The first k of ``ranked_documents``."""
+    return ranked_documents(found).where(F.col("rank") <= k)
 
 
 def bounded_hits(found: DataFrame, limit: int = MAX_HITS) -> DataFrame:
@@ -57,11 +97,13 @@ def blocks(passages: DataFrame, library: DataFrame, pairs: DataFrame, passage_id
 
     A run of n words is n - 4 consecutive equal grams, so runs are islands of gram matches.
     """
-    asked = tokenized(passages, passage_id, text, "passage_id").join(pairs.select("passage_id").distinct(), "passage_id", "left_semi")
-    asked = asked.select("passage_id", F.inline(grams(F.col("tokens"))).alias("q_pos", "gram"))
-    held = tokenized(library, document_id, text, "document_id").join(pairs.select("document_id").distinct(), "document_id", "left_semi")
+    wanted = pairs.select("passage_id", "document_id").distinct()
+    asked = tokenized(passages, passage_id, text, "passage_id").join(wanted, "passage_id")
+    asked = asked.select("passage_id", "document_id", F.inline(grams(F.col("tokens"))).alias("q_pos", "gram"))
+    held = tokenized(library, document_id, text, "document_id").join(wanted.select("document_id").distinct(), "document_id", "left_semi")
     held = held.select("document_id", F.inline(grams(F.col("tokens"))).alias("s_pos", "gram"))
-    hits = asked.join(held, "gram").join(pairs.select("passage_id", "document_id").distinct(), ["passage_id", "document_id"], "left_semi")
+    # equal grams of other documents never meet: the document is part of the key
+    hits = asked.join(held, ["document_id", "gram"])
     diagonal = hits.withColumn("diagonal", F.col("q_pos") - F.col("s_pos"))
     place = F.row_number().over(Window.partitionBy("passage_id", "document_id", "diagonal").orderBy("q_pos"))
     islands = diagonal.withColumn("island", F.col("q_pos") - place).groupBy("passage_id", "document_id", "diagonal", "island").agg(
@@ -122,9 +164,12 @@ def chain_runs(runs: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
-def near_spans(found: DataFrame, passages: DataFrame, passage_id: str = "passage_id", text: str = "text") -> DataFrame:
-    """Informative chains of runs; the greedy choice depends on the path, so it runs per pair over at most TOP_BLOCKS rows."""
-    ranked = top_blocks(found)
+def near_spans(found: DataFrame, passages: DataFrame, passage_id: str = "passage_id", text: str = "text", k: int | None = TOP_BLOCKS) -> DataFrame:
+    """Informative chains of runs; the greedy choice depends on the path, so it runs per pair, over its k best runs.
+
+    Without a bound (None) a pair's runs still are no more than the words of the two texts allow.
+    """
+    ranked = top_blocks(found, (1 << 31) - 1 if k is None else k)
     kinds = {f.name: f.dataType.simpleString() for f in ranked.schema}
     schema = ", ".join(f"{c} {kinds[c]}" for c in BLOCK)
     spans = ranked.groupBy("passage_id", "document_id").applyInPandas(chain_runs, schema).distinct()
@@ -147,42 +192,110 @@ def suppressed(spans: DataFrame) -> DataFrame:
     return ranked.join(outer, inside, "left_anti").select(*BLOCK)
 
 
-def report(spans: DataFrame, k: int = TOP_MATCHES) -> DataFrame:
-    """The k best spans of each passage, renumbered by their place in it: adds similarity, kind, match_no, n_spans."""
+def report(spans: DataFrame, k: int | None = TOP_MATCHES) -> DataFrame:
+    """The k best spans of each passage, renumbered by their place in it: adds similarity, kind, match_no, n_spans, status."""
     best = Window.partitionBy("passage_id").orderBy(F.desc("matched"), F.desc("similarity"), "q_start", "document_id", "s_start")
     shown = Window.partitionBy("passage_id").orderBy("q_start", F.desc("q_end"), "document_id", "s_start")
     scored = spans.withColumn("similarity", similarity()).withColumn("n_spans", F.count("*").over(Window.partitionBy("passage_id")))
-    top = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank")
+    top = scored if k is None else scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank")
     kind = F.when(F.col("similarity") == 1, "exact_text_overlap").otherwise("near_exact_text_overlap")
-    return top.withColumn("kind", kind).withColumn("match_no", F.row_number().over(shown)).withColumn("status", F.when(F.col("n_spans") > k, "partial").otherwise("complete"))
+    status = F.lit("complete") if k is None else F.when(F.col("n_spans") > k, "partial").otherwise("complete")
+    return top.withColumn("kind", kind).withColumn("match_no", F.row_number().over(shown)).withColumn("status", status)
+
+
+def _bounded(rows: DataFrame, k: int | None, key: list[str], order: list) -> tuple[DataFrame, DataFrame]:
+    """The first k rows of each key, and the passages that have more."""
+    if k is None:
+        return rows, rows.select("passage_id").limit(0)
+    placed = rows.withColumn("_place", F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
+    return placed.where(F.col("_place") <= k).drop("_place"), placed.where(F.col("_place") == k + 1).select("passage_id")
 
 
-def find_overlaps(passages: DataFrame, library: DataFrame, passage_id: str = "passage_id", document_id: str = "document_id", text: str = "text") -> DataFrame:
-    """The whole search: seeds, best documents, runs, exact and near spans, suppression, report."""
-    pairs = top_documents(seeds(passages, library, passage_id, document_id, text)).select("passage_id", "document_id")
-    found = top_blocks(blocks(passages, library, pairs, passage_id, document_id, text)).drop("block_rank")
-    spans = exact_spans(found, passages, passage_id, text).unionByName(near_spans(found, passages, passage_id, text))
-    return report(suppressed(spans))
+def search(passages: DataFrame, library: DataFrame, bounds: Bounds = Bounds(), passage_id: str = "passage_id", document_id: str = "document_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The matches, as of ``report``, and the outcome of every passage.
+
+    Seeds, best documents, runs, exact and near spans, suppression, report. An outcome has passage_id, status
+    (complete, partial, insufficient_text, or empty for an empty library), matches, summary and warning. Hits, pairs
+    and runs are written once to the shared folder, as several steps read them.
+    """
+    spark = passages.sparkSession
+    with Scratch(spark) as put:
+        hits, cut = _bounded(seeds(passages, library, passage_id, document_id, text), bounds.hits, ["passage_id"], ["gram", "document_id", "s_pos", "q_pos"])
+        ranked = put(ranked_documents(hits).drop("seeds"), "overlap-pairs")
+        cuts = [cut]
+        pairs, cut = _bounded(ranked, bounds.documents, ["passage_id"], ["rank"])
+        cuts.append(cut)
+        found = blocks(passages, library, pairs, passage_id, document_id, text).join(ranked, ["passage_id", "document_id"])
+        found = put(found, "overlap-runs")
+        kept, cut = _bounded(found, bounds.runs, ["passage_id"], ["rank", "q_start", "s_start"])
+        cuts.append(cut)
+        kept, cut = _bounded(kept.drop("rank"), bounds.pair_runs, ["passage_id", "document_id"], [F.desc("matched"), "q_start", "s_start"])
+        cuts.append(cut)
+        spans = exact_spans(kept, passages, passage_id, text).unionByName(near_spans(kept, passages, passage_id, text, bounds.pair_runs))
+        matches = report(suppressed(spans), bounds.matches)
+        cuts.append(matches.where("status = 'partial'").select("passage_id"))
+        matches = put(matches.drop("status"), "overlap-matches")
+        partial = cuts[0]
+        for cut in cuts[1:]:
+            partial = partial.unionByName(cut)
+        partial = put(partial.distinct(), "overlap-partial")
+        told = _outcomes(tokenized(passages, passage_id, text, "passage_id"), partial, matches, library.isEmpty())
+        status = F.when(F.col("cut"), "partial").otherwise("complete")
+        flagged = matches.join(partial.withColumn("cut", F.lit(True)), "passage_id", "left").withColumn("status", status).drop("cut")
+        put.keep(matches)
+        put.keep(partial)
+        return flagged, told
+
+
+def _outcomes(asked: DataFrame, partial: DataFrame, matches: DataFrame, empty: bool) -> DataFrame:
+    found = matches.groupBy("passage_id").agg(F.count("*").alias("matches"))
+    rows = asked.select("passage_id", F.size("tokens").alias("words")).join(partial.withColumn("cut", F.lit(True)), "passage_id", "left").join(found, "passage_id", "left")
+    status = F.when(F.lit(empty), "empty").when(F.col("words") < MIN_EXACT, "insufficient_text").when(F.col("cut"), "partial").otherwise("complete")
+    count = F.when(F.col("words") < MIN_EXACT, F.lit(0)).otherwise(F.coalesce("matches", F.lit(0))).cast("long")
+    said = F.create_map(*(F.lit(x) for pair in SUMMARIES.items() for x in pair))
+    rows = rows.select("passage_id", status.alias("status"), count.alias("matches"))
+    key = F.when((F.col("matches") > 0) & F.col("status").isin("complete", "partial"), F.lit("matched")).otherwise(F.col("status"))
+    return rows.select("passage_id", "status", "matches", F.element_at(said, key).alias("summary"), F.when(F.col("status") == "partial", F.lit(PARTIAL)).alias("warning"))
+
+
+def unavailable(passages: DataFrame, passage_id: str = "passage_id") -> DataFrame:
+    """The outcomes where the library can't be read."""
+    none = F.lit(None).cast("string")
+    return passages.select(F.col(passage_id).alias("passage_id"), F.lit("unavailable").alias("status"), F.lit(0).cast("long").alias("matches"), F.lit(SUMMARIES["unavailable"]).alias("summary"), none.alias("warning"))
+
+
+def find_overlaps(passages: DataFrame, library: DataFrame, passage_id: str = "passage_id", document_id: str = "document_id", text: str = "text", bounds: Bounds = Bounds()) -> DataFrame:
+    """The matches of ``search``; passages of fewer than twelve words have none by the least lengths of spans."""
+    return search(passages, library, bounds, passage_id, document_id, text)[0]
+
+
+def attributed(matches: DataFrame, library: DataFrame, document_id: str = "document_id") -> DataFrame:
+    """Matches with the title, address, licence, provider, attribution and evidence of their sources.
+
+    The last two come from the library's metadata, a JSON string; what it lacks is empty.
+    """
+    told = {c: F.coalesce(F.get_json_object("metadata", f"$.{c}"), F.lit("")) if c in ("attribution", "license_evidence") else F.col(c) for c in SOURCE}
+    sources = library.select(F.col(document_id).alias("document_id"), *(c.alias(name) for name, c in told.items()))
+    return matches.join(sources, "document_id")
 
 
 def suggestions(matches: DataFrame) -> DataFrame:
-    """One note a match: which passage place to review and why."""
+    """One note a match: which passage place to review, why, and what to do; from matches with a title of their source."""
+    number = F.col("match_no").cast("string")
     return matches.select(
-        "passage_id", F.concat(F.lit("suggestion-"), F.col("match_no").cast("string")).alias("id"), F.concat(F.lit("match-"), F.col("match_no").cast("string")).alias("match_id"),
-        "q_start", "q_end", F.concat(F.lit("This passage shares wording with document "), F.col("document_id").cast("string"), F.lit(".")).alias("reason"),
+        "passage_id", F.concat(F.lit("suggestion-"), number).alias("id"), F.concat(F.lit("match-"), number).alias("match_id"), "q_start", "q_end",
+        F.lit(NOTE_TITLE).alias("title"), F.concat(F.lit("This passage shares wording with "), F.col("title"), F.lit(".")).alias("reason"), F.lit(NOTE_ACTION).alias("action"),
     )
 
 
 def displayed(matches: DataFrame, passages: DataFrame, library: DataFrame, passage_id: str = "passage_id", document_id: str = "document_id", text: str = "text") -> DataFrame:
-    """Matches with the texts of their spans and UTF-16 offsets, from exact tokens of both sides."""
-    left = passages.select(F.col(passage_id).alias("passage_id"), F.col(text).alias("q_text"), tokens_exact(F.col(text)).alias("q_tokens"))
-    right = library.select(F.col(document_id).alias("document_id"), F.col(text).alias("s_text"), tokens_exact(F.col(text)).alias("s_tokens"))
-    both = matches.join(left, "passage_id").join(right, "document_id")
-    for side in ("q", "s"):
+    """Matches with the texts of their spans and UTF-16 offsets; only texts with a match are tokenised."""
+    both = matches
+    for side, df, own, name in (("q", passages, passage_id, "passage_id"), ("s", library, document_id, "document_id")):
+        texts = df.select(F.col(own).alias(name), F.col(text).alias(f"{side}_text")).join(matches.select(name).distinct(), name, "left_semi")
+        both = both.join(texts.withColumn(f"{side}_tokens", tokens_exact(F.col(f"{side}_text"))), name)
         start = F.element_at(f"{side}_tokens", F.col(f"{side}_start") + 1)["start"]
         end = F.element_at(f"{side}_tokens", F.col(f"{side}_end"))["end"]
         both = both.withColumn(f"{side}_span", F.col(f"{side}_text").substr(start + 1, end - start))
         both = both.withColumn(f"{side}_from", utf16_offset(F.col(f"{side}_text"), start)).withColumn(f"{side}_to", utf16_offset(F.col(f"{side}_text"), end))
     return both.drop("q_text", "s_text", "q_tokens", "s_tokens")
-
-

@@ -228,9 +228,23 @@ def overlap_display(spark, d):
     return overlap.displayed(overlap.find_overlaps(passages(spark, d), held(spark, d)), passages(spark, d), held(spark, d))
 
 
+def sources(spark: SparkSession, d: str) -> DataFrame:
+    """The documents as a library with titles, licences and metadata."""
+    meta = F.to_json(F.struct(F.col("source").alias("attribution"), F.when(F.col("doc_id") % 3 > 0, "stated on the page").alias("license_evidence")))
+    return docs(spark, d).select(
+        F.col("doc_id").alias("document_id"), "text", F.concat("source", F.lit(" "), "doc_id").alias("title"), F.concat(F.lit("https://example.org/"), "doc_id").alias("url"),
+        F.lit("CC-BY-4.0").alias("license_id"), F.lit("").alias("license_url"), F.col("lang").alias("source_provider"), meta.alias("metadata"),
+    )
+
+
+@query()
+def overlap_sources(spark, d):
+    return overlap.attributed(overlap.find_overlaps(passages(spark, d), held(spark, d)), sources(spark, d))
+
+
 @query()
 def overlap_suggestions(spark, d):
-    return overlap.suggestions(overlap.find_overlaps(passages(spark, d), held(spark, d)))
+    return overlap.suggestions(overlap.attributed(overlap.find_overlaps(passages(spark, d), held(spark, d)), sources(spark, d)))
 
 
 # --- corpus preparation
