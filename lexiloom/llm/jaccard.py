@@ -44,14 +44,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexiloom.llm.bloom import Bloom, bloom
 from lexiloom.llm.vectext import SLICE_BYTES, U64, mix, shingle_hashes, slices, utf8
 from lexiloom.operators.linking import connected_components
-from lexiloom.storage import materialize, small_batches
+from lexiloom.storage import Scratch, small_batches
 
 #: Logarithm of the frequency counters; hashes of a counted block; members of a list that are paired;
-#: elements of a set for each further common one that is asked for; texts of a block of a cluster;
-#: logarithm of the bits that tell which texts are asked for.
-SKETCH_BITS, BLOCK_HASHES, LIST_MEMBERS, COMMON_SHARE, BLOCK_SETS, FILTER_BITS = 20, 2_000_000, 48, 64, 512, 26
+#: elements of a set for each further common one that is asked for; texts of a block of a cluster.
+SKETCH_BITS, BLOCK_HASHES, LIST_MEMBERS, COMMON_SHARE, BLOCK_SETS = 20, 2_000_000, 48, 64, 512
 
 
 def _sets(raw: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -338,41 +338,13 @@ def _block_links(n: int, percent: int):
     return run
 
 
-def _filter_places(ids: np.ndarray) -> np.ndarray:
-    h = mix(ids.view(U64) + U64(0x2545F491))
-    return np.concatenate([(h >> U64(64 - FILTER_BITS)).astype(np.int64), ((h * U64(0xD6E8FEB86659FD93)) >> U64(64 - FILTER_BITS)).astype(np.int64)])
-
-
-def id_filter(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter of 2**FILTER_BITS bits (8 MiB) of a column of ids, as uint64 words.
-
-    It only saves work: whatever passes wrongly finds no partner in the exact join after it.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]):
-        bits = np.zeros(1 << FILTER_BITS, bool)
-        for batch in batches:
-            bits[_filter_places(batch.column(0).to_numpy())] = True
-        words = np.packbits(bits, bitorder="little").view(np.int64)
-        used = np.flatnonzero(words)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(words[used], pa.int64())], names=["place", "word"])
-
-    got = ids.mapInArrow(run, "place long, word long").groupBy("place").agg(F.bit_or("word").alias("word")).toArrow()
-    words = np.zeros(1 << FILTER_BITS >> 6, np.int64)
-    words[got["place"].to_numpy()] = got["word"].to_numpy()
-    return words.view(U64)
-
-
-def _passing(texts: DataFrame, wanted: np.ndarray) -> DataFrame:
+def _passing(texts: DataFrame, wanted: Bloom) -> DataFrame:
     """The rows whose ids pass the filter."""
     sent = texts.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]):
-        words = sent.value
         for batch in batches:
-            places = _filter_places(np.ascontiguousarray(batch.column(0).to_numpy()))
-            hit = ((words[places >> 6] >> (places & 63).astype(U64)) & U64(1)).astype(bool)
-            yield batch.filter(pa.array(hit[: batch.num_rows] & hit[batch.num_rows :]))
+            yield batch.filter(pa.array(sent.value.passing(batch.column(0).to_numpy())))
 
     return texts.where(F.col("id").isNotNull() & F.col("text").isNotNull()).mapInArrow(run, "id long, text string")
 
@@ -384,11 +356,11 @@ def candidates(classes: DataFrame, percent: int, light: int) -> DataFrame:
     return found.where((F.col("kind") == 1) | (F.col("count") >= common_elements(F.col("size")))).select("a", "b").where("a <> b").distinct()
 
 
-def verified(texts: DataFrame, placed: DataFrame, n: int, percent: int) -> DataFrame:
+def verified(put: Scratch, texts: DataFrame, placed: DataFrame, n: int, percent: int) -> DataFrame:
     """a, b of ``_block_links`` for the texts of ``placed``: component, i, j, side, node, label; i, j names a pair of blocks."""
-    met = _passing(texts, id_filter(placed.select("node"))).join(placed, F.col("id") == F.col("node"))
+    met = _passing(texts, bloom(placed.select("node"))).join(placed, F.col("id") == F.col("node"))
     met = met.select("component", "i", "j", "side", "label", "text").repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "label")
-    return materialize(met.mapInArrow(_block_links(n, percent), "a long, b long"), "jaccard-links")
+    return put(met.mapInArrow(_block_links(n, percent), "a long, b long"), "jaccard-links")
 
 
 def _relabelled(labels: DataFrame, stars: DataFrame) -> DataFrame:
@@ -396,7 +368,7 @@ def _relabelled(labels: DataFrame, stars: DataFrame) -> DataFrame:
     return labels.join(moved, "label", "left").select("component", "node", F.coalesce("to", "label").alias("label"))
 
 
-def _apart(labels: DataFrame) -> DataFrame:
+def _apart(put: Scratch, labels: DataFrame) -> DataFrame:
     """component, i, j, side, node, label: the pairs of blocks in which groups of one cluster that are still apart meet.
 
     Groups of BLOCK_SETS members have blocks of their own, which are not compared with one another; the
@@ -409,41 +381,41 @@ def _apart(labels: DataFrame) -> DataFrame:
     part = F.pmod(F.xxhash64("node"), F.col("blocks"))
     group = F.when(F.col("own"), F.col("label"))
     named = wide.join(sizes.select("component", "label", "own", "blocks"), ["component", "label"]).select("component", "node", "label", group.alias("group"), F.xxhash64("component", group, part).alias("block"))
-    named = materialize(named, "jaccard-apart")
+    named = put(named, "jaccard-apart")
     blocks = named.select("component", "group", "block").distinct()
     other = blocks.select("component", F.col("group").alias("other"), F.col("block").alias("j"))
     pairs = blocks.withColumnRenamed("block", "i").join(other, "component").where("i <= j and (group is null or other is null or group <> other)").select("component", "i", "j")
     met = pairs.select("component", "i", "j", F.lit(0).alias("side"), F.col("i").alias("block")).unionByName(pairs.where("i <> j").select("component", "i", "j", F.lit(1).alias("side"), F.col("j").alias("block")))
-    return materialize(named.join(met, ["component", "block"]).select("component", "i", "j", "side", "node", "label"), "jaccard-pairs")
+    return put(named.join(met, ["component", "block"]).select("component", "i", "j", "side", "node", "label"), "jaccard-pairs")
 
 
-def linked_labels(texts: DataFrame, clusters: DataFrame, n: int, percent: int) -> DataFrame:
-    """component, node, label: the smallest node that a node of a cluster reaches by links."""
+def linked_labels(put: Scratch, texts: DataFrame, clusters: DataFrame, n: int, percent: int) -> DataFrame:
+    """component, node, label: the smallest node that a node of a cluster reaches by links; its tables are of ``put``."""
     labels = clusters.select("component", "node", F.col("node").alias("label"))
     groups, several, level = clusters, None, 0
     while True:
         counts = groups.groupBy("component").agg(F.count("*").alias("members")).where("members > 1")
         placed = groups.join(counts, "component").withColumn("i", F.pmod(F.xxhash64("node", F.lit(level)), F.ceil(F.col("members") / BLOCK_SETS)))
-        placed = materialize(placed, "jaccard-blocks")
-        stars = verified(texts, placed.select("component", "i", F.col("i").alias("j"), F.lit(0).alias("side"), "node", F.col("node").alias("label")), n, percent)
-        labels = materialize(_relabelled(labels, stars), "jaccard-labels")
+        placed = put(placed, "jaccard-blocks")
+        stars = verified(put, texts, placed.select("component", "i", F.col("i").alias("j"), F.lit(0).alias("side"), "node", F.col("node").alias("label")), n, percent)
+        labels = put(_relabelled(labels, stars), "jaccard-labels")
         wide = placed.where(F.col("members") > BLOCK_SETS)
         before = wide.count()
         if several is None:
             if not before:
                 return labels
-            several = materialize(wide.select("component").distinct(), "jaccard-several")
+            several = put(wide.select("component").distinct(), "jaccard-several")
         if not before:
             break
-        groups = materialize(wide.join(stars, F.col("node") == F.col("b"), "left_anti").select("component", "node"), "jaccard-groups")
+        groups = put(wide.join(stars, F.col("node") == F.col("b"), "left_anti").select("component", "node"), "jaccard-groups")
         level += 1
         if groups.count() * 2 > before:
             break
-    pairs = _apart(labels.join(several, "component", "left_semi"))
+    pairs = _apart(put, labels.join(several, "component", "left_semi"))
     if pairs.isEmpty():
         return labels
-    last = connected_components(verified(texts, pairs, n, percent), "a", "b")
-    return _relabelled(labels, last.select(F.col("component").alias("a"), F.col("node").alias("b")))
+    last = connected_components(verified(put, texts, pairs, n, percent), "a", "b", put)
+    return put(_relabelled(labels, last.select(F.col("component").alias("a"), F.col("node").alias("b"))), "jaccard-labels")
 
 
 def similar_classes(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -455,16 +427,18 @@ def similar_classes(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str
     levels, sizes = frequencies(docs, n, id_col, text_col)
     seen = levels[levels > 0].astype(float)
     light = boundary(sizes, float(np.exp2(seen - 1).mean()) if len(seen) else 1.0, percent)
-    every = materialize(signatures(docs, n, percent, levels, light, id_col, text_col), "jaccard-sets")
-    classes = materialize(
-        every.where("class_key is not null and id is not null").groupBy("class_key")
-        .agg(F.min("id").alias("node"), F.first("n_shingles").alias("size"), F.min_by("keys", "id").alias("keys")),
-        "jaccard-classes",
-    )
-    clusters = connected_components(candidates(classes, percent, light), "a", "b")
-    components = linked_labels(_texts(docs, id_col, text_col), clusters, n, percent).select("node", F.col("label").alias("component_id"))
-    told = classes.select("class_key", "node").join(components, "node", "left")
-    told = materialize(told.select("class_key", F.col("node").alias("class_id"), F.coalesce("component_id", "node").alias("component_id")), "jaccard-told")
-    return every.select("id", "n_shingles", "class_key").join(told, "class_key", "left").select(
-        F.col("id").alias(id_col), "n_shingles", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("component_id", "id").alias("component_id")
-    )
+    with Scratch(docs.sparkSession) as put:
+        every = put(signatures(docs, n, percent, levels, light, id_col, text_col), "jaccard-sets")
+        classes = put(
+            every.where("class_key is not null and id is not null").groupBy("class_key")
+            .agg(F.min("id").alias("node"), F.first("n_shingles").alias("size"), F.min_by("keys", "id").alias("keys")),
+            "jaccard-classes",
+        )
+        clusters = connected_components(candidates(classes, percent, light), "a", "b", put)
+        components = linked_labels(put, _texts(docs, id_col, text_col), clusters, n, percent).select("node", F.col("label").alias("component_id"))
+        told = classes.select("class_key", "node").join(components, "node", "left")
+        told = put(told.select("class_key", F.col("node").alias("class_id"), F.coalesce("component_id", "node").alias("component_id")), "jaccard-told")
+        told = every.select("id", "n_shingles", "class_key").join(told, "class_key", "left").select(
+            F.col("id").alias(id_col), "n_shingles", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("component_id", "id").alias("component_id")
+        )
+        return put.keep(put(told, "jaccard-found"))

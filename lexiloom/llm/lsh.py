@@ -1,7 +1,8 @@
 """Approximate nearest neighbours by inner product with multiprobe p-stable hashing.
 
-Vectors are scaled by the largest norm and given one more component that takes them to the unit
-sphere; queries are normalised and get a zero there. The order of Euclidean distances between them
+Vectors are parted into bands by their norms, each half the one before; those of a band are scaled by its
+largest norm and given one more component that takes them to the unit sphere, queries are normalised and
+get a zero there. Each band has tables of its own, so one long vector does not crowd the others. The order of Euclidean distances between them
 is then that of inner products, which Gaussian (2-stable) projections hash: a table's key is the
 K numbers floor((a.x + b) / width). A query visits its own bucket of each table and then the buckets
 next to it, in the order of their estimated success: the smaller the sum of squared distances from
@@ -15,8 +16,9 @@ entries, and its queries visit every part: no entry is ever left out.
 
 Defined results: vectors that are null, empty, zero, or have null or non-finite components take no part;
 so do vectors whose dimension is not that of most; rows that share the query's id are its own; a
-repeated id stands for its best row; ties go to the smaller id; an empty table gives an empty result; other
-columns are left aside.
+repeated id stands for its best row and takes one place of a result; ties go to the smaller id; an empty table
+gives an empty result; other columns are left aside. Norms are taken relative to the largest component, so
+they neither overflow nor vanish; a score beyond the largest double is infinite, as its definition says.
 """
 
 from __future__ import annotations
@@ -30,10 +32,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiloom.storage import materialize
+from lexiloom.storage import Scratch
 
-#: Entries of a group of buckets that one task holds, and queries that it handles at once.
-GROUP_ROWS, BLOCK_ROWS = 32_768, 128
+#: Entries of a group of buckets that one task holds, queries that it handles at once, and bands of norms; the last one is open.
+GROUP_ROWS, BLOCK_ROWS, BANDS = 32_768, 128, 8
 
 
 @dataclass(frozen=True)
@@ -96,45 +98,56 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """id, vector array<double>, norm."""
+    """id, vector array<double>, peak (the largest component's size), shape (the norm in units of it)."""
     x = F.col(vector_col)
     fine = x.isNotNull() & F.col(id_col).isNotNull() & ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     kept = vectors.where(fine).select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda v: v.cast("double")).alias("vector"))
-    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda acc, v: acc + v * v))
-    return kept.withColumn("norm", norm).where((F.col("norm") > 0) & (F.col("norm") < float("inf")))
+    kept = kept.withColumn("peak", F.array_max(F.transform("vector", F.abs))).where(F.col("peak") > 0)
+    return kept.withColumn("shape", F.sqrt(F.aggregate("vector", F.lit(0.0), lambda acc, v: acc + (v / F.col("peak")) * (v / F.col("peak")))))
+
+
+def _level() -> Column:
+    """Logarithm of the norm to base 2."""
+    return F.log2("peak") + F.log2("shape")
+
+
+def _scaled(column: pa.Array, level: np.ndarray) -> np.ndarray:
+    """Vectors divided by 2 to their ``level``, in two steps that neither overflow nor vanish."""
+    half = np.floor(level / 2)
+    return _matrix(column) * np.exp2(-half)[:, None] * np.exp2(half - level)[:, None]
 
 
 def _hash_entries(settings: Settings, dimension: int, top: float, prefix: int):
     def run(batches: Iterator[pa.RecordBatch]):
         a, b = _family(settings, dimension + 1)
         for batch in batches:
-            x = _matrix(batch.column(2)) / top
+            band = batch.column(3).to_numpy()
+            x = _scaled(batch.column(2), top - band)
             x = np.hstack([x, np.sqrt(np.maximum(0.0, 1 - (x * x).sum(1)))[:, None]])
             for t in range(settings.tables):
                 cells = np.floor((x @ a[t] + b[t]) / settings.width).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(x), t, np.int32)), pa.array(_keys(cells[:, :prefix])), pa.array(_keys(cells)), *batch.columns],
+                    [pa.array((t * BANDS + band).astype(np.int32)), pa.array(_keys(cells[:, :prefix])), pa.array(_keys(cells)), *batch.columns[:3]],
                     names=["table", "bucket_group", "bucket", "entry", "ids", "vector"],
                 )
 
     return run
 
 
-def _hash_queries(settings: Settings, dimension: int, prefix: int):
+def _hash_queries(settings: Settings, dimension: int, prefix: int, bands: list[int]):
     def run(batches: Iterator[pa.RecordBatch]):
         a, b = _family(settings, dimension + 1)
         for batch in batches:
-            x = _matrix(batch.column(1))
-            unit = x / np.sqrt((x * x).sum(1))[:, None]
+            unit = _scaled(batch.column(1), batch.column(2).to_numpy())
             unit = np.hstack([unit, np.zeros((len(unit), 1))])
             for t in range(settings.tables):
                 place = (unit @ a[t] + b[t]) / settings.width
                 cells = np.floor(place).astype(np.int64)
                 inside = place - cells
-                near = np.empty((len(x), 2 * settings.projections))
+                near = np.empty((len(unit), 2 * settings.projections))
                 near[:, 0::2], near[:, 1::2] = inside**2, (1 - inside) ** 2
                 rows, groups, probes = [], [], []
-                for i in range(len(x)):
+                for i in range(len(unit)):
                     visited = np.repeat(cells[i][None, :], settings.probes, 0)
                     sets = probe_order(near[i], settings.probes)
                     for k, crossed in enumerate(sets):
@@ -146,9 +159,9 @@ def _hash_queries(settings: Settings, dimension: int, prefix: int):
                         rows.append(i)
                         groups.append(g)
                         probes.append(keys[own == g])
-                if rows:
+                for band in bands if rows else ():
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(rows), t, np.int32)), pa.array(groups, pa.int64()), batch.column(0).take(pa.array(rows)), pa.array(probes, pa.list_(pa.int64())), batch.column(1).take(pa.array(rows))],
+                        [pa.array(np.full(len(rows), t * BANDS + band, np.int32)), pa.array(groups, pa.int64()), batch.column(0).take(pa.array(rows)), pa.array(probes, pa.list_(pa.int64())), batch.column(1).take(pa.array(rows))],
                         names=["table", "bucket_group", "query", "probes", "vector"],
                     )
 
@@ -171,7 +184,9 @@ def _rank_buckets(k: int):
             names, starts = np.unique(bucket, return_index=True)
             ends = np.append(starts[1:], len(bucket))
             ids = entries["ids"].combine_chunks()
-            id_at, id_of = ids.offsets.to_numpy(), ids.flatten().to_numpy()
+            id_at, id_of = ids.offsets.to_numpy() - ids.offsets[0].as_py(), ids.flatten().to_numpy()
+            # k ids are among so many entries, however many vectors an id has
+            wide = k * int(np.unique(id_of, return_counts=True)[1].max())
             for lo in range(0, queries.num_rows, BLOCK_ROWS):
                 block = queries.slice(lo, BLOCK_ROWS)
                 wanted = _matrix(block["vector"])
@@ -187,14 +202,16 @@ def _rank_buckets(k: int):
                 for own in np.split(np.arange(len(at)), edges) if len(at) else []:
                     a, b = starts[at[own[0]]], ends[at[own[0]]]
                     scores[owner[own], a:b] = wanted[owner[own]] @ vectors[a:b].T
-                keep = min(k, scores.shape[1])
+                keep = min(wide, scores.shape[1])
                 best = -np.partition(-scores, keep - 1, axis=1)[:, keep - 1]
                 row, col = np.nonzero((scores >= best[:, None]) & (scores > -np.inf))
                 count = id_at[col + 1] - id_at[col]
                 flat = np.repeat(np.arange(len(col)), count)
                 within = np.arange(len(flat)) - np.repeat(np.cumsum(count) - count, count)
                 vec, q, s = id_of[id_at[col][flat] + within], row[flat], scores[row, col][flat]
-                order = np.lexsort((vec, -s, q))
+                order = np.lexsort((-s, vec, q))
+                order = order[np.concatenate([[True], (q[order][1:] != q[order][:-1]) | (vec[order][1:] != vec[order][:-1])])] if len(order) else order
+                order = order[np.lexsort((vec[order], -s[order], q[order]))]
                 vec, q, s = vec[order], q[order], s[order]
                 first = np.searchsorted(q, q)
                 top = np.arange(len(q)) - first < k
@@ -216,37 +233,42 @@ def nearest(vectors: DataFrame, queries: Column, k: int, settings: Settings = Se
         return vectors.sparkSession.createDataFrame([], names)
     dimension = dimension[0]["d"]
     rows = rows.where(F.size("vector") == dimension)
-    # one entry for equal vectors; row_number below a bound is limited in each task before the shuffle
-    place = F.row_number().over(Window.partitionBy("vector").orderBy("id"))
-    entries = (
-        rows.withColumn("place", place).where(F.col("place") <= k + 1).groupBy("vector")
-        .agg(F.min("id").alias("entry"), F.array_sort(F.collect_set("id")).alias("ids"), F.first("norm").alias("norm"))
-    )
-    entries = materialize(entries, "lsh-entries")
-    asked = rows.withColumnRenamed("id", id_col).where(queries).select(F.col(id_col).alias("query_id"), F.col("vector").alias("v"))
-    asked = materialize(asked.join(entries.select("entry", "vector"), F.col("v") == F.col("vector")).select("query_id", "entry"), "lsh-asked")
-    found = entries.agg(F.count("*").alias("n"), F.max("norm").alias("top")).first()
-    if not found["n"]:
-        return vectors.sparkSession.createDataFrame([], names)
-    # about five cells hold the bulk of a projection
-    prefix = min(settings.projections, max(1, round(np.log(max(found["n"] / GROUP_ROWS, 1)) / np.log(4))))
-    hashed = entries.select("entry", "ids", "vector").mapInArrow(
-        _hash_entries(settings, dimension, found["top"], prefix), "table int, bucket_group long, bucket long, entry long, ids array<long>, vector array<double>"
-    )
-    wanted = entries.join(asked.select("entry").distinct(), "entry", "left_semi").select(F.col("entry").alias("query"), "vector").mapInArrow(
-        _hash_queries(settings, dimension, prefix), "table int, bucket_group long, query long, probes array<long>, vector array<double>"
-    )
-    sizes = hashed.groupBy("table", "bucket_group").count().select("table", "bucket_group", F.ceil(F.col("count") / GROUP_ROWS).cast("int").alias("parts"))
-    sizes = materialize(sizes, "lsh-groups")
-    key = ["table", "bucket_group", "part"]
-    left = hashed.join(sizes, key[:2]).withColumn("part", F.pmod(F.xxhash64("entry"), F.col("parts")).cast("int")).drop("parts", "entry")
-    right = wanted.join(sizes, key[:2]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    right = right.select("query", "probes", F.col("vector").alias("vector"), *(F.col(c).alias(c) for c in key))
-    pairs = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_rank_buckets(k + 1), "query long, vec_id long, score double")
-    merged = pairs.groupBy("query", "vec_id").agg(F.max("score").alias("score"))
-    best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
-    merged = materialize(merged.withColumn("best", best).where(F.col("best") <= k + 1).drop("best"), "lsh-found")
-    told = asked.join(merged, asked["entry"] == merged["query"]).where(F.col("query_id") != F.col("vec_id"))
-    told = told.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return told.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    with Scratch(vectors.sparkSession) as put:
+        # one entry for equal vectors, with distinct ids; row_number below a bound is limited in each task before the shuffle
+        once = rows.groupBy("vector", "id").agg(F.first("peak").alias("peak"), F.first("shape").alias("shape"))
+        place = F.row_number().over(Window.partitionBy("vector").orderBy("id"))
+        entries = once.withColumn("place", place).where(F.col("place") <= k + 1).groupBy("vector").agg(
+            F.min("id").alias("least"), F.array_sort(F.collect_list("id")).alias("ids"), F.first("peak").alias("peak"), F.first("shape").alias("shape")
+        )
+        # an id with several vectors may be the smallest of several entries, so the name is of both
+        entries = put(entries.withColumn("entry", F.xxhash64("least", "vector")).withColumn("level", _level()), "lsh-entries")
+        asked = rows.withColumnRenamed("id", id_col).where(queries).select(F.col(id_col).alias("query_id"), F.col("vector").alias("v")).distinct()
+        asked = put(asked.join(entries.select("entry", "vector"), F.col("v") == F.col("vector")).select("query_id", "entry"), "lsh-asked")
+        found = entries.agg(F.count("*").alias("n"), F.max("level").alias("top")).first()
+        if not found["n"]:
+            return vectors.sparkSession.createDataFrame([], names)
+        band = F.least(F.floor(F.lit(found["top"]) - F.col("level")), F.lit(BANDS - 1)).cast("int")
+        entries = entries.withColumn("band", F.greatest(band, F.lit(0)))
+        bands = sorted(r[0] for r in entries.select("band").distinct().collect())
+        # about five cells hold the bulk of a projection
+        prefix = min(settings.projections, max(1, round(np.log(max(found["n"] / GROUP_ROWS, 1)) / np.log(4))))
+        hashed = entries.select("entry", "ids", "vector", "band").mapInArrow(
+            _hash_entries(settings, dimension, found["top"], prefix), "table int, bucket_group long, bucket long, entry long, ids array<long>, vector array<double>"
+        )
+        wanted = entries.join(asked.select("entry").distinct(), "entry", "left_semi").select(F.col("entry").alias("query"), "vector", "level").mapInArrow(
+            _hash_queries(settings, dimension, prefix, bands), "table int, bucket_group long, query long, probes array<long>, vector array<double>"
+        )
+        sizes = hashed.groupBy("table", "bucket_group").count().select("table", "bucket_group", F.ceil(F.col("count") / GROUP_ROWS).cast("int").alias("parts"))
+        sizes = put(sizes, "lsh-groups")
+        key = ["table", "bucket_group", "part"]
+        left = hashed.join(sizes, key[:2]).withColumn("part", F.pmod(F.xxhash64("entry"), F.col("parts")).cast("int")).drop("parts", "entry")
+        right = wanted.join(sizes, key[:2]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        right = right.select("query", "probes", F.col("vector").alias("vector"), *(F.col(c).alias(c) for c in key))
+        pairs = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_rank_buckets(k + 1), "query long, vec_id long, score double")
+        merged = pairs.groupBy("query", "vec_id").agg(F.max("score").alias("score"))
+        best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
+        merged = put(merged.withColumn("best", best).where(F.col("best") <= k + 1).drop("best"), "lsh-found")
+        told = asked.join(merged, asked["entry"] == merged["query"]).where(F.col("query_id") != F.col("vec_id"))
+        told = told.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        return put.keep(put(told.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "lsh-result"))

@@ -3,19 +3,23 @@
 A byte is removed if a string of ``length`` bytes covers it that also starts in a document with a
 smaller id. Every such string has a minimizer, the least hash of the k-byte grams in it, which
 depends on the string alone. Neighbouring strings with the same minimizer form one stretch of the
-text. Only stretches whose minimizer occurs in two different texts can hold a repeated string; they
-are dealt into shards by minimizer, so equal strings always meet, and each shard's distinct stretches
-are sorted as one suffix array by induction with disk-backed queues (``induced``). Neighbouring
-suffixes with ``length`` common bytes give the smallest document id for each string.
+text. Only stretches whose minimizer occurs in two documents can hold a repeated string.
 
-Scale. Exact copies of a whole text are settled by its digest and take no part in the rest. A stretch that stands in many documents
-is sorted once, with its smallest document. Shards have a bounded size, save that the stretches of
-one minimizer stay together; the queues spill to a task's scratch file then. All decisions are made on
-the input, in every document at once.
+Of stretches with equal content, those of any but the smallest document go whole; only the smallest
+document's own ones are sorted. They are dealt into shards by minimizer, so equal strings always meet, and a
+shard's stretches are sorted as one suffix array by external induced sorting (``induced``), whose common
+prefixes tell which neighbouring suffixes share ``length`` bytes. The smallest document of such a group keeps them.
+
+Scale. The scan of the texts emits four numbers a stretch; texts travel once, to the places of the stretches to be
+sorted. Exact copies of a whole text are settled by its digest and take no part in the rest. A minimizer with over a
+thousandth of all stretches to sort, and more than a shard's worth, is cut up: its strings of ``length`` bytes are dealt
+one by one, by their own hash. Otherwise a shard may be of any size, as the sort needs a bounded part of it in memory.
+All decisions are made on the input, in every document at once.
 
 Defined results: null and empty texts have no bytes; shorter texts than ``length`` lose nothing;
-rows that share an id never remove one another's bytes, a null id is after all others;
-an empty table gives an empty result; other columns are left aside (kept by ``deduplicated``).
+rows that share an id never remove one another's bytes, a null id is after all others; repeated rows
+lose the same; a very long text is hashed alone, in one piece; an empty table gives an empty result; other columns are
+left aside (kept by ``deduplicated``, whatever their names). Texts that share an id are told apart by 25 bits of a hash.
 """
 
 from __future__ import annotations
@@ -26,28 +30,33 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from lexiloom.llm.induced import repeats
-from lexiloom.llm.jaccard import _filter_places, id_filter
-from lexiloom.llm.vectext import SLICE_BYTES, U64, mix, slices, utf8
-from lexiloom.storage import materialize, small_batches
+from lexiloom.llm.bloom import Bloom, bloom
+from lexiloom.llm.induced import Store, repeats
+from lexiloom.llm.vectext import SLICE_BYTES, U64, mix, slices, span_hashes, utf8
+from lexiloom.storage import Scratch, batch_rows, small_batches
 
-#: Bytes of a gram, windows of a stretch at most, bytes of stretches in a shard.
-GRAM, STRETCH, SHARD_BYTES = 20, 64, 4 << 20
+#: Bytes of a gram, windows of a stretch at most, bytes of stretches in a shard, and the share of all rows that makes a key hot.
+GRAM, STRETCH, SHARD_BYTES, HOT_SHARE = 20, 64, 4 << 20, 1_000
+#: Distinct stretches of a minimizer that are never cut up, and rows of Arrow batches of texts' stretches.
+HOT_LEAST, NUMBER_ROWS = 1 << 15, 4_000
 #: A null id in comparisons.
 LAST = (1 << 63) - 1
+#: Of a place: bits of the number of windows and of the text's tag, below those of the start.
+SIZE_BITS, TAG_BITS = 7, 25
 
 
-def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.col(text_col).cast("string").alias("text"))
+def _tag(text: Column) -> Column:
+    """Tells texts of one id apart."""
+    return F.shiftrightunsigned(F.xxhash64(text), 64 - TAG_BITS)
 
 
-def text_key(data: bytes) -> int:
-    """A signed 64-bit digest of a whole text."""
-    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(text_col).cast("string")
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), _tag(text).alias("tag"), text.alias("text"))
 
 
 def minimizers(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -81,147 +90,195 @@ def minimizers(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int = GR
     return rows[at], at, np.minimum(stops[which] - at, STRETCH), least[at]
 
 
-def passing(ids: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """Which ids pass a filter of ``id_filter``."""
-    places = _filter_places(np.ascontiguousarray(ids))
-    hit = ((bits[places >> 6] >> (places & 63).astype(U64)) & U64(1)).astype(bool)
-    return hit[: len(ids)] & hit[len(ids) :]
-
-
-def _scanned(texts: tuple[DataFrame, DataFrame, np.ndarray], scan, ddl: str) -> DataFrame:
-    """``scan`` over the batches of (all texts, packed texts that pass a filter, the filter): the first without those that pass."""
-    every, rest, filtered = texts
-    sent = every.sparkSession.sparkContext.broadcast(filtered)
-
-    def clean(batches: Iterator[pa.RecordBatch]):
-        bits = sent.value
-        yield from scan(batch.filter(pa.array(~passing(batch.column(0).to_numpy(), bits))) for batch in batches)
-
-    def packed(batches: Iterator[pa.RecordBatch]):
-        yield from scan(pa.RecordBatch.from_arrays([b.column(0), pa.array([unpacked(x.as_py()) for x in b.column(1)], pa.large_binary()).cast(pa.large_string())], names=["doc", "text"]) for b in batches)
+_FOUND = "minimizer long, content long, doc long, place long"
 
-    return every.mapInArrow(clean, ddl).unionByName(rest.mapInArrow(packed, ddl))
 
-
-def _occurrences(texts: tuple[DataFrame, DataFrame, np.ndarray], length: int, gram: int, known: np.ndarray) -> DataFrame:
-    """minimizer, content_key, doc, text_key, start, content of the stretches whose minimizer passes the filter."""
-    sent = texts[0].sparkSession.sparkContext.broadcast(known)
+def _stretches(texts: DataFrame, length: int, gram: int, left_out: Bloom | None = None) -> DataFrame:
+    """minimizer, content (a hash), doc, place of every stretch of the texts, but of those that pass a filter of ids."""
+    sent = texts.sparkSession.sparkContext.broadcast(left_out)
 
     def run(batches: Iterator[pa.RecordBatch]):
-        bits = sent.value
         for batch in batches:
-            raw, offsets = utf8(batch.column(1))
-            ids = batch.column(0).to_numpy()
+            if sent.value is not None:
+                batch = batch.filter(pa.array(~sent.value.passing(batch.column(0).to_numpy())))
+            ids, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            raw, offsets = utf8(batch.column(2))
             for lo, hi in slices(offsets, SLICE_BYTES):
                 part, own = raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
                 rows, at, size, least = minimizers(part, own, length, gram)
-                hit = passing(least.view(np.int64), bits)
-                rows, at, size, least = rows[hit], at[hit], size[hit], least[hit]
-                if not len(rows):
-                    continue
-                data = part.tobytes()
-                keys = {r: text_key(data[own[r] : own[r + 1]]) for r in np.unique(rows).tolist()}
-                content = [data[a : a + s + length - 1] for a, s in zip(at.tolist(), size.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(least.view(np.int64)), pa.array([text_key(x) for x in content], pa.int64()), pa.array(ids[lo:hi][rows]),
-                        pa.array([keys[r] for r in rows.tolist()], pa.int64()), pa.array(at - own[rows], pa.int64()), pa.array(content, pa.binary()),
-                    ],
-                    names=["minimizer", "content_key", "doc", "text_key", "start", "content"],
-                )
-
-    return _scanned(texts, run, "minimizer long, content_key long, doc long, text_key long, start long, content binary")
-
-
-def _repeated_minimizers(texts: tuple[DataFrame, DataFrame, np.ndarray], length: int, gram: int) -> DataFrame:
-    """minimizer: those that occur in two documents."""
-
-    def run(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            raw, offsets = utf8(batch.column(1))
-            ids = batch.column(0).to_numpy()
-            for lo, hi in slices(offsets, SLICE_BYTES):
-                rows, _, _, least = minimizers(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], length, gram)
                 if len(rows):
-                    yield pa.RecordBatch.from_arrays([pa.array(least.view(np.int64)), pa.array(ids[lo:hi][rows])], names=["minimizer", "doc"])
-
-    found = _scanned(texts, run, "minimizer long, doc long")
-    return found.groupBy("minimizer").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a <> b").select("minimizer")
-
+                    content = span_hashes(part, at, at + size + length - 1)
+                    place = (((at - own[rows]) << TAG_BITS | tags[lo:hi][rows]) << SIZE_BITS) | size
+                    yield pa.RecordBatch.from_arrays([pa.array(least.view(np.int64)), pa.array(content.view(np.int64)), pa.array(ids[lo:hi][rows]), pa.array(place)], names=["minimizer", "content", "doc", "place"])
 
-def _first_owners(shards: DataFrame, length: int) -> DataFrame:
-    """minimizer, content_key, first array<long>: for each window of a distinct stretch the smallest document with its bytes."""
+    return texts.mapInArrow(run, _FOUND)
 
-    def run(group: pa.Table) -> pa.Table:
-        found = repeats(group["content"].to_pylist(), group["doc"].to_numpy(), length)
-        ends = np.concatenate([[0], np.cumsum([len(x) for x in found])])
-        flat = np.concatenate(found) if found else np.zeros(0, np.int64)
-        del found
-        pa.default_memory_pool().release_unused()
-        return pa.table({"minimizer": group["minimizer"], "content_key": group["content_key"], "first": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))})
 
-    return shards.groupBy("shard").applyInArrow(run, "minimizer long, content_key long, first array<long>")
+def _repeated(sorted_rows: DataFrame) -> DataFrame:
+    """Of rows sorted by all of their columns, those of minimizers of two documents, once each, and ``goes``: a smaller document has the content.
 
-
-def _spans_of(length: int):
-    """(doc, text_key, start, stop) of the runs of bytes that a stretch's windows remove."""
+    One pass over each partition, holding a batch and the rows of one document at the end of it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]):
+        held = [np.zeros(0, np.int64)] * 4
+        going, lead = None, (0, 0, -1)  # the last minimizer if it is known to be repeated; minimizer, content and first document of the last row
         for batch in batches:
-            doc, key, start = (batch.column(i).to_numpy() for i in range(3))
-            lists = batch.column(3)
-            flat, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            row = np.repeat(np.arange(len(doc)), np.diff(ends))
-            place = np.arange(len(flat)) - ends[row]
-            hit = flat < doc[row]
-            row, place = row[hit], place[hit]
-            if len(row):
-                cut = np.concatenate([[True], (row[1:] != row[:-1]) | (place[1:] > place[:-1] + length)])
-                first = np.flatnonzero(cut)
-                last = np.append(first[1:], len(row)) - 1
-                yield pa.RecordBatch.from_arrays([pa.array(doc[row[first]]), pa.array(key[row[first]]), pa.array(start[row[first]] + place[first]), pa.array(start[row[last]] + place[last] + length)], names=["doc", "text_key", "start", "stop"])
-
-    return run
-
-
-def _digests(texts: DataFrame) -> DataFrame:
-    """doc, text_key, sha, n of whole texts."""
+            m, c, d, p = (np.concatenate([a, b.to_numpy()]) for a, b in zip(held, batch.columns, strict=True))
+            if not len(m):
+                continue
+            fresh = np.ones(len(m), bool)
+            fresh[1:] = (m[1:] != m[:-1]) | (c[1:] != c[:-1]) | (d[1:] != d[:-1]) | (p[1:] != p[:-1])
+            m, c, d, p = m[fresh], c[fresh], d[fresh], p[fresh]
+            starts = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]]))
+            several = np.minimum.reduceat(d, starts) != np.maximum.reduceat(d, starts)
+            several[0] |= going is not None and m[0] == going
+            cut = len(m) if several[-1] else int(starts[-1])
+            going = int(m[-1]) if several[-1] else None
+            if not cut:
+                held = [m, c, d, p]
+                continue
+            kept = np.repeat(several, np.diff(np.append(starts, len(m))))[:cut]
+            # the first document of each content, which may be in an earlier batch
+            opens = np.ones(cut, bool)
+            opens[1:] = (m[1:cut] != m[: cut - 1]) | (c[1:cut] != c[: cut - 1])
+            first = d[:cut][np.maximum.accumulate(np.where(opens, np.arange(cut), 0))]
+            if (int(m[0]), int(c[0])) == lead[:2]:
+                first[: int(np.append(np.flatnonzero(opens[1:]) + 1, cut)[0])] = lead[2]
+            lead = (int(m[cut - 1]), int(c[cut - 1]), int(first[-1]))
+            goes = d[:cut] > first
+            held = [x[cut:] for x in (m, c, d, p)]
+            if kept.any():
+                yield pa.RecordBatch.from_arrays([*(pa.array(x[:cut][kept]) for x in (m, c, d, p)), pa.array(goes[kept])], names=["minimizer", "content", "doc", "place", "goes"])
+
+    return sorted_rows.mapInArrow(run, _FOUND + ", goes boolean")
+
+
+def _contents(wanted: DataFrame, length: int, shards: int) -> DataFrame:
+    """shard, doc, place, bytes of the stretches of each text (doc, tag, text, list); those of hot minimizers window by window."""
 
     def run(batches: Iterator[pa.RecordBatch]):
+        before = None
         for batch in batches:
-            raw, offsets = utf8(batch.column(1))
-            data = [raw[a:b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([text_key(x) for x in data], pa.int64()), pa.array([hashlib.sha256(x).digest() for x in data], pa.binary()), pa.array(np.diff(offsets))],
-                names=["doc", "text_key", "sha", "n"],
-            )
+            for doc, tag, text, rows in zip(*batch.columns, strict=True):
+                if (doc.as_py(), tag.as_py()) == before:
+                    continue  # a repeated row
+                before = (doc.as_py(), tag.as_py())
+                data = text.as_buffer().to_pybytes()
+                raw, (least, place, hot) = np.frombuffer(data, np.uint8), (x.to_numpy(zero_copy_only=False) for x in rows.values.flatten())
+                size, start = place & ((1 << SIZE_BITS) - 1), place >> (SIZE_BITS + TAG_BITS)
+                one = np.where(hot, size, 1)
+                which = np.repeat(np.arange(len(place)), one)
+                step = np.arange(len(which)) - np.repeat(np.cumsum(one) - one, one)
+                start, size, cut = start[which] + step, np.where(hot, 1, size)[which], hot[which]
+                key = mix(least.view(U64)[which])
+                key[cut] = span_hashes(raw, start[cut], start[cut] + length)
+                place = ((start << TAG_BITS | tag.as_py()) << SIZE_BITS) | size
+                for a in range(0, len(place), 20_000):
+                    at = slice(a, a + 20_000)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array((key[at] % U64(shards)).astype(np.int64)), pa.array(np.full(len(place[at]), before[0])), pa.array(place[at]),
+                            pa.array([data[s : s + k + length - 1] for s, k in zip(start[at].tolist(), size[at].tolist(), strict=True)], pa.binary()),
+                        ],
+                        names=["shard", "doc", "place", "bytes"],
+                    )
+
+    return wanted.mapInArrow(run, "shard long, doc long, place long, bytes binary")
+
+
+_SPANS = "doc long, tag long, start long, stop long"
+
+
+def _span_batch(doc: np.ndarray, place: np.ndarray, first: np.ndarray, last: np.ndarray, length: int) -> pa.RecordBatch:
+    """The spans of the windows ``first`` to ``last`` of stretches."""
+    start, tag = place >> (SIZE_BITS + TAG_BITS), (place >> SIZE_BITS) & ((1 << TAG_BITS) - 1)
+    return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(tag), pa.array(start + first), pa.array(start + last + length)], names=["doc", "tag", "start", "stop"])
+
+
+def _sorted_spans(shards: DataFrame, length: int, budget: int | None) -> DataFrame:
+    """The spans of each shard's stretches that an earlier document has, by an external suffix sort."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with Store(budget) as store:
+            kept: list[tuple[np.ndarray, np.ndarray]] = []
+
+            def strings() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+                for batch in batches:
+                    doc, place = store.empty(batch.num_rows, np.int64), store.empty(batch.num_rows, np.int64)
+                    doc[:], place[:] = batch.column("doc").to_numpy(), batch.column("place").to_numpy()
+                    kept.append((doc, place))
+                    column = batch.column("bytes")
+                    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+                    raw = np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+                    size = np.diff(ends)
+                    codes = np.full(len(raw) + len(size), -1, np.int16)
+                    codes[np.arange(len(raw)) + np.repeat(np.arange(len(size)), size)] = raw
+                    yield codes, doc
+
+            for (owner, count), (doc, place) in zip(repeats(strings(), length, store), kept, strict=True):
+                row = np.repeat(np.arange(len(count)), count)
+                window = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                hit = owner < doc[row]
+                row, window = row[hit], window[hit]
+                if len(row):
+                    cut = np.concatenate([[True], (row[1:] != row[:-1]) | (window[1:] > window[:-1] + length)])
+                    first = np.flatnonzero(cut)
+                    last = np.append(first[1:], len(row)) - 1
+                    yield _span_batch(doc[row[first]], place[row[first]], window[first], window[last], length)
+
+    return shards.groupBy("shard").applyInArrow(run, _SPANS)
+
+
+def _whole_spans(rows: DataFrame, length: int) -> DataFrame:
+    """The spans of stretches that go whole."""
+    size = F.col("place").bitwiseAND((1 << SIZE_BITS) - 1)
+    start = F.shiftright("place", SIZE_BITS + TAG_BITS)
+    return rows.select("doc", F.shiftright("place", SIZE_BITS).bitwiseAND((1 << TAG_BITS) - 1).alias("tag"), start.alias("start"), (start + size + (length - 1)).alias("stop"))
+
+
+def _copies(put: Scratch, texts: DataFrame) -> DataFrame:
+    """doc, tag, start, stop of the whole texts that a smaller document has too.
+
+    Digests of over a thousandth of all rows, of which there are at most a thousand, are joined by broadcast.
+    """
+    digest = put(texts.select("doc", "tag", F.sha2("text", 256).alias("sha"), F.octet_length("text").cast("long").alias("n")), "dedup-digests")
+    least = put(digest.groupBy("sha").agg(F.min("doc").alias("least"), F.count("*").alias("rows")).where("rows > 1"), "dedup-least")
+    hot = F.broadcast(least.where(F.col("rows") > digest.count() / HOT_SHARE))
+    cold = least.join(hot.select("sha"), "sha", "left_anti")
+    met = digest.join(hot, "sha").unionByName(digest.join(F.broadcast(hot.select("sha")), "sha", "left_anti").join(cold, "sha"))
+    return put(met.where(F.col("doc") > F.col("least")).select("doc", "tag", F.lit(0).cast("long").alias("start"), F.col("n").alias("stop")).distinct(), "dedup-copies")
 
-    return texts.mapInArrow(run, "doc long, text_key long, sha binary, n long")
 
+def removed_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, budget: int | None = None, owner: Scratch | None = None) -> DataFrame:
+    """doc, tag, spans array<struct<start,stop>> (sorted, may overlap) of the documents that lose bytes.
 
-def removed_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM) -> DataFrame:
-    """doc, text_key, spans array<struct<start,stop>> (sorted, may overlap) of the documents that lose bytes."""
-    small_batches(docs.sparkSession)
+    ``budget`` are the bytes that the sort of a shard holds in memory. The result is a table, which ``owner``
+    deletes if given.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
     texts = _texts(docs, id_col, text_col).where(F.octet_length("text") >= length)
-    digest = materialize(_digests(texts), "dedup-digests")
-    least = digest.groupBy("sha").agg(F.min("doc").alias("least"), F.count("*").alias("rows")).where("rows > 1")
-    copies = digest.join(least, "sha").where(F.col("doc") > F.col("least")).select("doc", "text_key", F.lit(0).cast("long").alias("start"), F.col("n").alias("stop")).distinct()
-    copies = materialize(copies, "dedup-copies")
-    named = id_filter(copies.select("doc"))
-    _, rest = _parted(texts, named, "doc", "text")
-    gone = copies.select(F.col("doc").alias("_doc"), F.col("text_key").alias("_text_key"))
-    parts = (texts, rest.join(gone, ["_doc", "_text_key"], "left_anti").select("doc", "text"), named)
-    repeated = materialize(_repeated_minimizers(parts, length, gram), "dedup-minimizers")
-    found = materialize(_occurrences(parts, length, gram, id_filter(repeated)), "dedup-stretches")
-    total = found.agg(F.sum(F.octet_length("content")).alias("n")).first()["n"] or 0
-    shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_BYTES))
-    distinct = found.groupBy("minimizer", "content_key").agg(F.min("doc").alias("doc"), F.min("content").alias("content"))
-    dealt = distinct.withColumn("shard", F.pmod(F.xxhash64("minimizer"), F.lit(shards)))
-    first = _first_owners(dealt.select("shard", "minimizer", "content_key", "doc", "content"), length)
-    hits = found.select("minimizer", "content_key", "doc", "text_key", "start").join(first, ["minimizer", "content_key"])
-    spans = hits.where(F.array_min("first") < F.col("doc")).select("doc", "text_key", "start", "first").mapInArrow(_spans_of(length), "doc long, text_key long, start long, stop long")
-    spans = spans.unionByName(copies).groupBy("doc", "text_key").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"))
-    return materialize(spans, "dedup-spans")
+    with Scratch(spark) as put:
+        copies = _copies(put, texts)
+        named = bloom(copies.select("doc"))
+        rest = _passing(texts, named).join(copies, ["doc", "tag"], "left_anti").select("doc", "tag", "text")
+        every = _stretches(texts, length, gram, named).unionByName(_stretches(rest, length, gram))
+        columns = ["minimizer", "content", "doc", "place"]
+        with batch_rows(spark, NUMBER_ROWS):
+            found = put(_repeated(every.repartition("minimizer").sortWithinPartitions(*columns)), "dedup-stretches")
+        leads = found.where("not goes")
+        total = leads.agg(F.count("*").alias("n"), F.sum(F.col("place").bitwiseAND((1 << SIZE_BITS) - 1) + (length - 1)).alias("bytes")).first()
+        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(total["bytes"] or 0) // SHARD_BYTES))
+        hot = leads.groupBy("minimizer").count().where(F.col("count") > max(HOT_LEAST, total["n"] / HOT_SHARE)).select("minimizer", F.lit(True).alias("hot"))
+        marked = leads.join(F.broadcast(hot), "minimizer", "left")
+        entry = F.struct("minimizer", "place", F.coalesce("hot", F.lit(False)).alias("hot"))
+        lists = marked.groupBy("doc", F.shiftright("place", SIZE_BITS).bitwiseAND((1 << TAG_BITS) - 1).alias("tag")).agg(F.collect_list(entry).alias("list"))
+        wanted = texts.join(lists.hint("shuffle_merge"), ["doc", "tag"]).select("doc", "tag", "text", "list")
+        sorted_ = put(_sorted_spans(_contents(wanted, length, shards), length, budget), "dedup-sorted")
+        spans = sorted_.unionByName(_whole_spans(found.where("goes"), length)).unionByName(copies)
+        spans = put(spans.groupBy("doc", "tag").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans")), "dedup-spans")
+        return put.keep(spans) if owner is None else put.give(spans, owner)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -234,49 +291,64 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _parted(docs: DataFrame, named: np.ndarray, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """The rows whose ids do not pass the filter ``named``, and the others with the columns _doc and _text_key.
+def _passing(texts: DataFrame, named: Bloom) -> DataFrame:
+    """The rows of doc, tag, text whose ids pass a filter."""
+    sent = texts.sparkSession.sparkContext.broadcast(named)
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            yield batch.filter(pa.array(sent.value.passing(batch.column(0).to_numpy())))
+
+    return texts.mapInArrow(run, "doc long, tag long, text string")
+
+
+def _parted(docs: DataFrame, named: Bloom, id_col: str, text_col: str, names: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows whose ids do not pass the filter, and the others with the columns ``names``, the id and the tag.
 
     The filter parts the rows where they are read, so only the second kind, with their
     texts, take part in joins; their texts travel compressed, as binary.
     """
     sent = docs.sparkSession.sparkContext.broadcast(named)
-    schema = docs.schema
-    id_at, text_at = docs.columns.index(id_col), docs.columns.index(text_col)
+    text = F.col(text_col).cast("string")
+    keyed = docs.withColumns({names[0]: F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), names[1]: _tag(text), text_col: text})
+    text_at, id_at, width = docs.columns.index(text_col), len(docs.columns), len(docs.columns)
 
     def part(inside: bool):
         def run(batches: Iterator[pa.RecordBatch]):
-            bits = sent.value
             pack = zstandard.ZstdCompressor(level=3).compress
             for batch in batches:
-                ids = batch.column(id_at).cast(pa.int64()).fill_null(LAST).to_numpy()
-                hit = passing(ids, bits)
+                hit = sent.value.passing(batch.column(id_at).to_numpy())
                 kept = batch.filter(pa.array(hit == inside))
                 if inside:
-                    texts = [x.as_buffer().to_pybytes() if x.is_valid else None for x in kept.column(text_at)]
-                    columns = [*kept.columns, pa.array(ids[hit]), pa.array([text_key(x or b"") for x in texts], pa.int64())]
-                    columns[text_at] = pa.array([None if x is None else pack(x) for x in texts], pa.binary())
-                    yield pa.RecordBatch.from_arrays(columns, names=[*kept.schema.names, "_doc", "_text_key"])
+                    columns = list(kept.columns)
+                    columns[text_at] = pa.array([pack(x.as_buffer().to_pybytes()) if x.is_valid else None for x in kept.column(text_at)], pa.binary())
+                    yield pa.RecordBatch.from_arrays(columns, names=kept.schema.names)
                 else:
-                    yield kept
+                    yield kept.select(list(range(width)))
 
         return run
 
-    fields = list(schema.fields)
-    fields[text_at] = StructField(text_col, BinaryType())
-    wide = StructType(fields).add("_doc", LongType()).add("_text_key", LongType())
-    return docs.mapInArrow(part(False), schema), docs.mapInArrow(part(True), wide)
+    fields = list(docs.schema.fields)
+    clean = StructType(fields[:text_at] + [keyed.schema[text_at]] + fields[text_at + 1 :])
+    wide = StructType([*fields[:text_at], StructField(text_col, BinaryType()), *fields[text_at + 1 :], StructField(names[0], LongType()), StructField(names[1], LongType())])
+    return keyed.mapInArrow(part(False), clean), keyed.mapInArrow(part(True), wide)
 
 
 def unpacked(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
-def _with_spans(docs: DataFrame, spans: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """The rows that surely lose nothing, and the others with the column _spans (null: they lose nothing either)."""
-    clean, rest = _parted(docs, id_filter(spans.select("doc")), id_col, text_col)
-    keyed = spans.select(F.col("doc").alias("_doc"), F.col("text_key").alias("_text_key"), F.col("spans").alias("_spans"))
-    return clean, rest.join(keyed, ["_doc", "_text_key"], "left").select(*(rest[c] for c in docs.columns), "_spans")
+def _with_spans(docs: DataFrame, length: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The rows that surely lose nothing, and the others with a last column of spans (null: they lose nothing either)."""
+    names = []
+    for name in ("doc", "tag", "spans"):
+        while name in docs.columns:
+            name += "_"
+        names.append(name)
+    spans = removed_spans(docs, length, id_col, text_col)
+    clean, rest = _parted(docs, bloom(spans.select("doc")), id_col, text_col, names)
+    joined = rest.join(spans.toDF(*names), names[:2], "left")
+    return clean, joined.select(*(rest[c] for c in docs.columns), joined[names[2]])
 
 
 def _kept(data: bytes, spans: list[dict] | None) -> tuple[bytes, int, int]:
@@ -292,7 +364,7 @@ def _kept(data: bytes, spans: list[dict] | None) -> tuple[bytes, int, int]:
 def dedup_digests(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
     docs = docs.select(F.col(id_col).cast("long").alias(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias(text_col))
-    clean, rest = _with_spans(docs, removed_spans(docs, length, id_col, text_col), id_col, text_col)
+    clean, rest = _with_spans(docs, length, id_col, text_col)
     names = [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
     def run(batches: Iterator[pa.RecordBatch]):
@@ -315,8 +387,8 @@ def deduplicated(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
     A character that loses some of its bytes loses all of them. ``length_col``, if given, gets the
     new number of characters.
     """
-    clean, rest = _with_spans(docs, removed_spans(docs, length, id_col, text_col), id_col, text_col)
-    names, schema = docs.columns, docs.schema
+    clean, rest = _with_spans(docs, length, id_col, text_col)
+    names, schema = docs.columns, clean.schema
     text_at, spans_at = names.index(text_col), len(names)
 
     def run(batches: Iterator[pa.RecordBatch]):

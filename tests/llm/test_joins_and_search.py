@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tests.llm import brute
 
 from lexiloom.llm import induced, jaccard, kdtree, lsh, suffixdedup
+from lexiloom.storage import Scratch
 
 
 def texts(spark, rows):
@@ -58,18 +59,35 @@ def test_jaccard_repeated_rows_and_empty_table(spark):
     assert jaccard.similar_classes(texts(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("queues", [1, 4_096])
-def test_suffix_arrays_with_and_without_recursion_and_disk(monkeypatch, queues):
-    monkeypatch.setattr(induced, "MAX_QUEUES", queues)
+@pytest.mark.parametrize("block,batch,depth", [(1 << 18, 1 << 15, 128), (7, 5, 2), (64, 3, 0)])
+@pytest.mark.parametrize("budget", [0, 1 << 30])
+def test_suffix_arrays_and_common_prefixes_in_memory_and_on_disk(monkeypatch, block, batch, depth, budget):
+    for name, value in (("BLOCK", block), ("BATCH", batch), ("DEPTH", depth)):
+        monkeypatch.setattr(induced, name, value)
     rng = np.random.default_rng(2)
-    for n in (2, 5, 40, 400):
-        for letters in (1, 2, 20):
-            text = np.append(rng.integers(1, letters + 1, n), 0)
-            want = sorted(range(n + 1), key=lambda i, t=text: t[i:].tolist())
-            assert induced.suffix_array(text, letters + 1, 10**6, budget=64).tolist() == want
-
-
-def test_first_owners_of_repeated_strings():
+    texts = [np.append(rng.integers(1, letters + 1, n), 0) for n in (0, 2, 5, 40, 400) for letters in (1, 2, 20, 300)]
+    texts.append(np.concatenate([[1] * 90, [2] * 90, [1] * 60, [0]]))
+    pieces = [rng.integers(1, 5, rng.integers(1, 30)) for _ in range(5)]
+    texts.append(np.concatenate([*(pieces[rng.integers(5)] for _ in range(60)), [0]]))
+    for text in texts:
+        want = sorted(range(len(text)), key=lambda i, t=text.tolist(): t[i:])
+        shared = [0]
+        for a, b in zip(want, want[1:], strict=False):
+            own = text[a:][: len(text) - b] == text[b:][: len(text) - a]
+            shared.append(min(int(np.argmin(np.append(own, False))), 50))
+        with induced.Store(budget) as store:
+            order, common = induced.suffix_order(store, text, int(text.max()) + 1, 50)
+            assert order.tolist() == want and common.tolist() == shared
+            assert bool(store.folder) == (budget == 0)
+
+
+def coded(strings):
+    return np.concatenate([np.append(np.frombuffer(s, np.uint8).astype(np.int16), np.int16(-1)) for s in strings])
+
+
+@pytest.mark.parametrize("budget,block", [(1 << 30, 1 << 18), (0, 64)])
+def test_first_owners_of_repeated_strings(monkeypatch, budget, block):
+    monkeypatch.setattr(induced, "BLOCK", block)
     rng = np.random.default_rng(3)
     strings = [bytes(rng.integers(97, 99, rng.integers(0, 50)).astype(np.uint8)) for _ in range(30)]
     owners = rng.integers(0, 99, 30)
@@ -77,8 +95,10 @@ def test_first_owners_of_repeated_strings():
     for s, o in zip(strings, owners, strict=True):
         for i in range(len(s) - 5):
             best[s[i : i + 6]] = min(best.get(s[i : i + 6], 99), o)
-    for s, found in zip(strings, induced.repeats(strings, owners, 6), strict=True):
-        assert found.tolist() == [best[s[i : i + 6]] for i in range(max(0, len(s) - 5))]
+    with induced.Store(budget) as store:
+        got = list(induced.repeats(iter([(coded(strings[:7]), owners[:7]), (coded(strings[7:]), owners[7:])]), 6, store))
+    assert [c for _, count in got for c in count.tolist()] == [max(0, len(s) - 5) for s in strings]
+    assert np.concatenate([found for found, _ in got]).tolist() == [best[s[i : i + 6]] for s in strings for i in range(len(s) - 5)]
 
 
 def passages(rng):
@@ -90,7 +110,11 @@ def passages(rng):
     return rows
 
 
-def test_suffix_dedup_matches_brute_force(spark):
+@pytest.mark.parametrize("hot,budget", [(1 << 15, 1 << 30), (3, 1 << 30), (1 << 15, 0)])
+def test_suffix_dedup_matches_brute_force(spark, monkeypatch, hot, budget):
+    monkeypatch.setattr(suffixdedup, "HOT_LEAST", hot)
+    monkeypatch.setattr(suffixdedup, "HOT_SHARE", 10**9)
+    monkeypatch.setattr(induced, "BUDGET", budget)
     rows = passages(random.Random(8))
     want = brute.kept_bytes(list(dict(rows).items()))
     got = suffixdedup.dedup_digests(texts(spark, rows).withColumn("doc", F.lit(1))).collect()
@@ -99,6 +123,41 @@ def test_suffix_dedup_matches_brute_force(spark):
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[r.doc_id], r
 
 
+def test_suffix_dedup_of_a_shard_far_larger_than_its_memory(spark):
+    """All stretches in one shard of some 3 MB, sorted with 256 KB."""
+    rng = random.Random(3)
+    lines = ["".join(rng.choice("abcdefghij klmnop") for _ in range(rng.randrange(40, 120))) for _ in range(400)]
+    rows = [(i, " ".join(rng.sample(lines, 8))) for i in range(400)]
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    before = suffixdedup.SHARD_BYTES
+    try:
+        suffixdedup.SHARD_BYTES = 1 << 30
+        spans = suffixdedup.removed_spans(texts(spark, rows), budget=256 << 10).collect()
+    finally:
+        suffixdedup.SHARD_BYTES = before
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    want = brute.kept_bytes(rows)
+    got = {r.doc: sum(b - a for a, b in suffixdedup.merged([(s["start"], s["stop"]) for s in r.spans])) for r in spans}
+    assert got == {i: gone for i, (_, gone, _, _) in want.items() if gone}
+
+
+def test_suffix_dedup_of_null_and_shared_ids_and_clashing_names(spark):
+    shared = "x" * 20 + "shared passage of more than fifty bytes in all of them" + "y" * 9
+    rows = [(None, shared + "a", 1), (None, shared + "b", 2), (7, "c" + shared, 3), (7, "d" + shared, 4), (9, "e" + shared, 5), (9, "e" + shared, 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, doc long").withColumns({c: F.lit(c) for c in ("tag", "spans", "_doc", "_text_key", "_spans", "place")})
+    out = suffixdedup.deduplicated(df)
+    assert out.columns == df.columns
+    assert sorted((r.doc_id or 0, r.text, r.doc, r.tag) for r in out.collect()) == [(0, "a", 1, "tag"), (0, "b", 2, "tag"), (7, "c" + shared, 3, "tag"), (7, "d" + shared, 4, "tag"), (9, "e", 5, "tag"), (9, "e", 5, "tag")]
+
+
+def test_suffix_dedup_of_a_very_long_text(spark):
+    rng = random.Random(6)
+    long = "".join(rng.choice("abcdefgh \n") for _ in range(900_000))
+    rows = [(1, long), (2, long[300_000:300_080] + "!"), (3, "z" * 700_000)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffixdedup.dedup_digests(texts(spark, rows)).collect()}
+    assert got == {1: (900_000, 0, 0), 2: (81, 80, 1), 3: (700_000, 0, 0)}
+
+
 def test_deduplicated_texts_keep_whole_characters(spark):
     shared = "é" * 40
     df = spark.createDataFrame([(1, "a" + shared + "b", 42, "s"), (2, "cé" + shared + "éd", 44, "s"), (3, "tiny", 4, "s"), (4, None, 0, "s"), (5, "a" + shared + "b", 42, "s")], "doc_id long, text string, n_chars long, source string")
@@ -212,5 +271,95 @@ def test_jaccard_of_groups_that_chance_joins(spark, monkeypatch):
     _, want = brute.jaccard_components(rows)
     clusters = spark.createDataFrame([(0, i) for i, _ in rows], "component long, node long")
     docs = texts(spark, rows).withColumnRenamed("doc_id", "id")
-    got = {r.node: r.label for r in jaccard.linked_labels(docs, clusters, 4, 85).collect()}
+    with Scratch(spark) as put:
+        got = {r.node: r.label for r in jaccard.linked_labels(put, docs, clusters, 4, 85).collect()}
+    assert got == want
+
+
+def best_ids(rows, query_ids, k, scores):
+    """query -> [(vec_id, score)] by plain search, a repeated id by its best row."""
+    out = {}
+    for q in query_ids:
+        found = {}
+        for i, x in rows:
+            if i == q:
+                for j, y in rows:
+                    if j != q:
+                        s = scores(x, y)
+                        found[j] = max(found.get(j, s), s)
+        out[q] = sorted(found.items(), key=lambda p: (-p[1], p[0]))[:k]
+    return out
+
+
+def odd_rows(rng, d):
+    """Repeated rows: one id thirty times, many ids with one vector, one id with many vectors, and twice a query."""
+    same = rng.standard_normal(d).astype(np.float32).tolist()
+    rows = [(3, same)] * 30 + [(i, same) for i in range(4, 30)]
+    rows += [(3, rng.standard_normal(d).astype(np.float32).tolist()) for _ in range(9)]
+    rows += [(40 + i, rng.standard_normal(d).astype(np.float32).tolist()) for i in range(60)]
+    rows += [(50, rng.standard_normal(d).astype(np.float32).tolist())] * 2
+    return rows
+
+
+@pytest.mark.parametrize("shard", [8_192, 16])
+def test_kdtree_of_repeated_rows(spark, monkeypatch, shard):
+    monkeypatch.setattr(kdtree, "SHARD_ROWS", shard)
+    monkeypatch.setattr(kdtree, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(kdtree, "BOX_ROWS", 2)
+    rows = odd_rows(np.random.default_rng(4), 6)
+    low = [(i, np.floor(np.array(v, np.float32).astype(np.float64) * 256)) for i, v in rows]
+    want = best_ids(low, {i for i, _ in rows if i % 5 == 0}, 5, lambda x, y: int(x @ y))
+    got = {}
+    for r in kdtree.exact_top_k(vectors(spark, [(*r, 1) for r in rows]), F.col("vec_id") % 5 == 0, 5).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
     assert got == want
+
+
+def test_kdtree_takes_several_dimensions(spark, monkeypatch):
+    monkeypatch.setattr(kdtree, "SHARD_ROWS", 8)
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.standard_normal(3 + i % 2).astype(np.float32).tolist(), 1) for i in range(60)]
+    got = {}
+    for r in kdtree.exact_top_k(vectors(spark, rows), F.col("vec_id") % 10 == 0, 4).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    for q in range(0, 60, 10):
+        part = [(i, np.floor(np.array(v, np.float32).astype(np.float64) * 256)) for i, v, _ in rows if len(v) == 3 + q % 2]
+        assert got[q] == best_ids(part, [q], 4, lambda x, y: int(x @ y))[q]
+
+
+def test_lsh_of_repeated_rows(spark):
+    rows = odd_rows(np.random.default_rng(4), 6)
+    wide = lsh.Settings(tables=8, projections=2, width=4.0, probes=40)
+    want = best_ids([(i, np.array(v, np.float32).astype(np.float64)) for i, v in rows], {i for i, _ in rows if i % 5 == 0}, 20, lambda x, y: float(x @ y))
+    got = {}
+    for r in lsh.nearest(vectors(spark, [(*r, 1) for r in rows]), F.col("vec_id") % 5 == 0, 20, wide).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert set(got) == set(want)
+    for q, found in got.items():
+        assert [i for i, _ in found] == [i for i, _ in want[q]]
+        assert np.allclose([s for _, s in found], [s for _, s in want[q]])
+
+
+@pytest.mark.parametrize("norms", ["equal", "one long", "log-normal"])
+def test_lsh_recall_without_structure(spark, norms):
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((6_000, 64))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    if norms == "one long":
+        x[17] *= 10
+    if norms == "log-normal":
+        x *= np.exp(rng.normal(0, 0.5, len(x)))[:, None]
+    x = x.astype(np.float32).astype(np.float64)
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)]
+    found = {}
+    for r in lsh.nearest(vectors(spark, rows), F.col("vec_id") % 100 == 0, 20).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = [len(found[q] & {i for i, _ in best(x @ x[q], q, 20)}) for q in range(0, 6_000, 100)]
+    assert np.mean(hit) >= 0.9 * 20
+
+
+def test_lsh_of_very_large_and_very_small_vectors(spark):
+    rows = [(0, [1e200, 1e200], 1), (1, [1e200, 0.0], 1), (2, [1e-200, 1e-200], 1), (3, [2e-200, 0.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int")
+    got = {(r.query_id, r.vec_id): r.score for r in lsh.nearest(df, F.col("vec_id") % 2 == 0, 3, lsh.Settings(tables=8, projections=1, width=8.0, probes=8)).collect()}
+    assert got[0, 1] == float("inf") and got[0, 3] == 1e200 * 2e-200 and {q for q, _ in got} == {0, 2} and len(got) == 6
