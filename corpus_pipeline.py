@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.llm import jaccard, packing, quality, secrets, suffixdedup
-from lexiloom.storage import materialize, table
+from lexiloom.storage import Scratch, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -83,6 +83,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), "pipeline-" + name.split()[0])
-    return docs
+    with Scratch(spark) as put:
+        for name, stage in STAGES:
+            before, docs = docs, put(stage(spark, docs, sf_dir), "pipeline-" + name.split()[0])
+            put.drop(before)
+        return put.keep(docs)
