@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Bytes of arrays and queues that a sort holds in memory, and tuples of a block of an array that is worked on at once.
-BUDGET, BLOCK = 192 << 20, 1 << 18
+BUDGET, BLOCK = 128 << 20, 1 << 17
 #: Tuples of a batch of a pass, and generations that are induced within it.
 BATCH, DEPTH = 1 << 15, 128
 
@@ -566,9 +566,10 @@ def suffix_order(store: Store, text: np.ndarray, characters: int, cap: int) -> t
     """
     n = len(text)
     kind = place_type(n)
-    order, common = store.empty(n, kind), store.empty(n, np.uint8)
     lms, larger = seeds_of(store, text)
     if n == 1:
+        store.free(lms)
+        order, common = store.empty(n, kind), store.empty(n, np.uint8)
         order[:], common[:] = 0, 0
         return order, common
     seeds = _sorted_seeds(store, text, characters, lms, cap)
@@ -583,6 +584,8 @@ def suffix_order(store: Store, text: np.ndarray, characters: int, cap: int) -> t
     smaller = n - 1 - larger
     down = induce(store, text, back, smaller, characters - 1, True, cap)
     store.free(*back)
+    del back, seeds, lms
+    order, common = store.empty(n, kind), store.empty(n, np.uint8)
     order[0], common[0] = n - 1, 0
     for a, b in blocks(larger):
         # of the S suffixes, which go down in their list, those of smaller characters come before
@@ -623,31 +626,40 @@ def repeats(strings: Iterator[tuple[np.ndarray, np.ndarray]], length: int, store
         return
     used = np.zeros(257, bool)
     for part in parts:
-        used[np.unique(part) + 1] = True
+        used |= np.bincount(part + 1, minlength=257) > 0
     code = np.cumsum(used)
-    text, left, owner = store.empty(n, np.uint16), store.empty(n, place_type(n)), store.empty(n, np.int64)
-    at = 0
-    for part, owners in zip(parts, held, strict=True):
-        stop = at + len(part)
+    owners = np.concatenate(held)
+    names, owners = np.unique(owners, return_inverse=True)
+    owners = owners.astype(place_type(len(owners)))
+    text, string = store.empty(n, np.uint16), store.empty(n, place_type(n))
+    at, number, stops = 0, 0, []
+    for part in parts:
+        stop, ends = at + len(part), np.flatnonzero(part < 0)
         text[at:stop] = code[part + 1]
-        ends = np.flatnonzero(part < 0)
-        sizes = np.diff(np.concatenate([[-1], ends]))
-        left[at:stop] = np.repeat(ends, sizes) - np.arange(len(part))
-        owner[at:stop] = np.repeat(owners, sizes)
+        string[at:stop] = np.repeat(np.arange(number, number + len(ends)), np.diff(np.concatenate([[-1], ends])))
+        stops.append(ends + at)
+        number += len(ends)
         at = stop
-    text[n - 1], left[n - 1], owner[n - 1] = 0, 0, 0
+    text[n - 1], string[n - 1] = 0, number
+    stops = np.append(np.concatenate(stops), n - 1).astype(place_type(n))
+    store.free(*parts)
+    parts.clear()
     order, common = suffix_order(store, text, int(code[-1]) + 1, length)
-    found = store.empty(n, np.int64)
-    least, where = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    store.free(text)
+    del text
+    # the smallest owner for each place, by its rank among the names
+    found = store.empty(n, owners.dtype)
+    least, where = np.zeros(0, owners.dtype), np.zeros(0, np.int64)
     for a, b in blocks(n):
         # a group may go on from the block before: ``where`` are its places, ``least`` its owner so far
         place, fresh = np.asarray(order[a:b]).astype(np.int64), common[a:b] < length
-        real = left[place] >= length
+        own = string[place]
+        real = stops[own] - place >= length
         group = np.cumsum(fresh)
-        place, group = place[real], group[real]
+        place, own, group = place[real], own[real], group[real]
         if len(place):
             cuts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-            best = np.minimum.reduceat(owner[place], cuts)
+            best = np.minimum.reduceat(owners[own], cuts)
             if len(where) and group[0] == 0:
                 best[0] = min(best[0], least[0])
                 found[where] = best[0]
@@ -655,14 +667,17 @@ def repeats(strings: Iterator[tuple[np.ndarray, np.ndarray]], length: int, store
             last = cuts[-1]
             keep = group[-1] == (int(fresh.sum()))
             joined = place[last:] if not (len(where) and group[-1] == 0) else np.concatenate([where, place[last:]])
-            where, least = (joined, best[-1:]) if keep else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            where, least = (joined, best[-1:]) if keep else (np.zeros(0, np.int64), np.zeros(0, owners.dtype))
         elif fresh.any():
-            where, least = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            where, least = np.zeros(0, np.int64), np.zeros(0, owners.dtype)
     store.free(order, common)
-    at = 0
-    for part in parts:
-        stop = at + len(part)
-        ends = np.flatnonzero(part < 0)
-        sizes = np.diff(np.concatenate([[-1], ends])) - 1
-        yield np.asarray(found[at:stop][left[at:stop] >= length]), np.maximum(sizes - length + 1, 0)
+    del order, common
+    at, first = 0, 0
+    for batch in held:
+        ends = stops[first : first + len(batch)].astype(np.int64)
+        first += len(batch)
+        stop = int(ends[-1]) + 1 if len(ends) else at
+        places = np.arange(at, stop)
+        count = np.maximum(np.diff(np.concatenate([[at - 1], ends])) - length, 0)
+        yield names[found[at:stop][np.repeat(ends, np.diff(np.concatenate([[at - 1], ends]))) - places >= length]], count
         at = stop
