@@ -104,6 +104,40 @@ def sigmoid(x: Column) -> Column:
     return F.when(x >= 0, 1 / (1 + F.exp(-x))).otherwise(F.exp(x) / (1 + F.exp(x)))
 
 
+def softmax_first(logits: Column) -> Column:
+    """The first class's share of the exponentials of an array of logits, without overflow; null for a null or non-finite logit."""
+    top = F.array_max(logits)
+    total = F.aggregate(logits, F.lit(0.0), lambda acc, x: acc + F.exp(x - top))
+    fine = (F.size(logits) > 0) & ~F.exists(logits, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return F.when(F.coalesce(fine, F.lit(False)), F.exp(F.try_element_at(logits, F.lit(1)) - top) / total)
+
+
+def git_blob_id(data: Column) -> Column:
+    """The id that git gives to a file of these bytes (a binary column)."""
+    return F.sha1(F.concat(F.encode(F.concat(F.lit("blob "), F.octet_length(data).cast("string")), "UTF-8"), F.unhex(F.lit("00")), data))
+
+
+def utc_iso(at: Column) -> Column:
+    """A timestamp as ISO 8601 in UTC, with microseconds."""
+    zone = F.to_utc_timestamp(at, F.current_timezone())
+    return F.concat(F.date_format(zone, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00"))
+
+
+def shown_score(score: Column) -> Column:
+    """A score from 0 to 1 with ten significant digits, or all of its digits where ten would change it; else Unavailable."""
+    written = score.cast("string")
+    plain = F.regexp_replace(written.cast("decimal(38,30)").cast("string"), r"\.?0+$", "")
+    digits = F.regexp_replace(F.replace(F.regexp_replace(written, "E.*$", ""), F.lit("."), F.lit("")), "^0+|0+$", "")
+    small = (score > 0) & (score < 1e-6)
+    power = F.lower(F.regexp_extract(written, "E.*$", 0))
+    padded = F.rpad(digits, 10, "0")
+    whole = F.when(score >= 1, F.lit("1.000000000")).when(score == 0, F.lit("0.000000000")).otherwise(F.concat(F.regexp_extract(plain, r"^0\.0*", 0), padded))
+    exponent = F.concat(F.substring(padded, 1, 1), F.lit("."), F.substring(padded, 2, 9), power)
+    long = F.length(digits) > 10
+    shown = F.when(small & long, F.concat(F.regexp_replace(F.regexp_replace(written, "E.*$", ""), r"\.0$", ""), power)).when(small, exponent).when(long, plain).otherwise(whole)
+    return F.when(F.coalesce(score.between(0, 1) & ~F.isnan(score), F.lit(False)), shown).otherwise("Unavailable")
+
+
 def numbers(text: Column) -> Column:
     """Distinct sorted numbers in a text."""
     return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0))))

@@ -9,6 +9,7 @@ from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,12 +39,13 @@ def featured(rows: DataFrame, text_col: str = "text") -> DataFrame:
     return split.withColumn("word_terms", _grams(F.col("_tokens"), 1, 2, " ")).withColumn("char_terms", _grams(F.col("_letters"), 3, 5, "")).drop("_tokens", "_letters")
 
 
-class Sublinear(Transformer, HasInputCol, HasOutputCol):
+class Sublinear(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
     """1 + log of each count of a vector; zeros stay."""
 
-    def __init__(self, inputCol: str, outputCol: str):
+    def __init__(self, inputCol: str | None = None, outputCol: str | None = None):
         super().__init__()
-        self._set(inputCol=inputCol, outputCol=outputCol)
+        if inputCol is not None:
+            self._set(inputCol=inputCol, outputCol=outputCol)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         # MLlib has no such stage, and column functions would spell out all the zeros

@@ -193,3 +193,28 @@ def attach_scores(rows: DataFrame, predictions: DataFrame, key: str = "id", hash
 def first_per(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
     place = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
     return df.withColumn("_place", place).where("_place = 1").drop("_place")
+
+
+def two_level_counts(rows: DataFrame, outer: str, inner: str) -> DataFrame:
+    """outer, inner, n of the pairs that occur."""
+    return rows.groupBy(outer, inner).agg(F.count("*").alias("n"))
+
+
+def generator_counts(rows: DataFrame, generator: str = "generator", default: str = "unknown") -> DataFrame:
+    """generator, n; rows without one count under ``default``."""
+    return rows.groupBy(F.coalesce(F.col(generator), F.lit(default)).alias(generator)).agg(F.count("*").alias("n"))
+
+
+def digest(rows: DataFrame, key: str, line: Column, fan: int = 1_000, levels: int = 3) -> DataFrame:
+    """One row, sha256: a digest of all rows in the order of an integer key, whatever order they come in.
+
+    A tree: lines are joined by blocks of ``fan`` keys and hashed, then their digests by blocks of ``fan`` blocks, and so on
+    for ``levels`` levels, and the rest at last; so no group is larger than ``fan`` to a distinct key.
+    """
+    told = rows.select(F.col(key).cast("long").alias("at"), line.alias("line"))
+    for _ in range(levels):
+        block = F.floor(F.col("at") / fan).cast("long")
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), ",")
+        told = told.groupBy(block.alias("b")).agg(F.sha2(joined, 256).alias("line")).withColumnRenamed("b", "at")
+    last = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), ",")
+    return told.agg(F.sha2(last, 256).alias("sha256"))

@@ -283,3 +283,34 @@ def overlaps(calibration: DataFrame, test: DataFrame, keys: list[str]) -> DataFr
 def native_cutoff(rows: DataFrame, cutoff: DataFrame) -> DataFrame:
     """The logit of the first row whose score equals the cut-off exactly; ``cutoff`` is one row named score."""
     return rows.join(F.broadcast(cutoff), "score").agg(F.min_by("logit", "id").alias("native"))
+
+
+def external_overlap(rows: DataFrame, external: DataFrame, hashes: list[str]) -> DataFrame:
+    """The external rows of which any hash is any hash of ``rows``: a corpus held out must give none."""
+
+    def every(df: DataFrame) -> DataFrame:
+        return df.select(F.explode(F.array(*hashes)).alias("_hash")).where("_hash is not null").distinct()
+
+    marked = external.withColumn("_hash", F.array(*hashes))
+    met = marked.select(*external.columns, F.explode("_hash").alias("_hash")).join(every(rows), "_hash", "left_semi")
+    return met.drop("_hash").distinct()
+
+
+def prediction_problems(predictions: DataFrame, preprocessing: str, max_tokens: int) -> DataFrame:
+    """id, problems array<string> of predictions (id, preprocessing, max_tokens, truncated, logits, score) against their contract."""
+    c = F.col
+    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
+    rules = {
+        "preprocessing": ~c("preprocessing").eqNullSafe(preprocessing), "max_tokens": ~c("max_tokens").eqNullSafe(max_tokens), "truncated": F.coalesce("truncated", F.lit(True)),
+        "logits": ~F.coalesce((F.size("logits") == 2) & ~F.exists("logits", lambda x: ~finite(x)), F.lit(False)), "score": ~F.coalesce(finite(c("score")) & c("score").between(0, 1), F.lit(False)),
+    }
+    return predictions.select("id", F.array_compact(F.array(*(F.when(rule, F.lit(name)) for name, rule in rules.items()))).alias("problems"))
+
+
+#: What of a report may be published.
+PUBLIC = ["human_max", "ai_min", "selected_on", "calibration_sha256", "product_approved"]
+
+
+def public_report(report: DataFrame, more: list[str] | None = None) -> DataFrame:
+    """The columns of a report that are on the list; others, such as ids and texts, stay private."""
+    return report.select(*(c for c in report.columns if c in {*PUBLIC, *(more or [])}))

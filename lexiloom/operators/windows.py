@@ -160,8 +160,32 @@ def display_segments(matches: DataFrame, group: str, start: str, end: str) -> Da
 
 
 def compare_runs(before: DataFrame, after: DataFrame) -> DataFrame:
-    """id, score_before, score_after, change, comparable: two runs side by side."""
-    a = before.select("id", F.col("score").alias("score_before"), F.col("label").alias("label_before"))
-    b = after.select("id", F.col("score").alias("score_after"), F.col("label").alias("label_after"))
-    both = a.join(b, "id", "full_outer")
-    return both.withColumn("change", F.col("score_after") - F.col("score_before")).withColumn("comparable", F.col("score_before").isNotNull() & F.col("score_after").isNotNull())
+    """id, score_before, score_after, change, comparable, signal: two runs side by side.
+
+    Runs are comparable where both have a score and agree on all of score_kind, model_revision and decision_policy that they
+    have as columns (two nulls agree). The signal is Same signal, Signal changed, or Not comparable.
+    """
+    versions = [c for c in ("score_kind", "model_revision", "decision_policy") if c in before.columns and c in after.columns]
+
+    def run(df: DataFrame, name: str) -> DataFrame:
+        return df.select("id", *(F.col(c).alias(f"{c}_{name}") for c in ["score", "label", *versions]))
+
+    both = run(before, "before").join(run(after, "after"), "id", "full_outer")
+    comparable = F.col("score_before").isNotNull() & F.col("score_after").isNotNull()
+    for c in versions:
+        comparable &= F.col(f"{c}_before").eqNullSafe(F.col(f"{c}_after"))
+    signal = F.when(~F.col("comparable"), "Not comparable").when(F.col("label_before").eqNullSafe(F.col("label_after")), "Same signal").otherwise("Signal changed")
+    return both.withColumn("change", F.col("score_after") - F.col("score_before")).withColumn("comparable", comparable).withColumn("signal", signal)
+
+
+def rollup(scored: DataFrame) -> DataFrame:
+    """One row: truncated windows, scheduled words, the statuses, and of device and milliseconds, if there are such columns, the devices and the time."""
+    more = []
+    if "device" in scored.columns:
+        more.append(F.array_join(F.array_sort(F.collect_set("device")), ",").alias("devices"))
+    if "milliseconds" in scored.columns:
+        more.append(F.sum("milliseconds").alias("milliseconds"))
+    return scored.agg(
+        F.count_if("truncated").alias("truncated"), F.sum(F.when(F.col("scheduled"), F.col("words"))).alias("words"),
+        F.array_join(F.array_sort(F.collect_set("status")), ",").alias("statuses"), *more,
+    )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from lexiloom.functions.text import MARKS, STOP_WORDS
 from lexiloom.operators.corpus import SEED
 from lexiloom.operators.metrics import Z95
+from lexiloom.operators.review import GUIDANCE
 
 _WS = r"\t-\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 SP, NS = f"[{_WS}]", f"[^{_WS}]"
@@ -81,13 +82,20 @@ JSON = "SELECT (props->>'$.k')::INT AS k, count(*) AS n, count(*) FILTER (props-
 SIGMOID = f"""WITH {_SCORED} SELECT id, round(1 / (1 + exp(-(score - 0.5) * 8)), 9) AS probability,
     round(1 / (1 + exp(-((score - 0.5) * 8 - (second_score - 0.5) * 8))), 9) AS margin FROM scored"""
 
-_GRAMS = f"""q AS (SELECT item_id AS passage_id, {_words('text')} AS w FROM benchmark), s AS (SELECT doc_id AS document_id, {_words('text')} AS w FROM documents),
+def _grams(passage: str = "text") -> str:
+    return f"""q AS (SELECT item_id AS passage_id, {_words(passage)} AS w FROM benchmark), s AS (SELECT doc_id AS document_id, {_words('text')} AS w FROM documents),
     qg AS (SELECT passage_id, i AS q_pos, array_to_string(w[i + 1:i + 5], chr(31)) AS gram FROM (SELECT passage_id, w, unnest(range(0, len(w) - 4)) AS i FROM q WHERE len(w) >= 5)),
     sg AS (SELECT document_id, i AS s_pos, array_to_string(w[i + 1:i + 5], chr(31)) AS gram FROM (SELECT document_id, w, unnest(range(0, len(w) - 4)) AS i FROM s WHERE len(w) >= 5)),
     hit AS (SELECT passage_id, document_id, q_pos, s_pos, gram FROM qg JOIN sg USING (gram))"""
-_BLOCKS = f"""{_GRAMS}, isle AS (SELECT *, q_pos - row_number() OVER (PARTITION BY passage_id, document_id, q_pos - s_pos ORDER BY q_pos) AS island FROM hit),
+
+
+def _blocks(passage: str = "text") -> str:
+    return f"""{_grams(passage)}, isle AS (SELECT *, q_pos - row_number() OVER (PARTITION BY passage_id, document_id, q_pos - s_pos ORDER BY q_pos) AS island FROM hit),
     block AS (SELECT passage_id, document_id, min(q_pos)::INT AS q_start, (max(q_pos) + 5)::INT AS q_end, min(s_pos)::INT AS s_start, (max(s_pos) + 5)::INT AS s_end,
       (max(q_pos) + 5 - min(q_pos))::INT AS matched FROM isle GROUP BY passage_id, document_id, q_pos - s_pos, island HAVING bool_or(s_pos % 5 = 0))"""
+
+
+_GRAMS, _BLOCKS = _grams(), _blocks()
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 OVERLAP_BLOCKS = f"WITH {_BLOCKS} SELECT * FROM block"
 EXACT_OVERLAP = f"""WITH {_BLOCKS} SELECT b.* FROM block b JOIN q USING (passage_id)
@@ -98,6 +106,71 @@ BOUNDED_HITS = f"""WITH {_GRAMS} SELECT passage_id, document_id, q_pos::INT AS q
     SELECT *, row_number() OVER (PARTITION BY passage_id ORDER BY gram, document_id, s_pos, q_pos) AS n, count(*) OVER (PARTITION BY passage_id) AS everything FROM hit WHERE s_pos % 5 = 0) WHERE n <= 5"""
 BOUNDED_HITS_FULL = f"""WITH {_GRAMS} SELECT passage_id, document_id, q_pos::INT AS q_pos, s_pos::INT AS s_pos, everything > 12000 AS truncated FROM (
     SELECT *, row_number() OVER (PARTITION BY passage_id ORDER BY gram, document_id, s_pos, q_pos) AS n, count(*) OVER (PARTITION BY passage_id) AS everything FROM hit WHERE s_pos % 5 = 0) WHERE n <= 12000"""
+
+
+def _search(passage: str = "text") -> str:
+    """CTEs up to near(spans), found(spans after suppression) and partial(passage_id), with the bounds of the operator."""
+    similar = "2.0::DOUBLE * matched / (q_end - q_start + s_end - s_start)"
+    informative = f"len(list_distinct(list_filter(w[q_start + 1:q_end], lambda x: length(x) > 3 AND x NOT IN ({_STOP})))) >= 5"
+    return f"""{_blocks(passage)},
+    h AS (SELECT *, row_number() OVER (PARTITION BY passage_id ORDER BY gram, document_id, s_pos, q_pos) AS hn FROM hit WHERE s_pos % 5 = 0),
+    cnt AS (SELECT passage_id, document_id, count(DISTINCT gram) AS seeds FROM h WHERE hn <= 12000 GROUP BY ALL),
+    dr AS (SELECT *, row_number() OVER (PARTITION BY passage_id ORDER BY seeds DESC, document_id) AS rank FROM cnt),
+    b1 AS (SELECT b.*, rank, row_number() OVER (PARTITION BY b.passage_id ORDER BY rank, q_start, s_start) AS rn FROM block b JOIN dr USING (passage_id, document_id) WHERE rank <= 24),
+    b2 AS (SELECT *, row_number() OVER (PARTITION BY passage_id, document_id ORDER BY matched DESC, q_start, s_start) AS br FROM b1 WHERE rn <= 3000),
+    b3 AS (SELECT passage_id, document_id, q_start, q_end, s_start, s_end, matched, br FROM b2 WHERE br <= 400),
+    chain AS (SELECT passage_id, document_id, br AS r0, q_start, q_end, s_start, s_end, matched, 0 AS hop FROM b3
+      UNION ALL SELECT c.passage_id, c.document_id, c.r0, c.q_start, f.q_end, c.s_start, f.s_end, c.matched + f.matched, c.hop + 1
+        FROM chain c JOIN b3 f ON f.passage_id = c.passage_id AND f.document_id = c.document_id AND f.q_start BETWEEN c.q_end AND c.q_end + 4 AND f.s_start BETWEEN c.s_end AND c.s_end + 4
+          AND f.q_end - c.q_start <= 250 AND f.s_end - c.s_start <= 250
+        WHERE c.hop < 20 QUALIFY row_number() OVER (PARTITION BY c.passage_id, c.document_id, c.r0 ORDER BY f.matched DESC, f.q_start, f.br) = 1),
+    near AS (SELECT DISTINCT passage_id, document_id, q_start, q_end, s_start, s_end, matched FROM chain JOIN q USING (passage_id) WHERE hop > 0 AND matched >= 18 AND {similar} >= 0.85 AND {informative}),
+    span AS (SELECT * FROM near UNION SELECT passage_id, document_id, q_start, q_end, s_start, s_end, matched FROM b3 JOIN q USING (passage_id) WHERE matched >= 12 AND {informative}),
+    placed AS (SELECT *, {similar} AS similarity, row_number() OVER (PARTITION BY passage_id, document_id ORDER BY matched DESC, {similar} DESC, q_start, s_start) AS place FROM span),
+    kept AS (SELECT * FROM placed r WHERE NOT EXISTS (SELECT 1 FROM placed o WHERE o.passage_id = r.passage_id AND o.document_id = r.document_id
+      AND o.place < r.place AND o.q_start <= r.q_start AND o.q_end >= r.q_end AND o.s_start <= r.s_start AND o.s_end >= r.s_end)),
+    best AS (SELECT *, count(*) OVER (PARTITION BY passage_id) AS n_spans, row_number() OVER (PARTITION BY passage_id ORDER BY matched DESC, similarity DESC, q_start, document_id, s_start) AS bn FROM kept),
+    partial AS (SELECT passage_id FROM h WHERE hn > 12000 UNION SELECT passage_id FROM dr WHERE rank > 24 UNION SELECT passage_id FROM b1 WHERE rn > 3000 UNION SELECT passage_id FROM b2 WHERE br > 400 UNION SELECT passage_id FROM best WHERE bn > 40),
+    found AS (SELECT passage_id, document_id, q_start, q_end, s_start, s_end, matched, similarity, n_spans, CASE WHEN similarity = 1 THEN 'exact_text_overlap' ELSE 'near_exact_text_overlap' END AS kind,
+      (row_number() OVER (PARTITION BY passage_id ORDER BY q_start, q_end DESC, document_id, s_start))::INT AS match_no, CASE WHEN passage_id IN (SELECT passage_id FROM partial) THEN 'partial' ELSE 'complete' END AS status FROM best WHERE bn <= 40)"""
+
+
+_EDITED = "array_to_string(list_transform(string_split(text, ' '), lambda x, i: CASE WHEN i % 15 = 0 THEN 'changed' ELSE x END), ' ')"
+NEAR_OVERLAP = f"WITH RECURSIVE {_search(_EDITED)} SELECT * FROM near"
+OVERLAP_REPORT = f"WITH RECURSIVE {_search()} SELECT * FROM found"
+OVERLAP_EDITED = f"WITH RECURSIVE {_search(_EDITED)} SELECT * FROM found"
+OVERLAP_OUTCOMES = f"""WITH RECURSIVE {_search()}, m AS (SELECT passage_id, count(*) AS matches FROM found GROUP BY passage_id),
+    o AS (SELECT passage_id, CASE WHEN len(w) < 12 THEN 'insufficient_text' WHEN passage_id IN (SELECT passage_id FROM partial) THEN 'partial' ELSE 'complete' END AS status, CASE WHEN len(w) < 12 THEN 0 ELSE coalesce(matches, 0) END AS matches FROM q LEFT JOIN m USING (passage_id))
+    SELECT *, CASE WHEN status = 'insufficient_text' THEN 'At least 12 words are needed for this local overlap check.'
+      WHEN matches > 0 THEN 'Matching wording was found in the local reference library. Review sources and attribution; overlap alone does not establish plagiarism.'
+      WHEN status = 'partial' THEN 'No source match was returned by this incomplete local comparison.'
+      ELSE 'No source match found in the local corpus. This does not establish originality or exclude paraphrased reuse.' END AS summary,
+      CASE WHEN status = 'partial' THEN 'Results are partial because comparison limits were reached. Absence of a match is inconclusive.' END AS warning FROM o"""
+OVERLAP_SOURCES = f"""WITH RECURSIVE {_search()} SELECT f.*, source || ' ' || doc_id AS title, 'https://example.org/' || doc_id AS url, 'CC-BY-4.0' AS license_id, '' AS license_url, lang AS source_provider,
+    coalesce(source, '') AS attribution, CASE WHEN doc_id % 3 > 0 THEN 'stated on the page' ELSE '' END AS license_evidence FROM found f JOIN documents ON doc_id = document_id"""
+OVERLAP_SUGGESTIONS = f"""WITH RECURSIVE {_search()} SELECT passage_id, 'suggestion-' || match_no AS id, 'match-' || match_no AS match_id, q_start, q_end, 'Review quotation and attribution' AS title,
+    'This passage shares wording with ' || source || ' ' || doc_id || '.' AS reason,
+    'Check whether this wording is already correctly quoted and cited. If you reuse it, preserve its meaning and credit the source; add your own analysis where it contributes. This does not predict an AI score change.' AS action
+    FROM found JOIN documents ON doc_id = document_id"""
+
+
+def _utf16(x: str) -> str:
+    return f"(length({x}) + len(regexp_extract_all({x}, '[\\x{{10000}}-\\x{{10FFFF}}]')))::INT"
+
+
+def _shown(side: str) -> str:
+    """From t.p, a text cut before each word: the span's text and its offsets."""
+    lead, whole = f"array_to_string({side}p[1:{side}_start + 1], '')", f"array_to_string({side}p[{side}_start + 2:{side}_end], '') || regexp_extract({side}p[{side}_end + 1], '{WORD}')"
+    return f"{whole} AS {side}_span, {_utf16(lead)} AS {side}_from, {_utf16(f'({lead} || {whole})')} AS {side}_to"
+
+
+OVERLAP_DISPLAY = f"""WITH RECURSIVE {_search()}, qp AS (SELECT item_id, string_split(regexp_replace(text, '({WORD})', chr(30) || '\\1', 'g'), chr(30)) AS qp FROM benchmark),
+    sp AS (SELECT doc_id, string_split(regexp_replace(text, '({WORD})', chr(30) || '\\1', 'g'), chr(30)) AS sp FROM documents)
+    SELECT f.*, {_shown('q')}, {_shown('s')} FROM found f JOIN qp ON item_id = passage_id JOIN sp ON doc_id = document_id"""
+DISPLAY_SEGMENTS = f"""WITH RECURSIVE {_BLOCKS}, r AS (SELECT DISTINCT passage_id, q_start, q_end FROM block),
+    pick AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY passage_id ORDER BY q_start, q_end) = 1
+      UNION ALL SELECT r.* FROM pick JOIN r ON r.passage_id = pick.passage_id AND r.q_start >= pick.q_end QUALIFY row_number() OVER (PARTITION BY r.passage_id ORDER BY r.q_start, r.q_end) = 1)
+    SELECT * FROM pick"""
 SUPPRESSED = f"""WITH {_BLOCKS}, every AS (SELECT * FROM block UNION SELECT passage_id, document_id, q_start, q_end - 2, s_start, s_end - 2, matched - 2 FROM block),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY passage_id, document_id ORDER BY matched DESC, 2 * matched / (q_end - q_start + s_end - s_start) DESC, q_start, s_start) AS place FROM every)
     SELECT passage_id, document_id, q_start, q_end, s_start, s_end, matched FROM ranked r WHERE NOT EXISTS (SELECT 1 FROM ranked o WHERE o.passage_id = r.passage_id AND o.document_id = r.document_id
@@ -276,3 +349,106 @@ SETS = """WITH a AS (SELECT doc_id FROM documents WHERE doc_id % 2 = 0), b AS (S
     UNION ALL SELECT 'intersect', count(*), sum(doc_id)::BIGINT FROM (SELECT doc_id FROM a INTERSECT SELECT doc_id FROM b)
     UNION ALL SELECT 'except', count(*), sum(doc_id)::BIGINT FROM (SELECT doc_id FROM a EXCEPT SELECT doc_id FROM b)"""
 SETS_FULL = SETS.replace(" WHERE doc_id % 2 = 0", "")
+
+COMBINED = f"""WITH {_LABELLED}, k AS (SELECT *, CASE WHEN status = 'ok' AND words BETWEEN 80 AND 250 AND 1 - score >= 0.625 THEN 'ai_leaning' WHEN status = 'ok' AND words BETWEEN 80 AND 250 AND 1 - score <= 0.375 THEN 'human_leaning' ELSE 'inconclusive' END AS second_label FROM n)
+    SELECT doc_id, window_no::INT AS window_no, label, second_label, label <> 'inconclusive' AND second_label <> 'inconclusive' AND label <> second_label AS disagrees FROM k"""
+WINDOW_ANCHORS = f"""WITH {_WIN} SELECT w.doc_id, window_no::INT AS window_no, words::INT AS words, scheduled, start::INT AS start, {_utf16('substr(d.text, 1, start::BIGINT)')} AS from_utf16, {_utf16('substr(d.text, 1, start::BIGINT + length(w.text))')} AS to_utf16
+    FROM win w JOIN (SELECT doc_id, coalesce(text, '') AS text FROM documents) d USING (doc_id)"""
+
+_MARK = "chr(30)"
+_RUN = r"[^\p{L}\p{N}_.]"
+
+
+def _no_end(x: str, word: str, after: str = "", n: int = 1) -> str:
+    """Takes the marks after words that end no sentence away again; overlapping ones need a second turn."""
+    for _ in range(n):
+        x = rf"""regexp_replace({x}, '(^|{_RUN})({word})\.(["''”’]?)' || {_MARK} || '{after}', '\1\2.\3\4', 'g')"""
+    return x
+
+
+_ABBREVIATED = "(?i:dr|mr|mrs|ms|prof|sr|jr|e\\.g|i\\.e|fig|eq|vs)"
+_ENDED = rf"""regexp_replace(regexp_replace(coalesce(text, ''), '([.!?]["''”’]?)(\s)', '\1' || {_MARK} || '\2', 'g'), '(\n\s*\n)', '\1' || {_MARK}, 'g')"""
+_ENDED = _no_end(_no_end(_ENDED, _ABBREVIATED, "()", 2), r"\p{Lu}", r"(\s*\p{Lu})", 2)
+_SENTENCES = f"""pc AS (SELECT doc_id, unnest(p) AS piece, generate_subscripts(p, 1) AS i FROM (SELECT doc_id, string_split({_ENDED}, {_MARK}) AS p FROM documents)),
+    po AS (SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base, regexp_replace(regexp_replace(piece, '^{SP}+', ''), '{SP}+$', '') AS sentence,
+      length(regexp_replace(piece, '^{SP}+', '')) AS rest FROM pc),
+    st AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n, sentence, (base + length(piece) - rest)::INT AS a, (base + length(piece) - rest + length(sentence))::INT AS b FROM po WHERE sentence <> '')"""
+SENTENCES = f"""WITH {_SENTENCES} SELECT doc_id AS id, 's' || n AS sentence_id, sentence, a AS "start", b AS "end" FROM st"""
+
+
+def _numbers(x: str) -> str:
+    return rf"list_sort(list_distinct(regexp_extract_all({x}, '\d+(?:[.,:]\d+)*')))"
+
+
+def _tokenised(x: str) -> str:
+    return rf"regexp_extract_all(lower({x}), '[\p{{L}}\p{{N}}_]+')"
+
+
+_CHECKED = rf"""{_SENTENCES},
+    it AS (SELECT doc_id, n, doc_id || ':' || ((n - 1) // 2) AS id, 's' || n AS sentence_id, sentence AS quote, a, b, CASE WHEN n % 2 = 1 THEN 'redundancy' ELSE 'citation_needed' END AS issue_type, regexp_replace(sentence, '^[^\t-\r ]+[\t-\r ]+', '') AS rewrite FROM st),
+    va AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sentence_id) - 1 AS item_no, max(length(rewrite)) OVER (PARTITION BY id) AS longest FROM it),
+    ru AS (SELECT *, regexp_matches(quote, '\d') AS digits, regexp_matches(trim(quote), '[.!?]["''”’]*$') AS ended, regexp_matches(rewrite, '["''](?:summary|suggestions|sentence_id|issue|why|suggestion|rewrite)["'']\s*:') AS schema FROM va WHERE longest <= 2000),
+    kp AS (SELECT *, CASE WHEN digits OR issue_type = 'citation_needed' THEN '' ELSE rewrite END AS kept FROM ru),
+    ac AS (SELECT *, CASE WHEN schema THEN 'dropped' WHEN digits AND ended THEN 'protected' WHEN kept <> '' AND {_tokenised('kept')} = {_tokenised('quote')} THEN 'dropped' ELSE 'accepted' END AS action,
+      CASE WHEN kept <> '' AND (regexp_matches(quote, '(?i)\b(?:because|was|were|is|are)\s*$') OR {_numbers(r"regexp_replace(kept, '\[[^\[\]]*\]', '', 'g')")} <> {_numbers('quote')}) THEN '' ELSE kept END AS final FROM kp),
+    ck AS (SELECT *, CASE WHEN action = 'accepted' THEN CASE WHEN trim(final) <> '' AND NOT regexp_matches(trim(final), '[.!?]["''”’]*$') THEN trim(final) || '.' ELSE trim(final) END END AS told,
+      CASE WHEN action = 'accepted' THEN final = '' AND (rewrite <> '' OR digits) END AS withheld FROM ac)"""
+SUGGESTION_CHECKS = f"""WITH {_CHECKED} SELECT id, item_no::INT AS item_no, sentence_id, issue_type, action, told AS rewrite, withheld, quote, a AS "start", b AS "end" FROM ck"""
+_GUIDE = " UNION ALL ".join(f"SELECT '{k}' AS issue_type, '{a}' AS issue, '{b}' AS why, '{c}' AS suggestion" for k, (a, b, c) in GUIDANCE.items())
+ANCHORED = f"""WITH {_CHECKED}, g AS ({_GUIDE}) SELECT id, item_no::INT AS item_no, sentence_id, issue_type, told AS rewrite, withheld, quote, {_utf16('substr(text, 1, a)')} AS from_utf16, {_utf16('substr(text, 1, b)')} AS to_utf16, issue, why, suggestion
+    FROM ck JOIN g USING (issue_type) JOIN documents USING (doc_id) WHERE action = 'accepted'"""
+_JUDGED = rf"""{_CHECKED}, ed AS (SELECT *, told <> '' AS new FROM ck WHERE action = 'accepted'),
+    jd AS (SELECT id, list_sort(list_filter([
+      CASE WHEN bool_or(new AND regexp_matches(told, '[\[\]]')) THEN 'placeholder_instead_of_edit' END,
+      CASE WHEN bool_or(new AND NOT regexp_matches(trim(told), '[.!?]["''”’]?$')) THEN 'incomplete_rewrite' END,
+      CASE WHEN bool_or(new AND {_numbers('quote')} <> {_numbers('told')}) THEN 'changed_numeric_details' END,
+      CASE WHEN NOT bool_or(new AND len(regexp_extract_all(told, '[^\t-\r ]+')) <= len(regexp_extract_all(quote, '[^\t-\r ]+')) * 0.9) THEN 'not_materially_more_concise' END,
+      CASE WHEN bool_or(regexp_matches(told, '(?i)ignore previous')) THEN 'followed_embedded_instruction' END], lambda x: x IS NOT NULL)) AS failures FROM ed GROUP BY id)"""
+JUDGED = f"WITH {_JUDGED} SELECT id, array_to_string(failures, ',') AS failures, len(failures) = 0 AS passed FROM jd"
+JUDGED_TOTALS = f"WITH {_JUDGED} SELECT count(*) AS evaluated, count(*) FILTER (len(failures) = 0) AS passed FROM jd"
+REVIEW_TOTALS = f"""WITH {_CHECKED} SELECT id, count(*) FILTER (action = 'accepted') AS suggestions, count(*) FILTER (action <> 'accepted') AS discarded, count(*) FILTER (action = 'protected') AS protected_numeric FROM ck GROUP BY id"""
+
+ARTICLES = f"""WITH x AS (SELECT doc_id, trim(regexp_replace(text, '{SP}+', ' ', 'g')) AS body, CASE doc_id % 4 WHEN 0 THEN 'CC-BY-4.0' WHEN 1 THEN 'CC-BY-3.0' END AS named, doc_id % 4 AS kind FROM documents),
+    y AS (SELECT *, CASE WHEN kind = 2 THEN 'unknown_or_ambiguous_license' WHEN kind = 3 THEN 'conflicting_license' WHEN coalesce(body, '') = '' THEN 'missing_title_or_requested_text' END AS problem FROM x)
+    SELECT doc_id, CASE WHEN problem IS NULL THEN named END AS license_id, CASE WHEN problem IS NULL THEN md5(body) END AS text_md5, CASE WHEN problem IS NULL THEN 'Title ' || doc_id END AS title, problem FROM y"""
+
+PREDICTION_INPUTS = """WITH r AS (SELECT source || '/' || (doc_id // 2) AS id, text FROM documents) SELECT id, array_to_string(list_filter([CASE WHEN count(*) OVER (PARTITION BY id) > 1 THEN 'repeated id' END,
+    CASE WHEN trim(coalesce(text, '')) = '' THEN 'text' END, CASE WHEN length(text) > 200000 THEN 'too long' END], lambda x: x IS NOT NULL), ',') AS problems FROM r"""
+RELEASES = """SELECT doc_id AS id, array_to_string(list_filter([CASE WHEN lang <> 'en' OR doc_id % 5 = 0 THEN 'identity' END, CASE WHEN doc_id % 7 = 0 THEN 'license' END,
+    CASE WHEN NOT contains(coalesce(text, ''), 'the') THEN 'statement' END, CASE WHEN doc_id % 3 = 0 THEN 'catalog' END], lambda x: x IS NOT NULL), ',') AS problems FROM documents"""
+PREDICTIONS = f"""WITH {_SCORED} SELECT id, array_to_string(list_filter([CASE WHEN id % 5 = 0 THEN 'preprocessing' END, CASE WHEN id % 7 = 0 THEN 'max_tokens' END, CASE WHEN length_bucket = 'long' THEN 'truncated' END,
+    CASE WHEN generator IS NULL THEN 'logits' END, CASE WHEN score > 0.75 THEN 'score' END], lambda x: x IS NOT NULL), ',') AS problems FROM scored"""
+SOFTMAX = f"WITH {_SCORED} SELECT id, round(1 / (1 + exp((second_score - score) * 8)), 9) AS first FROM scored"
+BLOB_IDS = "SELECT doc_id, sha1('blob ' || strlen(text) || chr(0) || text) AS blob_id FROM documents"
+TIMES = "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS at FROM events"
+EXTERNAL = f"""WITH {_EXCERPT}, r AS (SELECT d.doc_id AS id, sha256(d.text) AS document_sha256, CASE WHEN kind <> 'too_short' THEN sha256({_normal('excerpt')}) END AS text_sha256, l.doc_id IS NOT NULL AS own
+      FROM documents d JOIN x USING (doc_id) LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON l.doc_id = d.doc_id),
+    known AS (SELECT document_sha256 AS k FROM r WHERE own AND document_sha256 IS NOT NULL UNION SELECT text_sha256 FROM r WHERE own AND text_sha256 IS NOT NULL)
+    SELECT id FROM r WHERE NOT own AND (document_sha256 IN (SELECT k FROM known) OR text_sha256 IN (SELECT k FROM known))"""
+FOREIGN_KEYS = "SELECT DISTINCT user_id FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey IS NOT NULL) OR user_id IS NULL"
+PROMPT_COUNTS = "SELECT source, quality, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY ALL"
+GENERATORS = f"WITH {_SCORED} SELECT coalesce(generator, 'unknown') AS generator, count(*) AS n FROM scored GROUP BY 1"
+ACQUISITION = f"""WITH i AS ({INGEST}) SELECT count(*) AS requested, count(*) FILTER (problems = '') AS accepted FROM i"""
+PUBLIC = "SELECT 0.375::DOUBLE AS human_max, 0.625::DOUBLE AS ai_min, false AS product_approved"
+STOPS = """WITH w AS (SELECT user_id, ts, event_id, event_type, date_diff('second', min(ts) OVER (PARTITION BY user_id), ts) AS elapsed, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events),
+    y AS (SELECT *, CASE WHEN elapsed >= 864000 THEN 'time_budget' WHEN event_type = 'purchase' THEN 'promoted' WHEN n > 1 AND event_type = before THEN 'no_progress' END AS why FROM w),
+    e AS (SELECT user_id, count(*) AS all_, min(n) FILTER (why IS NOT NULL) AS stop, arg_min(why, n) FILTER (why IS NOT NULL) AS why FROM y GROUP BY user_id),
+    k AS (SELECT *, CASE WHEN stop IS NULL THEN all_ WHEN why = 'time_budget' THEN stop - 1 ELSE stop END AS iterations FROM e)
+    SELECT k.user_id, iterations, CASE WHEN y.event_type = 'purchase' THEN 'promote' ELSE 'block' END AS decision, coalesce(k.why, 'max_iterations') AS stop_reason FROM k JOIN y ON y.user_id = k.user_id AND y.n = iterations"""
+PROTOCOLS = """SELECT p_partkey AS id, array_to_string(list_filter([CASE WHEN p_partkey % 2 = 0 THEN 'version' END, CASE WHEN p_partkey % 3 = 0 THEN 'unknown fields' END, CASE WHEN p_partkey % 5 = 0 THEN 'checks' END,
+    CASE WHEN p_partkey % 7 = 0 THEN 'scripts' END, CASE WHEN p_partkey % 11 = 0 THEN 'timeouts' END, CASE WHEN p_partkey % 13 = 0 THEN 'none required' END, CASE WHEN p_partkey % 17 = 0 THEN 'unknown checks' END], lambda x: x IS NOT NULL), ',') AS problems FROM part"""
+SHOWN = f"""WITH {_SCORED}, v AS (SELECT id, score FROM scored UNION ALL SELECT -id - 1, round(score, 3) FROM scored), t AS (SELECT id, score::VARCHAR AS s, score FROM v),
+    d AS (SELECT *, rtrim(ltrim(replace(s, '.', ''), '0'), '0') AS digits FROM t)
+    SELECT id, CASE WHEN score >= 1 THEN '1.000000000' WHEN score = 0 THEN '0.000000000' WHEN length(digits) > 10 THEN s ELSE regexp_extract(s, '^0\\.0*') || rpad(digits, 10, '0') END AS shown FROM d"""
+DIGEST_WHOLE = """WITH a AS (SELECT doc_id AS k, doc_id || ':' || quality || ':' || toxic AS line FROM labels), b AS (SELECT k // 1000 AS k, sha256(string_agg(line, ',' ORDER BY k, line)) AS line FROM a GROUP BY 1),
+    c AS (SELECT k // 1000 AS k, sha256(string_agg(line, ',' ORDER BY k, line)) AS line FROM b GROUP BY 1), d AS (SELECT k // 1000 AS k, sha256(string_agg(line, ',' ORDER BY k, line)) AS line FROM c GROUP BY 1)
+    SELECT sha256(string_agg(line, ',' ORDER BY k, line)) AS sha256 FROM d"""
+LEAKS_FULL = f"""WITH {_EXCERPT}, {_SPLITS}, r AS (SELECT split, d.doc_id::VARCHAR AS id, split_unit, d.source || '/' || (d.doc_id // 40) AS source_group, d.lang AS prompt, CASE WHEN kind <> 'too_short' THEN sha256({_normal('excerpt')}) END AS text_sha256, sha256(d.text) AS document_sha256
+      FROM documents d JOIN sp USING (doc_id) JOIN x USING (doc_id)),
+    v AS ({" UNION ALL ".join(f"SELECT split, '{k}' AS field, {k} AS value FROM r" for k in ("id", "split_unit", "source_group", "prompt", "text_sha256", "document_sha256"))})
+    SELECT field, value, count(DISTINCT split) AS n_splits FROM v WHERE value IS NOT NULL GROUP BY field, value HAVING count(DISTINCT split) > 1"""
+FIRST_FAMILY = f"""WITH {_EXCERPT}, r AS (SELECT source, min(doc_id) FILTER (quality = 1) AS human_id, min(doc_id) FILTER (quality = 0) AS ai_id FROM documents JOIN labels USING (doc_id) GROUP BY source),
+    f AS (SELECT * FROM r WHERE human_id IS NOT NULL AND ai_id IS NOT NULL ORDER BY source LIMIT 1)
+    SELECT source AS source_group, human_id, ai_id, md5(a.excerpt || chr(10) || chr(10) || b.excerpt) AS text_md5 FROM f JOIN x a ON a.doc_id = human_id JOIN x b ON b.doc_id = ai_id"""
+VERSIONS = f"""WITH {_SCORED}, p AS (SELECT id, score, {_decide('score')} AS label, second_score, {_decide('second_score')} AS second_label, CASE WHEN id % 3 = 0 THEN 'r2' ELSE 'r1' END AS revision FROM scored)
+    SELECT id, label AS label_before, second_label AS label_after, revision = 'r1' AS comparable, CASE WHEN revision <> 'r1' THEN 'Not comparable' WHEN label = second_label THEN 'Same signal' ELSE 'Signal changed' END AS signal FROM p"""

@@ -7,7 +7,7 @@ expression, hash and recursion functions.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexiloom.functions import text as T
@@ -70,7 +70,7 @@ def library_summary(spark, d):
 
 @query(S.LICENSE_COUNTS)
 def license_counts(spark, d):
-    return docs(spark, d).groupBy(F.col("lang").alias("license_id")).agg(F.count("*").alias("n"))
+    return library.license_counts(docs(spark, d).withColumnRenamed("lang", "license_id"))
 
 
 @query(S.FIRST_DOCUMENT)
@@ -110,17 +110,19 @@ def page_text(spark, d):
     return table(spark, d, "pages").select("page_id", markup.html_text("html").alias("text"))
 
 
-@query()
+@query(S.ARTICLES)
 def articles(spark, d):
-    pages = table(spark, d, "pages").select(
-        "page_id",
-        F.concat(
-            F.lit('<article><front><article-meta><title-group><article-title>Page</article-title></title-group><permissions><license href="https://creativecommons.org/licenses/by/4.0/">open</license></permissions><abstract><p>'),
-            F.replace(F.replace(F.replace(markup.html_text("html"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")),
-            F.lit("</p></abstract></article-meta></front></article>"),
-        ).alias("xml"),
+    """Every document as the abstract of an article, under an open licence of one of two versions, an unknown one, or a restricted one."""
+    escaped = F.replace(F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    kind = F.col("doc_id") % 4
+    url = F.concat(F.lit("https://creativecommons.org/licenses/by/"), F.when(kind == 1, "3.0").when(kind == 2, "1.0").otherwise("4.0"), F.lit("/"))
+    said = F.when(kind == 3, "open, but non-commercial").otherwise("open")
+    xml = F.concat(
+        F.lit("<article><front><article-meta><title-group><article-title>Title "), "doc_id", F.lit('</article-title></title-group><permissions><license href="'), url, F.lit('">'), said,
+        F.lit("</license></permissions><abstract><p>"), escaped, F.lit("</p></abstract></article-meta></front></article>"),
     )
-    return markup.articles(pages, "page_id", "xml")
+    told = markup.articles(docs(spark, d).select("doc_id", xml.alias("xml")), "doc_id", "xml")
+    return told.select("doc_id", "license_id", F.md5("text").alias("text_md5"), "title", "problem")
 
 
 # --- tokens and text functions
@@ -203,10 +205,16 @@ def bounded_hits_full(spark, d):
     return found.select("passage_id", "document_id", "q_pos", "s_pos", "truncated")
 
 
-@query()
+def edited(spark: SparkSession, d: str) -> DataFrame:
+    """The passages with every fifteenth word replaced."""
+    words = F.transform(F.split("text", " "), lambda w, i: F.when(i % 15 == 14, F.lit("changed")).otherwise(w))
+    return passages(spark, d).select("passage_id", F.array_join(words, " ").alias("text"))
+
+
+@query(S.NEAR_OVERLAP)
 def near_overlap(spark, d):
-    pairs = overlap.top_documents(overlap.seeds(passages(spark, d), held(spark, d))).select("passage_id", "document_id")
-    return overlap.near_spans(overlap.blocks(passages(spark, d), held(spark, d), pairs), passages(spark, d))
+    pairs = overlap.top_documents(overlap.seeds(edited(spark, d), held(spark, d))).select("passage_id", "document_id")
+    return overlap.near_spans(overlap.blocks(edited(spark, d), held(spark, d), pairs), edited(spark, d))
 
 
 @query(S.SUPPRESSED)
@@ -218,12 +226,22 @@ def overlap_suppressed(spark, d):
     return overlap.suppressed(found.unionByName(halves))
 
 
-@query()
+@query(S.OVERLAP_REPORT)
 def overlap_report(spark, d):
     return overlap.find_overlaps(passages(spark, d), held(spark, d))
 
 
-@query()
+@query(S.OVERLAP_EDITED)
+def overlap_edited(spark, d):
+    return overlap.find_overlaps(edited(spark, d), held(spark, d))
+
+
+@query(S.OVERLAP_OUTCOMES)
+def overlap_outcomes(spark, d):
+    return overlap.search(passages(spark, d), held(spark, d))[1]
+
+
+@query(S.OVERLAP_DISPLAY)
 def overlap_display(spark, d):
     return overlap.displayed(overlap.find_overlaps(passages(spark, d), held(spark, d)), passages(spark, d), held(spark, d))
 
@@ -237,12 +255,12 @@ def sources(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query()
+@query(S.OVERLAP_SOURCES)
 def overlap_sources(spark, d):
     return overlap.attributed(overlap.find_overlaps(passages(spark, d), held(spark, d)), sources(spark, d))
 
 
-@query()
+@query(S.OVERLAP_SUGGESTIONS)
 def overlap_suggestions(spark, d):
     return overlap.suggestions(overlap.attributed(overlap.find_overlaps(passages(spark, d), held(spark, d)), sources(spark, d)))
 
@@ -533,21 +551,31 @@ def passage_verdict(spark, d):
     return windows.verdict(_scored_windows(spark, d)).withColumnRenamed("id", "doc_id")
 
 
-@query()
+@query(S.COMBINED)
 def combined_opinions(spark, d):
     first = _scored_windows(spark, d)
     second = windows.labelled(first.withColumn("score", 1 - F.col("score")).drop("label", "reason"), 0.375, 0.625)
-    return windows.combined(first, second)
+    return windows.combined(first, second).select(F.col("id").alias("doc_id"), "window_no", "label", "second_label", "disagrees")
 
 
-@query()
+@query(S.WINDOW_ANCHORS)
 def window_anchors(spark, d):
-    return windows.anchored(windows.word_windows(docs(spark, d), "doc_id", "text"), docs(spark, d), "doc_id", "text").drop("text")
+    told = windows.anchored(windows.word_windows(docs(spark, d), "doc_id", "text"), docs(spark, d).withColumn("text", F.coalesce("text", F.lit(""))), "doc_id", "text")
+    return told.select(F.col("id").alias("doc_id"), "window_no", "words", "scheduled", "start", "from_utf16", "to_utf16")
 
 
 @query(S.ROLLUP)
 def scoring_rollup(spark, d):
-    return _scored_windows(spark, d).agg(F.count_if("truncated").alias("truncated"), F.sum(F.when(F.col("scheduled"), F.col("words"))).alias("words"), F.array_join(F.array_sort(F.collect_set("status")), ",").alias("statuses"))
+    return windows.rollup(_scored_windows(spark, d))
+
+
+@query(S.VERSIONS)
+def model_versions(spark, d):
+    """All documents before, by one score, and after, by another, whose model has a new revision for some."""
+    rows = scored(spark, d)
+    first = rows.select("id", "score", FIXED.decide(F.col("score")).alias("label"), F.lit("r1").alias("model_revision"))
+    second = rows.select("id", F.col("second_score").alias("score"), FIXED.decide(F.col("second_score")).alias("label"), F.when(F.col("id") % 3 == 0, "r2").otherwise("r1").alias("model_revision"))
+    return windows.compare_runs(first, second).select("id", "label_before", "label_after", "comparable", "signal")
 
 
 @query(S.COMPARE)
@@ -566,7 +594,7 @@ def model_comparison_full(spark, d):
     return told.select("id", F.round("change", 9).alias("change"), "comparable")
 
 
-@query()
+@query(S.DISPLAY_SEGMENTS)
 def display_segments(spark, d):
     pairs = overlap.seeds(passages(spark, d), held(spark, d)).select("passage_id", "document_id").distinct()
     found = overlap.blocks(passages(spark, d), held(spark, d), pairs)
@@ -575,48 +603,66 @@ def display_segments(spark, d):
 
 # --- reviews
 
-@query()
+@query(S.SENTENCES)
 def sentences(spark, d):
     return review.sentences(docs(spark, d), "doc_id", "text")
 
 
-def _answers(spark, d):
-    """Made answers on the first two sentences of each document: a shortened and a citation note."""
-    s = review.sentences(docs(spark, d), "doc_id", "text").where(F.col("sentence_id").isin("s1", "s2"))
-    item = F.struct("sentence_id", F.when(F.col("sentence_id") == "s1", "redundancy").otherwise("citation_needed").alias("issue_type"), F.regexp_replace(F.col("sentence").substr(F.lit(1), F.lit(1500)), r"^\S+\s+", "").alias("rewrite"))
-    return s.groupBy("id").agg(F.to_json(F.struct(F.array_sort(F.collect_list(item)).alias("suggestions"))).alias("raw_json"))
+def _spans(spark, d):
+    """All sentences, written once; every two of a document, as many as an answer may be about, are a text of their own to review."""
+    n = F.substring("sentence_id", 2, 9).cast("int")
+    own = F.concat(F.col("id").cast("string"), F.lit(":"), F.expr("(n - 1) div 2").cast("string"))
+    return materialize(review.sentences(docs(spark, d), "doc_id", "text").withColumn("doc_id", F.col("id")).withColumn("n", n).withColumn("id", own), "sentences")
 
 
-def _checked(spark, d):
-    return review.check_suggestions(review.parse_answers(_answers(spark, d)), review.sentences(docs(spark, d), "doc_id", "text"))
+def _checked(spark, d, spans=None):
+    """Made answers on all sentences: a shortened one and a citation note in turn, checked."""
+    spans = _spans(spark, d) if spans is None else spans
+    item = F.struct("sentence_id", F.when(F.col("n") % 2 == 1, "redundancy").otherwise("citation_needed").alias("issue_type"), F.regexp_replace("sentence", r"^[^\t-\r ]+[\t-\r ]+", "").alias("rewrite"))
+    answers = spans.groupBy("id").agg(F.to_json(F.struct(F.array_sort(F.collect_list(item)).alias("suggestions"))).alias("raw_json"))
+    return review.check_suggestions(review.parse_answers(answers), spans)
 
 
-@query()
+def _anchored(spark, d):
+    spans = _spans(spark, d)
+    texts = spans.select("id", "doc_id").distinct().join(docs(spark, d).select("doc_id", "text"), "doc_id")
+    return spans, texts, review.anchored(_checked(spark, d, spans), texts, "id", "text")
+
+
+@query(S.SUGGESTION_CHECKS)
 def suggestion_checks(spark, d):
     return _checked(spark, d)
 
 
-@query()
+@query(S.ANCHORED)
 def anchored_suggestions(spark, d):
-    return review.anchored(_checked(spark, d), docs(spark, d), "doc_id", "text")
+    return _anchored(spark, d)[2]
 
 
-@query()
-def judged_reviews(spark, d):
-    kept = review.anchored(_checked(spark, d), docs(spark, d), "doc_id", "text")
+def _judged(spark, d):
+    spans, texts, kept = _anchored(spark, d)
     edit = F.struct("sentence_id", "quote", F.col("start").alias("start"), F.col("end").alias("end"), "rewrite", "issue", "why", "suggestion")
-    spans = review.sentences(docs(spark, d), "doc_id", "text").select("id", "sentence_id", "start", "end")
-    edits = kept.join(spans, ["id", "sentence_id"]).groupBy("id").agg(F.sort_array(F.collect_list(edit)).alias("edits"))
+    edits = kept.join(spans.select("id", "sentence_id", "start", "end"), ["id", "sentence_id"]).groupBy("id").agg(F.sort_array(F.collect_list(edit)).alias("edits"))
     none = F.lit(None).cast("string")
-    cases = edits.join(docs(spark, d).select(F.col("doc_id").alias("id"), "text"), "id").select(
+    cases = edits.join(texts.select("id", "text"), "id").select(
         "id", "text", "edits", F.lit("complete").alias("status"), none.alias("assessment"), F.lit("not_provided").alias("authorship_opinion"), F.lit("Suggestions to review.").alias("summary"),
         F.lit(1).alias("minimum_edits"), F.lit(2).alias("maximum_edits"), F.lit(0.9).alias("shorter_ratio"), F.lit(True).alias("preserve_quoted_numbers"), F.lit(None).cast("boolean").alias("no_nonempty_rewrite"),
         none.alias("forbidden_rewrite_pattern"), none.alias("required_rewrite_pattern"), F.lit("ignore previous").alias("forbidden_generated_pattern"), none.alias("must_edit_sentence"),
     )
-    return review.judge(cases).select("id", F.array_join("failures", ",").alias("failures"), "passed")
+    return review.judge(cases)
 
 
-@query()
+@query(S.JUDGED)
+def judged_reviews(spark, d):
+    return _judged(spark, d).select("id", F.array_join("failures", ",").alias("failures"), "passed")
+
+
+@query(S.JUDGED_TOTALS)
+def judged_totals(spark, d):
+    return review.judged_totals(_judged(spark, d))
+
+
+@query(S.REVIEW_TOTALS)
 def review_totals(spark, d):
     return review.review_counts(_checked(spark, d))
 
@@ -690,3 +736,139 @@ def _sets(a: DataFrame, b: DataFrame) -> DataFrame:
         row = part.agg(F.lit(name).alias("operation"), F.count("*").alias("n"), F.sum("doc_id").alias("total"))
         out = row if out is None else out.unionByName(row)
     return out
+
+
+# --- sources, contracts, protocols
+
+def _told(found: DataFrame) -> DataFrame:
+    return found.select("id", F.array_join("problems", ",").alias("problems"))
+
+
+@query(S.PREDICTION_INPUTS)
+def prediction_inputs(spark, d):
+    """Pairs of neighbouring documents share an id."""
+    return _told(records.prediction_input_problems(docs(spark, d).select(F.concat("source", F.lit("/"), F.expr("doc_id div 2")).alias("id"), "text")))
+
+
+@query(S.RELEASES)
+def release_license(spark, d):
+    """Every document as a release whose two papers lack something for some."""
+    statement = F.when(F.contains(F.coalesce("text", F.lit("")), F.lit("the")), "DATA is licensed under CC BY 4.0").otherwise("DATA is free")
+    metadata = F.struct(
+        F.when(F.col("lang") == "en", "own/data").otherwise("other/data").alias("ref"), (F.col("doc_id") % 5 == 0).alias("isPrivate"),
+        F.when(F.col("doc_id") % 7 == 0, "Other").otherwise(records.RELEASE_LICENSE).alias("licenseName"), statement.alias("description"),
+    )
+    catalog = F.when(F.col("doc_id") % 3 == 0, "own/data").otherwise("own/data: the DATA dataset is licensed under CC BY 4.0")
+    return _told(records.release_problems(docs(spark, d).select(F.col("doc_id").alias("id"), F.to_json(metadata).alias("metadata"), catalog.alias("catalog")), "own/data", "DATA"))
+
+
+@query(S.PREDICTIONS)
+def prediction_contract(spark, d):
+    rows = scored(spark, d).select(
+        "id", F.when(F.col("id") % 5 == 0, "folded").otherwise("raw").alias("preprocessing"), F.when(F.col("id") % 7 == 0, 1024).otherwise(512).alias("max_tokens"), (F.col("length_bucket") == "long").alias("truncated"),
+        F.array(F.when(F.col("generator").isNotNull(), F.col("score")), F.col("second_score")).alias("logits"), F.when(F.col("score") > 0.75, 2.0).otherwise(F.col("score")).alias("score"),
+    )
+    return _told(metrics.prediction_problems(rows, "raw", 512))
+
+
+@query(S.SOFTMAX)
+def softmax_scores(spark, d):
+    return scored(spark, d).select("id", F.round(T.softmax_first(F.array(F.col("score") * 8, F.col("second_score") * 8)), 9).alias("first"))
+
+
+@query(S.SHOWN)
+def shown_scores(spark, d):
+    rows = scored(spark, d).select("id", "score")
+    return rows.unionByName(rows.select((-F.col("id") - 1).alias("id"), F.round("score", 3).alias("score"))).select("id", T.shown_score(F.col("score")).alias("shown"))
+
+
+@query(S.BLOB_IDS)
+def git_blob_ids(spark, d):
+    return docs(spark, d).select("doc_id", T.git_blob_id(F.encode("text", "UTF-8")).alias("blob_id"))
+
+
+@query(S.TIMES)
+def event_times(spark, d):
+    return table(spark, d, "events").select("event_id", T.utc_iso(F.col("ts").cast("timestamp")).alias("at"))
+
+
+@query(S.EXTERNAL)
+def external_overlap(spark, d):
+    """The labelled documents against the others, by the hashes of texts and excerpts."""
+    cut = corpus.excerpts(docs(spark, d), "doc_id", "text").select(F.col("id").alias("doc_id"), F.col("excerpt_sha256").alias("text_sha256"))
+    rows = docs(spark, d).join(cut, "doc_id", "left").select("doc_id", F.sha2("text", 256).alias("document_sha256"), "text_sha256")
+    labelled = table(spark, d, "labels").select("doc_id").distinct()
+    hashes = ["document_sha256", "text_sha256"]
+    return metrics.external_overlap(rows.join(labelled, "doc_id", "left_semi"), rows.join(labelled, "doc_id", "left_anti"), hashes).select(F.col("doc_id").alias("id"))
+
+
+@query(S.FOREIGN_KEYS)
+def foreign_keys(spark, d):
+    return records.missing_parents(table(spark, d, "events"), "user_id", table(spark, d, "customer"), "c_custkey")
+
+
+@query(S.PROMPT_COUNTS)
+def prompt_label_counts(spark, d):
+    return corpus.two_level_counts(docs(spark, d).join(table(spark, d, "labels"), "doc_id"), "source", "quality")
+
+
+@query(S.GENERATORS)
+def generator_counts(spark, d):
+    return corpus.generator_counts(scored(spark, d))
+
+
+@query(S.ACQUISITION)
+def acquisition_counts(spark, d):
+    return library.accepted(ingest_validation(spark, d).select(F.when(F.col("problems") == "", "accepted").otherwise("rejected").alias("status")))
+
+
+@query(S.PUBLIC)
+def public_summary(spark, d):
+    """A report with private columns, of which the public ones are left."""
+    told = scored(spark, d).agg(F.collect_set("prompt").alias("prompts"), F.max("id").alias("last_id"))
+    report = told.select(F.lit(FIXED.human_max).alias("human_max"), F.lit(FIXED.ai_min).alias("ai_min"), F.lit(False).alias("product_approved"), "prompts", "last_id")
+    return metrics.public_report(report)
+
+
+@query(S.STOPS)
+def stop_reasons(spark, d):
+    """Every user's events as the sweeps of a run, within ten days."""
+    first = F.min("ts").over(Window.partitionBy("user_id"))
+    sweeps = table(spark, d, "events").select("user_id", "ts", "event_id", F.when(F.col("event_type") == "purchase", "promote").otherwise("block").alias("decision"), F.col("event_type").alias("signature"), F.timestamp_diff("SECOND", first, F.col("ts")).alias("elapsed"))
+    return ledger.stop_reasons(sweeps, "user_id", ["ts", "event_id"], 864_000)
+
+
+@query(S.PROTOCOLS)
+def protocol_problems(spark, d):
+    """Every part as a protocol with some fault."""
+    k = F.col("p_partkey")
+    no = F.lit(None).cast("string")
+    check = F.struct(F.lit("c1").alias("id"), F.when(k % 7 == 0, "b.py").otherwise("a.py").alias("script"), F.when(k % 11 == 0, 7200).otherwise(30).alias("timeout_seconds"), (k % 13 > 0).alias("required"))
+    gate = F.struct(F.lit("g1").alias("id"), F.lit("all checks").alias("description"), F.array(F.when(k % 17 == 0, "c9").otherwise("c1")).alias("check_ids"))
+    protocol = F.struct(
+        F.when(k % 2 == 0, 2).otherwise(1).alias("version"), F.array(F.lit("a.py")).alias("allowed_scripts"), F.array(F.lit("src")).alias("implementation_paths"), F.array().cast("array<string>").alias("input_paths"),
+        F.when(k % 5 == 0, F.array(check, check)).otherwise(F.array(check)).alias("checks"), F.array(gate).alias("gates"), F.array(F.struct(F.lit("r1").alias("id"))).alias("review_slots"), F.when(k % 3 == 0, "x").otherwise(no).alias("extra"),
+    )
+    return _told(ledger.protocol_problems(table(spark, d, "part").select(k.alias("id"), F.to_json(protocol).alias("protocol"))))
+
+
+@query(S.DIGEST_WHOLE)
+def dataset_digest_whole(spark, d):
+    line = F.concat_ws(":", F.col("doc_id").cast("string"), F.col("quality").cast("string"), F.col("toxic").cast("string"))
+    return corpus.digest(table(spark, d, "labels"), "doc_id", line)
+
+
+@query(S.LEAKS_FULL)
+def leakage_check_full(spark, d):
+    """By all six keys; ``leakage_check``, whose SQL is fixed, has two."""
+    cut = corpus.excerpts(docs(spark, d), "doc_id", "text").select(F.col("id").alias("doc_id"), F.col("excerpt_sha256").alias("text_sha256"))
+    rows = split_assignment(spark, d).join(docs(spark, d), "doc_id").join(cut, "doc_id", "left")
+    rows = rows.select("split", F.col("doc_id").cast("string").alias("id"), "split_unit", F.concat("source", F.lit("/"), F.expr("doc_id div 40").cast("string")).alias("source_group"), F.col("lang").alias("prompt"), "text_sha256", F.sha2("text", 256).alias("document_sha256"))
+    return corpus.leaks(rows, ["id", "split_unit", "source_group", "prompt", "text_sha256", "document_sha256"])
+
+
+@query(S.FIRST_FAMILY)
+def first_family(spark, d):
+    rows = docs(spark, d).join(table(spark, d, "labels"), "doc_id").select(F.col("doc_id").alias("id"), F.when(F.col("quality") == 1, "human").otherwise("ai").alias("label"), F.col("source").alias("source_group"))
+    paragraphs = docs(spark, d).select(F.col("doc_id").alias("id"), corpus.excerpt(F.coalesce("text", F.lit("")))["excerpt"].alias("text"))
+    return records.demo_fixture(rows, paragraphs).select("source_group", "human_id", "ai_id", F.md5("text").alias("text_md5"))

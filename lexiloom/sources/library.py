@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import json
+import re
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexiloom.checks import CheckFailed, require_empty
 from lexiloom.functions.text import valid_url, words
 from lexiloom.operators.corpus import leaks
 from lexiloom.operators.overlap import index
+from lexiloom.sources import artifacts
 
 # The version of the tables, the licences admitted, and the limits of a document.
 VERSION = 1
@@ -39,61 +41,82 @@ def admission_problems() -> Column:
 def request_problem(text: Column) -> Column:
     """Why a submitted text is not taken, or null."""
     return (
-        F.when(text.isNull() | (F.trim(text) == ""), "blank").when(F.length(text) > MAX_REQUEST, "too long").when(text.contains("\x00"), "invalid characters")
+        F.when(text.isNull() | (F.trim(text) == ""), "blank").when(F.length(text) > MAX_REQUEST, "too long").when(text.contains("\x00") | ~F.is_valid_utf8(text), "invalid characters")
         .when(F.size(words(text)) > MAX_REQUEST_WORDS, "too many words")
     )
 
 
-def _pointer(spark: SparkSession, path: str):
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/current.json")
-    return hadoop, hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+class Unavailable(Exception):
+    """There is no library at a path."""
 
 
-def _manifest(spark: SparkSession, path: str) -> dict | None:
-    name, system = _pointer(spark, path)
-    if not system.exists(name):
-        return None
-    return json.loads("\n".join(r.value for r in spark.read.text(f"{path}/current.json").collect()))
+def _versions(spark: SparkSession, path: str) -> tuple[int, bool]:
+    """The number of the newest pointer (0 if there is none), and whether any tables are there."""
+    at, system = artifacts._path(spark, path)
+    names = [str(f.getPath().getName()) for f in system.listStatus(at)] if system.exists(at) else []
+    numbers = [int(m[1]) for n in names if (m := re.fullmatch(r"current-(\d+)\.json", n))]
+    return max(numbers, default=0), any(n.startswith("v-") for n in names)
 
 
 def open_library(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(documents, index) of the current version; another table version is an error."""
-    told = _manifest(spark, path)
-    if told is None:
-        return spark.createDataFrame([], SCHEMA), spark.createDataFrame([], "document_id string, s_pos int, gram string")
+    """(documents, index) of the newest version.
+
+    No library raises Unavailable; tables without a pointer, or of another table version, are an error.
+    """
+    number, tables = _versions(spark, path)
+    if not number:
+        if tables:
+            raise CheckFailed({"library without a pointer": 1})
+        raise Unavailable(path)
+    told = json.loads(artifacts.read_text(spark, f"{path}/current-{number}.json"))
     if told["version"] != VERSION:
         raise CheckFailed({"library version": told["version"]})
     return spark.read.schema(SCHEMA).parquet(f"{path}/{told['tables']}/documents"), spark.read.parquet(f"{path}/{told['tables']}/index")
 
 
+def status(spark: SparkSession, path: str) -> str:
+    """unavailable, empty or ready."""
+    try:
+        documents, _ = open_library(spark, path)
+    except Unavailable:
+        return "unavailable"
+    return "empty" if documents.isEmpty() else "ready"
+
+
 def upsert(spark: SparkSession, path: str, incoming: DataFrame) -> DataFrame:
     """Add or replace documents with their index entries; returns document_id, problems of rejected rows.
 
-    A new version is written beside the old one, then the pointer moves: readers see one or the other whole.
+    A new version is written beside the old one, then a pointer of the next number appears: readers see one or the
+    other whole, at any moment. Of two writers at once the second fails, as the number is taken. An admitted id that a batch
+    has more than once is rejected as repeated, with all of its rows.
     """
-    checked = incoming.withColumn("problems", admission_problems())
+    number, _ = _versions(spark, path)
+    repeated = F.count("*").over(Window.partitionBy("document_id")) > 1
+    checked = incoming.withColumn("problems", admission_problems()).withColumn("problems", F.when(repeated, F.array_append("problems", "repeated")).otherwise(F.col("problems")))
     good = checked.where(F.size("problems") == 0).drop("problems")
     good = good.select(
         "document_id", "title", "text", "url", "license_id", "license_url", "source_provider", "metadata", F.size(words(F.col("text"))).alias("word_count"),
         F.sha2("text", 256).alias("content_sha256"), F.current_timestamp().alias("indexed_at"),
     )
-    documents, entries = open_library(spark, path)
+    try:
+        documents, entries = open_library(spark, path)
+    except Unavailable:
+        documents, entries = spark.createDataFrame([], SCHEMA), spark.createDataFrame([], "document_id string, s_pos int, gram string")
     name = f"v-{uuid.uuid4().hex}"
     documents.join(good.select("document_id"), "document_id", "left_anti").unionByName(good).write.parquet(f"{path}/{name}/documents")
     added = spark.read.parquet(f"{path}/{name}/documents")
     replaced = entries.join(good.select("document_id"), "document_id", "left_anti")
     fresh = index(added.join(good.select("document_id"), "document_id", "left_semi"))
     replaced.unionByName(fresh.select(replaced.columns)).write.parquet(f"{path}/{name}/index")
-    place, system = _pointer(spark, path)
-    draft = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/draft-{name}.json")
-    out = system.create(draft, True)
-    out.write(bytearray(json.dumps({"version": VERSION, "tables": name}).encode()))
-    out.close()
-    system.delete(place, False)
-    system.rename(draft, place)
+    artifacts.write_text(spark, f"{path}/current-{number + 1}.json", json.dumps({"version": VERSION, "tables": name}))
     return checked.where(F.size("problems") > 0).select("document_id", "problems")
 
 
+def accepted(entries: DataFrame) -> DataFrame:
+    """One row: requested, accepted of acquisition entries with a status."""
+    return entries.agg(F.count("*").alias("requested"), F.count_if(F.col("status") == "accepted").alias("accepted"))
+
+
 def summary(documents: DataFrame) -> DataFrame:
     return documents.agg(F.count("*").alias("documents"), F.coalesce(F.sum("word_count"), F.lit(0)).alias("words"), F.max("indexed_at").alias("updated_at"))
 
@@ -115,14 +138,18 @@ def provenance_problems(documents: DataFrame) -> DataFrame:
     )
 
 
-def freeze(rows: DataFrame, path: str, keys: list[str]) -> None:
-    """Write split rows once, partitioned by split; an existing table or a leak between splits is an error."""
+def freeze(rows: DataFrame, path: str, keys: list[str], **told) -> dict:
+    """Write split rows once, partitioned by split, with a manifest of hashes and counts; a populated path or a leak between splits is an error."""
+    spark = rows.sparkSession
     require_empty(leaks(rows, keys), "values in several splits")
     rows.write.mode("errorifexists").partitionBy("split").parquet(path)
+    counts = {r["split"]: r["count"] for r in spark.read.parquet(path).groupBy("split").count().collect()}
+    return artifacts.write_manifest(spark, path, keys=keys, counts=counts, **told)
 
 
 def load_frozen(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """Frozen rows after the hash and leak checks."""
+    """Frozen rows after the checks of the files against their manifest, of the texts' hashes, and of leaks."""
+    artifacts.verified(spark, path)
     rows = spark.read.parquet(path)
     require_empty(rows.where(F.sha2("text", 256) != F.col("text_sha256")), "changed texts")
     require_empty(leaks(rows, keys), "values in several splits")
@@ -134,5 +161,6 @@ def json_report(rows: DataFrame) -> str:
     return json.dumps(rows.first().asDict(recursive=True), allow_nan=False, indent=2, default=str)
 
 
-def write_json_once(df: DataFrame, path: str) -> None:
-    df.write.mode("errorifexists").json(path)
+def write_report(rows: DataFrame, path: str) -> None:
+    """The JSON of a one-row report, as a file that appears whole."""
+    artifacts.write_text(rows.sparkSession, path, json_report(rows))

@@ -54,6 +54,53 @@ def read_labelled_csv(spark: SparkSession, path: str, dataset: str) -> DataFrame
     )
 
 
+def missing_parents(children: DataFrame, key: str, parents: DataFrame, parent_key: str | None = None) -> DataFrame:
+    """The distinct keys of ``children`` that no row of ``parents`` has, null among them."""
+    held = parents.select(F.col(parent_key or key).alias(key)).distinct()
+    return children.select(key).distinct().join(held, key, "left_anti")
+
+
+def read_essays(spark: SparkSession, essays: str, prompts: str, dataset: str) -> DataFrame:
+    """``read_labelled_csv`` whose prompts all stand in a second CSV with the column prompt_id."""
+    rows = read_labelled_csv(spark, essays, dataset)
+    known = spark.read.csv(prompts, header=True, multiLine=True, quote='"', escape='"').select(F.concat(F.lit(dataset + ":"), "prompt_id").alias("prompt_id"))
+    require_empty(missing_parents(rows, "prompt_id", known), "prompts not found")
+    return rows
+
+
+MAX_PREDICTION_ID, MAX_PREDICTION_TEXT = 256, 200_000
+
+
+def prediction_input_problems(records: DataFrame) -> DataFrame:
+    """id, problems array<string> of records (id, text) that a model may not be asked about.
+
+    A repeated id is a problem of each of its rows.
+    """
+    repeated = records.groupBy("id").count().where("count > 1").select("id", F.lit(True).alias("_repeated"))
+    rules = {
+        "id": ~F.coalesce(F.length("id").between(1, MAX_PREDICTION_ID), F.lit(False)), "repeated id": F.coalesce("_repeated", F.lit(False)),
+        "text": F.coalesce(F.trim("text"), F.lit("")) == "", "too long": F.length("text") > MAX_PREDICTION_TEXT, "invalid characters": ~F.is_valid_utf8("text"),
+    }
+    problems = F.array_compact(F.array(*(F.when(F.coalesce(rule, F.lit(False)), F.lit(name)) for name, rule in rules.items())))
+    return records.join(repeated, "id", "left").select("id", problems.alias("problems"))
+
+
+# What a release must say of its licence.
+RELEASE_LICENSE, RELEASE_STATEMENT = "Attribution 4.0 International (CC BY 4.0)", "licensed under CC BY 4.0"
+
+
+def release_problems(releases: DataFrame, ref: str, dataset: str) -> DataFrame:
+    """id, problems array<string> of releases (id, metadata as JSON, catalog): the two documents must agree on dataset and licence."""
+    told = lambda key: F.coalesce(F.get_json_object("metadata", f"$.{key}"), F.lit(""))
+    catalog = F.coalesce("catalog", F.lit(""))
+    rules = {
+        "identity": (told("ref") != ref) | (told("isPrivate") != "false"), "license": told("licenseName") != RELEASE_LICENSE,
+        "statement": ~told("description").contains(dataset) | ~told("description").contains(RELEASE_STATEMENT),
+        "catalog": ~catalog.contains(ref) | ~catalog.contains(f"{dataset} dataset is {RELEASE_STATEMENT}"),
+    }
+    return releases.select("id", F.array_compact(F.array(*(F.when(rule, F.lit(name)) for name, rule in rules.items()))).alias("problems"))
+
+
 def flatten_answers(rows: DataFrame, dataset: str, generator: str = "unnamed model") -> DataFrame:
     """One row an answer from question, human_answers, chatgpt_answers; position and group are kept."""
     numbered = rows.withColumn("row", F.monotonically_increasing_id()) if "row" not in rows.columns else rows

@@ -1,11 +1,12 @@
 import random
+import unicodedata
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from lexiloom.functions import text as T
-from lexiloom.operators import overlap
+from lexiloom.operators import corpus, overlap
 from lexiloom.plans import queries
 
 BASE = (
@@ -50,6 +51,53 @@ def test_utf16_offsets_and_displayed_text(spark):
     assert "🧪 Preface. ".join(["", BASE]).encode("utf-16-le")[2 * m.s_from : 2 * m.s_to].decode("utf-16-le") == m.s_span == BASE.rstrip(".")
 
 
+def test_decomposed_and_composed_spelling_match_from_the_first_word(spark):
+    composed = "École " + BASE.replace("revealed", "révélées").replace("depth", "ﬁn")
+    passages, library = frame(spark, [("p", unicodedata.normalize("NFD", composed))], "passage_id"), frame(spark, [("d", composed)], "document_id")
+    (m,) = overlap.displayed(overlap.find_overlaps(passages, library), passages, library).collect()
+    assert (m.kind, m.q_start, m.s_start, m.matched) == ("exact_text_overlap", 0, 0, len(composed.split()))
+    assert m.q_span == unicodedata.normalize("NFD", composed).rstrip(".") and m.s_span == composed.rstrip(".")
+
+
+def test_both_spellings_have_one_hash(spark):
+    rows = [(1, "x", "Café au lait"), (2, "x", unicodedata.normalize("NFD", "CAFÉ  au lait")), (3, "x", "cafe au lait"), (4, "x", "ﬁn Straße"), (5, "x", "FIN STRASSE")]
+    df = spark.createDataFrame(rows, "id int, label string, text string")
+    assert sorted(r.n for r in corpus.exact_groups(df, "id", "label", "text").collect()) == [1, 2, 2]
+
+
+def test_words_by_built_ins_equal_exact_ones(spark):
+    odd = ["ßẞ ß", "ΣΊΣΥΦΟΣ ς", "ŉ ŀ ĳ ſ µ ª", "İstanbul I", "ＦＵＬＬ ｗｉｄｔｈ", "ŽLUŤOUČKÝ kůň", "Ёлка йод", "漢字 かな", "a\u0301b c\u0327", "x²y ½", "O’Neil o'neil rock’n’roll", "", "ﬀ", "Ǆ ǆ"]
+    df = spark.createDataFrame([(x,) for x in odd], "t string")
+    for r in df.select("t", T.words(F.col("t")).alias("w"), T.tokens_exact("t").alias("e"), T.normalized(F.col("t")).alias("n"), T.normalized_exact("t").alias("m")).collect():
+        assert r.w == [x.value for x in r.e], r.t
+        assert r.n == r.m, r.t
+
+
+def test_thirty_equal_documents_are_partial_and_all_there_without_bounds(spark):
+    passages, library = frame(spark, [("p", BASE), ("q", "three little words")], "passage_id"), frame(spark, [(f"d{i:02}", BASE) for i in range(30)], "document_id")
+    matches, told = overlap.search(passages, library)
+    assert matches.count() == 24 and {r.status for r in matches.collect()} == {"partial"}
+    assert {(r.passage_id, r.status, r.matches, r.warning is None) for r in told.collect()} == {("p", "partial", 24, False), ("q", "insufficient_text", 0, True)}
+    matches, told = overlap.search(passages, library, overlap.EXACT)
+    assert matches.count() == 30 and {r.status for r in matches.collect()} == {"complete"}
+
+
+@pytest.mark.parametrize("bounds", [overlap.Bounds(hits=3), overlap.Bounds(documents=1), overlap.Bounds(runs=1), overlap.Bounds(pair_runs=1), overlap.Bounds(matches=1)])
+def test_every_bound_is_told(spark, bounds):
+    words = BASE.split()
+    twice = " ".join([*words, "unrelated filler stands here", *reversed(words)])
+    passages, library = frame(spark, [("p", twice)], "passage_id"), frame(spark, [("d", twice.replace("unrelated", "other").replace("stands", "sits")), ("e", BASE)], "document_id")
+    assert {r.status for r in overlap.search(passages, library)[1].collect()} == {"complete"}
+    assert {r.status for r in overlap.search(passages, library, bounds)[1].collect()} == {"partial"}
+
+
+def test_outcomes_without_a_library(spark):
+    passages = frame(spark, [("p", BASE)], "passage_id")
+    matches, told = overlap.search(passages, frame(spark, [], "document_id"))
+    assert matches.count() == 0 and [r.status for r in told.collect()] == ["empty"]
+    assert [r.status for r in overlap.unavailable(passages).collect()] == ["unavailable"]
+
+
 def test_decomposed_letters_are_one_word(spark):
     df = spark.createDataFrame([("Café straße A_b O’Neil",)], "t string")
     tokens = df.select(T.tokens_exact("t")).first()[0]

@@ -1,6 +1,8 @@
 import hashlib
+import json
 import math
 import zipfile
+from html.parser import HTMLParser
 
 import duckdb
 import pytest
@@ -10,8 +12,8 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from lexiloom import checks
 from lexiloom.functions import text as T
-from lexiloom.operators import baseline
-from lexiloom.sources import library, markup, records
+from lexiloom.operators import baseline, corpus
+from lexiloom.sources import artifacts, library, markup, records
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SF = "/root/testdata/sf0.001"
@@ -97,12 +99,133 @@ def test_library_replaces_and_rejects(spark, tmp_path):
     assert sum(library.provenance_problems(docs).first()) == 0
 
 
+def test_library_states_and_repeated_ids(spark, tmp_path):
+    schema = ", ".join(f"{k} string" for k in document("x"))
+    path = str(tmp_path / "lib")
+    assert library.status(spark, path) == "unavailable"
+    with pytest.raises(library.Unavailable):
+        library.open_library(spark, path)
+    library.upsert(spark, path, spark.createDataFrame([], schema))
+    assert library.status(spark, path) == "empty"
+    told = library.upsert(spark, path, spark.createDataFrame([document("a"), document("b"), document("b", text="another text of just these seven words")], schema))
+    assert [(r.document_id, r.problems) for r in told.collect()] == [("b", ["repeated"])] * 2
+    assert library.status(spark, path) == "ready" and [r.document_id for r in library.open_library(spark, path)[0].collect()] == ["a"]
+    for pointer in (tmp_path / "lib").glob("*current-*.json*"):
+        pointer.unlink()
+    with pytest.raises(checks.CheckFailed, match="pointer"):
+        library.open_library(spark, path)
+
+
+def test_two_writers_do_not_take_one_version(spark, tmp_path):
+    artifacts.write_text(spark, str(tmp_path / "current-1.json"), "{}")
+    with pytest.raises(checks.CheckFailed, match="taken"):
+        artifacts.write_text(spark, str(tmp_path / "current-1.json"), "[]")
+    assert artifacts.read_text(spark, str(tmp_path / "current-1.json")) == "{}"
+
+
+def test_incremental_sink(spark, tmp_path):
+    path = str(tmp_path / "out")
+    sink = artifacts.IncrementalSink(spark, path)
+    for n in (0, 1, 1):
+        sink.write(spark.createDataFrame([(n, "é")], "n int, t string"), n)
+    assert not artifacts.exists(spark, path) and sink.progress == {0: 1, 1: 1}
+    with pytest.raises(checks.CheckFailed, match="partial"):
+        artifacts.IncrementalSink(spark, path)
+    assert sink.finish() == 2 and sorted(r.n for r in spark.read.json(path).collect()) == [0, 1]
+    with pytest.raises(checks.CheckFailed, match="taken"):
+        artifacts.IncrementalSink(spark, path)
+
+
+def test_models_are_bound_to_their_files(spark, tmp_path):
+    rows = [(i, "good green words here today" if i % 2 else "bad red terms there now", i % 2) for i in range(40)]
+    df = spark.createDataFrame(rows, "id int, text string, label int")
+    model = baseline.train(df)
+    artifacts.save_model(model, str(tmp_path / "m"), seed=42)
+    again = artifacts.load_model(spark, str(tmp_path / "m"))
+    assert [r.score for r in baseline.predict(again, df).orderBy("id").collect()] == [r.score for r in baseline.predict(model, df).orderBy("id").collect()]
+    changed = next((tmp_path / "m" / "metadata").glob("part-*"))
+    changed.write_text(changed.read_text() + " ")
+    for crc in (tmp_path / "m" / "metadata").glob(".part-*"):
+        crc.unlink()
+    with pytest.raises(checks.CheckFailed, match="metadata"):
+        artifacts.load_model(spark, str(tmp_path / "m"))
+
+
+def test_essays_need_their_prompts(spark, tmp_path):
+    (tmp_path / "e.csv").write_text("id,prompt_id,text,generated\na,0,Hello,0\nb,1,Bye,1\n")
+    (tmp_path / "p.csv").write_text('prompt_id,prompt_name\n0,"A, b"\n')
+    with pytest.raises(checks.CheckFailed, match="prompts not found: 1"):
+        records.read_essays(spark, str(tmp_path / "e.csv"), str(tmp_path / "p.csv"), "DS")
+    (tmp_path / "p.csv").write_text("prompt_id,prompt_name\n0,x\n1,y\n")
+    assert records.read_essays(spark, str(tmp_path / "e.csv"), str(tmp_path / "p.csv"), "DS").count() == 2
+
+
+def test_fixtures_fail_as_a_whole(spark, tmp_path):
+    case = {"id": "a", "title": "t", "text": "x", "text_sha256": hashlib.sha256(b"x").hexdigest(), "provenance": {"kind": "made"}}
+    path = tmp_path / "c.json"
+    path.write_text(json.dumps([case, case | {"id": "b"}]))
+    assert records.verified_cases(spark, str(path), ["made"]).count() == 2
+    for wrong in ({"id": "a"}, {"id": "b", "text": "y"}, {"id": "b", "provenance": {"kind": "found"}}):
+        path.write_text(json.dumps([case, case | wrong]))
+        with pytest.raises(checks.CheckFailed):
+            records.verified_cases(spark, str(path), ["made"])
+
+
+def test_shown_scores(spark):
+    values = [0.0, 1.0, 0.5, 0.1, 1 / 3, 1e-7, 1.23456789012e-7, 0.00012, 0.000123456789012, 1.5, float("nan"), None]
+    df = spark.createDataFrame([(x,) for x in values], "x double")
+    assert [r[0] for r in df.select(T.shown_score(F.col("x"))).collect()] == [
+        "0.000000000", "1.000000000", "0.5000000000", "0.1000000000", "0.3333333333333333", "1.000000000e-7", "1.23456789012e-7", "0.0001200000000", "0.000123456789012",
+        "Unavailable", "Unavailable", "Unavailable",
+    ]
+
+
+def test_blob_ids_and_softmax(spark):
+    df = spark.createDataFrame([(bytearray(b"hello\n"), [800.0, 800.0]), (bytearray(b""), [float("inf"), 0.0])], "b binary, l array<double>")
+    assert [r[0] for r in df.select(T.git_blob_id(F.col("b"))).collect()] == ["ce013625030ba8dba906f756967f9e9ca394464a", "e69de29bb2d1d6434b8b29ae775ad8c2e48c5391"]
+    assert [r[0] for r in df.select(T.softmax_first(F.col("l"))).collect()] == [0.5, None]
+
+
+def test_digest_does_not_depend_on_order(spark):
+    df = spark.range(5_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("line"))
+    a, b = (corpus.digest(x, "id", F.col("line"), fan=16).first().sha256 for x in (df, df.repartition(7, "line")))
+    assert a == b != corpus.digest(df.where("id <> 77"), "id", F.col("line"), fan=16).first().sha256
+
+
+def test_page_text_is_that_of_a_plain_reader(spark):
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.out, self.skipped = [], 0
+
+        def handle_starttag(self, tag, attrs):
+            self.skipped += tag in markup.HTML_SKIPPED
+            self.out.append(" " if tag in markup.HTML_BLOCKS else "")
+
+        def handle_endtag(self, tag):
+            self.skipped -= tag in markup.HTML_SKIPPED
+            self.out.append(" " if tag in markup.HTML_BLOCKS else "")
+
+        def handle_data(self, data):
+            self.out.append("" if self.skipped else data)
+
+    for r in __spark_entry__.queries()["page_text"](spark, SF).join(spark.read.parquet(f"{SF}/pages.parquet"), "page_id").collect():
+        reader = Reader()
+        reader.feed(r.html)
+        reader.close()
+        assert r.text.split() == "".join(reader.out).split()
+
+
 def test_frozen_tables(spark, tmp_path):
     df = spark.createDataFrame([("a", "train"), ("b", "test")], "text string, split string").withColumn("text_sha256", F.sha2("text", 256))
     library.freeze(df, str(tmp_path / "f"), ["text_sha256"])
     assert library.load_frozen(spark, str(tmp_path / "f"), ["text_sha256"]).count() == 2
     with pytest.raises(Exception, match="exists"):
         library.freeze(df, str(tmp_path / "f"), ["text_sha256"])
+    part = next((tmp_path / "f" / "split=test").glob("part-*"))
+    part.unlink()
+    with pytest.raises(checks.CheckFailed, match="missing"):
+        library.load_frozen(spark, str(tmp_path / "f"), ["text_sha256"])
     with pytest.raises(checks.CheckFailed):
         library.freeze(df.unionByName(df.withColumn("split", F.lit("other"))), str(tmp_path / "g"), ["text_sha256"])
 

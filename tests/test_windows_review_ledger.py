@@ -1,5 +1,6 @@
 import json
 import random
+import time
 
 import pandas as pd
 import pytest
@@ -199,3 +200,45 @@ def test_gates_and_review_slots(spark):
     assert ledger.decide(book).first().decision == "block"
     assert [r.issue for r in ledger.blockers(book, "issue").collect()] == ["i"]
     assert ledger.decide(book.where(F.col("issue") != "i")).first().decision == "promote"
+
+
+def test_long_texts_are_split_in_linear_time():
+    for text, n in (("Short words stand here. " * 45_000, 45_000), ("a.b" * 350_000, 1), ("A. " * 300_000, 1), ("\n " * 500_000, 0), (". " * 200_000, 200_000)):
+        start = time.perf_counter()
+        assert len(review.split_sentences(text)) == n
+        assert time.perf_counter() - start < 5
+
+
+def test_stop_reasons(spark):
+    runs = {"a": ["x", "y", "y", "z"], "b": ["x", "+", "+"], "c": ["x", "y"], "d": []}
+    rows = [(k, i, "promote" if s == "+" else "block", s, 10.0 * i) for k, v in runs.items() for i, s in enumerate(v)]
+    df = spark.createDataFrame(rows, "run string, i int, decision string, signature string, elapsed double")
+    got = {r.run: (r.iterations, r.decision, r.stop_reason) for r in ledger.stop_reasons(df, "run", ["i"], 100).collect()}
+    assert got == {"a": (3, "block", "no_progress"), "b": (2, "promote", "promoted"), "c": (2, "block", "max_iterations")}
+    got = {r.run: (r.iterations, r.decision, r.stop_reason) for r in ledger.stop_reasons(df, "run", ["i"], 0).collect()}
+    assert got["a"] == (0, "block", "time_budget")
+
+
+def test_protocols(spark):
+    good = {"version": 1, "allowed_scripts": ["a.py"], "implementation_paths": ["src"], "input_paths": [], "checks": [{"id": "c", "script": "a.py"}], "gates": [{"id": "g", "description": "d", "check_ids": ["c"]}], "review_slots": []}
+    wrong = {
+        "version": good | {"version": 3}, "unknown fields": good | {"more": 1}, "no checks": good | {"checks": [], "gates": []}, "none required": good | {"checks": [{"id": "c", "script": "a.py", "required": False}]},
+        "outputs": good | {"checks": [{"id": "c", "script": "a.py", "output": "xml"}]}, "descriptions": good | {"gates": [{"id": "g", "description": " ", "check_ids": []}]}, "no implementation": good | {"implementation_paths": []},
+        "missing lists": {k: v for k, v in good.items() if k != "review_slots"},
+    }
+    df = spark.createDataFrame([("good", json.dumps(good)), *((k, json.dumps(v)) for k, v in wrong.items())], "id string, protocol string")
+    got = {r.id: r.problems for r in ledger.protocol_problems(df).collect()}
+    assert got.pop("good") == [] and all(k in v for k, v in got.items())
+
+
+def test_runs_of_other_versions_are_not_comparable(spark):
+    schema = "id int, score double, label string, model_revision string"
+    a = spark.createDataFrame([(1, 0.2, "x", "r1"), (2, 0.2, "x", "r1"), (3, 0.2, "x", "r1"), (4, None, "x", "r1")], schema)
+    b = spark.createDataFrame([(1, 0.3, "x", "r1"), (2, 0.3, "y", "r1"), (3, 0.2, "x", "r2"), (4, 0.1, "x", "r1"), (5, 0.1, "x", "r1")], schema)
+    got = {r.id: r.signal for r in windows.compare_runs(a, b).collect()}
+    assert got == {1: "Same signal", 2: "Signal changed", 3: "Not comparable", 4: "Not comparable", 5: "Not comparable"}
+
+
+def test_rollup_of_devices_and_time(spark):
+    df = spark.createDataFrame([(True, True, 5, "ok", "gpu", 10.0), (False, True, 7, "ok", "cpu", 2.5), (False, False, 9, "not_scored", None, None)], "truncated boolean, scheduled boolean, words int, status string, device string, milliseconds double")
+    assert tuple(windows.rollup(df).first()) == (1, 12, "not_scored,ok", "cpu,gpu", 12.5)
