@@ -94,14 +94,25 @@ def blocks(n: int, size: int | None = None) -> Iterator[tuple[int, int]]:
         yield at, min(at + size, n)
 
 
+def stable_order(values: np.ndarray) -> np.ndarray:
+    """A stable argsort of numbers from 0 on, by radix passes of 16 bits where two are enough."""
+    top = int(values.max()) if len(values) else 0
+    if top >= 1 << 32:
+        return np.argsort(values, kind="stable")
+    order = np.argsort(values.astype(np.uint16), kind="stable")
+    return order if top < 1 << 16 else order[np.argsort((values >> 16).astype(np.uint16)[order], kind="stable")]
+
+
 class Queue:
     """The priority queue of a pass: tuples in order of arrival for each range of characters.
 
     They are in memory while the store has room, else in one file, by parts.
     """
 
-    def __init__(self, store: Store, edges: np.ndarray, kind: type):
+    def __init__(self, store: Store, edges: np.ndarray, kind: type, top: int):
         self.store, self.edges, self.kind = store, edges, kind
+        # the range of each character, where a table of them is small
+        self.range_of = np.repeat(np.arange(len(edges), dtype=np.int16), np.diff(np.append(edges, top + 1))) if top < 1 << 20 else None
         self.parts: list[list] = [[] for _ in edges]
         self.waiting: list[tuple] = []
         self.count, self.file, self.bytes = 0, None, 0
@@ -118,8 +129,8 @@ class Queue:
             return
         columns = [np.concatenate(c) for c in zip(*self.waiting, strict=True)]
         self.waiting, self.count = [], 0
-        of = np.searchsorted(self.edges, columns[0], side="right") - 1
-        order = np.argsort(of.astype(np.int16), kind="stable")
+        of = (np.searchsorted(self.edges, columns[0], side="right") - 1).astype(np.int16) if self.range_of is None else self.range_of[columns[0]]
+        order = np.argsort(of, kind="stable")
         of, columns = of[order], [c[order] for c in columns]
         cuts = np.concatenate([[0], np.flatnonzero(of[1:] != of[:-1]) + 1, [len(of)]])
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
@@ -198,7 +209,7 @@ class _Carried:
 
     def batch(self, at: np.ndarray, target: np.ndarray) -> None:
         """Start a batch: the places of its sources and the buckets that they send to."""
-        order = np.argsort(target, kind="stable")
+        order = stable_order(target)
         self.at, self.own = at[order], target[order]
         first = np.ones(len(at), bool)
         first[1:] = self.own[1:] != self.own[:-1]
@@ -338,7 +349,7 @@ def induce(store: Store, text: np.ndarray, seeds: tuple[np.ndarray, np.ndarray,
     seed_place, seed_common, seed_character = seeds
     out = store.empty(count, kind), store.empty(count, np.uint8), store.empty(count, np.int32 if top < 2**31 else np.int64)
     edges = _edges(text, top, flipped)
-    queue, carried = Queue(store, edges, kind), _Carried(cap)
+    queue, carried = Queue(store, edges, kind, top), _Carried(cap)
     written, last_key, last_place, depth = 0, -1, 0, DEPTH
 
     def sent_of(places: np.ndarray) -> np.ndarray:
@@ -351,7 +362,7 @@ def induce(store: Store, text: np.ndarray, seeds: tuple[np.ndarray, np.ndarray,
         lo, hi = np.searchsorted(seed_character, edges[r]), np.searchsorted(seed_character, high)
         key = np.concatenate([2 * character, 2 * seed_character[lo:hi].astype(np.int64) + 1])
         place, common = np.concatenate([place, seed_place[lo:hi]]), np.concatenate([common, seed_common[lo:hi]])
-        order = np.argsort(key, kind="stable")
+        order = stable_order(key - 2 * edges[r])
         key, place, common = key[order], place[order], common[order]
         del character, order
         late = [np.zeros(0, np.int64), np.zeros(0, kind), np.zeros(0, np.uint8)]
@@ -371,7 +382,7 @@ def induce(store: Store, text: np.ndarray, seeds: tuple[np.ndarray, np.ndarray,
             mine = None
             if cut:
                 first = [np.concatenate([x, y[:cut]]) for x, y in zip(first, late, strict=True)]
-                mine = np.argsort(first[0], kind="stable")
+                mine = stable_order(first[0] - 2 * edges[r])
                 first = [x[mine] for x in first]
             batch = _Batch(sent_of, *first, limit, depth)
             depth = min(DEPTH, 2 * depth + 1) if batch.whole else 0
@@ -417,7 +428,7 @@ def induce(store: Store, text: np.ndarray, seeds: tuple[np.ndarray, np.ndarray,
             here = sent < high
             if here.any():
                 late = [np.concatenate(x) for x in zip(late, (2 * sent[here], p[here], shared[here]), strict=True)]
-                order = np.argsort(late[0], kind="stable")
+                order = stable_order(late[0] - 2 * edges[r])
                 late = [x[order] for x in late]
             queue.push(sent[~here], p[~here], shared[~here])
     queue.close()
@@ -466,7 +477,7 @@ def _merged(words: np.ndarray, items: np.ndarray, runs: list[tuple[int, int]]) -
         cuts = [h + int(np.searchsorted(words[h:e], bound, side="right")) for h, e in zip(heads, ends, strict=True)]
         w = np.concatenate([words[h:c] for h, c in zip(heads, cuts, strict=True)])
         i = np.concatenate([items[h:c] for h, c in zip(heads, cuts, strict=True)])
-        order = np.argsort(w, kind="stable")
+        order = np.argsort(w)
         heads = cuts
         yield w[order], i[order]
 
@@ -505,7 +516,7 @@ def named(store: Store, text: np.ndarray, characters: int, lms: np.ndarray) -> t
 
     for a, b in runs:
         word = _packed(text, *string(np.arange(a, b)), bits, per)
-        order = np.argsort(word, kind="stable")
+        order = np.argsort(word)
         words[a:b], items[a:b] = word[order], order + a
     order, names = store.empty(total, lms.dtype), store.empty(total, place_type(total))
     at, last, held_w, held_i = 0, -1, np.zeros(0, np.uint64), np.zeros(0, lms.dtype)

@@ -70,7 +70,7 @@ def minimizers(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int = GR
     h = words[:n] * U64(0x9E3779B97F4A7C15)
     for k in (*range(8, gram - 7, 8), gram - 8):
         h = (h ^ (h >> U64(31)) ^ words[k : k + n]) * U64(0xD6E8FEB86659FD93)
-    least, width, wanted = mix(h), 1, length - gram + 1
+    least, width, wanted = h, 1, length - gram + 1
     while width * 2 <= wanted:
         least = np.minimum(least[:-width], least[width:])
         width *= 2
@@ -158,31 +158,33 @@ def _contents(wanted: DataFrame, length: int, shards: int) -> DataFrame:
     """shard, doc, place, bytes of the stretches of each text (doc, tag, text, list); those of hot minimizers window by window."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        before = None
+        before = (None, None)
         for batch in batches:
-            for doc, tag, text, rows in zip(*batch.columns, strict=True):
-                if (doc.as_py(), tag.as_py()) == before:
-                    continue  # a repeated row
-                before = (doc.as_py(), tag.as_py())
-                data = text.as_buffer().to_pybytes()
-                raw, (least, place, hot) = np.frombuffer(data, np.uint8), (x.to_numpy(zero_copy_only=False) for x in rows.values.flatten())
-                size, start = place & ((1 << SIZE_BITS) - 1), place >> (SIZE_BITS + TAG_BITS)
-                one = np.where(hot, size, 1)
-                which = np.repeat(np.arange(len(place)), one)
-                step = np.arange(len(which)) - np.repeat(np.cumsum(one) - one, one)
-                start, size, cut = start[which] + step, np.where(hot, 1, size)[which], hot[which]
-                key = mix(least.view(U64)[which])
-                key[cut] = span_hashes(raw, start[cut], start[cut] + length)
-                place = ((start << TAG_BITS | tag.as_py()) << SIZE_BITS) | size
-                for a in range(0, len(place), 20_000):
-                    at = slice(a, a + 20_000)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array((key[at] % U64(shards)).astype(np.int64)), pa.array(np.full(len(place[at]), before[0])), pa.array(place[at]),
-                            pa.array([data[s : s + k + length - 1] for s, k in zip(start[at].tolist(), size[at].tolist(), strict=True)], pa.binary()),
-                        ],
-                        names=["shard", "doc", "place", "bytes"],
-                    )
+            docs, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            fresh = np.ones(len(docs), bool)  # a row may be repeated
+            fresh[1:] = (docs[1:] != docs[:-1]) | (tags[1:] != tags[:-1])
+            fresh[:1] = (docs[:1] != before[0]) | (tags[:1] != before[1]) if before[0] is not None else True
+            before = (docs[-1], tags[-1]) if len(docs) else before
+            batch = batch.filter(pa.array(fresh))
+            docs, tags, lists = docs[fresh], tags[fresh], batch.column(3)
+            raw, offsets = utf8(batch.column(2))
+            least, place, hot = (x.to_numpy(zero_copy_only=False) for x in lists.flatten().flatten())
+            row = np.repeat(np.arange(len(docs)), np.diff(lists.offsets.to_numpy()))
+            size, start = place & ((1 << SIZE_BITS) - 1), place >> (SIZE_BITS + TAG_BITS)
+            one = np.where(hot, size, 1)
+            which = np.repeat(np.arange(len(place)), one)
+            start = start[which] + np.arange(len(which)) - np.repeat(np.cumsum(one) - one, one)
+            size, cut, row = np.where(hot, 1, size)[which], hot[which], row[which]
+            key, at = mix(least.view(U64)[which]), start + offsets[row]
+            key[cut] = span_hashes(raw, at[cut], at[cut] + length)
+            place = ((start << TAG_BITS | tags[row]) << SIZE_BITS) | size
+            for lo in range(0, len(place), 20_000):
+                part = slice(lo, lo + 20_000)
+                width = size[part] + length - 1
+                ends = np.concatenate([[0], np.cumsum(width)])
+                data = raw[np.arange(ends[-1]) + np.repeat(at[part] - ends[:-1], width)]
+                content = pa.Array.from_buffers(pa.binary(), len(width), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
+                yield pa.RecordBatch.from_arrays([pa.array((key[part] % U64(shards)).astype(np.int64)), pa.array(docs[row[part]]), pa.array(place[part]), content], names=["shard", "doc", "place", "bytes"])
 
     return wanted.mapInArrow(run, "shard long, doc long, place long, bytes binary")
 
