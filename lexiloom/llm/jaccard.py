@@ -181,9 +181,14 @@ def signatures(docs: DataFrame, n: int, percent: int, levels: np.ndarray, light:
     return _texts(docs, id_col, text_col).mapInArrow(run, "id long, n_shingles long, class_key long, keys array<long>")
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """Columns of consecutive batches of rows sorted by their first column, never cutting a run of it."""
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], bool]]:
+    """Columns of rows sorted by their first column, a list a key, and whether the first list goes on from before.
+
+    A list of up to LIST_MEMBERS rows is never cut. Of a longer one that is, the first and the last row so far come
+    again before the rest of it.
+    """
     held: list[np.ndarray] | None = None
+    going = False
     for batch in batches:
         columns = [c.to_numpy() for c in batch.columns]
         if not len(columns[0]):
@@ -191,11 +196,17 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         if held is not None:
             columns = [np.concatenate([a, b]) for a, b in zip(held, columns, strict=True)]
         cut = int(np.searchsorted(columns[0], columns[0][-1], side="left"))
-        if cut:
-            yield [c[:cut] for c in columns]
-        held = [c[cut:] for c in columns]
+        long = len(columns[0]) - cut > LIST_MEMBERS or (going and cut == 0)
+        if long:
+            yield columns, going
+            held, going = [c[[cut, -1]] for c in columns], True
+        else:
+            if cut:
+                yield [c[:cut] for c in columns], going
+                going = False
+            held = [c[cut:] for c in columns]
     if held is not None and len(held[0]):
-        yield held
+        yield held, going
 
 
 def _list_edges(percent: int, light: int):
@@ -204,7 +215,7 @@ def _list_edges(percent: int, light: int):
     kind 0: a pair of an inverted list, which counts towards the pair's common elements.
     kind 1: edges enough to connect all members whose sizes allow links, from subsets of light sets,
     from lists of more than LIST_MEMBERS members, and from the members of other lists that need one
-    common element. Members come sorted by size; if two of them may link by size, so may all neighbours
+    common element. Members come by falling size; if two of them may link by size, so may all neighbours
     between them, so an edge to the first member or else to the one before keeps them connected.
     """
 
@@ -217,33 +228,36 @@ def _list_edges(percent: int, light: int):
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int32)), *(pa.array(np.ascontiguousarray(c)) for c in part.T)], names=["kind", "a", "b", "size"])
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for key, size, node in _runs(batches):
+        for (key, size, node), going in _lists(batches):
             every = np.arange(len(key))
             fresh = np.concatenate([[True], key[1:] != key[:-1]])
             starts = np.flatnonzero(fresh)
             length = np.diff(np.append(starts, len(key)))
+            first, before = np.repeat(starts, length), np.maximum(every - 1, 0)
+            long = length > LIST_MEMBERS
+            long[0] |= going
             listed = (key & 1) == 1
-            whole = np.repeat(length > LIST_MEMBERS, length) | ~listed
-            largest = np.repeat(size[starts + length - 1], length)
-            first = np.repeat(starts, length)
+            whole = np.repeat(long, length) | ~listed
+            fits = lambda larger: 100 * size >= percent * size[larger]
+            # subsets and long lists: to the first member or the one before; a list without a heavy set has no use
+            real = whole & ~fresh & ~(listed & (size[first] <= light))
+            ends = [(first, real & fits(first)), (before, real & ~fits(first) & fits(before))]
+            # other lists: the first member that needs one common element, which those before it and after it are tied to
             one = size < COMMON_SHARE
-            # of a short list: members up to the last one that needs one common element, and those after it that may link with that one
-            until = np.repeat(np.maximum.reduceat(np.where(one, every, -1), starts) if len(starts) else starts, length)
-            real = ~fresh & ~(listed & (largest <= light)) & (whole | (every <= until))
-            to_first = real & (100 * size[first] >= percent * size)
-            before = np.maximum(every - 1, 0)
-            to_before = real & ~to_first & (100 * size[before] >= percent * size)
-            to_until = ~whole & (until >= 0) & (every > until) & (size > light) & (100 * size[np.maximum(until, 0)] >= percent * size)
-            ends = [(first, to_first), (before, to_before), (until, to_until)]
-            yield from told(1, *(np.concatenate(x) for x in zip(*((node[end][real], node[real], size[end][real]) for end, real in ends), strict=True)))
-            at = np.flatnonzero(~whole & ~one)
+            lead = np.repeat(np.minimum.reduceat(np.where(one, every, len(key)), starts), length)
+            some = ~whole & (lead < len(key)) & (size[first] > light)
+            lead = np.minimum(lead, len(key) - 1)
+            real = some & (every > lead)
+            ends += [(lead, real & fits(lead)), (before, real & ~fits(lead) & fits(before)), (lead, some & (every < lead) & (100 * size[lead] >= percent * size))]
+            smaller = lambda end, real: np.minimum(size[end][real], size[real])
+            yield from told(1, *(np.concatenate(x) for x in zip(*((node[end][real], node[real], smaller(end, real)) for end, real in ends), strict=True)))
+            at = np.flatnonzero(~whole & (size > light))
             for d in range(1, LIST_MEMBERS):
                 at = at[at + d < len(key)]
-                at = at[(key[at] == key[at + d]) & (100 * size[at] >= percent * size[at + d])]
+                at = at[(key[at] == key[at + d]) & (100 * size[at + d] >= percent * size[at]) & ~one[at + d]]
                 if not len(at):
                     break
-                heavy = at[size[at + d] > light]
-                yield from told(0, node[heavy], node[heavy + d], size[heavy])
+                yield from told(0, node[at], node[at + d], size[at + d])
 
     return run
 
@@ -351,7 +365,7 @@ def _passing(texts: DataFrame, wanted: Bloom) -> DataFrame:
 
 def candidates(classes: DataFrame, percent: int, light: int) -> DataFrame:
     """a, b: edges between classes (key arrays ``keys``) that connect all that may link."""
-    listed = classes.select(F.explode("keys").alias("key"), "size", "node").repartition("key").sortWithinPartitions("key", "size", "node")
+    listed = classes.select(F.explode("keys").alias("key"), "size", "node").repartition("key").sortWithinPartitions("key", F.desc("size"), "node")
     found = listed.mapInArrow(_list_edges(percent, light), "kind int, a long, b long, size long").groupBy("kind", "a", "b", "size").count()
     return found.where((F.col("kind") == 1) | (F.col("count") >= common_elements(F.col("size")))).select("a", "b").where("a <> b").distinct()
 

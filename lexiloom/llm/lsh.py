@@ -1,6 +1,6 @@
 """Approximate nearest neighbours by inner product with multiprobe p-stable hashing.
 
-Vectors are parted into bands by their norms, each half the one before; those of a band are scaled by its
+Vectors are parted into bands by their norms, each 0.71 times the one before; those of a band are scaled by its
 largest norm and given one more component that takes them to the unit sphere, queries are normalised and
 get a zero there. Each band has tables of its own, so one long vector does not crowd the others. The order of Euclidean distances between them
 is then that of inner products, which Gaussian (2-stable) projections hash: a table's key is the
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from lexiloom.storage import Scratch
 
 #: Entries of a group of buckets that one task holds, queries that it handles at once, and bands of norms; the last one is open.
-GROUP_ROWS, BLOCK_ROWS, BANDS = 32_768, 128, 8
+GROUP_ROWS, BLOCK_ROWS, BANDS = 32_768, 128, 16
 
 
 @dataclass(frozen=True)
@@ -122,7 +122,7 @@ def _hash_entries(settings: Settings, dimension: int, top: float, prefix: int):
         a, b = _family(settings, dimension + 1)
         for batch in batches:
             band = batch.column(3).to_numpy()
-            x = _scaled(batch.column(2), top - band)
+            x = _scaled(batch.column(2), top - band / 2)
             x = np.hstack([x, np.sqrt(np.maximum(0.0, 1 - (x * x).sum(1)))[:, None]])
             for t in range(settings.tables):
                 cells = np.floor((x @ a[t] + b[t]) / settings.width).astype(np.int64)
@@ -247,7 +247,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int, settings: Settings = Se
         found = entries.agg(F.count("*").alias("n"), F.max("level").alias("top")).first()
         if not found["n"]:
             return vectors.sparkSession.createDataFrame([], names)
-        band = F.least(F.floor(F.lit(found["top"]) - F.col("level")), F.lit(BANDS - 1)).cast("int")
+        band = F.least(F.floor(2 * (F.lit(found["top"]) - F.col("level"))), F.lit(BANDS - 1)).cast("int")
         entries = entries.withColumn("band", F.greatest(band, F.lit(0)))
         bands = sorted(r[0] for r in entries.select("band").distinct().collect())
         # about five cells hold the bulk of a projection

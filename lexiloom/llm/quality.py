@@ -7,8 +7,8 @@ sample; every document is then scored in one map, with its expected grade and th
 P(grade >= 2), by which it is kept or rejected.
 
 Defined results: a null text counts as empty (its only features are those of an empty text); a
-document with a null id is scored too; null labels are left out, and a document labelled more than
-once has its lowest grade; without any usable labels all weights are zero, the tail probability is
+document with a null id is scored too, and repeated rows are each scored; a very long text is scored by all its
+features; null labels are left out, and a document labelled more than once has its lowest grade; without any usable labels all weights are zero, the tail probability is
 that of the smoothed grade counts, and nothing is rejected; an empty table gives an empty result.
 """
 
@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.vectext import LOWER, SLICE_BYTES, slices, span_hashes, utf8, words
+from lexiloom.llm.vectext import LOWER, SLICE_BYTES, mix, slices, span_hashes, utf8, words
 from lexiloom.storage import small_batches
 
-#: Hashed features, grades, and labelled rows that the fit may use.
-FEATURE_BITS, GRADES, SAMPLE_ROWS = 18, 3, 12_000
+#: Hashed features, grades, labelled rows that the fit may use, and features of each: of a longer text those with the least hashes.
+FEATURE_BITS, GRADES, SAMPLE_ROWS, SAMPLE_FEATURES = 18, 3, 12_000, 4_096
 #: Features in fewer sampled documents keep a weight of zero.
 MIN_DOCUMENTS = 20
 
@@ -107,6 +107,29 @@ class OrdinalModel:
         return self.tails(scores).sum(1)
 
 
+def objective(theta: np.ndarray, rows: np.ndarray, column: np.ndarray, grades: np.ndarray, weight: np.ndarray, ridge: float, levels: int = GRADES) -> tuple[float, np.ndarray]:
+    """The penalised negative log-likelihood and its gradient by theta: weights, first threshold, logarithms of the distances of the others."""
+    n, used = len(grades), len(theta) - levels + 1
+    w, first, gaps = theta[:used], theta[used], theta[used + 1 :]
+    cuts = np.concatenate([[first], first + np.cumsum(np.exp(gaps))])
+    s = np.bincount(rows, weights=w[column], minlength=n)
+    edges = np.concatenate([np.zeros((n, 1)), logistic(cuts[None, :] - s[:, None]), np.ones((n, 1))], axis=1)
+    at = np.arange(n)
+    hi, lo = edges[at, grades + 1], edges[at, grades]
+    p = np.maximum(hi - lo, 1e-9)
+    slope_hi, slope_lo = hi * (1 - hi) / p, lo * (1 - lo) / p
+    by_score = weight * (slope_hi - slope_lo)
+    by_cut = np.zeros(levels - 1)
+    for k in range(levels - 1):
+        by_cut[k] = -(weight[grades == k] * slope_hi[grades == k]).sum() + (weight[grades == k + 1] * slope_lo[grades == k + 1]).sum()
+    grad = np.concatenate([
+        np.bincount(column, weights=by_score[rows], minlength=used) + ridge * w,
+        [by_cut.sum()],
+        np.cumsum(by_cut[::-1])[::-1][1:] * np.exp(gaps),
+    ])
+    return float(-(weight * np.log(p)).sum() + ridge * (w @ w) / 2), grad
+
+
 def fit(rows: np.ndarray, feature: np.ndarray, grades: np.ndarray, size: int = 1 << FEATURE_BITS, levels: int = GRADES, ridge: float = 0.0002, steps: int = 250, most: float = 2.0, rate: float = 0.05) -> OrdinalModel:
     """Full-batch Adam on the mean penalised log-likelihood; classes weigh alike up to a factor of ``most``.
 
@@ -128,24 +151,8 @@ def fit(rows: np.ndarray, feature: np.ndarray, grades: np.ndarray, size: int = 1
     w, first, gaps = np.zeros(len(used)), start[0], np.log(np.maximum(np.diff(start), 0.1))
     theta = np.concatenate([w, [first], gaps])
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    at = np.arange(n)
     for step in range(1, steps + 1):
-        w, first, gaps = theta[: len(used)], theta[len(used)], theta[len(used) + 1 :]
-        cuts = np.concatenate([[first], first + np.cumsum(np.exp(gaps))])
-        s = np.bincount(rows, weights=w[column], minlength=n)
-        edges = np.concatenate([np.zeros((n, 1)), logistic(cuts[None, :] - s[:, None]), np.ones((n, 1))], axis=1)
-        hi, lo = edges[at, grades + 1], edges[at, grades]
-        p = np.maximum(hi - lo, 1e-9)
-        slope_hi, slope_lo = hi * (1 - hi) / p, lo * (1 - lo) / p
-        by_score = weight * (slope_hi - slope_lo)  # of the negative log-likelihood by s
-        by_cut = np.zeros(levels - 1)
-        for k in range(levels - 1):
-            by_cut[k] = -(weight[grades == k] * slope_hi[grades == k]).sum() + (weight[grades == k + 1] * slope_lo[grades == k + 1]).sum()
-        grad = np.concatenate([
-            np.bincount(column, weights=by_score[rows], minlength=len(used)) + ridge * w,
-            [by_cut.sum()],
-            np.cumsum(by_cut[::-1])[::-1][1:] * np.exp(gaps),
-        ])
+        _, grad = objective(theta, rows, column, grades, weight, ridge, levels)
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         theta = theta - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-10)
     weights = np.zeros(size)
@@ -179,6 +186,7 @@ def sampled_features(docs: DataFrame, grades: DataFrame, id_col: str = "doc_id",
             raw, offsets = utf8(batch.column(1))
             for lo, hi in slices(offsets, SLICE_BYTES):
                 rows, feature = features(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                rows, feature = _bounded(rows, feature, hi - lo)
                 ends = np.searchsorted(rows, np.arange(hi - lo + 1))
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(feature, pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), lists], names=[id_col, "grade", "features"])
@@ -186,6 +194,16 @@ def sampled_features(docs: DataFrame, grades: DataFrame, id_col: str = "doc_id",
     return joined.select(id_col, text_col, "grade").mapInArrow(run, f"{id_col} long, grade int, features array<int>")
 
 
+def _bounded(rows: np.ndarray, feature: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At most SAMPLE_FEATURES features of each row."""
+    if not len(rows) or np.bincount(rows, minlength=n).max() <= SAMPLE_FEATURES:
+        return rows, feature
+    order = np.lexsort((mix(feature.astype(np.uint64)), rows))
+    first = np.searchsorted(rows, rows)
+    kept = np.sort(order[np.arange(len(rows)) - first < SAMPLE_FEATURES])
+    return rows[kept], feature[kept]
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> OrdinalModel:
     """Fit on the bounded sample, on the driver."""
     got = sampled_features(docs, graded(labels, id_col), id_col, text_col, sample_rows).toArrow()

@@ -40,7 +40,7 @@ from lexiloom.llm.vectext import SLICE_BYTES, U64, mix, slices, span_hashes, utf
 from lexiloom.storage import Scratch, batch_rows, small_batches
 
 #: Bytes of a gram, windows of a stretch at most, bytes of stretches in a shard, and the share of all rows that makes a key hot.
-GRAM, STRETCH, SHARD_BYTES, HOT_SHARE = 20, 64, 4 << 20, 1_000
+GRAM, STRETCH, SHARD_BYTES, HOT_SHARE = 20, 64, 1 << 20, 1_000
 #: Distinct stretches of a minimizer that are never cut up, and rows of Arrow batches of texts' stretches.
 HOT_LEAST, NUMBER_ROWS = 1 << 15, 4_000
 #: A null id in comparisons.

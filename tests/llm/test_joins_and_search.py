@@ -363,3 +363,14 @@ def test_lsh_of_very_large_and_very_small_vectors(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int")
     got = {(r.query_id, r.vec_id): r.score for r in lsh.nearest(df, F.col("vec_id") % 2 == 0, 3, lsh.Settings(tables=8, projections=1, width=8.0, probes=8)).collect()}
     assert got[0, 1] == float("inf") and got[0, 3] == 1e200 * 2e-200 and {q for q, _ in got} == {0, 2} and len(got) == 6
+
+
+def test_jaccard_of_very_long_texts(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(100_000)]
+    other = list(words)
+    for k in range(0, len(words), 400):
+        other[k] = "changed"
+    rows = [(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(words[:50_000])), (4, "one two")]
+    got = {r.doc_id: r.component_id for r in jaccard.similar_classes(texts(spark, rows)).collect()}
+    assert got == brute.jaccard_components(rows)[1] == {1: 1, 2: 1, 3: 3, 4: 4}

@@ -39,6 +39,65 @@ def test_grades_are_learnt(spark):
     assert means[0] < means[1] < means[2]
 
 
+def tiny(seed, n=60, f=5):
+    rng = np.random.default_rng(seed)
+    x = rng.random((n, f)) < 0.4
+    grades = np.clip(np.round(x @ np.linspace(-1, 2, f) + rng.normal(0, 0.5, n)), 0, 2).astype(np.int64)
+    rows, column = np.nonzero(x)
+    return rows, column, grades, np.full(n, 1 / n)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_gradient_equals_finite_differences(seed):
+    rows, column, grades, weight = tiny(seed)
+    theta = np.random.default_rng(seed).normal(0, 1, 5 + 2)
+    _, grad = quality.objective(theta, rows, column, grades, weight, 0.01)
+    for k in range(len(theta)):
+        step = np.zeros_like(theta)
+        step[k] = 1e-6
+        slope = (quality.objective(theta + step, rows, column, grades, weight, 0.01)[0] - quality.objective(theta - step, rows, column, grades, weight, 0.01)[0]) / 2e-6
+        assert grad[k] == pytest.approx(slope, abs=1e-6)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_fit_is_as_good_as_a_plain_search(seed):
+    """Against a random descent on the likelihood, written out from its definition."""
+    rows, column, grades, weight = tiny(seed, 90)
+    x = np.zeros((90, 5))
+    x[rows, column] = 1
+    counts = np.bincount(grades, minlength=3)
+    weight = np.minimum(counts.max() / counts, 2.0)[grades]
+    weight /= weight.sum()
+
+    def loss(w, low, high):
+        s = x @ w
+        below = np.stack([np.zeros(90), 1 / (1 + np.exp(s - low)), 1 / (1 + np.exp(s - high)), np.ones(90)], 1)
+        p = below[np.arange(90), grades + 1] - below[np.arange(90), grades]
+        return -(weight * np.log(np.maximum(p, 1e-9))).sum() + 0.01 * (w @ w) / 2
+
+    rng = np.random.default_rng(seed)
+    best, at, size = np.inf, np.zeros(7), 1.0
+    for _ in range(12_000):
+        new = at + rng.normal(0, size, 7)
+        if new[6] > new[5] and (value := loss(new[:5], new[5], new[6])) < best:
+            best, at = value, new
+        size = max(0.997 * size, 0.01)
+    model = quality.fit(rows, column, grades, size=5, ridge=0.01, steps=600)
+    assert loss(model.weights, *model.thresholds) <= best + 0.005
+
+
+def test_very_long_and_repeated_rows_are_scored(spark):
+    docs, labels = made(random.Random(2), 600)
+    rng = random.Random(3)
+    long = " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(120_000))
+    df = spark.createDataFrame([*docs, (9_000, long), docs[5], docs[5]], "doc_id long, text string")
+    held = spark.createDataFrame([*labels, (9_000, 1, 0)], "doc_id long, quality int, toxic int")
+    got = quality.sampled_features(df, quality.graded(held)).where("doc_id = 9000").first()
+    assert len(got.features) == quality.SAMPLE_FEATURES
+    told = quality.score(df, quality.train(df, held)).collect()
+    assert len(told) == 603 and len({r.score for r in told if r.doc_id == docs[5][0]}) == 1 and sum(r.doc_id == 9_000 for r in told) == 1
+
+
 def test_held_out_accuracy_on_the_documents(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     fold = F.pmod(F.xxhash64("doc_id"), F.lit(4))
