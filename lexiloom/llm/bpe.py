@@ -152,21 +152,17 @@ def encode_parts(
 ) -> tuple[DataFrame, DataFrame]:
     """Pieces of the texts of one chunk, and pieces of the longer texts.
 
-    One row per piece: row_key long, the id, piece_no int, ids binary (little-endian uint32).
+    One row per piece: row_key string (null for texts of one chunk), the id, piece_no int, ids binary (little-endian uint32).
 
     A text of up to ``chunk + overlap`` characters is its own single chunk and never leaves its
     task. The chunks of longer texts are dealt over the cluster twice, once to pre-tokenise and
     once to encode; between, the boundaries of one text meet in one task for the stitch. Every
-    text has a piece 0, also an empty one. Rows are told apart by row_key, so repeated ids
-    and repeated rows keep their own pieces.
+    text has a piece 0, also an empty one. Longer texts are told apart by their id and a digest, which a task that
+    is run again gives again; repeated rows of one are encoded once, and each has pieces of its own in the result.
     """
-    base = docs.select(
-        F.monotonically_increasing_id().alias("row_key"),
-        F.col(id_col).cast("long").alias("id"),
-        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-    )
-    schema = pa.schema([("row_key", pa.int64()), ("id", pa.int64()), ("piece_no", pa.int32()), ("ids", pa.binary())])
-    ddl = "row_key long, id long, piece_no int, ids binary"
+    base = docs.select(F.lit(None).cast("string").alias("row_key"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    schema = pa.schema([("row_key", pa.string()), ("id", pa.int64()), ("piece_no", pa.int32()), ("ids", pa.binary())])
+    ddl = "row_key string, id long, piece_no int, ids binary"
     limit = chunk + overlap
 
     def short(batches):
@@ -180,7 +176,7 @@ def encode_parts(
 
     def cut(batches):
         c = codec(ranks_path, pattern)
-        out = pa.schema([("row_key", pa.int64()), ("id", pa.int64()), ("start", pa.int64()), ("text", pa.string()), ("ends", pa.binary())])
+        out = pa.schema([("row_key", pa.string()), ("id", pa.int64()), ("start", pa.int64()), ("text", pa.string()), ("ends", pa.binary())])
 
         def make(key, doc, start, text):
             ends = boundaries(c, text, start)
@@ -197,7 +193,7 @@ def encode_parts(
         parts = [(s, s + len(x), np.frombuffer(e, np.int64)) for s, x, e in zip(starts, texts, group["ends"].to_pylist(), strict=True)]
         ranges = piece_ranges(stitch(c, whole, parts), chunk)
         return pa.table({
-            "row_key": pa.array([key] * len(ranges), pa.int64()),
+            "row_key": pa.array([key] * len(ranges), pa.string()),
             "id": pa.array([doc] * len(ranges), pa.int64()),
             "piece_no": pa.array(range(len(ranges)), pa.int32()),
             "text": pa.array([whole[a:b] for a, b in ranges], pa.string()),
@@ -213,14 +209,17 @@ def encode_parts(
         yield from _rows(batches, schema, make)
 
     whole = base.where(F.length("text") <= limit).mapInArrow(short, ddl)
-    long = base.where(F.length("text") > limit)
+    long = base.where(F.length("text") > limit).groupBy("id", F.sha2("text", 256).alias("sha")).agg(F.first("text").alias("text"), F.count("*").cast("string").alias("rows"))
+    long = long.select(F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("")), "sha", "rows").alias("row_key"), "id", "text")
     size = F.length("text")
     chunks = long.select(
         "row_key", "id", "text", F.explode(F.sequence(F.lit(0).cast("long"), (size - overlap - 1).cast("long"), F.lit(chunk).cast("long"))).alias("start")
     ).select("row_key", "id", "start", F.expr(f"substring(text, cast(start + 1 as int), {limit})").alias("text"))
-    cut_chunks = chunks.repartition(F.xxhash64("row_key", "start")).mapInArrow(cut, "row_key long, id long, start long, text string, ends binary")
-    pieces = cut_chunks.groupBy("row_key").applyInArrow(join, "row_key long, id long, piece_no int, text string")
+    cut_chunks = chunks.repartition(F.xxhash64("row_key", "start")).mapInArrow(cut, "row_key string, id long, start long, text string, ends binary")
+    pieces = cut_chunks.groupBy("row_key").applyInArrow(join, "row_key string, id long, piece_no int, text string")
     encoded = pieces.repartition(F.xxhash64("row_key", "piece_no")).mapInArrow(encode, ddl)
+    copies = F.explode(F.sequence(F.lit(1), F.element_at(F.split("row_key", ":"), -1).cast("int")))
+    encoded = encoded.select("*", copies.alias("copy")).select(F.concat_ws("#", "row_key", "copy").alias("row_key"), "id", "piece_no", "ids")
     return whole.withColumnRenamed("id", id_col), encoded.withColumnRenamed("id", id_col)
 
 

@@ -14,8 +14,9 @@ back. Control strings start with ``[`` or ``<`` and have neither later on, so a
 never make another.
 
 Defined results: null texts and roles count as empty; equal (tree, turn) rows are ordered by role and
-text, so repeated rows are turns of their own; a message whose parent is missing is a root; a tree with
-a null id is a conversation of its own; an empty table gives an empty result; other columns are left aside.
+text, so repeated rows are turns of their own; of replies with equal (tree, node) the first by parent, score, role
+and text stays; a message whose parent is missing is a root; a tree with a null id is a conversation of its own; a very
+long text is escaped whole; an empty table gives an empty result; other columns are left aside.
 """
 
 from __future__ import annotations
@@ -83,13 +84,21 @@ def as_replies(conversations: DataFrame) -> DataFrame:
     return base.select("tree", place.cast("long").alias("node"), (place - 1).cast("long").alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
 
+def distinct_replies(replies: DataFrame) -> DataFrame:
+    """``replies`` with one row for each (tree, node); they are only sorted if some are repeated."""
+    if replies.groupBy("tree", "node").count().where("count > 1").isEmpty():
+        return replies
+    place = F.row_number().over(Window.partitionBy("tree", "node").orderBy("parent", "score", "role", "text"))
+    return replies.select("tree", "node", "parent", "role", "text", "score", place.alias("n")).where("n = 1").drop("n")
+
+
 def root_paths(replies: DataFrame, branches: int | None = 1) -> DataFrame:
     """tree, leaf, rank, node, place: the paths of the ``branches`` best leaves of each tree, all leaves for None.
 
     A leaf's rank in its tree is by the mean score of its path, best first, ties to the longer path and
     then the smaller leaf. Each doubling step is written to the shared folder before the next; messages
     whose root is reached take no further part in it.
-    Messages that reply to one another in a circle have no root and are left out.
+    Messages that reply to one another in a circle have no root and are left out. (tree, node) must be distinct.
     """
     nodes = replies.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
     known = nodes.select(F.col("tree").alias("t"), F.col("node").alias("n"))
@@ -129,6 +138,7 @@ def format_paths(replies: DataFrame, branches: int | None = 1) -> DataFrame:
     ``loss`` has the start and stop, in code points of ``formatted``, of each range under the loss mask.
     The turns of a path meet sorted in one partition and are formatted as they stream by.
     """
+    replies = distinct_replies(replies)
     texts = replies.select(F.col("tree").alias("t"), F.col("node").alias("n"), "role", "text")
     paths = root_paths(replies, branches)
     turns = paths.join(texts, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")))

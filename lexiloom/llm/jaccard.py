@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.llm.bloom import Bloom, bloom
-from lexiloom.llm.vectext import SLICE_BYTES, U64, mix, shingle_hashes, slices, utf8
+from lexiloom.llm.vectext import SLICE_BYTES, U64, give_back, mix, shingle_hashes, slices, utf8
 from lexiloom.operators.linking import connected_components
 from lexiloom.storage import Scratch, small_batches
 
@@ -177,6 +177,7 @@ def signatures(docs: DataFrame, n: int, percent: int, levels: np.ndarray, light:
                     ],
                     names=["id", "n_shingles", "class_key", "keys"],
                 )
+        give_back()
 
     return _texts(docs, id_col, text_col).mapInArrow(run, "id long, n_shingles long, class_key long, keys array<long>")
 

@@ -17,6 +17,7 @@ gives an empty result; repeated rows are each reported; other columns are left a
 
 from __future__ import annotations
 
+import bisect
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -147,6 +148,7 @@ class Scanner:
         self.labels = [label for label, _ in templates]
         texts = [split_words(text.encode()) for _, text in templates]
         self.sizes = [len(x) for x in texts]
+        self.least = min([min_match, *self.sizes])
         base = [(split_words(phrase.encode()), label) for phrase, label in phrases.items()]
         self.n_templates = len(texts)
         strings = texts + [words for words, _ in base]
@@ -157,6 +159,8 @@ class Scanner:
         self.pairs = np.zeros((size, size), bool)
         for x in coded:
             self.pairs[x[:-1], x[1:]] = True
+        self.alone = np.zeros(size, bool)
+        self.alone[[x[0] for x in coded if len(x) == 1]] = True
         # phrases that end at a state, by the suffix links above their own states
         own = {self.automaton.ends_of[self.n_templates + k]: (len(words), label) for k, (words, label) in enumerate(base)}
         self.phrase_ends: list[tuple[tuple[int, str], ...]] = []
@@ -169,12 +173,19 @@ class Scanner:
             self.phrase_ends.append(tuple(found))
 
     def runs(self, ids: np.ndarray) -> list[tuple[int, int]]:
-        """Ranges of words whose neighbours are neighbours in some template."""
+        """Ranges of words whose neighbours are neighbours in some template, and single words that are one."""
         near = self.pairs[ids[:-1], ids[1:]]
-        if not near.any():
-            return []
         edge = np.diff(np.concatenate([[0], near.view(np.int8), [0]]))
-        return list(zip(np.flatnonzero(edge == 1).tolist(), (np.flatnonzero(edge == -1) + 1).tolist(), strict=True))
+        start, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) + 1
+        single = np.flatnonzero(self.alone[ids])
+        if len(single):
+            inside = np.searchsorted(stop, single, side="right")
+            covered = (inside < len(start)) & (np.append(start, len(ids))[inside] <= single)
+            single = single[~covered]
+            start, stop = np.concatenate([start, single]), np.concatenate([stop, single + 1])
+            order = np.argsort(start)
+            start, stop = start[order], stop[order]
+        return list(zip(start.tolist(), stop.tolist(), strict=True))
 
     def scan(self, runs: list[tuple[int, int, list[int]]]) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str, float]], float]:
         """Base places (start, end, label), template spans (start, end, label, share covered), best share."""
@@ -198,27 +209,32 @@ class Scanner:
 
     def _place(self, matches: dict, match: tuple[int, int, int]) -> None:
         state, length, at = match
-        if length >= self.min_match:
+        if length >= self.least:
             for number, end in self.automaton.places[state]:
-                if number < self.n_templates:
+                if number < self.n_templates and length >= min(self.min_match, self.sizes[number]):
                     matches[number].append((at - length + 1, end - length + 1, length))
 
     def _chains(self, found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        """Best chain to each match: it follows an earlier one in text and template within the gap."""
+        """Best chain to each match: it follows an earlier one in text and template within the gap.
+
+        Chains that end further back than the gap are out of reach of all later matches, so few are looked at.
+        """
         chains: list[tuple[int, int, int, int]] = []  # text start, text end, template end, covered
+        near: list[tuple[int, int, int, int]] = []
         for at, place, length in found:
             best = (at, at + length, place + length, length)
-            for start, end, template_end, covered in reversed(chains):
-                if end < at - self.max_gap - length:
-                    continue
+            near = [c for c in near if c[1] >= at - self.max_gap]
+            for start, end, template_end, covered in reversed(near):
                 cut = max(end - at, template_end - place, 0)
                 if cut < length and at + cut - end <= self.max_gap and place + cut - template_end <= self.max_gap and covered + length - cut > best[3]:
                     best = (start, at + length, place + length, covered + length - cut)
             chains.append(best)
-        tops: list[tuple[int, int, int]] = []
+            near.append(best)
+        tops: list[tuple[int, int, int]] = []  # apart from one another, by their starts
         for start, end, _, covered in sorted(chains, key=lambda c: (-c[3], c[0])):
-            if all(end <= s or start >= e for s, e, _ in tops):
-                tops.append((start, end, covered))
+            k = bisect.bisect(tops, (start, end, covered))
+            if (k == 0 or tops[k - 1][1] <= start) and (k == len(tops) or end <= tops[k][0]):
+                tops.insert(k, (start, end, covered))
         return tops
 
 
@@ -249,7 +265,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 first = np.concatenate([[0], cuts + 1])
                 sizes = np.concatenate([cuts, [len(ids)]]) - first
                 by_text = defaultdict(list)
-                for a, b in scanner.runs(ids) if len(ids) > 1 else []:
+                for a, b in scanner.runs(ids):
                     k = int(np.searchsorted(first, a, side="right")) - 1
                     at = int(a - first[k])
                     by_text[k].append((at, at + b - a, ids[a:b].tolist()))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.vectext import LOWER, SLICE_BYTES, mix, slices, span_hashes, utf8, words
+from lexiloom.llm.vectext import LOWER, SLICE_BYTES, give_back, mix, slices, span_hashes, utf8, words
 from lexiloom.storage import small_batches
 
 #: Hashed features, grades, labelled rows that the fit may use, and features of each: of a longer text those with the least hashes.
@@ -254,5 +254,6 @@ def kept_documents(docs: DataFrame, model: OrdinalModel, text_col: str = "text",
                     yield batch.slice(lo, hi - lo).filter(pa.array(own.tails(s)[:, -1] >= keep_at))
                 else:
                     yield batch.slice(lo, hi - lo)
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)

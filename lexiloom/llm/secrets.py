@@ -11,8 +11,9 @@ Offsets come from splitting a text by a pattern: the lengths of the parts betwee
 and of the matches add up to their starts. Texts without a match take none of these steps.
 
 Defined results: a null text counts as empty and has no spans (its base_sha256 is that of the empty
-string); repeated rows are each reported; an empty table gives an empty result; other columns are
-left aside by the scan and kept by the redaction.
+string); repeated rows are each reported; of overlapping spans of one start the kind listed first comes first; a very
+long text is scanned whole, and the work on it grows with its length and its spans; an empty table gives an empty
+result; other columns are left aside by the scan and kept by the redaction, whatever their names.
 """
 
 from __future__ import annotations
@@ -125,6 +126,32 @@ def log_odds(token: Column, table: list[float]) -> Column:
 
 
 _SPAN = "array<struct<at:int,kind:int,stop:int,token:string>>"
+#: Members of a block of an array that is built by adding to its end; blocks keep the copying linear.
+ADDED = 256
+
+
+def _in_blocks(items: Column) -> Column:
+    """An array cut into arrays of ADDED members."""
+    last = F.floor((F.size(items) - 1) / ADDED).cast("int")
+    blocks = F.when(F.size(items) > 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    return F.transform(blocks, lambda b: F.slice(items, b * ADDED + 1, F.lit(ADDED)))
+
+
+def _gathered(items: Column, state: Column, kind: str, step) -> Column:
+    """What a fold over an array gathers: ``step`` takes state and member, and gives the next state and an array of additions."""
+    none = F.array().cast(kind)
+
+    def inner(acc: Column, x: Column) -> Column:
+        after, more = step(acc["state"], x)
+        return F.struct(after.alias("state"), F.concat(acc["found"], more).alias("found"))
+
+    def outer(acc: Column, block: Column) -> Column:
+        # a one-member array holds what the block gives, so that it is worked out once
+        told = F.array(F.aggregate(block, F.struct(acc["state"].alias("state"), none.alias("found")), inner))
+        return F.element_at(F.transform(told, lambda t: F.struct(t["state"].alias("state"), F.concat(acc["found"], F.array(t["found"])).alias("found"))), 1)
+
+    start = F.struct(state.alias("state"), F.array().cast(f"array<{kind}>").alias("found"))
+    return F.aggregate(_in_blocks(items), start, outer, lambda acc: F.flatten(acc["found"]))
 
 
 def _matches(text: Column, pattern: str, kind: int, group: int, at_least: int) -> Column:
@@ -132,16 +159,15 @@ def _matches(text: Column, pattern: str, kind: int, group: int, at_least: int) -
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     asked = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
     between = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("found"))
     steps = F.arrays_zip(F.slice(between, F.lit(1), F.size(whole)).alias("gap"), whole.alias("match"), asked.alias("asked"))
 
-    def step(acc: Column, x: Column) -> Column:
-        at = acc["at"] + F.length(x["gap"])
-        stop = at + F.length(x["match"])
-        span = F.array(F.struct(at.alias("at"), F.lit(kind).alias("kind"), stop.alias("stop"), x["asked"].alias("token")))
-        return F.struct(stop.alias("at"), F.when(F.length(x["asked"]) >= at_least, F.concat(acc["found"], span)).otherwise(acc["found"]).alias("found"))
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        start = at + F.length(x["gap"])
+        stop = start + F.length(x["match"])
+        span = F.array(F.struct(start.alias("at"), F.lit(kind).alias("kind"), stop.alias("stop"), x["asked"].alias("token")))
+        return stop, F.when(F.length(x["asked"]) >= at_least, span).otherwise(F.array().cast(_SPAN))
 
-    return F.aggregate(steps, start, step, lambda acc: acc["found"])
+    return _gathered(steps, F.lit(0), _SPAN, step)
 
 
 def spans_column(text: Column, table: list[float], min_odds: float = MIN_ODDS) -> tuple[Column, Column]:
@@ -157,16 +183,31 @@ def _screen(kind: str, pattern: str, least: int) -> str:
     return {"assign": pattern, "access": rf"AKIA[A-Z0-9]{{{least - 4}}}", "hex": rf"[0-9a-f]{{{least}}}"}[kind]
 
 
-def find_spans(docs: DataFrame, text_col: str = "text", table: list[float] | None = None, min_odds: float = MIN_ODDS) -> DataFrame:
-    """``docs`` with the columns _base and _markov: arrays of structs at, kind (a number), stop, token."""
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names that ``df`` has no column of."""
+    found = []
+    for name in names:
+        while name in df.columns:
+            name += "_"
+        found.append(name)
+    return found
+
+
+def find_spans(docs: DataFrame, text_col: str = "text", table: list[float] | None = None, min_odds: float = MIN_ODDS, names: tuple[str, str] = ("_base", "_markov")) -> DataFrame:
+    """``docs`` with two more columns of the given names, base and Markov spans: arrays of structs at, kind (a number), stop, token."""
     table = train(training_samples(docs.sparkSession)) if table is None else table
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    base, runs = spans_column(text, table, min_odds)
-    found = docs.withColumn("_base", base).withColumn("_runs", runs)
-    # base spans come by their starts: how far they cover the run from its start on without a gap
-    reach = lambda r: F.aggregate("_base", r["at"], lambda at, b: F.when(b["at"] <= at, F.greatest(at, b["stop"])).otherwise(at))
-    free = F.filter("_runs", lambda r: reach(r) < r["stop"])
-    return found.withColumn("_markov", free).drop("_runs")
+    base, markov = names
+    (both,) = free_names(docs.select("*", F.lit(0).alias(base), F.lit(0).alias(markov)), "_spans")
+    told, runs = spans_column(F.coalesce(F.col(text_col).cast("string"), F.lit("")), table, min_odds)
+
+    def free(x: Column) -> Column:
+        # base spans come by their starts: how far they cover the run from its start on without a gap
+        reach = lambda r: F.aggregate(x["base"], r["at"], lambda at, b: F.when(b["at"] <= at, F.greatest(at, b["stop"])).otherwise(at))
+        return F.struct(x["base"].alias("base"), F.filter(x["runs"], lambda r: reach(r) < r["stop"]).alias("markov"))
+
+    # a one-member array holds both kinds, so that they are worked out once and not for each run
+    found = docs.withColumn(both, F.element_at(F.transform(F.array(F.struct(told.alias("base"), runs.alias("runs"))), free), 1))
+    return found.withColumns({base: F.col(both)["base"], markov: F.col(both)["markov"]}).drop(both)
 
 
 def _told(spans: Column) -> Column:
@@ -195,15 +236,34 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET
 
     Texts without a span, null texts among them, stay as they are.
     """
-    found = find_spans(docs, text_col, table)
-    spans = F.array_sort(F.concat("_base", "_markov"))
+    base, markov = names = free_names(docs, "_base", "_markov")
+    found = find_spans(docs, text_col, table, names=(base, markov))
+    spans = F.array_sort(F.concat(*names))
+    merged = "array<struct<at:int,stop:int>>"
+
+    def step(open_: Column, x: Column) -> tuple[Column, Column]:
+        apart = x["at"] >= open_["stop"]
+        done = F.when(apart & (open_["stop"] >= 0), F.array(open_)).otherwise(F.array().cast(merged))
+        after = F.struct(F.when(apart, x["at"]).otherwise(open_["at"]).alias("at"), F.when(apart, x["stop"]).otherwise(F.greatest(open_["stop"], x["stop"])).alias("stop"))
+        return after, done
+
+    # a span beyond all others closes the last one
+    closing = F.array(F.struct(F.lit(2**31 - 1).alias("at"), F.lit(0).alias("kind"), F.lit(2**31 - 1).alias("stop"), F.lit("").alias("token")))
+    runs = _gathered(F.concat(spans, closing), F.struct(F.lit(-1).alias("at"), F.lit(-1).alias("stop")), merged, step)
     text = F.col(text_col)
-    start = F.struct(F.lit("").alias("done"), F.lit(0).alias("at"))
-
-    def step(acc: Column, x: Column) -> Column:
-        fresh = x["at"] >= acc["at"]
-        done = F.when(fresh, F.concat(acc["done"], text.substr(acc["at"] + 1, x["at"] - acc["at"]), F.lit(mark))).otherwise(acc["done"])
-        return F.struct(done.alias("done"), F.greatest(acc["at"], x["stop"]).alias("at"))
-
-    cleaned = F.aggregate(spans, start, step, lambda acc: F.concat(acc["done"], text.substr(acc["at"] + 1, F.length(text))))
-    return found.withColumn(text_col, F.when(F.size(spans) > 0, cleaned).otherwise(text)).drop("_base", "_markov")
+    (kept,) = free_names(found, "_spans")
+    found = found.withColumn(kept, F.when(F.size(spans) > 0, _in_blocks(runs)))
+    # a block's part of the text first, then the pieces of it, so that no piece is sought from the text's start
+    last = lambda i: F.when(i > 0, F.element_at(F.element_at(kept, F.greatest(i, F.lit(1))), -1)["stop"]).otherwise(F.lit(0))
+    parts = F.transform(kept, lambda block, i: F.struct(block.alias("block"), last(i).alias("start"), text.substr(last(i) + 1, F.element_at(block, -1)["stop"] - last(i)).alias("text")))
+
+    def cut(part: Column) -> Column:
+        def piece(x: Column, i: Column) -> Column:
+            before = F.when(i > 0, F.element_at(part["block"], F.greatest(i, F.lit(1)))["stop"]).otherwise(part["start"])
+            return F.concat(part["text"].substr(before - part["start"] + 1, x["at"] - before), F.lit(mark))
+
+        return F.array_join(F.transform(part["block"], piece), "")
+
+    end = F.element_at(F.element_at(kept, -1), -1)["stop"]
+    cleaned = F.concat(F.array_join(F.transform(parts, cut), ""), text.substr(end + 1, F.length(text)))
+    return found.withColumn(text_col, F.when(F.col(kept).isNotNull(), cleaned).otherwise(text)).drop(*names, kept)

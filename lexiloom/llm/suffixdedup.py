@@ -36,7 +36,7 @@ from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from lexiloom.llm.bloom import Bloom, bloom
 from lexiloom.llm.induced import Store, repeats
-from lexiloom.llm.vectext import SLICE_BYTES, U64, mix, slices, span_hashes, utf8
+from lexiloom.llm.vectext import SLICE_BYTES, U64, give_back, mix, slices, span_hashes, utf8
 from lexiloom.storage import Scratch, batch_rows, small_batches
 
 #: Bytes of a gram, windows of a stretch at most, bytes of stretches in a shard, and the share of all rows that makes a key hot.
@@ -110,6 +110,7 @@ def _stretches(texts: DataFrame, length: int, gram: int, left_out: Bloom | None
                     content = span_hashes(part, at, at + size + length - 1)
                     place = (((at - own[rows]) << TAG_BITS | tags[lo:hi][rows]) << SIZE_BITS) | size
                     yield pa.RecordBatch.from_arrays([pa.array(least.view(np.int64)), pa.array(content.view(np.int64)), pa.array(ids[lo:hi][rows]), pa.array(place)], names=["minimizer", "content", "doc", "place"])
+        give_back()
 
     return texts.mapInArrow(run, _FOUND)
 
@@ -185,6 +186,7 @@ def _contents(wanted: DataFrame, length: int, shards: int) -> DataFrame:
                 data = raw[np.arange(ends[-1]) + np.repeat(at[part] - ends[:-1], width)]
                 content = pa.Array.from_buffers(pa.binary(), len(width), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
                 yield pa.RecordBatch.from_arrays([pa.array((key[part] % U64(shards)).astype(np.int64)), pa.array(docs[row[part]]), pa.array(place[part]), content], names=["shard", "doc", "place", "bytes"])
+        give_back()
 
     return wanted.mapInArrow(run, "shard long, doc long, place long, bytes binary")
 
@@ -228,6 +230,7 @@ def _sorted_spans(shards: DataFrame, length: int, budget: int | None) -> DataFra
                     first = np.flatnonzero(cut)
                     last = np.append(first[1:], len(row)) - 1
                     yield _span_batch(doc[row[first]], place[row[first]], window[first], window[last], length)
+        give_back()
 
     return shards.groupBy("shard").applyInArrow(run, _SPANS)
 

@@ -6,6 +6,7 @@ one step stay small; it never cuts a text.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,6 +56,14 @@ def slices(offsets: np.ndarray, target: int) -> Iterator[tuple[int, int]]:
         row = end
 
 
+def give_back() -> None:
+    """Return free memory to the system: a worker that waits for its next task holds little then."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on uint64."""
     x = x ^ (x >> U64(30))
