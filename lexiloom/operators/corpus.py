@@ -41,11 +41,12 @@ def exact_dedup(records: DataFrame, id_col: str, label_col: str, text_col: str)
 
 
 def gram_sets(records: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, grams array<string>: 16 hex digits for each distinct five-word gram of the normalised text."""
+    """id, grams array<long>: the first 64 bits of the SHA-256 of each distinct five-word gram of the normalised text, in the order of their hex digits."""
     tokens = F.regexp_extract_all(normalized(F.coalesce(F.col(text_col), F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
     last = F.size("tokens") - GRAM
     places = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    hashed = F.transform(places, lambda i: F.substring(F.sha2(F.array_join(F.slice("tokens", i + 1, GRAM), " "), 256), 1, 16))
+    digits = F.transform(places, lambda i: F.substring(F.sha2(F.array_join(F.slice("tokens", i + 1, GRAM), " "), 256), 1, 16))
+    hashed = F.transform(digits, lambda x: F.conv(x, 16, -10).cast("long").bitwiseXOR(F.lit(-(1 << 63))))
     return records.select(F.col(id_col).alias("id"), tokens.alias("tokens")).select("id", F.array_distinct(hashed).alias("grams"))
 
 
@@ -72,7 +73,7 @@ def near_duplicates(records: DataFrame, id_col: str, label_col: str, text_col: s
     # written once: four plans read the sets, and a filter pushed below them would tokenise again for every gram
     sets = materialize(gram_sets(records, id_col, text_col), "gram-sets").where(F.size("grams") > 0)
     labels = records.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"))
-    keyed = sets.withColumn("set_key", F.sha2(F.array_join(F.array_sort("grams"), ""), 256))
+    keyed = sets.withColumn("set_key", F.sha2(F.array_join(F.transform(F.array_sort("grams"), lambda x: x.cast("string")), ","), 256))
     first = keyed.groupBy("set_key").agg(F.min("id").alias("first"))
     joined = keyed.join(first, "set_key")
     equal = joined.where("id <> first").select(F.col("first").alias("left"), F.col("id").alias("right"), F.lit(1.0).alias("jaccard"))

@@ -220,15 +220,16 @@ def summary(rows: DataFrame, thresholds: Thresholds, dims: list[str] | None = No
 
 
 def subgroups(rows: DataFrame, thresholds: Thresholds, fields: list[str]) -> DataFrame:
-    """Metrics by field and value, with '__missing__' for nulls of a field that occurs at all."""
-    out = None
-    for field in fields:
-        if rows.where(F.col(field).isNotNull()).isEmpty():
-            continue
-        told = summary(rows.withColumn(field, F.coalesce(F.col(field).cast("string"), F.lit("__missing__"))), thresholds, [field])
-        part = told.select(F.lit(field).alias("field"), F.col(field).alias("value"), *(c for c in told.columns if c != field))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Metrics by field and value, with '__missing__' for nulls of a field that occurs at all; ids are integers.
+
+    All fields go through one summary: a row counts once for each field, under an id of its own there.
+    """
+    seen = rows.agg(*(F.bool_or(F.col(f).isNotNull()).alias(f) for f in fields)).first()
+    told = [f for f in fields if seen[f]]
+    each = [F.struct(F.lit(f).alias("field"), F.coalesce(F.col(f).cast("string"), F.lit("__missing__")).alias("value"), F.lit(k).alias("_no")) for k, f in enumerate(told)]
+    none = F.array().cast("array<struct<field:string,value:string,_no:int>>")
+    stacked = rows.select("*", F.inline(F.array(*each) if each else none)).withColumn("id", F.col("id") * max(len(told), 1) + F.col("_no")).drop("_no")
+    return summary(stacked, thresholds, ["field", "value"])
 
 
 def unseen_generators(rows: DataFrame, known: DataFrame, thresholds: Thresholds, least_groups: int = LEAST_AI_GROUPS) -> DataFrame:

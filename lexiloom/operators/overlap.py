@@ -211,6 +211,18 @@ def _bounded(rows: DataFrame, k: int | None, key: list[str], order: list) -> tup
     return placed.where(F.col("_place") <= k).drop("_place"), placed.where(F.col("_place") == k + 1).select("passage_id")
 
 
+def _ranked_pairs(found: DataFrame, limit: int | None) -> DataFrame:
+    """passage_id, document_id, rank, cut of the documents by their first ``limit`` hits; one that has none of them has no rank, and tells a cut."""
+    if limit is None:
+        return ranked_documents(found).select("passage_id", "document_id", "rank", F.lit(False).alias("cut"))
+    place = F.row_number().over(Window.partitionBy("passage_id").orderBy("gram", "document_id", "s_pos", "q_pos"))
+    first = found.withColumn("place", place).where(F.col("place") <= limit + 1)
+    gram = F.when(F.col("place") <= limit, F.col("gram"))
+    counted = first.groupBy("passage_id", "document_id").agg(F.countDistinct(gram).alias("seeds"), (F.max("place") > limit).alias("cut"))
+    rank = F.row_number().over(Window.partitionBy("passage_id").orderBy(F.desc("seeds"), "document_id"))
+    return counted.withColumn("rank", F.when(F.col("seeds") > 0, rank)).select("passage_id", "document_id", "rank", "cut")
+
+
 def search(passages: DataFrame, library: DataFrame, bounds: Bounds = Bounds(), passage_id: str = "passage_id", document_id: str = "document_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """The matches, as of ``report``, and the outcome of every passage.
 
@@ -220,9 +232,9 @@ def search(passages: DataFrame, library: DataFrame, bounds: Bounds = Bounds(), p
     """
     spark = passages.sparkSession
     with Scratch(spark) as put:
-        hits, cut = _bounded(seeds(passages, library, passage_id, document_id, text), bounds.hits, ["passage_id"], ["gram", "document_id", "s_pos", "q_pos"])
-        ranked = put(ranked_documents(hits).drop("seeds"), "overlap-pairs")
-        cuts = [cut]
+        ranked = put(_ranked_pairs(seeds(passages, library, passage_id, document_id, text), bounds.hits), "overlap-pairs")
+        cuts = [ranked.where("cut").select("passage_id")]
+        ranked = ranked.where("rank is not null").drop("cut")
         pairs, cut = _bounded(ranked, bounds.documents, ["passage_id"], ["rank"])
         cuts.append(cut)
         found = blocks(passages, library, pairs, passage_id, document_id, text).join(ranked, ["passage_id", "document_id"])
