@@ -12,8 +12,8 @@ The range is dealt by key and id together: a third of all documents with one key
 spreads over many partitions.
 
 Defined results: a null or empty text has only the end id; repeated ids and rows are packed each
-on their own; an empty table gives an empty result; other columns are left aside. The vectors of
-empty texts are zero.
+on their own; a very long text is cut over as many sequences as it fills; equal keys go by id; an empty table
+gives an empty result; other columns are left aside. The vectors of empty texts are zero.
 """
 
 from __future__ import annotations
