@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm import bpe, chat, jaccard, kdtree, licenses, lsh, packing, quality, secrets, suffixdedup
+from lexiloom.llm import bestfit, bpe, chat, interactions, jaccard, kdtree, licenses, lsh, packing, quality, secrets, suffixdedup
 from lexiloom.storage import table
 
 
@@ -61,6 +61,14 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bestfit.piece_digests(bestfit.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_byte_bpe": op2_byte_bpe,
@@ -72,5 +80,45 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_quality_classifier": op10_quality_classifier,
+    "op12_best_fit_packing": op12_best_fit_packing,
+    "op13_filter_audit": op13_filter_audit,
+}
+ORACLE: dict[str, str] = {
+    "op13_filter_audit": r"""
+WITH texts AS (
+    SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS part, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), first_ids AS (
+    SELECT text, min(doc_id) AS first_id FROM texts GROUP BY text
+), told AS (
+    SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+    FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+), fails AS (
+    SELECT t.part, len(words) < 200 AS a, 100 * len(list_distinct(words)) < 50 * len(words) AS b,
+        100 * length(regexp_replace(t.text, '[^A-Z]+', '', 'g')) > 3 * length(t.text) AS c, regexp_matches(t.text, '[#$%&*|]') AS d,
+        coalesce(t.doc_id > f.first_id, FALSE) AS e, coalesce(l.good, 0) AS good, coalesce(l.toxic, 0) AS toxic
+    FROM texts t JOIN first_ids f ON t.text = f.text LEFT JOIN told l ON t.doc_id = l.doc_id
+), failed AS (
+    SELECT part, CASE WHEN a THEN 'A' ELSE '' END || CASE WHEN b THEN 'B' ELSE '' END || CASE WHEN c THEN 'C' ELSE '' END || CASE WHEN d THEN 'D' ELSE '' END
+        || CASE WHEN e THEN 'E' ELSE '' END AS set_of, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic
+    FROM fails GROUP BY ALL
+), letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x), orders AS (
+    SELECT p.x || q.x || r.x || s.x || t.x AS filter_order FROM letters p, letters q, letters r, letters s, letters t
+    WHERE len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5
+), steps AS (
+    SELECT filter_order, step, substr(filter_order, step, 1) AS x, substr(filter_order, 1, step - 1) AS before FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS step)
+), counted AS (
+    SELECT part, filter_order, step, x, n, good, toxic, set_of, contains(set_of, x) AS fails_it,
+        before <> '' AND regexp_matches(set_of, '[' || before || '-]') AS gone
+    FROM failed, steps
+), rows AS (
+    SELECT part, filter_order, step, x, sum(CASE WHEN NOT gone AND NOT fails_it THEN n ELSE 0 END) AS kept, sum(CASE WHEN NOT gone AND fails_it THEN n ELSE 0 END) AS removed,
+        sum(CASE WHEN gone AND fails_it THEN n ELSE 0 END) AS redundant, sum(CASE WHEN set_of = x THEN n ELSE 0 END) AS unique_fails,
+        sum(CASE WHEN NOT gone AND fails_it THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN NOT gone AND fails_it THEN toxic ELSE 0 END) AS toxic_lost
+    FROM counted GROUP BY part, filter_order, step, x
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+    CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+    CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley
+FROM rows
+""",
 }
-ORACLE: dict[str, str] = {}
