@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm import bestfit, bpe, chat, interactions, jaccard, kdtree, licenses, lsh, packing, quality, secrets, suffixdedup
+from lexiloom.llm import bestfit, bpe, chat, interactions, jaccard, kdtree, licenses, lsh, packing, quality, secrets, suffixdedup, trie
 from lexiloom.storage import table
 
 
@@ -61,6 +61,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations")).drop("ka", "kb")
+
+
 def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bestfit.piece_digests(bestfit.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
@@ -80,10 +84,49 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_best_fit_packing": op12_best_fit_packing,
     "op13_filter_audit": op13_filter_audit,
 }
 ORACLE: dict[str, str] = {
+    "op11_prefix_trie": """
+WITH crc_table AS (
+    SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY i) AS t FROM range(256) r(i)
+), turns AS (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS place
+    FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+    SELECT conv_id AS c, xor(list_reduce(
+        list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda s: CAST(unicode(s) AS BIGINT))),
+        lambda v, s: xor(v // 256, t[CAST(xor(v, s) % 256 + 1 AS BIGINT)])), 4294967295) % 6 AS h
+    FROM (SELECT DISTINCT conv_id FROM turns), crc_table
+), rebuilt AS (
+    SELECT c, 0 AS own, place, role, text FROM convs JOIN turns ON conv_id = c - c % 100 AND place < h
+    UNION ALL
+    SELECT c, 1, place, role, text FROM convs JOIN turns ON conv_id = c AND place >= h
+), members AS (
+    SELECT c, row_number() OVER w AS depth, string_agg(sha256(length(role) || ':' || role || text), ',') OVER w AS key, length(text) AS chars,
+        count(*) OVER (PARTITION BY c) AS turns_of
+    FROM rebuilt WINDOW w AS (PARTITION BY c ORDER BY own, place)
+    UNION ALL
+    SELECT c, 0, '', 0, (SELECT count(*) FROM rebuilt r WHERE r.c = k.c) FROM convs k
+), keyed AS (
+    SELECT c, depth, key, lag(key) OVER (PARTITION BY c ORDER BY depth) AS parent_key, chars, turns_of FROM members
+), nodes AS (
+    SELECT depth, key, any_value(parent_key) AS parent_key, min(c) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars,
+        sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE turns_of = depth), '')) AS ends_sha256
+    FROM keyed GROUP BY depth, key
+), children AS (SELECT depth - 1 AS depth, parent_key AS key, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+counted AS (SELECT n.*, coalesce(k.n_children, 0) AS n_children FROM nodes n LEFT JOIN children k ON n.depth = k.depth AND n.key = k.key),
+sums AS (
+    SELECT m.depth, m.key, sum((u.n_convs - 1) * u.chars) AS saved_tokens, sum(CASE WHEN u.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves
+    FROM counted u JOIN keyed m ON m.c = u.conv_id AND m.depth <= u.depth GROUP BY m.depth, m.key
+)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, CAST(n.n_convs AS BIGINT) AS n_convs, CAST(n.n_children AS BIGINT) AS n_children,
+    CAST(s.n_leaves AS BIGINT) AS n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM counted n JOIN sums s ON n.depth = s.depth AND n.key = s.key LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.key = n.parent_key
+""",
     "op13_filter_audit": r"""
 WITH texts AS (
     SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS part, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
