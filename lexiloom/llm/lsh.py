@@ -14,6 +14,10 @@ Buckets travel in groups that share the first numbers of their keys, so a query'
 table cost a few rows. A group with more entries than one task should hold is split by a hash of the
 entries, and its queries visit every part: no entry is ever left out.
 
+A query that has found fewer than k candidates goes on: first to all sets of crossings of every table, and if those
+do not turn up enough, to all entries, by one pass over them for each SCAN_QUERIES such queries. So a result is short
+only if there are no more candidates.
+
 Defined results: vectors that are null, empty, zero, or have null or non-finite components take no part;
 so do vectors whose dimension is not that of most; rows that share the query's id are its own; a
 repeated id stands for its best row and takes one place of a result; ties go to the smaller id; an empty table
@@ -25,7 +29,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +40,8 @@ from lexiloom.storage import Scratch
 
 #: Entries of a group of buckets that one task holds, queries that it handles at once, and bands of norms; the last one is open.
 GROUP_ROWS, BLOCK_ROWS, BANDS = 32_768, 128, 16
+#: Queries that a pass over all entries serves.
+SCAN_QUERIES = 2_048
 
 
 @dataclass(frozen=True)
@@ -221,6 +227,42 @@ def _rank_buckets(k: int):
     return run
 
 
+def _scanned(entries: DataFrame, some: DataFrame, k: int) -> DataFrame:
+    """query, vec_id, score: the k best of all entries for some of them as queries, in blocks of queries; a pass over the entries each."""
+    found = None
+    block: list = []
+
+    def scan(block: list) -> DataFrame:
+        queries = pa.table({"query": pa.array([r["entry"] for r in block], pa.int64()), "probes": pa.array([[0]] * len(block), pa.list_(pa.int64())), "vector": pa.array([r["vector"] for r in block], pa.list_(pa.float64()))})
+
+        def run(batches: Iterator[pa.RecordBatch]):
+            held = _FOUND.empty_table()
+            for batch in batches:
+                own = pa.table({"bucket": pa.array(np.zeros(batch.num_rows, np.int64)), "ids": batch.column(0), "vector": batch.column(1)})
+                held = pa.concat_tables([held, _rank_buckets(k)(own, queries)])
+                if held.num_rows > 4 * k * queries.num_rows:
+                    held = _best_rows(held, k)
+            yield from _best_rows(held, k).to_batches()
+
+        return entries.select("ids", "vector").mapInArrow(run, "query long, vec_id long, score double")
+
+    for row in entries.join(some, "entry", "left_semi").select("entry", "vector").toLocalIterator():
+        block.append(row)
+        if len(block) == SCAN_QUERIES:
+            found, block = scan(block) if found is None else found.unionByName(scan(block)), []
+    return scan(block) if found is None else found.unionByName(scan(block)) if block else found
+
+
+def _best_rows(found: pa.Table, k: int) -> pa.Table:
+    """The k best ids of each query."""
+    q, vec, s = (found.column(i).to_numpy() for i in range(3))
+    order = np.lexsort((-s, vec, q))
+    order = order[np.concatenate([[True], (q[order][1:] != q[order][:-1]) | (vec[order][1:] != vec[order][:-1])])] if len(order) else order
+    order = order[np.lexsort((vec[order], -s[order], q[order]))]
+    top = np.arange(len(order)) - np.searchsorted(q[order], q[order]) < k
+    return found.take(pa.array(order[top]))
+
+
 def nearest(vectors: DataFrame, queries: Column, k: int, settings: Settings = Settings(), id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k largest inner products found for each query row.
 
@@ -255,19 +297,34 @@ def nearest(vectors: DataFrame, queries: Column, k: int, settings: Settings = Se
         hashed = entries.select("entry", "ids", "vector", "band").mapInArrow(
             _hash_entries(settings, dimension, found["top"], prefix), "table int, bucket_group long, bucket long, entry long, ids array<long>, vector array<double>"
         )
-        wanted = entries.join(asked.select("entry").distinct(), "entry", "left_semi").select(F.col("entry").alias("query"), "vector", "level").mapInArrow(
-            _hash_queries(settings, dimension, prefix, bands), "table int, bucket_group long, query long, probes array<long>, vector array<double>"
-        )
         sizes = hashed.groupBy("table", "bucket_group").count().select("table", "bucket_group", F.ceil(F.col("count") / GROUP_ROWS).cast("int").alias("parts"))
         sizes = put(sizes, "lsh-groups")
         key = ["table", "bucket_group", "part"]
         left = hashed.join(sizes, key[:2]).withColumn("part", F.pmod(F.xxhash64("entry"), F.col("parts")).cast("int")).drop("parts", "entry")
-        right = wanted.join(sizes, key[:2]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-        right = right.select("query", "probes", F.col("vector").alias("vector"), *(F.col(c).alias(c) for c in key))
-        pairs = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_rank_buckets(k + 1), "query long, vec_id long, score double")
-        merged = pairs.groupBy("query", "vec_id").agg(F.max("score").alias("score"))
-        best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
-        merged = put(merged.withColumn("best", best).where(F.col("best") <= k + 1).drop("best"), "lsh-found")
+
+        def visited(some: DataFrame, probes: int) -> DataFrame:
+            """query, vec_id, score: the best that some entries find as queries with so many probes of a table."""
+            wanted = entries.join(some, "entry", "left_semi").select(F.col("entry").alias("query"), "vector", "level").mapInArrow(
+                _hash_queries(replace(settings, probes=probes), dimension, prefix, bands), "table int, bucket_group long, query long, probes array<long>, vector array<double>"
+            )
+            right = wanted.join(sizes, key[:2]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+            right = right.select("query", "probes", F.col("vector").alias("vector"), *(F.col(c).alias(c) for c in key))
+            return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_rank_buckets(k + 1), "query long, vec_id long, score double")
+
+        def best_of(pairs: DataFrame) -> DataFrame:
+            pairs = pairs.groupBy("query", "vec_id").agg(F.max("score").alias("score"))
+            place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
+            return put(pairs.withColumn("best", place).where(F.col("best") <= k + 1).drop("best"), "lsh-found")
+
+        merged = best_of(visited(asked.select("entry").distinct(), settings.probes))
+        enough = min(k, rows.select("id").distinct().limit(k + 1).count() - 1)
+        for more in (lambda some: visited(some, 3**settings.projections), lambda some: _scanned(entries, some, k + 1)):
+            own = F.count_distinct(F.when(F.col("vec_id") != F.col("query_id"), F.col("vec_id")))
+            few = asked.join(merged, asked["entry"] == merged["query"], "left").groupBy("query_id").agg(own.alias("n")).where(F.col("n") < enough)
+            some = put(asked.join(few, "query_id", "left_semi").select("entry").distinct(), "lsh-few")
+            if some.isEmpty():
+                break
+            merged = best_of(merged.unionByName(more(some)))
         told = asked.join(merged, asked["entry"] == merged["query"]).where(F.col("query_id") != F.col("vec_id"))
         told = told.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

@@ -34,11 +34,12 @@ def jaccard_components(rows, n=4, percent=85):
     for i, s in sets.items():
         for x in s:
             by[x].add(i)
-    links = set()
+    links, compared = set(), set()
     for members in by.values():
         for a in members:
             for b in members:
-                if a < b and (a, b) not in links:
+                if a < b and (a, b) not in compared:
+                    compared.add((a, b))
                     both = len(sets[a] & sets[b])
                     if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
                         links.add((a, b))

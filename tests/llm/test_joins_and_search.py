@@ -59,6 +59,15 @@ def test_jaccard_repeated_rows_and_empty_table(spark):
     assert jaccard.similar_classes(texts(spark, [])).count() == 0
 
 
+def test_jaccard_of_ids_with_several_texts(spark):
+    a, b, c = "a b c d e f g", "one two three four five six", "x y z u v w"
+    rows = [(3, a), (5, a), (5, b), (9, b), (9, c), (11, c), (20, "apart from all of them"), (30, None), (5, None)]
+    got = {(r.doc_id, r.component_id) for r in jaccard.similar_classes(texts(spark, rows)).collect()}
+    assert got == {(3, 3), (5, 3), (9, 3), (11, 3), (20, 20), (30, 30), (5, 5)}
+    hub = [(1, f"w{k} w{k} only here {k} {k} {k}") for k in range(300)] + [(k + 10, f"w{k} w{k} only here {k} {k} {k}") for k in range(300)]
+    assert {r.component_id for r in jaccard.similar_classes(texts(spark, hub)).collect()} == {1}
+
+
 @pytest.mark.parametrize("block,batch,depth", [(1 << 18, 1 << 15, 128), (7, 5, 2), (64, 3, 0)])
 @pytest.mark.parametrize("budget", [0, 1 << 30])
 def test_suffix_arrays_and_common_prefixes_in_memory_and_on_disk(monkeypatch, block, batch, depth, budget):
@@ -215,6 +224,34 @@ def test_lsh_scores_are_exact_and_recall_is_high(spark, monkeypatch):
     assert hit / 600 >= 0.9
 
 
+@pytest.mark.parametrize("n,d,k", [(2, 64, 20), (5, 64, 20), (12, 64, 20), (18, 64, 20), (22, 64, 20), (60, 64, 20), (60, 3, 20), (60, 64, 1)])
+def test_search_of_few_vectors_finds_as_many_as_there_are(spark, n, d, k):
+    rng = np.random.default_rng(n)
+    x = rng.standard_normal((n, d)).astype(np.float32)
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    got = {}
+    for r in lsh.nearest(vectors(spark, [(i, v.tolist(), 1) for i, v in enumerate(x)]), F.col("vec_id") % 5 == 0, k).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    e = x.astype(np.float64)
+    for q in range(0, n, 5):
+        assert [r for r, _, _ in got[q]] == list(range(1, min(k, n - 1) + 1))
+        assert all(i != q and abs(s - e[i] @ e[q]) < 1e-9 for _, i, s in got[q])
+        if n <= k + 1:
+            assert [i for _, i, _ in got[q]] == [i for i, _ in best(e @ e[q], q, k)]
+
+
+def test_search_scans_all_entries_in_blocks_of_queries(spark, monkeypatch):
+    monkeypatch.setattr(lsh, "SCAN_QUERIES", 3)
+    x = np.random.default_rng(3).standard_normal((90, 6))
+    tight = lsh.Settings(tables=1, projections=8, width=0.01, probes=1)
+    monkeypatch.setattr(lsh, "probe_order", lambda near, probes: [()])
+    got = {}
+    for r in lsh.nearest(vectors(spark, [(i, v.tolist(), 1) for i, v in enumerate(x)]), F.col("vec_id") % 9 == 0, 7, tight).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    e = x.astype(np.float32).astype(np.float64)
+    assert got == {q: [i for i, _ in best(e @ e[q], q, 7)] for q in range(0, 90, 9)}
+
+
 def test_probe_order_is_by_cost():
     costs = np.array([0.3, 0.1, 0.2, 0.9, 0.05, 0.6])
     sets = lsh.probe_order(costs, 27)
