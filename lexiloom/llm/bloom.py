@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lexiloom.llm.vectext import U64, mix
 
@@ -42,11 +43,11 @@ def bloom(ids: DataFrame) -> Bloom:
     bits = min(max((BITS_PER_ID * ids.count() - 1).bit_length(), LEAST_BITS), MOST_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]):
-        held = np.zeros(1 << bits, bool)
+        held = np.zeros(1 << bits >> 6, U64)
         for batch in batches:
             for places in _places(batch.column(0).to_numpy(), bits):
-                held[places] = True
-        words = np.packbits(held, bitorder="little").view(np.int64)
+                np.bitwise_or.at(held, places >> 6, U64(1) << (places & 63).astype(U64))
+        words = held.view(np.int64)
         used = np.flatnonzero(words)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(words[used], pa.int64())], names=["place", "word"])
 
@@ -54,3 +55,17 @@ def bloom(ids: DataFrame) -> Bloom:
     words = np.zeros(1 << bits >> 6, np.int64)
     words[got.column(0).to_numpy()] = got.column(1).to_numpy()
     return Bloom(words.view(U64), bits)
+
+
+def marked(rows: DataFrame, id_col: str, wanted: Bloom, mark: str = "_passes") -> DataFrame:
+    """``rows`` with whether their ids pass the filter; a null id does not."""
+    sent = rows.sparkSession.sparkContext.broadcast(wanted)
+    at = rows.columns.index(id_col)
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            ids = batch.column(at)
+            passes = sent.value.passing(ids.fill_null(0).to_numpy(zero_copy_only=False)) & ids.is_valid().to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(passes)], names=[*batch.schema.names, mark])
+
+    return rows.mapInArrow(run, rows.withColumn(mark, F.lit(True)).schema)

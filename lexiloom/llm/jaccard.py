@@ -433,6 +433,15 @@ def linked_labels(put: Scratch, texts: DataFrame, clusters: DataFrame, n: int, p
     return put(_relabelled(labels, last.select(F.col("component").alias("a"), F.col("node").alias("b"))), "jaccard-labels")
 
 
+def _shared_ids(every: DataFrame, classes: DataFrame) -> DataFrame:
+    """a, b: edges between the classes of each id that has texts of several."""
+    known = every.where("class_key is not null and id is not null").select("id", "class_key")
+    several = known.groupBy("id").agg(F.min("class_key").alias("low"), F.max("class_key").alias("high")).where("low <> high").select("id")
+    nodes = known.join(several, "id", "left_semi").join(classes.select("class_key", "node"), "class_key").select("id", "node").distinct()
+    first = nodes.groupBy("id").agg(F.min("node").alias("a"))
+    return nodes.join(first, "id").where("a <> node").select("a", F.col("node").alias("b")).distinct()
+
+
 def similar_classes(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, class_id (smallest id with an equal set), component_id (smallest id reachable by links).
 
@@ -451,6 +460,11 @@ def similar_classes(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str
         )
         clusters = connected_components(candidates(classes, percent, light), "a", "b", put)
         components = linked_labels(put, _texts(docs, id_col, text_col), clusters, n, percent).select("node", F.col("label").alias("component_id"))
+        components = classes.select("node").distinct().join(components, "node", "left").select("node", F.coalesce("component_id", "node").alias("component_id"))
+        shared = put(_shared_ids(every, classes), "jaccard-shared")
+        if not shared.isEmpty():
+            tied = components.select(F.col("component_id").alias("a"), F.col("node").alias("b")).unionByName(shared)
+            components = connected_components(tied, "a", "b", put).withColumnRenamed("component", "component_id")
         told = classes.select("class_key", "node").join(components, "node", "left")
         told = put(told.select("class_key", F.col("node").alias("class_id"), F.coalesce("component_id", "node").alias("component_id")), "jaccard-told")
         told = every.select("id", "n_shingles", "class_key").join(told, "class_key", "left").select(

@@ -161,5 +161,14 @@ def test_stages_take_odd_rows(spark, k):
     assert stage(spark, spark.createDataFrame([], schema), SF).count() == 0
 
 
+def test_one_of_near_copies_with_repeated_rows_and_clashing_names(spark):
+    a, b = " ".join(f"w{k}" for k in range(60)), " ".join(f"v{k}" for k in range(60))
+    rows = [(3, a), (5, a), (5, b), (9, b), (3, a), (12, "apart"), (12, "apart"), (None, a), (None, a), (40, None)]
+    df = spark.createDataFrame([(i, t, "en", "s", 1, True, 7) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, _passes boolean, component_id long")
+    out = corpus_pipeline.keep_one_of_near_copies(spark, df, SF)
+    assert out.columns == corpus_pipeline.COLUMNS
+    assert sorted((r.doc_id or 0, r.text or "") for r in out.collect()) == sorted([(3, a), (12, "apart"), (0, a), (0, a), (40, "")])
+
+
 def test_merged_runs():
     assert suffixdedup.merged([(0, 5), (5, 9), (12, 20), (13, 14)]) == [(0, 9), (12, 20)]

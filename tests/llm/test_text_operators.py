@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tests.llm import brute
 from tokenizers import Tokenizer
 
-from lexiloom.llm import bpe, chat, licenses, packing, secrets
+from lexiloom.llm import bpe, chat, jaccard, licenses, packing, quality, secrets
 
 MULTI = P.path("byte_bpe_multi_50k.tiktoken")
 ODD = [
@@ -267,3 +267,30 @@ def test_empty_tables(spark, name):
     df = texts(spark, [])
     out = {"licenses": lambda: licenses.scan_licenses(df), "bpe": lambda: bpe.digests(df, MULTI, P.PATTERN), "packing": lambda: packed(spark, df), "secrets": lambda: secrets.scan_secrets(df)}[name]()
     assert out.count() == 0
+
+
+@pytest.mark.parametrize("name", ["op1", "op2", "op4", "op8", "op10"])
+def test_clashing_names_do_no_harm(spark, name):
+    """Columns that are named as an operator's own give the same result as none."""
+    rows = [(1, "gnu general public license words to go"), (2, None), (2, "gnu general public license words to go"), (3, "password = abcdefghijklmnop and more words of it"), (None, "")]
+    labels = spark.createDataFrame([(1, 1, 0), (3, 0, 1)], "doc_id long, quality int, toxic int")
+    run = {
+        "op1": licenses.scan_licenses,
+        "op2": lambda df: bpe.digests(df, MULTI, P.PATTERN),
+        "op4": lambda df: packing.piece_digests(packing.pack(df, P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN)).drop("sequence_id", "offset", "sequence_length"),
+        "op8": jaccard.similar_classes,
+        "op10": lambda df: quality.score(df, quality.train(df, labels)),
+    }[name]
+    plain = spark.createDataFrame(rows, "doc_id long, text string")
+    names = ["id", "n_tokens", "ids", "x", "key", "keys", "size", "node", "n_words", "label", "labels", "score", "keep", "grade", "features", "part", "piece", "start", "class_key", "n_shingles", "row", "chunk"]
+    clashing = plain.withColumns({c: F.lit(c) for c in names})
+    told = lambda df: sorted(map(str, (r.asDict() for r in df.collect())))
+    assert told(run(clashing).select(run(plain).columns)) == told(run(plain))
+
+
+def test_clashing_names_in_conversations(spark):
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "user", None), (None, 0, "user", "x")]
+    plain = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    clashing = plain.withColumns({c: F.lit(c) for c in ("tree", "node", "parent", "score", "leaf", "rank", "place", "t", "n", "up", "next")})
+    told = lambda df: sorted(map(str, chat.read_back(chat.format_paths(chat.as_replies(df))).collect()))
+    assert told(clashing) == told(plain)
