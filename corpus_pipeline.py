@@ -5,7 +5,10 @@ stage's rows written as Parquet in the session's shared folder and read again as
 All stages but the last return the columns of documents.
 
 Defined results: each stage works on whatever rows it is given and passes null and empty texts on, save
-that a stage's own decision may reject them; an empty table stays empty through all stages.
+that a stage's own decision may reject them; an empty table stays empty through all stages. Columns other than those of
+documents are left aside by every stage, so a clash of their names does no harm. Very long texts are judged, cut and packed whole. Repeated rows
+count as often as they stand, until the join keeps one row of each id and text; a tie between documents goes to the smaller id. Rows
+without an id pass the join. n_chars is counted anew where a stage changes a text.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm import jaccard, packing, quality, secrets, suffixdedup
+from lexiloom.llm import bloom, jaccard, packing, quality, secrets, suffixdedup
 from lexiloom.storage import Scratch, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -42,9 +45,12 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     """
     docs = docs.select(*COLUMNS)
     told = jaccard.similar_classes(docs, n=5, percent=80)
-    stays = told.where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    named = docs.where("doc_id is not null").join(stays, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id", "text"])
-    return named.unionByName(docs.where("doc_id is null")).select(*COLUMNS)
+    gone = told.where("doc_id <> component_id").select("doc_id").distinct()
+    repeated = told.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    # only texts of ids that go or repeat are shuffled; the others pass as they are read
+    either = bloom.marked(docs, "doc_id", bloom.bloom(gone.unionByName(repeated)))
+    left = either.where("_passes").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"])
+    return either.where("not _passes").unionByName(left.select(either.columns)).select(*COLUMNS)
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
