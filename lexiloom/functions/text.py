@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
@@ -35,6 +36,12 @@ _INTRICATE_WORD = rf"[[\p{{L}}\p{{N}}\p{{M}}]&&[^\x00-\x7f{PLAIN}]]"
 _INTRICATE_TEXT = rf"[^\x00-\x7f{PLAIN}–—‘’“”]"
 
 
+def intricate(text: Column, kind: str) -> Column:
+    """Whether a text needs exact folding: ASCII by its lengths alone, then the kind's class on what is not ASCII."""
+    rest = F.regexp_replace(text, r"[\x00-\x7f]+", "")
+    return F.coalesce((F.octet_length(text) != F.length(text)) & rest.rlike(kind), F.lit(False))
+
+
 def fold(text: Column) -> Column:
     """Caseless form by built-ins, for texts without intricate characters."""
     return F.replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), F.lit("’"), F.lit("'"))
@@ -44,11 +51,38 @@ def words(text: Column) -> Column:
     """Compatibility-folded words of a text, in order.
 
     Texts with characters whose folding Spark has no function for go through ``tokens_exact``;
-    the others stay in built-ins, with the same result.
+    the others stay in built-ins, with the same result. ``with_words`` does the same for a table, and sends only the rows
+    that need it to Python.
+    """
+    odd = intricate(text, _INTRICATE_WORD)
+    return F.when(odd, exact_words(F.when(odd, text))).otherwise(plain_words(text))
+
+
+def plain_words(text: Column) -> Column:
+    """``words`` of a text without intricate characters."""
+    return F.regexp_extract_all(fold(text), F.lit(WORD), F.lit(0))
+
+
+def exact_words(text: Column) -> Column:
+    return F.transform(tokens_exact(text), lambda t: t["value"])
+
+
+def _in_two(df: DataFrame, text: Column, name: str, kind: str, plain: Callable[[Column], Column], exact: Callable[[Column], Column]) -> DataFrame:
+    odd = intricate(text, kind)
+    return df.where(~odd).withColumn(name, plain(text)).unionByName(df.where(odd).withColumn(name, exact(text)))
+
+
+def with_words(df: DataFrame, text: Column, name: str = "tokens") -> DataFrame:
+    """``df`` with the words of a text, in a plan whose Python node gets only rows with intricate characters.
+
+    Read twice, each time as far as the cheap screen; ``df`` should be a scan or a table, not a costly plan.
     """
-    intricate = text.rlike(_INTRICATE_WORD)
-    exact = F.transform(tokens_exact(F.when(intricate, text)), lambda t: t["value"])
-    return F.when(intricate, exact).otherwise(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), fold))
+    return _in_two(df, text, name, _INTRICATE_WORD, plain_words, exact_words)
+
+
+def with_normalized(df: DataFrame, text: Column, name: str = "normalized") -> DataFrame:
+    """``df`` with a text's ``normalized`` form, as in ``with_words``."""
+    return _in_two(df, text, name, _INTRICATE_TEXT, plain_normalized, normalized_exact)
 
 
 def gram(tokens: Column, start: Column, n: int = 5) -> Column:
@@ -70,9 +104,13 @@ def fingerprint(joined: Column) -> Column:
 
 def normalized(text: Column) -> Column:
     """Compatibility-folded, white space collapsed to single spaces and trimmed; built-ins where they are exact."""
-    intricate = text.rlike(_INTRICATE_TEXT)
-    plain = F.trim(F.regexp_replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), f"{SPACE}+", " "))
-    return F.when(intricate, normalized_exact(F.when(intricate, text))).otherwise(plain)
+    odd = intricate(text, _INTRICATE_TEXT)
+    return F.when(odd, normalized_exact(F.when(odd, text))).otherwise(plain_normalized(text))
+
+
+def plain_normalized(text: Column) -> Column:
+    """``normalized`` of a text without intricate characters."""
+    return F.trim(F.regexp_replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), f"{SPACE}+", " "))
 
 
 def text_hash(text: Column) -> Column:
