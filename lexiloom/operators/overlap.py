@@ -4,6 +4,9 @@ Everything up to the near-run chains is joins, windows and aggregates. The libra
 every fifth place only (its index); just the (passage, document) pairs that share such a seed are then
 compared at all places, so the wide explode touches few documents.
 
+A library is a table of texts, which every search reads and tokenises, or one that is stored with its index
+(``sources.library``), of which a search opens the entries of the passages' grams and the tokens of the documents found.
+
 ``search`` is bounded by default, for each passage on its own: hits, documents, runs and matches. Whatever a bound
 leaves out makes the passage's status ``partial``; ``EXACT`` has no bounds and leaves out nothing.
 """
@@ -16,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiloom.functions.text import STOP_WORDS, grams, tokens_exact, utf16_offset, words
+from lexiloom.functions.text import STOP_WORDS, grams, tokens_exact, utf16_offset, with_words
 from lexiloom.storage import Scratch
 
 # Words of a seed, places between indexed seeds, least words of exact and near spans,
@@ -59,19 +62,51 @@ EXACT = Bounds(None, None, None, None, None)
 
 
 def tokenized(df: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
-    return df.select(F.col(id_col).alias(name), words(F.coalesce(F.col(text_col), F.lit(""))).alias("tokens"))
+    texts = df.select(F.col(id_col).alias(name), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    return with_words(texts, F.col("_text")).drop("_text")
+
+
+def index_of(tokens: DataFrame, stride: int = STRIDE) -> DataFrame:
+    """document_id, s_pos, gram of documents' tokens."""
+    return tokens.select("document_id", F.inline(grams(F.col("tokens"), SEED, stride)).alias("s_pos", "gram"))
 
 
 def index(library: DataFrame, id_col: str = "document_id", text_col: str = "text", stride: int = STRIDE) -> DataFrame:
     """document_id, s_pos, gram: the inverted index of a library."""
-    tokens = tokenized(library, id_col, text_col, "document_id")
-    return tokens.select("document_id", F.inline(grams(F.col("tokens"), SEED, stride)).alias("s_pos", "gram"))
+    return index_of(tokenized(library, id_col, text_col, "document_id"), stride)
+
+
+class TextLibrary:
+    """A library that is a table of texts."""
+
+    def __init__(self, documents: DataFrame, document_id: str = "document_id", text: str = "text"):
+        self.source, self.names = documents, (document_id, text)
+
+    def hits(self, asked: DataFrame) -> DataFrame:
+        """passage_id, document_id, q_pos, s_pos, gram for the places of grams asked for (passage_id, q_pos, gram)."""
+        return index(self.source, *self.names).join(asked, "gram").select("passage_id", "document_id", "q_pos", "s_pos", "gram")
+
+    def tokens(self, wanted: DataFrame) -> DataFrame:
+        """document_id, tokens of the documents with the ids wanted (distinct)."""
+        texts = self.source.select(F.col(self.names[0]).alias("document_id"), F.col(self.names[1]).alias("text")).join(wanted, "document_id", "left_semi")
+        return tokenized(texts, "document_id", "text", "document_id")
+
+    def is_empty(self) -> bool:
+        return self.source.isEmpty()
+
 
+def _library(library, document_id: str, text: str):
+    return TextLibrary(library, document_id, text) if isinstance(library, DataFrame) else library
 
-def seeds(passages: DataFrame, library: DataFrame, passage_id: str = "passage_id", document_id: str = "document_id", text: str = "text") -> DataFrame:
+
+def asked_grams(tokens: DataFrame) -> DataFrame:
+    """passage_id, q_pos, gram of passages' tokens."""
+    return tokens.select("passage_id", F.inline(grams(F.col("tokens"))).alias("q_pos", "gram"))
+
+
+def seeds(passages: DataFrame, library, passage_id: str = "passage_id", document_id: str = "document_id", text: str = "text") -> DataFrame:
     """passage_id, document_id, q_pos, s_pos, gram: index hits with every place of the gram in the passage."""
-    asked = tokenized(passages, passage_id, text, "passage_id").select("passage_id", F.inline(grams(F.col("tokens"))).alias("q_pos", "gram"))
-    return index(library, document_id, text).join(asked, "gram").select("passage_id", "document_id", "q_pos", "s_pos", "gram")
+    return _library(library, document_id, text).hits(asked_grams(tokenized(passages, passage_id, text, "passage_id")))
 
 
 def ranked_documents(found: DataFrame) -> DataFrame:
@@ -92,15 +127,20 @@ def bounded_hits(found: DataFrame, limit: int = MAX_HITS) -> DataFrame:
     return ranked.where(F.col("n") <= limit).withColumn("truncated", F.col("all") > limit).drop("n", "all")
 
 
-def blocks(passages: DataFrame, library: DataFrame, pairs: DataFrame, passage_id: str = "passage_id", document_id: str = "document_id", text: str = "text") -> DataFrame:
+def blocks(passages: DataFrame, library, pairs: DataFrame, passage_id: str = "passage_id", document_id: str = "document_id", text: str = "text") -> DataFrame:
     """Maximal runs of equal words on a diagonal that hold an indexed seed, for the given pairs.
 
     A run of n words is n - 4 consecutive equal grams, so runs are islands of gram matches.
     """
+    return runs_of(tokenized(passages, passage_id, text, "passage_id"), _library(library, document_id, text), pairs)
+
+
+def runs_of(tokens: DataFrame, library, pairs: DataFrame) -> DataFrame:
+    """``blocks`` of passages' tokens."""
     wanted = pairs.select("passage_id", "document_id").distinct()
-    asked = tokenized(passages, passage_id, text, "passage_id").join(wanted, "passage_id")
+    asked = tokens.join(wanted, "passage_id")
     asked = asked.select("passage_id", "document_id", F.inline(grams(F.col("tokens"))).alias("q_pos", "gram"))
-    held = tokenized(library, document_id, text, "document_id").join(wanted.select("document_id").distinct(), "document_id", "left_semi")
+    held = library.tokens(wanted.select("document_id").distinct())
     held = held.select("document_id", F.inline(grams(F.col("tokens"))).alias("s_pos", "gram"))
     # equal grams of other documents never meet: the document is part of the key
     hits = asked.join(held, ["document_id", "gram"])
@@ -125,8 +165,11 @@ def informative(tokens: Column) -> Column:
 
 def exact_spans(found: DataFrame, passages: DataFrame, passage_id: str = "passage_id", text: str = "text") -> DataFrame:
     """Informative runs of at least twelve words."""
-    tokens = tokenized(passages, passage_id, text, "passage_id")
-    return found.where(F.col("matched") >= MIN_EXACT).join(tokens, "passage_id").where(informative(F.col("tokens"))).select(*BLOCK)
+    return informative_spans(found.where(F.col("matched") >= MIN_EXACT), tokenized(passages, passage_id, text, "passage_id"))
+
+
+def informative_spans(spans: DataFrame, tokens: DataFrame) -> DataFrame:
+    return spans.join(tokens, "passage_id").where(informative(F.col("tokens"))).select(*BLOCK)
 
 
 def top_blocks(found: DataFrame, k: int = TOP_BLOCKS) -> DataFrame:
@@ -169,12 +212,14 @@ def near_spans(found: DataFrame, passages: DataFrame, passage_id: str = "passage
 
     Without a bound (None) a pair's runs still are no more than the words of the two texts allow.
     """
+    return informative_spans(chained(found, k), tokenized(passages, passage_id, text, "passage_id"))
+
+
+def chained(found: DataFrame, k: int | None = TOP_BLOCKS) -> DataFrame:
     ranked = top_blocks(found, (1 << 31) - 1 if k is None else k)
     kinds = {f.name: f.dataType.simpleString() for f in ranked.schema}
     schema = ", ".join(f"{c} {kinds[c]}" for c in BLOCK)
-    spans = ranked.groupBy("passage_id", "document_id").applyInPandas(chain_runs, schema).distinct()
-    tokens = tokenized(passages, passage_id, text, "passage_id")
-    return spans.join(tokens, "passage_id").where(informative(F.col("tokens"))).select(*BLOCK)
+    return ranked.groupBy("passage_id", "document_id").applyInPandas(chain_runs, schema).distinct()
 
 
 def suppressed(spans: DataFrame) -> DataFrame:
@@ -223,27 +268,30 @@ def _ranked_pairs(found: DataFrame, limit: int | None) -> DataFrame:
     return counted.withColumn("rank", F.when(F.col("seeds") > 0, rank)).select("passage_id", "document_id", "rank", "cut")
 
 
-def search(passages: DataFrame, library: DataFrame, bounds: Bounds = Bounds(), passage_id: str = "passage_id", document_id: str = "document_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The matches, as of ``report``, and the outcome of every passage.
+def search(passages: DataFrame, library, bounds: Bounds = Bounds(), passage_id: str = "passage_id", document_id: str = "document_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The matches, as of ``report``, and the outcome of every passage; ``library`` is a table of texts or a stored library.
 
     Seeds, best documents, runs, exact and near spans, suppression, report. An outcome has passage_id, status
-    (complete, partial, insufficient_text, or empty for an empty library), matches, summary and warning. Hits, pairs
+    (complete, partial, insufficient_text, or empty for an empty library), matches, summary and warning. The passages' tokens, pairs
     and runs are written once to the shared folder, as several steps read them.
     """
     spark = passages.sparkSession
+    library = _library(library, document_id, text)
     with Scratch(spark) as put:
-        ranked = put(_ranked_pairs(seeds(passages, library, passage_id, document_id, text), bounds.hits), "overlap-pairs")
+        tokens = put(tokenized(passages, passage_id, text, "passage_id"), "overlap-tokens")
+        ranked = put(_ranked_pairs(library.hits(asked_grams(tokens)), bounds.hits), "overlap-pairs")
         cuts = [ranked.where("cut").select("passage_id")]
         ranked = ranked.where("rank is not null").drop("cut")
         pairs, cut = _bounded(ranked, bounds.documents, ["passage_id"], ["rank"])
         cuts.append(cut)
-        found = blocks(passages, library, pairs, passage_id, document_id, text).join(ranked, ["passage_id", "document_id"])
+        found = runs_of(tokens, library, pairs).join(ranked, ["passage_id", "document_id"])
         found = put(found, "overlap-runs")
         kept, cut = _bounded(found, bounds.runs, ["passage_id"], ["rank", "q_start", "s_start"])
         cuts.append(cut)
         kept, cut = _bounded(kept.drop("rank"), bounds.pair_runs, ["passage_id", "document_id"], [F.desc("matched"), "q_start", "s_start"])
         cuts.append(cut)
-        spans = exact_spans(kept, passages, passage_id, text).unionByName(near_spans(kept, passages, passage_id, text, bounds.pair_runs))
+        long = kept.where(F.col("matched") >= MIN_EXACT).select(*BLOCK)
+        spans = informative_spans(long.unionByName(chained(kept, bounds.pair_runs)), tokens)
         matches = report(suppressed(spans), bounds.matches)
         cuts.append(matches.where("status = 'partial'").select("passage_id"))
         matches = put(matches.drop("status"), "overlap-matches")
@@ -251,7 +299,7 @@ def search(passages: DataFrame, library: DataFrame, bounds: Bounds = Bounds(), p
         for cut in cuts[1:]:
             partial = partial.unionByName(cut)
         partial = put(partial.distinct(), "overlap-partial")
-        told = _outcomes(tokenized(passages, passage_id, text, "passage_id"), partial, matches, library.isEmpty())
+        told = put.keep(put(_outcomes(tokens, partial, matches, library.is_empty()), "overlap-outcomes"))
         status = F.when(F.col("cut"), "partial").otherwise("complete")
         flagged = matches.join(partial.withColumn("cut", F.lit(True)), "passage_id", "left").withColumn("status", status).drop("cut")
         put.keep(matches)
@@ -276,7 +324,7 @@ def unavailable(passages: DataFrame, passage_id: str = "passage_id") -> DataFram
     return passages.select(F.col(passage_id).alias("passage_id"), F.lit("unavailable").alias("status"), F.lit(0).cast("long").alias("matches"), F.lit(SUMMARIES["unavailable"]).alias("summary"), none.alias("warning"))
 
 
-def find_overlaps(passages: DataFrame, library: DataFrame, passage_id: str = "passage_id", document_id: str = "document_id", text: str = "text", bounds: Bounds = Bounds()) -> DataFrame:
+def find_overlaps(passages: DataFrame, library, passage_id: str = "passage_id", document_id: str = "document_id", text: str = "text", bounds: Bounds = Bounds()) -> DataFrame:
     """The matches of ``search``; passages of fewer than twelve words have none by the least lengths of spans."""
     return search(passages, library, bounds, passage_id, document_id, text)[0]
 

@@ -14,7 +14,7 @@ from lexiloom.functions import text as T
 from lexiloom.operators import baseline, corpus, ledger, linking, metrics, overlap, review, windows
 from lexiloom.plans import oracles as S
 from lexiloom.sources import library, markup, records
-from lexiloom.storage import materialize, table
+from lexiloom.storage import Scratch, materialize, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -129,8 +129,8 @@ def articles(spark, d):
 
 @query(S.TOKENS)
 def token_counts(spark, d):
-    w = T.words(F.col("text"))
-    return docs(spark, d).select("doc_id", F.size(w).alias("n_words"), F.md5(F.array_join(w, " ")).alias("words_md5"))
+    rows = T.with_words(docs(spark, d).select("doc_id", "text"), F.col("text"))
+    return rows.select("doc_id", F.size("tokens").alias("n_words"), F.md5(F.array_join("tokens", " ")).alias("words_md5"))
 
 
 @query(S.INDEX)
@@ -147,7 +147,8 @@ def text_counts(spark, d):
 
 @query(S.NORMALIZED)
 def normalized_hashes(spark, d):
-    return docs(spark, d).select("doc_id", T.text_hash(F.col("text")).alias("normalized_sha256"))
+    rows = T.with_normalized(docs(spark, d).select("doc_id", "text"), F.col("text"))
+    return rows.select("doc_id", F.sha2("normalized", 256).alias("normalized_sha256"))
 
 
 @query(S.DRAWS)
@@ -236,6 +237,23 @@ def overlap_edited(spark, d):
     return overlap.find_overlaps(edited(spark, d), held(spark, d))
 
 
+def _stored(spark: SparkSession, d: str, path: str) -> library.StoredLibrary:
+    """All documents as a stored library: a quarter come in an older edition first, which a second batch replaces."""
+    new = sources(spark, d).withColumn("document_id", F.lpad(F.col("document_id").cast("string"), 19, "0"))
+    old = F.crc32("document_id") % 4 == 0
+    library.upsert(spark, path, new.withColumn("text", F.when(old, F.reverse("text")).otherwise(F.col("text"))))
+    library.upsert(spark, path, new.where(old))
+    return library.opened(spark, path)
+
+
+@query(S.OVERLAP_REPORT)
+def library_search(spark, d):
+    """The report by a stored library's index, of two deltas."""
+    with Scratch(spark) as put:
+        matches, _ = overlap.search(passages(spark, d), _stored(spark, d, put.folder("library")))
+    return matches.withColumn("document_id", F.col("document_id").cast("long"))
+
+
 @query(S.OVERLAP_OUTCOMES)
 def overlap_outcomes(spark, d):
     return overlap.search(passages(spark, d), held(spark, d))[1]

@@ -70,6 +70,7 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.tables: dict[int, tuple[DataFrame, str]] = {}
+        self.folders: list[str] = []
 
     def __enter__(self) -> Scratch:
         return self
@@ -92,11 +93,21 @@ class Scratch:
         for df in tables:
             _, path = self.tables.pop(id(df), (None, None))
             if path is not None:
-                at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-                at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+                self._delete(path)
+
+    def folder(self, name: str) -> str:
+        """A path of its own in the shared folder, deleted at the end with whatever is there then."""
+        self.folders.append(f"{shared_folder(self.spark)}/lexiloom/{name}-{uuid.uuid4().hex}")
+        return self.folders[-1]
+
+    def _delete(self, path: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
     def __exit__(self, *_: object) -> None:
         self.drop(*(df for df, _ in list(self.tables.values())))
+        for path in self.folders:
+            self._delete(path)
 
 
 #: Rows of an Arrow batch between the JVM and Python; of texts, the default of 10,000 takes tens of MB on either side.
