@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from lexiloom.checks import require_empty
 from lexiloom.functions.text import NOT_SPACE, SPACE, draw, normalized, text_hash, word_count
-from lexiloom.operators.linking import connected_components
-from lexiloom.storage import materialize
+from lexiloom.operators.linking import connected_components, joined_by_key
+from lexiloom.storage import Scratch, materialize
 
 # Words of near-duplicate grams, size of the sketch, least similarity as a share of 5, excerpt bounds, split shares and seed.
 GRAM, SKETCH, NEAR = 5, 16, 0.8
@@ -112,10 +112,21 @@ def linked_families(records: DataFrame, keys: dict[str, Column], id_col: str, re
 
 
 def record_families(records: DataFrame, keys: dict[str, Column], id_col: str) -> DataFrame:
-    """id, family: like ``linked_families``, with the smallest id of a family as its name."""
-    named = linked_families(records, keys, id_col)
-    first = named.groupBy("family").agg(F.min(F.col("id").cast("long")).alias("first"))
-    return named.join(first, "family").select(F.col("id").cast("long").alias("id"), F.col("first").alias("family"))
+    """id, family: records joined by any equal key, through chains; null never links. A family's name is its smallest id.
+
+    Each key is folded to edges from its records to the smallest of them, so nodes are ids, and a key that a third of all records
+    have spreads over the tasks.
+    """
+    with Scratch(records.sparkSession) as put:
+        rows = records.select(F.col(id_col).cast("long").alias("id"), *(value.cast("string").alias(f"key_{name}") for name, value in keys.items()))
+        rows = put(rows.where("id is not null"), "family-keys")
+        edges = rows.select(F.col("id").alias("src"), F.col("id").alias("dst"))
+        for name in keys:
+            part = rows.select("id", F.sha2(f"key_{name}", 256).alias("key")).where("key is not null")
+            first = put(part.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "family-first")
+            edges = edges.unionByName(joined_by_key(part, first, "key", put).select(F.col("id").alias("src"), F.col("first").alias("dst")))
+        found = connected_components(edges, owner=put)
+        return put.keep(put(found.withColumnsRenamed({"node": "id", "component": "family"}), "families"))
 
 
 def excerpt(text: Column) -> Column:
