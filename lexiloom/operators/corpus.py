@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 from lexiloom.checks import require_empty
 from lexiloom.functions.text import NOT_SPACE, SPACE, draw, normalized, text_hash, word_count
 from lexiloom.operators.linking import connected_components, joined_by_key
-from lexiloom.storage import Scratch, materialize
+from lexiloom.storage import Scratch
 
-# Words of near-duplicate grams, size of the sketch, least similarity as a share of 5, excerpt bounds, split shares and seed.
-GRAM, SKETCH, NEAR = 5, 16, 0.8
+# Words of near-duplicate grams, size of the sketch, least similarity, budget of pairs, excerpt bounds, split shares and seed.
+GRAM, SKETCH, NEAR, PAIR_BUDGET = 5, 16, 0.8, 200_000
 LEAST_WORDS, MOST_WORDS, SHORT_WORDS = 80, 250, 150
 TRAIN_BELOW, CALIBRATION_BELOW = 0.6, 0.8
 SEED = "split-v1"
+#: Records beyond which a gram of their sketches is not paired out.
+HOT_GRAM = 100
 
 
 def exact_groups(records: DataFrame, id_col: str, label_col: str, text_col: str) -> DataFrame:
@@ -50,44 +52,94 @@ def gram_sets(records: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return records.select(F.col(id_col).alias("id"), tokens.alias("tokens")).select("id", F.array_distinct(hashed).alias("grams"))
 
 
-def near_candidates(sets: DataFrame) -> DataFrame:
-    """left, right: pairs of records of like size that share one of their 16 smallest grams.
+def sketches(sets: DataFrame) -> DataFrame:
+    """id, n, gram: the sixteen smallest grams of each set."""
+    return sets.select("id", F.size("grams").alias("n"), F.explode(F.slice(F.array_sort("grams"), 1, SKETCH)).alias("gram"))
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    """left, right of the ids of like size that share a gram, for (id, n, gram)."""
+    other = rows.select(F.col("id").alias("right"), F.col("n").alias("m"), "gram")
+    near = (F.col("left") < F.col("right")) & (F.least("n", "m") / F.greatest("n", "m") >= NEAR)
+    return rows.withColumnRenamed("id", "left").join(other, "gram").where(near).select("left", "right").distinct()
+
+
+def near_candidates(sets: DataFrame, put: Scratch) -> DataFrame:
+    """left, right: pairs of records of like size, among them all similar ones that share one of their 16 smallest grams.
 
     Equal gram sets enter once, with their smallest id, and are linked to the others of their kind by
-    ``near_duplicates``, so copies are never paired with one another.
+    ``near_duplicates``, so copies are never paired with one another. A gram that many sketches share is not paired
+    out: similar sets also share a gram among the rarest fifth of their own, so records with such a gram are paired by those.
     """
-    sketch = sets.select("id", F.size("grams").alias("n"), F.explode(F.slice(F.array_sort("grams"), 1, SKETCH)).alias("gram"))
-    many = sketch.groupBy("gram").count().where("count > 1").select("gram")
-    sketch = sketch.join(many, "gram", "left_semi")
-    other = sketch.select(F.col("id").alias("right"), F.col("n").alias("m"), "gram")
-    near = (F.col("left") < F.col("right")) & (F.least("n", "m") / F.greatest("n", "m") >= NEAR)
-    return sketch.withColumnRenamed("id", "left").join(other, "gram").where(near).select("left", "right").distinct()
+    sketch = put(sketches(sets), "near-sketches")
+    counts = put(sketch.groupBy("gram").count().where("count > 1"), "near-counts")
+    cold = _pairs(sketch.join(counts.where(F.col("count") <= HOT_GRAM).select("gram"), "gram", "left_semi"))
+    hot = put(sketch.join(counts.where(F.col("count") > HOT_GRAM).select("gram"), "gram", "left_semi").select("id").distinct(), "near-hot")
+    if hot.isEmpty():
+        return cold
+    grams = put(sets.join(hot, "id", "left_semi").select("id", F.size("grams").alias("n"), F.explode("grams").alias("gram")), "near-grams")
+    often = put(grams.groupBy("gram").agg(F.count("*").alias("often")).where("often > 1"), "near-often")
+    # a gram of one record alone pairs nothing, but it takes a place among the rarest
+    ranked = joined_by_key(grams, often, "gram", put, "left").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("often", F.lit(1)).alias("often"), "gram"))).alias("ranked"))
+    most = F.col("n") - F.ceil(F.col("n") * F.lit(NEAR) - 1e-9).cast("int") + 1
+    rarest = ranked.select("id", "n", F.explode(F.slice("ranked", F.lit(1), most)).alias("x")).where("x.often > 1").select("id", "n", F.col("x.gram").alias("gram"))
+    return cold.unionByName(_pairs(put(rarest, "near-rarest"))).distinct()
 
 
 def near_duplicates(records: DataFrame, id_col: str, label_col: str, text_col: str) -> DataFrame:
-    """left, right, jaccard, label_conflict, exact: an audit, which never drops records.
+    """left, right, jaccard, label_conflict: an audit, which never drops records.
 
     Records with equal gram sets appear as pairs with the smallest id of their set (jaccard 1);
-    between different sets, the smallest ids stand for all.
+    between different sets, the smallest ids stand for all. ``near_status`` tells whether a budget of pairs holds.
     """
-    # written once: four plans read the sets, and a filter pushed below them would tokenise again for every gram
-    sets = materialize(gram_sets(records, id_col, text_col), "gram-sets").where(F.size("grams") > 0)
-    labels = records.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"))
+    with Scratch(records.sparkSession) as put:
+        joined = _with_first(records, id_col, text_col, put)
+        equal = joined.where("id <> first").select(F.col("first").alias("left"), F.col("id").alias("right"), F.lit(1.0).alias("jaccard"))
+        distinct = joined.where("id = first").select("id", "grams")
+        pairs = put(near_candidates(distinct, put), "near-pairs")
+        a = distinct.select(F.col("id").alias("left"), F.col("grams").alias("a"))
+        b = distinct.select(F.col("id").alias("right"), F.col("grams").alias("b"))
+        both = pairs.join(a, "left").join(b, "right").withColumn("shared", F.size(F.array_intersect("a", "b")))
+        sketch = lambda c: F.slice(F.array_sort(c), 1, SKETCH)
+        near = both.withColumn("jaccard", F.col("shared") / (F.size("a") + F.size("b") - F.col("shared"))).where(F.col("jaccard") >= NEAR)
+        near = near.where(F.arrays_overlap(sketch("a"), sketch("b"))).select("left", "right", "jaccard")
+        every = put(near.unionByName(equal), "near-found")
+        labels = records.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"))
+        left, right = (labels.select(F.col("id").alias(c), F.col("label").alias(c + "_label")) for c in ("left", "right"))
+        told = every.join(left, "left").join(right, "right")
+        put.keep(every)
+        return told.select("left", "right", "jaccard", (~F.col("left_label").eqNullSafe(F.col("right_label"))).alias("label_conflict"))
+
+
+def _with_first(records: DataFrame, id_col: str, text_col: str, put: Scratch) -> DataFrame:
+    """id, grams, first: the gram sets that are not empty, with the smallest id of an equal set."""
+    # written once: several plans read the sets, and a filter pushed below them would tokenise again for every gram
+    sets = put(gram_sets(records, id_col, text_col).where(F.size("grams") > 0), "near-sets")
     keyed = sets.withColumn("set_key", F.sha2(F.array_join(F.transform(F.array_sort("grams"), lambda x: x.cast("string")), ","), 256))
     first = keyed.groupBy("set_key").agg(F.min("id").alias("first"))
-    joined = keyed.join(first, "set_key")
-    equal = joined.where("id <> first").select(F.col("first").alias("left"), F.col("id").alias("right"), F.lit(1.0).alias("jaccard"))
-    distinct = joined.where("id = first").select("id", "grams")
-    pairs = near_candidates(distinct)
-    a = distinct.select(F.col("id").alias("left"), F.col("grams").alias("a"))
-    b = distinct.select(F.col("id").alias("right"), F.col("grams").alias("b"))
-    both = pairs.join(a, "left").join(b, "right")
-    both = both.withColumn("shared", F.size(F.array_intersect("a", "b")))
-    near = both.select("left", "right", (F.col("shared") / (F.size("a") + F.size("b") - F.col("shared"))).alias("jaccard")).where(F.col("jaccard") >= NEAR)
-    every = near.unionByName(equal)
-    left, right = (labels.select(F.col("id").alias(c), F.col("label").alias(c + "_label")) for c in ("left", "right"))
-    every = every.join(left, "left").join(right, "right")
-    return every.select("left", "right", "jaccard", (~F.col("left_label").eqNullSafe(F.col("right_label"))).alias("label_conflict"))
+    return put(keyed.join(first, "set_key").drop("set_key"), "near-keyed")
+
+
+def near_status(records: DataFrame, id_col: str, text_col: str, budget: int = PAIR_BUDGET) -> DataFrame:
+    """One row: budget, candidates (pairs of different sets that share one of their 16 smallest grams), status complete or exceeded.
+
+    Pairs are counted by gram before any is made: each pair has at most 16 grams, so over 16 budgets by gram, or a gram with
+    over one, is too many for sure, and candidates is null. Else no more than 16 budgets of them are made to count the different ones.
+    """
+    with Scratch(records.sparkSession) as put:
+        distinct = _with_first(records, id_col, text_col, put).where("id = first").select("id", "grams")
+        sketch = put(sketches(distinct), "near-sketches")
+        pairs = F.col("count") * (F.col("count") - 1) / 2
+        told = sketch.groupBy("gram").count().agg(F.coalesce(F.sum(pairs), F.lit(0)).alias("all"), F.coalesce(F.max(pairs), F.lit(0)).alias("one")).first()
+        if told["one"] > budget or told["all"] > SKETCH * budget:
+            found = None
+        else:
+            many = sketch.groupBy("gram").count().where("count > 1").select("gram")
+            few = sketch.join(many, "gram", "left_semi").select("id", "gram")
+            found = few.join(few.withColumnRenamed("id", "other"), "gram").where("id < other").select("id", "other").distinct().count()
+            found = None if found > budget else found
+    row = (budget, found, "exceeded" if found is None else "complete")
+    return records.sparkSession.createDataFrame([row], "budget long, candidates long, status string")
 
 
 def linked_families(records: DataFrame, keys: dict[str, Column], id_col: str, relations: DataFrame | None = None) -> DataFrame:

@@ -192,6 +192,8 @@ NEAR = rf"""WITH t AS (SELECT doc_id AS id, lang, regexp_extract_all({_normal("c
       a.lang IS DISTINCT FROM b.lang AS label_conflict FROM p JOIN u a ON a.id = l JOIN u b ON b.id = r)
     SELECT "left", "right", jaccard, label_conflict FROM j WHERE ratio >= 0.8 AND jaccard >= 0.8
     UNION ALL SELECT f.first, f.id, 1.0, a.lang IS DISTINCT FROM f.lang FROM f JOIN documents a ON a.doc_id = f.first WHERE f.id <> f.first"""
+NEAR_STATUS = f"""WITH {NEAR.split("WITH ", 1)[1].split("    j AS", 1)[0].rstrip().rstrip(",")}, n AS (SELECT count(*) AS n FROM p)
+    SELECT 200000::BIGINT AS budget, CASE WHEN n <= 200000 THEN n END AS candidates, CASE WHEN n <= 200000 THEN 'complete' ELSE 'exceeded' END AS status FROM n"""
 RELATED_FULL = f"""WITH {_REMOVED}, adm AS (SELECT d.* FROM documents d JOIN g ON d.doc_id = kept),
     n AS (WITH documents AS (SELECT * FROM adm) SELECT * FROM ({NEAR})),
     p AS (SELECT 'exact_normalized_text' AS reason, kept AS l, doc_id AS r FROM h JOIN g USING (sha) WHERE doc_id <> kept UNION ALL SELECT 'near_duplicate_text', "left", "right" FROM n)

@@ -306,6 +306,11 @@ def near_duplicates(spark, d):
     return corpus.near_duplicates(docs(spark, d), "doc_id", "lang", "text")
 
 
+@query(S.NEAR_STATUS)
+def near_status(spark, d):
+    return corpus.near_status(docs(spark, d), "doc_id", "text")
+
+
 @query(S.COMPONENTS)
 def source_components(spark, d):
     """Families of texts by text hash and opening, as in its SQL; ``source_components_full`` has the keys of the reference."""
