@@ -114,7 +114,7 @@ def near_duplicates(records: DataFrame, id_col: str, label_col: str, text_col: s
 def _with_first(records: DataFrame, id_col: str, text_col: str, put: Scratch) -> DataFrame:
     """id, grams, first: the gram sets that are not empty, with the smallest id of an equal set."""
     # written once: several plans read the sets, and a filter pushed below them would tokenise again for every gram
-    sets = put(gram_sets(records, id_col, text_col).where(F.size("grams") > 0), "near-sets")
+    sets = put(gram_sets(records, id_col, text_col), "near-sets").where(F.size("grams") > 0)
     keyed = sets.withColumn("set_key", F.sha2(F.array_join(F.transform(F.array_sort("grams"), lambda x: x.cast("string")), ","), 256))
     first = keyed.groupBy("set_key").agg(F.min("id").alias("first"))
     return put(keyed.join(first, "set_key").drop("set_key"), "near-keyed")

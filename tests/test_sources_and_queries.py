@@ -1,12 +1,15 @@
 import hashlib
 import json
 import math
+import random
+import re
 import zipfile
+from collections import Counter
 from html.parser import HTMLParser
 
 import duckdb
+import numpy as np
 import pytest
-from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 import __spark_entry__
@@ -248,10 +251,59 @@ def test_baseline_learns(spark):
     assert all((r.score > 0.5) == (r.label == 1) for r in told.collect())
 
 
-def test_baseline_damps_counts(spark):
-    df = spark.createDataFrame([(Vectors.sparse(5, [1, 3], [1.0, 8.0]),)], ["n"])
-    got = baseline.Sublinear("n", "out").transform(df).head().out
-    assert (got.size, got.indices.tolist(), got.values.tolist()) == (5, [1, 3], [1.0, pytest.approx(1 + math.log(8))])
+def plain_vectors(texts, n_fit):
+    """Vectors of all texts by the definition, fitted on the first ones: (dense rows by term, terms)."""
+    blocks = []
+    for analyse, least in ((plain_words, 2), (plain_chars, 3)):
+        told = [Counter(analyse(t)) for t in texts]
+        df = Counter(x for c in told[:n_fit] for x in c)
+        terms = sorted(x for x, k in df.items() if k >= least)
+        rows = np.array([[(1 + math.log(c[x])) * (math.log((1 + n_fit) / (1 + df[x])) + 1) if c[x] else 0.0 for x in terms] for c in told])
+        blocks.append(rows / np.maximum(np.sqrt((rows**2).sum(1)), 1e-300)[:, None])
+    return np.hstack([*blocks, np.ones((len(texts), 1))])
+
+
+def plain_words(text):
+    w = [x for x in re.findall(r"\w+", text.lower()) if len(x) > 1]
+    return w + [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]
+
+
+def plain_chars(text):
+    t = re.sub(r"\s\s+", " ", text.lower())
+    return [t[i : i + n] for n in (3, 4, 5) for i in range(len(t) - n + 1)]
+
+
+def test_baseline_equals_a_plain_version(spark):
+    """Vectors by their definition, and weights at the only point where the penalised loss has no slope."""
+    rng = random.Random(3)
+    words = ["Good", "green", "bad", "red", "über", "x", "naïve", "4 5", "the\n\n", "the "]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 14))) for _ in range(60)] + ["", "  ", None]
+    labels = [(("bad" in (t or "")) or k % 5 == 0) * 1 for k, t in enumerate(texts)]
+    df = spark.createDataFrame([(k, t, y) for k, (t, y) in enumerate(zip(texts, labels, strict=True))], "id int, text string, label int")
+    model = baseline.train(df.where("id < 50"))
+    x = plain_vectors([t or "" for t in texts], 50)
+    got = model.stages[0].transform(df).orderBy("id").select("features").collect()
+    mine = np.array([r.features.toArray() for r in got])
+    assert mine.shape == x.shape and np.allclose(mine @ mine.T, x @ x.T, atol=1e-12)
+    assert np.allclose(np.sort(mine.sum(0)), np.sort(x.sum(0)))
+    y = np.array(labels[:50]) * 2 - 1
+    weight = np.where(y > 0, 50 / (2 * (y > 0).sum()), 50 / (2 * (y < 0).sum()))
+    w = model.stages[1].coefficients.toArray()
+    slope = w - mine[:50].T @ (weight * y / (1 + np.exp(y * (mine[:50] @ w))))
+    assert np.abs(slope).max() < 1e-3 * np.abs(w).max()
+    scores = [r.score for r in baseline.predict(model, df).orderBy("id").collect()]
+    assert np.allclose(scores, 1 / (1 + np.exp(-mine @ w)))
+
+
+def test_baseline_vocabulary_is_the_most_frequent(spark, monkeypatch):
+    monkeypatch.setattr(baseline, "_KINDS", {"word": (baseline.word_terms, 3, 2), "char": (baseline.char_terms, 5, 3)})
+    texts = ["aa bb cc", "aa bb cc dd dd", "aa aa bb dd", "once only"]
+    stage = baseline.vocabulary(spark.createDataFrame([(t,) for t in texts], "text string"))
+    counts, df = Counter(w for t in texts for w in plain_words(t)), Counter(w for t in texts for w in set(plain_words(t)))
+    term = lambda w: int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little", signed=True)
+    want = sorted((-n, term(w), w) for w, n in counts.items() if df[w] > 1)[:3]
+    idf = dict(zip(stage.getOrDefault(stage.wordTerms), stage.getOrDefault(stage.wordIdf), strict=True))
+    assert idf == {t: pytest.approx(math.log(5 / (1 + df[w])) + 1) for _, t, w in want} and len(stage.getOrDefault(stage.charTerms)) == 5
 
 
 def test_baseline_scores_all_labelled_documents(spark):
