@@ -193,13 +193,6 @@ def top_documents(spark, d):
     return overlap.top_documents(overlap.seeds(passages(spark, d), held(spark, d)))
 
 
-@query(S.BOUNDED_HITS)
-def bounded_hits(spark, d):
-    """Five hits a passage, as in its SQL; ``bounded_hits_full`` has the operator's own limit."""
-    found = overlap.bounded_hits(overlap.seeds(passages(spark, d), held(spark, d)), 5)
-    return found.select("passage_id", "document_id", "q_pos", "s_pos", "truncated")
-
-
 @query(S.BOUNDED_HITS_FULL)
 def bounded_hits_full(spark, d):
     found = overlap.bounded_hits(overlap.seeds(passages(spark, d), held(spark, d)))
@@ -311,14 +304,6 @@ def near_status(spark, d):
     return corpus.near_status(docs(spark, d), "doc_id", "text")
 
 
-@query(S.COMPONENTS)
-def source_components(spark, d):
-    """Families of texts by text hash and opening, as in its SQL; ``source_components_full`` has the keys of the reference."""
-    rows = docs(spark, d).where(F.col("text").isNotNull())
-    keys = {"full_text": T.text_hash(F.col("text")), "opening": F.sha2(F.substring("text", 1, 60), 256)}
-    return corpus.record_families(rows, keys, "doc_id").withColumnRenamed("id", "doc_id")
-
-
 @query(S.COMPONENTS_FULL)
 def source_components_full(spark, d):
     """Families of all documents by text hash, excerpt hash and source group."""
@@ -358,21 +343,6 @@ def split_counts(spark, d):
     return rows.groupBy("split", "quality").agg(F.count("*").alias("n"), F.countDistinct("split_unit").alias("units"))
 
 
-@query(S.LEAKS)
-def leakage_check(spark, d):
-    rows = split_assignment(spark, d).join(docs(spark, d), "doc_id").select("split", F.sha2("text", 256).alias("text_sha256"), "source")
-    return corpus.leaks(rows, ["text_sha256", "source"])
-
-
-@query(S.RELATED)
-def related_groups(spark, d):
-    """Relations of copies alone, as in its SQL; ``related_groups_full`` has those of near pairs too."""
-    removed = corpus.exact_dedup(docs(spark, d), "doc_id", "lang", "text")[1]
-    none = removed.select(F.col("kept").alias("left"), F.col("removed").alias("right")).limit(0)
-    groups = docs(spark, d).select(F.col("doc_id").alias("id"), F.col("source").alias("source_group"))
-    return _listed(corpus.related_groups(removed, none, groups))
-
-
 @query(S.RELATED_FULL)
 def related_groups_full(spark, d):
     """Both kinds of relations: copies of equal normalised text, and near pairs among the records that are admitted."""
@@ -414,13 +384,6 @@ def split_overlaps(spark, d):
     return metrics.overlaps(rows.where("split = 'calibration'"), rows.where("split = 'test'"), ["id", "source_group", "text_sha256", "prompt"])
 
 
-@query(S.TRANSITIVE)
-def transitive_links(spark, d):
-    """Components over the plain edge list nation to region, as in its SQL; ``transitive_links_full`` has customers."""
-    edges = table(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("src"), F.concat(F.lit("r"), "n_regionkey").alias("dst"))
-    return linking.connected_components(edges)
-
-
 @query(S.TRANSITIVE_FULL)
 def transitive_links_full(spark, d):
     """Components over the plain edge list customer to nation."""
@@ -536,6 +499,7 @@ def dataset_digest(spark, d):
 
 # --- windowed scoring
 
+
 def deterministic_scorer():
     """A scorer for tests and queries: hash of the text as score, texts of over 1,200 characters truncated."""
     import hashlib
@@ -601,14 +565,6 @@ def model_versions(spark, d):
     return windows.compare_runs(first, second).select("id", "label_before", "label_after", "comparable", "signal")
 
 
-@query(S.COMPARE)
-def model_comparison(spark, d):
-    """Documents with an even id before, every third after."""
-    rows = scored(spark, d).select("id", "score", F.lit("x").alias("label"))
-    told = windows.compare_runs(rows.where("id % 2 = 0"), rows.where("id % 3 = 0").withColumn("score", F.col("score") / 2))
-    return told.select("id", F.round("change", 9).alias("change"), "comparable")
-
-
 @query(S.COMPARE_FULL)
 def model_comparison_full(spark, d):
     """All documents before, by one score, and after, by another."""
@@ -701,6 +657,7 @@ def baseline_scores(spark, d):
 
 # --- ledger
 
+
 def _observed(spark, d):
     e = table(spark, d, "events")
     return e.select(F.col("user_id").alias("issue"), "ts", "event_id", (F.col("event_type") != "error").alias("passed"), (F.col("user_id") % 3 == 0).alias("blocking"))
@@ -741,12 +698,6 @@ def gate_status(spark, d):
 
 # --- set operations
 
-@query(S.SETS)
-def set_operations(spark, d):
-    """Documents of even ids and labels, as in its SQL; ``set_operations_full`` takes all documents."""
-    return _sets(docs(spark, d).select("doc_id").where("doc_id % 2 = 0"), table(spark, d, "labels").select("doc_id"))
-
-
 @query(S.SETS_FULL)
 def set_operations_full(spark, d):
     return _sets(docs(spark, d).select("doc_id"), table(spark, d, "labels").select("doc_id"))
@@ -763,6 +714,7 @@ def _sets(a: DataFrame, b: DataFrame) -> DataFrame:
 
 # --- sources, contracts, protocols
 
+
 def _told(found: DataFrame) -> DataFrame:
     return found.select("id", F.array_join("problems", ",").alias("problems"))
 
@@ -883,7 +835,7 @@ def dataset_digest_whole(spark, d):
 
 @query(S.LEAKS_FULL)
 def leakage_check_full(spark, d):
-    """By all six keys; ``leakage_check``, whose SQL is fixed, has two."""
+    """By all six keys."""
     cut = corpus.excerpts(docs(spark, d), "doc_id", "text").select(F.col("id").alias("doc_id"), F.col("excerpt_sha256").alias("text_sha256"))
     rows = split_assignment(spark, d).join(docs(spark, d), "doc_id").join(cut, "doc_id", "left")
     rows = rows.select("split", F.col("doc_id").cast("string").alias("id"), "split_unit", F.concat("source", F.lit("/"), F.expr("doc_id div 40").cast("string")).alias("source_group"), F.col("lang").alias("prompt"), "text_sha256", F.sha2("text", 256).alias("document_sha256"))
