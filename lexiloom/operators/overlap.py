@@ -27,6 +27,8 @@ from lexiloom.storage import Scratch
 SEED, STRIDE = 5, 5
 MIN_EXACT, MIN_NEAR, MIN_SIMILARITY, MAX_SPAN, MAX_GAP, MAX_HOPS = 12, 18, 0.85, 250, 4, 20
 TOP_DOCUMENTS, TOP_BLOCKS, TOP_MATCHES, MAX_HITS, MAX_RUNS = 24, 400, 40, 12_000, 3_000
+#: Spans of a pair, by rank, that are held against all others of it, and those of a pair that meet them in one task.
+FIRST_SPANS, CHUNK_SPANS = 256, 8_192
 # What is said of a passage's outcome, and of a match that should be reviewed.
 SUMMARIES = {
     "unavailable": "The local reference library is unavailable. No source comparison was completed.",
@@ -222,19 +224,43 @@ def chained(found: DataFrame, k: int | None = TOP_BLOCKS) -> DataFrame:
     return ranked.groupBy("passage_id", "document_id").applyInPandas(chain_runs, schema).distinct()
 
 
+def _dead(inner: DataFrame, outer: DataFrame, key: list[str]) -> DataFrame:
+    """passage_id, document_id, place of the inner spans that lie in an earlier-ranked outer one with an equal key."""
+    o = outer.select(*key, *(F.col(c).alias("o_" + c) for c in ["place", *BLOCK[2:6]]))
+    inside = (
+        (F.col("o_place") < F.col("place")) & (F.col("o_q_start") <= F.col("q_start")) & (F.col("o_q_end") >= F.col("q_end"))
+        & (F.col("o_s_start") <= F.col("s_start")) & (F.col("o_s_end") >= F.col("s_end"))
+    )
+    return inner.join(o, key).where(inside).select("passage_id", "document_id", "place").distinct()
+
+
 def suppressed(spans: DataFrame) -> DataFrame:
     """Spans not inside an earlier-ranked one on both sides; rank by matched words, similarity, places.
 
-    Containment is transitive, so it does not matter whether the earlier span was itself accepted.
+    Containment is transitive, so it does not matter whether the earlier span was itself accepted. The first spans of a pair, which
+    are its longest, are held against all of its others, in chunks. What they leave is looked up in a grid: a span of length
+    2**l or more, below 2**(l + 1), is entered in the two or so cells of that size that it touches on each side, and a span looks for outer ones
+    of every two lengths, from its own on, that its pair has, in the one cell where its starts lie.
     """
-    w = Window.partitionBy("passage_id", "document_id").orderBy(F.desc("matched"), F.desc(similarity()), "q_start", "s_start")
-    ranked = spans.distinct().withColumn("place", F.row_number().over(w))
-    outer = ranked.select(*(F.col(c).alias("o_" + c) for c in [*BLOCK, "place"]))
-    inside = (
-        (F.col("passage_id") == F.col("o_passage_id")) & (F.col("document_id") == F.col("o_document_id")) & (F.col("o_place") < F.col("place"))
-        & (F.col("o_q_start") <= F.col("q_start")) & (F.col("o_q_end") >= F.col("q_end")) & (F.col("o_s_start") <= F.col("s_start")) & (F.col("o_s_end") >= F.col("s_end"))
-    )
-    return ranked.join(outer, inside, "left_anti").select(*BLOCK)
+    pair = ["passage_id", "document_id"]
+    w = Window.partitionBy(*pair).orderBy(F.desc("matched"), F.desc(similarity()), "q_start", "s_start")
+    with Scratch(spans.sparkSession) as put:
+        ranked = put(spans.distinct().withColumn("place", F.row_number().over(w)), "spans-ranked")
+        chunk = F.expr(f"place div {CHUNK_SPANS}")
+        chunks = ranked.groupBy(*pair).agg(F.max(chunk).alias("last"))
+        first = ranked.where(F.col("place") <= FIRST_SPANS).join(chunks, pair).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), "last")))
+        left = put(ranked.join(_dead(ranked.withColumn("chunk", chunk), first, [*pair, "chunk"]), [*pair, "place"], "left_anti"), "spans-left")
+
+        level = lambda side: F.floor(F.log2(F.greatest(F.col(f"{side}_end") - F.col(f"{side}_start"), F.lit(1)))).cast("int")
+        cell = lambda at, side: F.call_function("shiftright", at, F.col(f"{side}_level") + 1)
+        touched = lambda side: F.explode(F.sequence(cell(F.col(f"{side}_start"), side), cell(F.col(f"{side}_end"), side))).alias(f"{side}_cell")
+        sized = left.withColumns({"q_level": level("q"), "s_level": level("s")})
+        outer = sized.select("*", touched("q")).select("*", touched("s"))
+        levels = sized.groupBy(*pair).agg(F.collect_set(F.struct("q_level", "s_level")).alias("levels"))
+        own = left.withColumns({"q_own": level("q"), "s_own": level("s")}).join(levels, pair).select("*", F.inline("levels")).where("q_level >= q_own and s_level >= s_own")
+        inner = own.withColumns({f"{side}_cell": cell(F.col(f"{side}_start"), side) for side in ("q", "s")})
+        dead = _dead(inner, outer, [*pair, "q_level", "s_level", "q_cell", "s_cell"])
+        return put.keep(put(left.join(dead, [*pair, "place"], "left_anti").select(*BLOCK), "spans-accepted"))
 
 
 def report(spans: DataFrame, k: int | None = TOP_MATCHES) -> DataFrame:

@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.functions.text import NOT_SPACE, utf16_offset
+from lexiloom.storage import Scratch
 
 # Windows of a text, target and most words of a window, most words of a single window, least words for a label.
 MAX_WINDOWS, TARGET_WORDS, MAX_WORDS, SINGLE_WORDS, LEAST_WORDS = 12, 180, 200, 250, 80
+#: Places of a passage whose spans are in one task.
+BLOCK = 4_096
 
 
 def word_windows(docs: DataFrame, id_col: str, text_col: str, target: int = TARGET_WORDS, most: int = MAX_WINDOWS) -> DataFrame:
@@ -143,20 +146,46 @@ def score_windows(docs: DataFrame, scorers: dict[str, Callable], thresholds: dic
     return out
 
 
-def display_segments(matches: DataFrame, group: str, start: str, end: str) -> DataFrame:
-    """The non-overlapping matches that a display shows: from the left, each that starts at or after the last shown end."""
-    kind = {f.name: f.dataType.simpleString() for f in matches.schema}
+def following(spans: DataFrame, group: str, start: str, end: str, block: int = BLOCK) -> DataFrame:
+    """g, a, b, next (a, b): of every span the first of its group after it, by start and end, that starts at or after its end.
+
+    Starts are dealt by blocks of places: the first within the end's own block, else that of the next block that has any.
+    """
+    rows = spans.select(F.col(group).alias("g"), F.col(start).cast("long").alias("a"), F.col(end).cast("long").alias("b")).distinct()
+    asked = rows.select("g", F.expr(f"b div {block}").alias("block"), F.col("b").alias("at"), F.lit(0).alias("kind"), F.when(F.col("a") == F.col("b"), F.col("b") + 0.5).otherwise(-1.0).alias("tie"), "a", "b")
+    there = rows.select("g", F.expr(f"a div {block}").alias("block"), F.col("a").alias("at"), F.lit(1).alias("kind"), F.col("b").cast("double").alias("tie"), "a", "b")
+    # from the last place down, so that the last start that was met is the first one from here on; a span without length comes just before its own
+    down = Window.partitionBy("g", "block").orderBy(F.desc("at"), F.desc("tie"))
+    met = F.last(F.when(F.col("kind") == 1, F.struct("a", "b")), ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, 0))
+    near = asked.unionByName(there).withColumn("near", met).where("kind = 0")
+    firsts = there.groupBy("g", "block").agg(F.min(F.struct("a", "b")).alias("first"))
+    # the blocks of ends and of starts, few to a group; an end's block may have no start
+    blocks = asked.select("g", "block").distinct().join(firsts, ["g", "block"], "full_outer")
+    later = F.min("first").over(Window.partitionBy("g").orderBy("block").rowsBetween(1, Window.unboundedFollowing))
+    blocks = blocks.select("g", "block", later.alias("later"))
+    return near.join(blocks, ["g", "block"], "left").select("g", "a", "b", F.coalesce("near", "later").alias("next"))
 
-    def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([start, end])
-        shown, last = [], -1
-        for i, (a, b) in enumerate(zip(rows[start], rows[end], strict=True)):
-            if a >= last:
-                shown.append(i)
-                last = b
-        return rows.iloc[shown]
 
-    return matches.select(group, start, end).groupBy(group).applyInPandas(pick, f"{group} {kind[group]}, {start} {kind[start]}, {end} {kind[end]}")
+def display_segments(matches: DataFrame, group: str, start: str, end: str) -> DataFrame:
+    """The non-overlapping matches that a display shows: from the left, each that starts at or after the last shown end.
+
+    Every match points to the one that would follow it. Those on the chain from the first are found by doubling: from the
+    chain's first 2**k matches, jumps of 2**k reach as many again. So a group of any size spreads over the tasks. Equal matches are one; nulls are left out.
+    """
+    kind = {f.name: f.dataType.simpleString() for f in matches.schema}
+    with Scratch(matches.sparkSession) as put:
+        spans = matches.where(F.col(group).isNotNull() & F.col(start).isNotNull() & F.col(end).isNotNull())
+        jump = put(following(spans, group, start, end).select("g", "a", "b", F.col("next.a").alias("x"), F.col("next.b").alias("y")), "segments-next")
+        shown = put(jump.groupBy("g").agg(F.min(F.struct("a", "b")).alias("m")).select("g", "m.a", "m.b"), "segments-shown")
+        while True:
+            more = put(shown.join(jump, ["g", "a", "b"]).where("x is not null").select("g", F.col("x").alias("a"), F.col("y").alias("b")), "segments-more")
+            if more.isEmpty():
+                break
+            shown = put(shown.unionByName(more), "segments-shown")
+            far = jump.select("g", F.col("a").alias("x"), F.col("b").alias("y"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+            jump = put(jump.join(far, ["g", "x", "y"]).where("x2 is not null").select("g", "a", "b", F.col("x2").alias("x"), F.col("y2").alias("y")), "segments-next")
+        put.keep(shown)
+        return shown.select(F.col("g").alias(group), F.col("a").cast(kind[start]).alias(start), F.col("b").cast(kind[end]).alias(end))
 
 
 def compare_runs(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -102,8 +102,6 @@ EXACT_OVERLAP = f"""WITH {_BLOCKS} SELECT b.* FROM block b JOIN q USING (passage
     WHERE matched >= 12 AND len(list_distinct(list_filter(w[q_start + 1:q_end], lambda x: length(x) > 3 AND x NOT IN ({_STOP})))) >= 5"""
 TOP_DOCUMENTS = f"""WITH {_GRAMS}, n AS (SELECT passage_id, document_id, count(DISTINCT gram) AS seeds FROM hit WHERE s_pos % 5 = 0 GROUP BY ALL)
     SELECT passage_id, document_id, seeds, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY passage_id ORDER BY seeds DESC, document_id) AS rank FROM n) WHERE rank <= 24"""
-BOUNDED_HITS = f"""WITH {_GRAMS} SELECT passage_id, document_id, q_pos::INT AS q_pos, s_pos::INT AS s_pos, everything > 5 AS truncated FROM (
-    SELECT *, row_number() OVER (PARTITION BY passage_id ORDER BY gram, document_id, s_pos, q_pos) AS n, count(*) OVER (PARTITION BY passage_id) AS everything FROM hit WHERE s_pos % 5 = 0) WHERE n <= 5"""
 BOUNDED_HITS_FULL = f"""WITH {_GRAMS} SELECT passage_id, document_id, q_pos::INT AS q_pos, s_pos::INT AS s_pos, everything > 12000 AS truncated FROM (
     SELECT *, row_number() OVER (PARTITION BY passage_id ORDER BY gram, document_id, s_pos, q_pos) AS n, count(*) OVER (PARTITION BY passage_id) AS everything FROM hit WHERE s_pos % 5 = 0) WHERE n <= 12000"""
 
@@ -182,8 +180,6 @@ CONFLICTS = f"""WITH r AS (SELECT l.doc_id, quality, sha256({_normal('text')}) A
     SELECT doc_id AS id, sha AS normalized_sha256 FROM r WHERE sha IN (SELECT sha FROM r GROUP BY sha HAVING count(DISTINCT quality) > 1)"""
 _REMOVED = f"{_HASHED}, g AS (SELECT sha, min(doc_id) AS kept FROM h GROUP BY sha HAVING count(DISTINCT lang) = 1)"
 REMOVED = f"WITH {_REMOVED} SELECT doc_id AS removed, kept FROM h JOIN g USING (sha) WHERE doc_id <> kept"
-RELATED = f"""WITH {_REMOVED} SELECT 'exact_normalized_text' AS reason, kept || ',' || h.doc_id AS record_ids,
-    array_to_string(list_sort(list_distinct([a.source, h.source])), ',') AS source_groups FROM h JOIN g USING (sha) JOIN documents a ON a.doc_id = kept WHERE h.doc_id <> kept"""
 NEAR = rf"""WITH t AS (SELECT doc_id AS id, lang, regexp_extract_all({_normal("coalesce(text, '')")}, '[\p{{L}}\p{{N}}_]+') AS w FROM documents),
     g AS (SELECT id, lang, list_sort(list_distinct(list_transform(range(0, greatest(len(w) - 4, 0)), lambda i: substr(sha256(array_to_string(w[i + 1:i + 5], ' ')), 1, 16)))) AS g FROM t WHERE len(w) >= 5),
     f AS (SELECT *, min(id) OVER (PARTITION BY g) AS first FROM g), u AS (SELECT * FROM f WHERE id = first),
@@ -198,8 +194,6 @@ RELATED_FULL = f"""WITH {_REMOVED}, adm AS (SELECT d.* FROM documents d JOIN g O
     n AS (WITH documents AS (SELECT * FROM adm) SELECT * FROM ({NEAR})),
     p AS (SELECT 'exact_normalized_text' AS reason, kept AS l, doc_id AS r FROM h JOIN g USING (sha) WHERE doc_id <> kept UNION ALL SELECT 'near_duplicate_text', "left", "right" FROM n)
     SELECT reason, l || ',' || r AS record_ids, array_to_string(list_sort(list_distinct([a.source, b.source])), ',') AS source_groups FROM p JOIN documents a ON a.doc_id = l JOIN documents b ON b.doc_id = r"""
-COMPONENTS = f"""WITH RECURSIVE r AS (SELECT doc_id AS id, sha256({_normal('text')}) AS full_text, sha256(substr(text, 1, 60)) AS opening FROM documents WHERE text IS NOT NULL),
-    {_closure('r', ['full_text', 'opening'])} SELECT id AS doc_id, unit AS family FROM unit"""
 _TRIM = f"'^{SP}+|{SP}+$'"
 _EXCERPT = f"""e AS (SELECT doc_id, text, {_count('text')} AS n, list_filter(regexp_split_to_array(text, '\\n{SP}*\\n'), lambda p: {_count('p')} BETWEEN 80 AND 250) AS p,
     regexp_extract_all(text, '{NS}+{SP}*') AS w FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
@@ -217,8 +211,6 @@ _SPLITS = f"""u AS (SELECT doc_id, sha256(source || '/' || (doc_id // 40)) AS sp
     sp AS (SELECT doc_id, split_unit, CASE WHEN {_draw(SEED, 'split_unit')} < 0.6 THEN 'train' WHEN {_draw(SEED, 'split_unit')} < 0.8 THEN 'calibration' ELSE 'test' END AS split FROM u)"""
 SPLITS = f"WITH {_SPLITS} SELECT * FROM sp"
 SPLIT_COUNTS = f"WITH {_SPLITS} SELECT split, quality, count(*) AS n, count(DISTINCT split_unit) AS units FROM sp JOIN labels USING (doc_id) GROUP BY split, quality"
-LEAKS = f"""WITH {_SPLITS}, r AS (SELECT split, 'text_sha256' AS field, sha256(text) AS value FROM sp JOIN documents USING (doc_id) UNION ALL SELECT split, 'source', source FROM sp JOIN documents USING (doc_id))
-    SELECT field, value, count(DISTINCT split) AS n_splits FROM r WHERE value IS NOT NULL GROUP BY field, value HAVING count(DISTINCT split) > 1"""
 QA = f"""WITH a AS (SELECT conv_id, turn, text, role, CASE WHEN role = 'assistant' THEN 'ai' WHEN role = 'user' AND turn > 0 THEN 'human' END AS label FROM conversations),
     k AS (SELECT conv_id, md5('QA:question:' || sha256({_normal('text')})) AS group_md5 FROM conversations WHERE turn = 0)
     SELECT conv_id, label, (row_number() OVER (PARTITION BY conv_id, label ORDER BY turn) - 1)::INT AS position, sha256(text) AS content_sha256, group_md5 FROM a JOIN k USING (conv_id) WHERE label IS NOT NULL"""
@@ -227,8 +219,6 @@ ATTACHED = f"WITH {_SCORED} SELECT id, label, score FROM scored"
 OVERLAP_KEYS = f"WITH {_SCORED} " + " UNION ALL ".join(
     f"SELECT '{k}' AS key, count(*) AS n FROM (SELECT {k} FROM scored WHERE split = 'calibration' AND {k} IS NOT NULL INTERSECT SELECT {k} FROM scored WHERE split = 'test')" for k in ("id", "source_group", "text_sha256", "prompt")
 )
-TRANSITIVE = """WITH m AS (SELECT n_regionkey, min('n' || n_nationkey) AS c FROM nation GROUP BY n_regionkey)
-    SELECT 'n' || n_nationkey AS node, c AS component FROM nation JOIN m USING (n_regionkey) UNION ALL SELECT 'r' || n_regionkey, c FROM m"""
 TRANSITIVE_FULL = """WITH m AS (SELECT c_nationkey, min('c' || c_custkey) AS c FROM customer WHERE c_custkey IS NOT NULL GROUP BY c_nationkey)
     SELECT 'c' || c_custkey AS node, c AS component FROM customer JOIN m USING (c_nationkey) WHERE c_custkey IS NOT NULL UNION ALL SELECT 'n' || c_nationkey, c FROM m WHERE c_nationkey IS NOT NULL"""
 
@@ -332,7 +322,6 @@ WEIGHTED = f"""WITH {_LABELLED} SELECT doc_id, round(sum(score * words) / nullif
 VERDICT = f"""WITH {_LABELLED}, v AS (SELECT doc_id, sum(length(text))::BIGINT AS characters, coalesce(sum(length(text)) FILTER (status = 'ok'), 0)::BIGINT AS analyzed_characters, count(DISTINCT label) AS k, min(label) AS label FROM n GROUP BY doc_id)
     SELECT doc_id, CASE WHEN characters = analyzed_characters AND k = 1 THEN label ELSE 'inconclusive' END AS label, characters, analyzed_characters, characters = analyzed_characters AS full_coverage FROM v"""
 ROLLUP = f"WITH {_LABELLED} SELECT count(*) FILTER (scheduled AND length(text) > 1200) AS truncated, sum(words) FILTER (scheduled)::BIGINT AS words, array_to_string(list_sort(list(DISTINCT status)), ',') AS statuses FROM n"
-COMPARE = f"""WITH {_SCORED} SELECT id, round(CASE WHEN id % 6 = 0 THEN score / 2 - score END, 9) AS change, id % 6 = 0 AS comparable FROM scored WHERE id % 2 = 0 OR id % 3 = 0"""
 COMPARE_FULL = f"WITH {_SCORED} SELECT id, round(second_score - score, 9) AS change, score IS NOT NULL AS comparable FROM scored"
 
 _LEDGER = """o AS (SELECT user_id AS issue, ts, event_id, event_type <> 'error' AS passed, user_id % 3 = 0 AS blocking, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),

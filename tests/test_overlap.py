@@ -1,4 +1,5 @@
 import random
+import time
 import unicodedata
 
 import pandas as pd
@@ -157,6 +158,42 @@ def test_suppression_equals_greedy_acceptance(spark):
     assert got == set(kept)
 
 
+@pytest.mark.parametrize("first,chunk", [(256, 8_192), (2, 5), (0, 1)])
+def test_suppression_of_random_spans_of_several_pairs(spark, monkeypatch, first, chunk):
+    monkeypatch.setattr(overlap, "FIRST_SPANS", first)
+    monkeypatch.setattr(overlap, "CHUNK_SPANS", chunk)
+    rng = random.Random(first)
+    rows = set()
+    for _ in range(400):
+        q, s, n, m = rng.randrange(300), rng.randrange(300), rng.choice([0, 1, 3, 7, 8, 16, 100]), rng.choice([1, 2, 8, 15, 90])
+        rows.add((rng.choice("pq"), rng.choice("de"), q, q + n, s, s + m, rng.randrange(1, 99)))
+    got = {tuple(r) for r in overlap.suppressed(spark.createDataFrame(sorted(rows), "passage_id string, document_id string, q_start int, q_end int, s_start int, s_end int, matched int")).collect()}
+    kept = []
+    for r in sorted(rows, key=lambda r: (-r[6], -2 * r[6] / (r[3] - r[2] + r[5] - r[4]), r[2], r[4])):
+        if not any(k[:2] == r[:2] and k[2] <= r[2] and k[3] >= r[3] and k[4] <= r[4] and k[5] >= r[5] for k in kept):
+            kept.append(r)
+    assert got == set(kept)
+
+
+def test_a_hundred_thousand_spans_of_one_pair(spark):
+    """Half of them small and apart, half inside one another."""
+    apart = spark.range(50_000).select((F.col("id") * 20).alias("q"), F.lit(14).alias("n"))
+    nested = spark.range(50_000).select((1_000_000 + F.col("id") % 500 * 40 + F.col("id") % 7).alias("q"), (13 + F.col("id") % 23).alias("n"))
+    rows = apart.unionByName(nested).select(F.lit("p").alias("passage_id"), F.lit("d").alias("document_id"), F.col("q").alias("q_start"), (F.col("q") + F.col("n")).alias("q_end"),
+        F.col("q").alias("s_start"), (F.col("q") + F.col("n")).alias("s_end"), F.col("n").cast("long").alias("matched")).distinct()
+    start = time.perf_counter()
+    got = overlap.suppressed(rows).collect()
+    assert time.perf_counter() - start < 60
+    assert sum(r.q_start < 1_000_000 for r in got) == 50_000
+    spans = sorted({(r.q_start, r.q_end) for r in rows.where("q_start >= 1000000").collect()}, key=lambda x: (x[0], -x[1]))
+    top, last = [], -1
+    for a, b in spans:
+        if b > last:
+            top.append((a, b))
+            last = b
+    assert sorted((r.q_start, r.q_end) for r in got if r.q_start >= 1_000_000) == top
+
+
 def test_hits_over_the_bound_are_reported(spark):
     hits = spark.createDataFrame([("p", f"d{i}", 0, i, f"g{i}") for i in range(4)], "passage_id string, document_id string, q_pos int, s_pos int, gram string")
     assert [r.truncated for r in overlap.bounded_hits(hits, 2).collect()] == [True, True]

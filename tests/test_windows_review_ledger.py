@@ -76,6 +76,27 @@ def test_secondary_model_never_vetoes(spark):
     assert r.label == "ai_leaning" and r.second_label == "human_leaning" and r.disagrees
 
 
+@pytest.mark.parametrize("block", [4, 4_096])
+def test_display_segments_of_random_spans(spark, monkeypatch, block):
+    monkeypatch.setattr(windows, "BLOCK", block)
+    monkeypatch.setattr(windows.following, "__defaults__", (block,))
+    rng = random.Random(block)
+    rows = [(rng.choice("xyz"), a := rng.randrange(60), a + rng.choice([0, 1, 2, 5, 9, 30])) for _ in range(90)] + [("x", None, 3), (None, 1, 2), ("alone", 7, 7)]
+    want = []
+    for g in {r[0] for r in rows if r[0]}:
+        last = -1
+        for a, b in sorted({r[1:] for r in rows if r[0] == g and r[1] is not None}):
+            if a >= last:
+                want.append((g, a, b))
+                last = b
+    assert sorted(map(tuple, windows.display_segments(spark.createDataFrame(rows, "k string, a int, b int"), "k", "a", "b").collect())) == sorted(want)
+
+
+def test_display_segments_of_a_long_chain(spark):
+    got = windows.display_segments(spark.range(20_000).select(F.lit("p").alias("k"), F.col("id").alias("a"), (F.col("id") + 2).alias("b")), "k", "a", "b")
+    assert got.agg(F.count("*"), F.sum("a")).first()[:] == (10_000, sum(range(0, 20_000, 2)))
+
+
 def test_display_segments_do_not_overlap(spark):
     df = spark.createDataFrame([("p", 0, 10), ("p", 5, 12), ("p", 10, 20), ("p", 19, 30), ("p", 20, 25)], "k string, a int, b int")
     assert [(r.a, r.b) for r in windows.display_segments(df, "k", "a", "b").orderBy("a").collect()] == [(0, 10), (10, 20), (20, 25)]
