@@ -218,12 +218,43 @@ def near_spans(found: DataFrame, passages: DataFrame, passage_id: str = "passage
 
 
 def chained(found: DataFrame, k: int | None = TOP_BLOCKS) -> DataFrame:
-    ranked = top_blocks(found, (1 << 31) - 1 if k is None else k)
+    """Chains of the k best runs of each pair, a pair in one task; without a bound on its runs, hop by hop (``chained_by_hops``)."""
+    if k is None:
+        return chained_by_hops(found)
+    ranked = top_blocks(found, k)
     kinds = {f.name: f.dataType.simpleString() for f in ranked.schema}
     schema = ", ".join(f"{c} {kinds[c]}" for c in BLOCK)
     return ranked.groupBy("passage_id", "document_id").applyInPandas(chain_runs, schema).distinct()
 
 
+def chained_by_hops(found: DataFrame) -> DataFrame:
+    """What ``chain_runs`` gives, for pairs of any number of runs: all chains go on by one run at a time, by a join on the place where it may start.
+
+    A chain's next run depends on where it began, so there is no pointer to double; but a chain has at most twenty hops, and those that end drop out.
+    """
+    pair = ["passage_id", "document_id"]
+    with Scratch(found.sparkSession) as put:
+        # a chain prefers the longest run, of those the first in the passage, and of those the first by rank, which is by the source's place
+        runs = put(found.select(*BLOCK), "chain-runs")
+        nexts = runs.select(*pair, F.col("q_start").alias("at"), F.struct("matched", -F.col("q_start"), -F.col("s_start"), "q_end", "s_end", "s_start").alias("run"))
+        state, told = runs, []
+        for _ in range(MAX_HOPS):
+            asked = state.withColumn("at", F.explode(F.sequence(F.col("q_end"), F.col("q_end") + MAX_GAP)))
+            fit = (
+                F.col("run.s_start").between(F.col("s_end"), F.col("s_end") + MAX_GAP) & (F.col("run.q_end") - F.col("q_start") <= MAX_SPAN) & (F.col("run.s_end") - F.col("s_start") <= MAX_SPAN)
+            )
+            hop = asked.join(nexts, [*pair, "at"]).where(fit).groupBy(*BLOCK).agg(F.max("run").alias("run"))
+            grown = {"q_end": F.col("run.q_end"), "s_end": F.col("run.s_end"), "matched": F.col("matched") + F.col("run.matched")}
+            state = put(hop.select(*(grown.get(c, F.col(c)).alias(c) for c in BLOCK)), "chain-hop")
+            if state.isEmpty():
+                break
+            told.append(state.where((F.col("matched") >= MIN_NEAR) & (similarity() >= MIN_SIMILARITY)))
+        out = runs.limit(0)
+        for part in told:
+            out = out.unionByName(part)
+        return put.keep(put(out.distinct(), "chain-spans"))
+
+
 def _dead(inner: DataFrame, outer: DataFrame, key: list[str]) -> DataFrame:
     """passage_id, document_id, place of the inner spans that lie in an earlier-ranked outer one with an equal key."""
     o = outer.select(*key, *(F.col(c).alias("o_" + c) for c in ["place", *BLOCK[2:6]]))

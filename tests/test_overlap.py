@@ -143,6 +143,19 @@ def test_chains_prefer_longer_runs_and_respect_the_gap():
     assert out[["q_start", "q_end", "s_start", "s_end", "matched"]].values.tolist() == [[0, 20, 0, 21, 18]]
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_chains_by_hops_equal_those_of_a_task(spark, seed):
+    rng = random.Random(seed)
+    rows = set()
+    for _ in range(250):
+        q, n = rng.randrange(400), rng.choice([5, 6, 8, 11])
+        s = q + rng.choice([0, 1, 2, 40])
+        rows.add((rng.choice("pq"), "d", q, q + n, s, s + n, n))
+    df = spark.createDataFrame(sorted(rows), "passage_id string, document_id string, q_start int, q_end int, s_start int, s_end int, matched int")
+    want = set(map(tuple, overlap.chained(df, 10_000).collect()))
+    assert len(want) > 50 and set(map(tuple, overlap.chained(df, None).collect())) == want
+
+
 def test_suppression_equals_greedy_acceptance(spark):
     rng = random.Random(6)
     rows = set()
