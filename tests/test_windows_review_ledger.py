@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexiloom.operators import ledger, review, windows
-from lexiloom.streaming.ledger import ledger_stream, step
+from lexiloom.streaming.ledger import ledger_stream, ordered_ledger_stream, step, upsert_batches
 
 
 def docs(spark, texts):
@@ -210,6 +210,40 @@ def test_ledger_stream_equals_the_fold(spark, tmp_path):
     assert sorted(map(tuple, spark.table("ledger_rows").collect())) == sorted(folded(rows))
 
 
+def test_ordered_stream_equals_the_batch_ledger_and_a_restart_repeats_no_row(spark, tmp_path):
+    """Observations come out of order within the delay, in four batches; the third runs again after a restart."""
+    rng = random.Random(8)
+    rows = [(issue, k * 60 + rng.randrange(60), k, passed, blocking) for k, (issue, _, passed, blocking) in enumerate(observations(rng, 90))]
+    mixed = sorted(rows, key=lambda r: r[1] + rng.randrange(900))
+    schema = "issue string, ts timestamp, seq long, passed boolean, blocking boolean"
+    source, sink, checkpoint = (str(tmp_path / x) for x in ("in", "out", "cp"))
+
+    def arrive(part):
+        df = spark.createDataFrame(part, "issue string, t long, seq long, passed boolean, blocking boolean")
+        df.select("issue", F.timestamp_seconds("t").alias("ts"), "seq", "passed", "blocking").coalesce(1).write.mode("append").json(source)
+
+    def run():
+        stream = spark.readStream.schema(schema).json(source)
+        q = ordered_ledger_stream(stream, "20 minutes").writeStream.foreachBatch(upsert_batches(sink)).outputMode("append").option("checkpointLocation", checkpoint).start()
+        q.processAllAvailable()
+        q.stop()
+
+    for part in (mixed[:30], mixed[30:60], mixed[60:]):
+        arrive(part)
+        run()
+    arrive([("end", 10**6, 0, True, False)])
+    run()
+    told = lambda: sorted(tuple(r) for r in spark.read.parquet(sink).select("issue", "seq", "status", "blocking", "changed").collect())
+    ordered = spark.createDataFrame(rows, "issue string, t long, seq long, passed boolean, blocking boolean")
+    want = sorted(tuple(r) for r in ledger.transitions(ordered, "issue", ["t", "seq"]).select("issue", "seq", "status", "blocking", "changed").collect())
+    assert len(want) > 20 and told() == want
+    commits = sorted((int(f.name) for f in (tmp_path / "cp" / "commits").iterdir() if f.name.isdigit()))
+    for name in (f"{commits[-1]}", f".{commits[-1]}.crc"):
+        (tmp_path / "cp" / "commits" / name).unlink(missing_ok=True)
+    run()
+    assert told() == want
+
+
 def test_gates_and_review_slots(spark):
     gates = spark.createDataFrame([("a", ["x", "y"]), ("b", []), ("c", ["z"])], "gate string, check_ids array<string>")
     checks = spark.createDataFrame([("x", True), ("y", True), ("z", False)], "check_id string, passed boolean")
