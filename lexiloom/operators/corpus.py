@@ -43,18 +43,18 @@ def exact_dedup(records: DataFrame, id_col: str, label_col: str, text_col: str)
 
 
 def gram_sets(records: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, grams array<long>: the first 64 bits of the SHA-256 of each distinct five-word gram of the normalised text, in the order of their hex digits."""
+    """id, grams array<long>: the first 64 bits of the SHA-256 of each distinct five-word gram of the normalised text, sorted as their hex digits are."""
     tokens = F.regexp_extract_all(normalized(F.coalesce(F.col(text_col), F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
     last = F.size("tokens") - GRAM
     places = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    digits = F.transform(places, lambda i: F.substring(F.sha2(F.array_join(F.slice("tokens", i + 1, GRAM), " "), 256), 1, 16))
-    hashed = F.transform(digits, lambda x: F.conv(x, 16, -10).cast("long").bitwiseXOR(F.lit(-(1 << 63))))
-    return records.select(F.col(id_col).alias("id"), tokens.alias("tokens")).select("id", F.array_distinct(hashed).alias("grams"))
+    joined = lambda i: F.concat(*(part for k in range(GRAM) for part in ([F.lit(" ")] * bool(k) + [F.get("tokens", i + k)])))
+    hashed = F.transform(places, lambda i: F.conv(F.substring(F.sha2(joined(i), 256), 1, 16), 16, -10).cast("long").bitwiseXOR(F.lit(-(1 << 63))))
+    return records.select(F.col(id_col).alias("id"), tokens.alias("tokens")).select("id", F.sort_array(F.array_distinct(hashed)).alias("grams"))
 
 
 def sketches(sets: DataFrame) -> DataFrame:
     """id, n, gram: the sixteen smallest grams of each set."""
-    return sets.select("id", F.size("grams").alias("n"), F.explode(F.slice(F.array_sort("grams"), 1, SKETCH)).alias("gram"))
+    return sets.select("id", F.size("grams").alias("n"), F.explode(F.slice("grams", 1, SKETCH)).alias("gram"))
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
@@ -93,14 +93,18 @@ def near_duplicates(records: DataFrame, id_col: str, label_col: str, text_col: s
     between different sets, the smallest ids stand for all. ``near_status`` tells whether a budget of pairs holds.
     """
     with Scratch(records.sparkSession) as put:
-        joined = _with_first(records, id_col, text_col, put)
-        equal = joined.where("id <> first").select(F.col("first").alias("left"), F.col("id").alias("right"), F.lit(1.0).alias("jaccard"))
-        distinct = joined.where("id = first").select("id", "grams")
+        sets, first = _with_first(records, id_col, text_col, put)
+        equal = first.where("id <> first").select(F.col("first").alias("left"), F.col("id").alias("right"), F.lit(1.0).alias("jaccard"))
+        distinct = put(sets.join(first.where("id = first").select("id"), "id", "left_semi"), "near-distinct")
+        put.drop(sets)
         pairs = put(near_candidates(distinct, put), "near-pairs")
-        a = distinct.select(F.col("id").alias("left"), F.col("grams").alias("a"))
-        b = distinct.select(F.col("id").alias("right"), F.col("grams").alias("b"))
-        both = pairs.join(a, "left").join(b, "right").withColumn("shared", F.size(F.array_intersect("a", "b")))
-        sketch = lambda c: F.slice(F.array_sort(c), 1, SKETCH)
+        # only sets that are in some pair travel
+        both = pairs
+        for side, name in (("left", "a"), ("right", "b")):
+            own = distinct.join(pairs.select(F.col(side).alias("id")).distinct(), "id", "left_semi")
+            both = both.join(own.select(F.col("id").alias(side), F.col("grams").alias(name)), side)
+        both = both.withColumn("shared", F.size(F.array_intersect("a", "b")))
+        sketch = lambda c: F.slice(c, 1, SKETCH)
         near = both.withColumn("jaccard", F.col("shared") / (F.size("a") + F.size("b") - F.col("shared"))).where(F.col("jaccard") >= NEAR)
         near = near.where(F.arrays_overlap(sketch("a"), sketch("b"))).select("left", "right", "jaccard")
         every = put(near.unionByName(equal), "near-found")
@@ -111,13 +115,13 @@ def near_duplicates(records: DataFrame, id_col: str, label_col: str, text_col: s
         return told.select("left", "right", "jaccard", (~F.col("left_label").eqNullSafe(F.col("right_label"))).alias("label_conflict"))
 
 
-def _with_first(records: DataFrame, id_col: str, text_col: str, put: Scratch) -> DataFrame:
-    """id, grams, first: the gram sets that are not empty, with the smallest id of an equal set."""
+def _with_first(records: DataFrame, id_col: str, text_col: str, put: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(id, grams of the sets that are not empty; id, first: the smallest id of an equal set, by 128 bits of hashes)."""
     # written once: several plans read the sets, and a filter pushed below them would tokenise again for every gram
-    sets = put(gram_sets(records, id_col, text_col), "near-sets").where(F.size("grams") > 0)
-    keyed = sets.withColumn("set_key", F.sha2(F.array_join(F.transform(F.array_sort("grams"), lambda x: x.cast("string")), ","), 256))
-    first = keyed.groupBy("set_key").agg(F.min("id").alias("first"))
-    return put(keyed.join(first, "set_key").drop("set_key"), "near-keyed")
+    sets = put(gram_sets(records, id_col, text_col), "near-sets")
+    keyed = sets.where(F.size("grams") > 0).select("id", F.xxhash64("grams").alias("ka"), F.xxhash64(F.lit(GRAM), "grams").alias("kb"), F.size("grams").alias("n"))
+    least = keyed.groupBy("ka", "kb", "n").agg(F.min("id").alias("first"))
+    return sets, put(keyed.join(least, ["ka", "kb", "n"]).select("id", "first"), "near-first")
 
 
 def near_status(records: DataFrame, id_col: str, text_col: str, budget: int = PAIR_BUDGET) -> DataFrame:
@@ -127,8 +131,8 @@ def near_status(records: DataFrame, id_col: str, text_col: str, budget: int = PA
     over one, is too many for sure, and candidates is null. Else no more than 16 budgets of them are made to count the different ones.
     """
     with Scratch(records.sparkSession) as put:
-        distinct = _with_first(records, id_col, text_col, put).where("id = first").select("id", "grams")
-        sketch = put(sketches(distinct), "near-sketches")
+        sets, first = _with_first(records, id_col, text_col, put)
+        sketch = put(sketches(sets.join(first.where("id = first").select("id"), "id", "left_semi")), "near-sketches")
         pairs = F.col("count") * (F.col("count") - 1) / 2
         told = sketch.groupBy("gram").count().agg(F.coalesce(F.sum(pairs), F.lit(0)).alias("all"), F.coalesce(F.max(pairs), F.lit(0)).alias("one")).first()
         if told["one"] > budget or told["all"] > SKETCH * budget:
