@@ -14,7 +14,7 @@ import json
 import re
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.checks import CheckFailed, require_empty
@@ -22,7 +22,7 @@ from lexiloom.functions.text import valid_url, with_words, words
 from lexiloom.operators.corpus import leaks
 from lexiloom.operators.overlap import index_of
 from lexiloom.sources import artifacts
-from lexiloom.storage import Scratch
+from lexiloom.storage import Scratch, shuffles_cleaned
 
 #: The version of the tables.
 VERSION = 2
@@ -170,16 +170,18 @@ def status(spark: SparkSession, path: str) -> str:
         return "unavailable"
 
 
-def _write(spark: SparkSession, path: str, documents: DataFrame, tokens: DataFrame, entries: DataFrame, ids: DataFrame, rows: int, words: int) -> dict:
-    """A delta's tables: one file a bucket, as each task has the rows of one."""
+def _write(spark: SparkSession, path: str, parts: dict[str, DataFrame], rows: int, words: int) -> dict:
+    """A delta's tables: one file a bucket, as each task has the rows of one. An index that is not among the parts is made of the tokens written."""
     delta = {"name": f"d-{uuid.uuid4().hex}", "document_buckets": max(1, -(-rows // BUCKET_DOCUMENTS)), "gram_buckets": max(1, -(-words // BUCKET_TOKENS))}
-    for kind, df in (("documents", documents), ("tokens", tokens), ("index", entries), ("ids", ids)):
+    for kind in ("documents", "tokens", "ids", "index"):
+        df = parts[kind] if kind in parts else index_of(StoredLibrary(spark, path, [delta])._table(delta, "tokens"))
         schema, column = _KINDS[kind]
         buckets = delta["gram_buckets" if column == "gram" else "document_buckets"]
-        order = [column, *(c for c in df.columns if kind == "index" and c != column)]
+        order = [column, "document_id", "s_pos"] if kind == "index" else [column]
         name = f"lexiloom_{uuid.uuid4().hex}"
         out = df.select(*(F.col(c.split()[0]) for c in schema.split(", "))).repartition(buckets, column).sortWithinPartitions(*order)
-        out.write.format("parquet").option("compression", "zstd").option("path", f"{path}/{delta['name']}/{kind}").bucketBy(buckets, column).sortBy(column).saveAsTable(name)
+        with shuffles_cleaned(spark):
+            out.write.format("parquet").option("compression", "zstd").option("path", f"{path}/{delta['name']}/{kind}").bucketBy(buckets, column).sortBy(column).saveAsTable(name)
         spark.sql(f"DROP TABLE {name}")
     return delta
 
@@ -199,13 +201,16 @@ def upsert(spark: SparkSession, path: str, incoming: DataFrame) -> DataFrame:
     deltas = _pointer(spark, path, number)["deltas"] if number else []
     with Scratch(spark) as put:
         batch = put(with_words(incoming.select(*SCHEMA_IN), F.coalesce("text", F.lit(""))), "library-batch")
-        repeated = F.count("*").over(Window.partitionBy("document_id")) > 1
-        checked = batch.withColumn("problems", admission_problems(F.size("tokens"))).withColumn("problems", F.when(repeated, F.array_append("problems", "repeated")).otherwise(F.col("problems")))
+        repeated = put(batch.groupBy("document_id").count().where("count > 1").select("document_id", F.lit(True).alias("_again")), "library-repeated")
+        # as a rule none is, and then no text moves
+        marked = batch.withColumn("_again", F.lit(None).cast("boolean")) if repeated.isEmpty() else batch.join(repeated, "document_id", "left")
+        problems = F.when(F.col("_again"), F.array_append(admission_problems(F.size("tokens")), "repeated")).otherwise(admission_problems(F.size("tokens")))
+        checked = marked.withColumn("problems", problems)
         rejected = put.keep(put(checked.where(F.size("problems") > 0).select("document_id", "problems"), "library-rejected"))
-        good = put(checked.where(F.size("problems") == 0).drop("problems"), "library-admitted")
+        good = checked.where(F.size("problems") == 0)
         told = good.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("tokens")), F.lit(0)).alias("words")).first()
         documents = good.withColumns({"word_count": F.size("tokens"), "content_sha256": F.sha2("text", 256), "indexed_at": F.current_timestamp()})
-        delta = _write(spark, path, documents, good, index_of(good), good, told["rows"], told["words"])
+        delta = _write(spark, path, {"documents": documents, "tokens": good, "ids": good}, told["rows"], told["words"])
     _point(spark, path, number + 1, [*deltas, delta])
     return rejected
 
@@ -216,7 +221,7 @@ def remove(spark: SparkSession, path: str, ids: DataFrame) -> None:
     deltas = opened(spark, path).deltas
     none = {kind: spark.createDataFrame([], _KINDS[kind][0]) for kind in ("documents", "tokens", "index")}
     gone = ids.select("document_id").where("document_id is not null").distinct()
-    _point(spark, path, number + 1, [*deltas, _write(spark, path, none["documents"], none["tokens"], none["index"], gone, gone.count(), 0)])
+    _point(spark, path, number + 1, [*deltas, _write(spark, path, none | {"ids": gone}, gone.count(), 0)])
 
 
 def compact(spark: SparkSession, path: str, newest: int | None = None) -> None:
@@ -231,7 +236,8 @@ def compact(spark: SparkSession, path: str, newest: int | None = None) -> None:
         told = documents.agg(F.count("*").alias("rows"), F.coalesce(F.sum("word_count"), F.lit(0)).alias("words")).first()
         # over all deltas nothing is left to be removed
         ids = merged._every("ids").select("document_id").distinct() if kept else documents.select("document_id")
-        delta = _write(spark, path, documents, _latest(merged._every("tokens"), later), _latest(merged._every("index"), later), ids, told["rows"], told["words"])
+        parts = {"documents": documents, "tokens": _latest(merged._every("tokens"), later), "ids": ids, "index": _latest(merged._every("index"), later)}
+        delta = _write(spark, path, parts, told["rows"], told["words"])
     _point(spark, path, number + 1, [*kept, delta])
 
 

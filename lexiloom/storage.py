@@ -29,7 +29,7 @@ _CLEAN_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 @contextlib.contextmanager
-def _shuffles_cleaned(spark: SparkSession):
+def shuffles_cleaned(spark: SparkSession):
     """Executions started inside delete their shuffle files when they end."""
     before = spark.conf.get(_CLEAN_KEY, None)
     spark.conf.set(_CLEAN_KEY, "true")
@@ -45,7 +45,7 @@ def _shuffles_cleaned(spark: SparkSession):
 def _written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/lexiloom/{name}-{uuid.uuid4().hex}"
-    with _shuffles_cleaned(spark):
+    with shuffles_cleaned(spark):
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
