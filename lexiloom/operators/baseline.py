@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,22 +25,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from lexiloom.storage import Scratch
+
 # Most terms and least documents of a term for words and characters, sizes of grams, and the strength of the penalty.
 WORD_TERMS, WORD_DOCUMENTS, CHAR_TERMS, CHAR_DOCUMENTS, C = 20_000, 2, 40_000, 3, 1.0
 CHAR_GRAMS = (3, 4, 5)
+#: Characters of texts whose terms a task has in memory at once, and the most rows that a fit takes: those with the smallest hashes of their texts.
+SLICE_CHARS, SAMPLE_ROWS = 400_000, 12_000
 
 _WORD, _SPACES = re.compile(r"(?u)\b\w\w+\b"), re.compile(r"\s\s+")
 _VECTOR = pa.struct([("type", pa.int8()), ("size", pa.int32()), ("indices", pa.list_(pa.int32())), ("values", pa.list_(pa.float64()))])
 
 
+_HASHES: dict[str, int] = {}
+
+
+def _hashed(words: list[str]) -> np.ndarray:
+    """64 bits of each word, by a digest; those of words seen lately are kept."""
+    if len(_HASHES) > 500_000:
+        _HASHES.clear()
+    for x in set(words).difference(_HASHES):
+        _HASHES[x] = int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little")
+    return np.fromiter((_HASHES[x] for x in words), np.uint64, len(words))
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = h * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ (h >> np.uint64(32))
+
+
 def word_terms(text: str) -> tuple[np.ndarray, np.ndarray]:
     """(terms sorted, counts) of the words of two or more characters and their pairs."""
-    words = _WORD.findall(text.lower())
-    counts = Counter(words)
-    counts.update(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))
-    terms = np.array([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little", signed=True) for x in counts], np.int64)
-    order = np.argsort(terms)
-    return terms[order], np.array(list(counts.values()), np.int64)[order]
+    words = _hashed(_WORD.findall(text.lower()))
+    pairs = _mixed(_mixed(words[:-1]) ^ words[1:])
+    return np.unique(np.concatenate([words, pairs]).view(np.int64), return_counts=True)
 
 
 def char_terms(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -52,8 +69,7 @@ def char_terms(text: str) -> tuple[np.ndarray, np.ndarray]:
         if len(points) >= n:
             h = np.full(len(points) - n + 1, n, np.uint64)
             for k in range(n):
-                h = (h ^ points[k : k + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
-                h ^= h >> np.uint64(32)
+                h = _mixed(h ^ points[k : k + len(h)])
             found.append(h.view(np.int64))
     return np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
@@ -61,14 +77,27 @@ def char_terms(text: str) -> tuple[np.ndarray, np.ndarray]:
 _KINDS = {"word": (word_terms, WORD_TERMS, WORD_DOCUMENTS), "char": (char_terms, CHAR_TERMS, CHAR_DOCUMENTS)}
 
 
+def _slices(texts: Iterator[str]) -> Iterator[list[str]]:
+    """Texts of about SLICE_CHARS together; a longer one is alone."""
+    held, size = [], 0
+    for text in texts:
+        if held and size + len(text) > SLICE_CHARS:
+            yield held
+            held, size = [], 0
+        held.append(text)
+        size += len(text)
+    if held:
+        yield held
+
+
 def term_counts(rows: DataFrame, text_col: str = "text") -> DataFrame:
     """kind, term, documents, occurrences over all rows."""
     names = ["kind", "term", "documents", "occurrences"]
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
+        for texts in _slices(x.as_py() or "" for batch in batches for x in batch.column(0)):
             for kind, (terms_of, *_) in _KINDS.items():
-                told = [terms_of(x.as_py() or "") for x in batch.column(0)]
+                told = [terms_of(x) for x in texts]
                 every, at = np.unique(np.concatenate([t for t, _ in told]), return_inverse=True)
                 documents, occurrences = np.bincount(at, minlength=len(every)), np.bincount(at, np.concatenate([c for _, c in told]), minlength=len(every))
                 for lo in range(0, len(every), 100_000):
@@ -93,24 +122,27 @@ class TermVectors(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable,
         size = sum(len(terms) for _, terms, _ in vocabulary) + 1
         at, out = dataset.columns.index(self.getInputCol()), self.getOutputCol()
 
-        def vector(text: str) -> dict:
+        def vector(text: str) -> tuple[np.ndarray, np.ndarray]:
             indices, values, first = [], [], 0
             for terms_of, terms, idf in vocabulary:
                 own, counts = terms_of(text)
                 place = np.minimum(np.searchsorted(terms, own), max(len(terms) - 1, 0))
                 known = terms[place] == own if len(terms) else np.zeros(len(own), bool)
                 x = (1 + np.log(counts[known])) * idf[place[known]]
-                if len(x):
-                    values.append(x / np.sqrt(x @ x))
-                    indices.append(place[known] + first)
+                indices.append(place[known] + first)
+                values.append(x / np.sqrt(x @ x) if len(x) else x)
                 first += len(terms)
-            return {"type": 0, "size": size, "indices": np.append(np.concatenate(indices) if indices else [], first).astype(np.int32), "values": np.append(np.concatenate(values) if values else [], 1.0)}
+            return np.concatenate([*indices, [first]]).astype(np.int32), np.concatenate([*values, [1.0]])
 
         def run(batches: Iterator[pa.RecordBatch]):
             for batch in batches:
-                for lo in range(0, batch.num_rows, 500):
-                    part = batch.slice(lo, 500)
-                    vectors = pa.array([vector(x.as_py() or "") for x in part.column(at)], _VECTOR)
+                for lo in range(0, batch.num_rows, 200):
+                    part = batch.slice(lo, 200)
+                    told = [vector(x.as_py() or "") for x in part.column(at)]
+                    n = len(told)
+                    ends = np.concatenate([[0], np.cumsum([len(i) for i, _ in told])]).astype(np.int32)
+                    lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(flat))) for flat in zip(*told, strict=True)]
+                    vectors = pa.StructArray.from_arrays([pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, size, np.int32)), *lists], fields=list(_VECTOR))
                     yield pa.RecordBatch.from_arrays([*part.columns, vectors], names=[*part.schema.names, out])
 
         return dataset.mapInArrow(run, StructType([*dataset.schema.fields, StructField(out, VectorUDT())]))
@@ -130,21 +162,25 @@ def vocabulary(rows: DataFrame, text_col: str = "text") -> TermVectors:
     return stage
 
 
-def train(rows: DataFrame, text_col: str = "text", label_col: str = "label") -> PipelineModel:
-    """Fit on the training rows alone; each class has half of all weight.
+def train(rows: DataFrame, text_col: str = "text", label_col: str = "label", most: int = SAMPLE_ROWS) -> PipelineModel:
+    """Fit on the training rows alone, at most ``most`` of them; each class has half of all weight.
 
-    The training rows should be a table, as they are read twice.
+    The sample is written to the shared folder, over as many tasks as the session has cores, as each step of the fit reads it.
     """
-    counts = {r[label_col]: r["count"] for r in rows.groupBy(label_col).count().collect()}
-    total = sum(counts.values())
-    weight = F.when(F.col(label_col) == 1, total / (2 * counts.get(1, 1))).otherwise(total / (2 * counts.get(0, 1)))
-    stage = vocabulary(rows, text_col)
-    vectors = stage.transform(rows.select(text_col, label_col, weight.alias("weight"))).select("features", F.col(label_col).cast("double").alias("label"), "weight")
-    # MLlib leaves out features that never vary; a row of zeros, whose loss no weight changes, makes the one vary
-    size = len(stage.getOrDefault(stage.wordTerms)) + len(stage.getOrDefault(stage.charTerms)) + 1
-    zeros = rows.sparkSession.createDataFrame([(Vectors.sparse(size, [], []), 0.0, float(total))], vectors.schema)
-    fit = LogisticRegression(weightCol="weight", regParam=1 / (2 * C * max(total, 1)), maxIter=100, tol=1e-6, fitIntercept=False, standardization=False)
-    return PipelineModel([stage, fit.fit(vectors.unionByName(zeros))])
+    spark = rows.sparkSession
+    with Scratch(spark) as put:
+        rows = rows.select(text_col, label_col).orderBy(F.sha2(F.coalesce(text_col, F.lit("")), 256), label_col).limit(most)
+        rows = put(rows.repartition(spark.sparkContext.defaultParallelism), "baseline-sample")
+        counts = {r[label_col]: r["count"] for r in rows.groupBy(label_col).count().collect()}
+        total = sum(counts.values())
+        weight = F.when(F.col(label_col) == 1, total / (2 * counts.get(1, 1))).otherwise(total / (2 * counts.get(0, 1)))
+        stage = vocabulary(rows, text_col)
+        vectors = stage.transform(rows.select(text_col, label_col, weight.alias("weight"))).select("features", F.col(label_col).cast("double").alias("label"), "weight")
+        # MLlib leaves out features that never vary; a row of zeros, whose loss no weight changes, makes the one vary
+        size = len(stage.getOrDefault(stage.wordTerms)) + len(stage.getOrDefault(stage.charTerms)) + 1
+        zeros = spark.createDataFrame([(Vectors.sparse(size, [], []), 0.0, float(total))], vectors.schema).coalesce(1)
+        fit = LogisticRegression(weightCol="weight", regParam=1 / (2 * C * max(total, 1)), maxIter=100, tol=1e-6, fitIntercept=False, standardization=False)
+        return PipelineModel([stage, fit.fit(vectors.unionByName(zeros))])
 
 
 def predict(model: PipelineModel, rows: DataFrame, text_col: str = "text") -> DataFrame:

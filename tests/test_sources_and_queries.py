@@ -295,12 +295,21 @@ def test_baseline_equals_a_plain_version(spark):
     assert np.allclose(scores, 1 / (1 + np.exp(-mine @ w)))
 
 
+def test_baseline_fits_a_bounded_sample(spark):
+    df = spark.createDataFrame([(k, f"word{k % 7} and word{k % 3} stand here", k % 2) for k in range(50)], "id int, text string, label int")
+    model = baseline.train(df, most=20)
+    again = baseline.train(df.repartition(5), most=20)
+    assert model.stages[0].getOrDefault(model.stages[0].wordTerms) == again.stages[0].getOrDefault(again.stages[0].wordTerms)
+    assert baseline.predict(model, df).count() == 50
+
+
 def test_baseline_vocabulary_is_the_most_frequent(spark, monkeypatch):
     monkeypatch.setattr(baseline, "_KINDS", {"word": (baseline.word_terms, 3, 2), "char": (baseline.char_terms, 5, 3)})
     texts = ["aa bb cc", "aa bb cc dd dd", "aa aa bb dd", "once only"]
     stage = baseline.vocabulary(spark.createDataFrame([(t,) for t in texts], "text string"))
     counts, df = Counter(w for t in texts for w in plain_words(t)), Counter(w for t in texts for w in set(plain_words(t)))
-    term = lambda w: int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little", signed=True)
+    parts = lambda w: set(baseline.word_terms(w)[0].tolist())
+    term = lambda w: min(parts(w).difference(*(parts(x) for x in w.split() if x != w)))
     want = sorted((-n, term(w), w) for w, n in counts.items() if df[w] > 1)[:3]
     idf = dict(zip(stage.getOrDefault(stage.wordTerms), stage.getOrDefault(stage.wordIdf), strict=True))
     assert idf == {t: pytest.approx(math.log(5 / (1 + df[w])) + 1) for _, t, w in want} and len(stage.getOrDefault(stage.charTerms)) == 5
