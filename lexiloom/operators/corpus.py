@@ -64,14 +64,14 @@ def _pairs(rows: DataFrame) -> DataFrame:
     return rows.withColumnRenamed("id", "left").join(other, "gram").where(near).select("left", "right").distinct()
 
 
-def near_candidates(sets: DataFrame, put: Scratch) -> DataFrame:
-    """left, right: pairs of records of like size, among them all similar ones that share one of their 16 smallest grams.
+def near_candidates(sets: DataFrame, ids: DataFrame, put: Scratch) -> DataFrame:
+    """left, right: pairs of the records ``ids`` of like size, among them all similar ones that share one of their 16 smallest grams.
 
     Equal gram sets enter once, with their smallest id, and are linked to the others of their kind by
     ``near_duplicates``, so copies are never paired with one another. A gram that many sketches share is not paired
     out: similar sets also share a gram among the rarest fifth of their own, so records with such a gram are paired by those.
     """
-    sketch = put(sketches(sets), "near-sketches")
+    sketch = put(sketches(sets).join(ids, "id", "left_semi"), "near-sketches")
     counts = put(sketch.groupBy("gram").count().where("count > 1"), "near-counts")
     cold = _pairs(sketch.join(counts.where(F.col("count") <= HOT_GRAM).select("gram"), "gram", "left_semi"))
     hot = put(sketch.join(counts.where(F.col("count") > HOT_GRAM).select("gram"), "gram", "left_semi").select("id").distinct(), "near-hot")
@@ -95,13 +95,11 @@ def near_duplicates(records: DataFrame, id_col: str, label_col: str, text_col: s
     with Scratch(records.sparkSession) as put:
         sets, first = _with_first(records, id_col, text_col, put)
         equal = first.where("id <> first").select(F.col("first").alias("left"), F.col("id").alias("right"), F.lit(1.0).alias("jaccard"))
-        distinct = put(sets.join(first.where("id = first").select("id"), "id", "left_semi"), "near-distinct")
-        put.drop(sets)
-        pairs = put(near_candidates(distinct, put), "near-pairs")
+        pairs = put(near_candidates(sets, first.where("id = first").select("id"), put), "near-pairs")
         # only sets that are in some pair travel
         both = pairs
         for side, name in (("left", "a"), ("right", "b")):
-            own = distinct.join(pairs.select(F.col(side).alias("id")).distinct(), "id", "left_semi")
+            own = sets.join(pairs.select(F.col(side).alias("id")).distinct(), "id", "left_semi")
             both = both.join(own.select(F.col("id").alias(side), F.col("grams").alias(name)), side)
         both = both.withColumn("shared", F.size(F.array_intersect("a", "b")))
         sketch = lambda c: F.slice(c, 1, SKETCH)
@@ -132,7 +130,7 @@ def near_status(records: DataFrame, id_col: str, text_col: str, budget: int = PA
     """
     with Scratch(records.sparkSession) as put:
         sets, first = _with_first(records, id_col, text_col, put)
-        sketch = put(sketches(sets.join(first.where("id = first").select("id"), "id", "left_semi")), "near-sketches")
+        sketch = put(sketches(sets).join(first.where("id = first").select("id"), "id", "left_semi"), "near-sketches")
         pairs = F.col("count") * (F.col("count") - 1) / 2
         told = sketch.groupBy("gram").count().agg(F.coalesce(F.sum(pairs), F.lit(0)).alias("all"), F.coalesce(F.max(pairs), F.lit(0)).alias("one")).first()
         if told["one"] > budget or told["all"] > SKETCH * budget:
