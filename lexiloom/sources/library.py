@@ -39,7 +39,7 @@ SCHEMA_IN = ["document_id", "title", "text", "url", "license_id", "license_url",
 #: Rows of a bucket, about; the most distinct grams that a search looks up as literals.
 BUCKET_TOKENS, BUCKET_DOCUMENTS, LITERAL_GRAMS = 16_000_000, 200_000, 2_000
 _KINDS = {
-    "documents": (SCHEMA, "document_id"), "tokens": ("document_id string, tokens array<string>", "document_id"),
+    "documents": (SCHEMA, "document_id"), "tokens": ("document_id string, words string", "document_id"),
     "index": ("gram string, document_id string, s_pos int", "gram"), "ids": ("document_id string", "document_id"),
 }
 
@@ -86,6 +86,11 @@ def _latest(rows: DataFrame, later: DataFrame | None) -> DataFrame:
     return rows.join(newest, "document_id", "left").where("newest is null or newest = delta").drop("delta", "newest")
 
 
+def _tokens(rows: DataFrame) -> DataFrame:
+    """document_id, tokens; they are stored as one string, as words have no spaces, which takes half the room of an array on its way."""
+    return rows.select("document_id", F.split("words", " ").alias("tokens"))
+
+
 class StoredLibrary:
     """One version of a library: its deltas, oldest first, each {name, document_buckets, gram_buckets}."""
 
@@ -130,7 +135,7 @@ class StoredLibrary:
 
     def tokens(self, wanted: DataFrame) -> DataFrame:
         """document_id, tokens of the documents with the ids wanted (distinct)."""
-        return _latest(self._every("tokens", lambda df: df.join(wanted, "document_id", "left_semi")), self._later())
+        return _tokens(_latest(self._every("tokens", lambda df: df.join(wanted, "document_id", "left_semi")), self._later()))
 
     def is_empty(self) -> bool:
         return self.documents().isEmpty()
@@ -174,7 +179,7 @@ def _write(spark: SparkSession, path: str, parts: dict[str, DataFrame], rows: in
     """A delta's tables: one file a bucket, as each task has the rows of one. An index that is not among the parts is made of the tokens written."""
     delta = {"name": f"d-{uuid.uuid4().hex}", "document_buckets": max(1, -(-rows // BUCKET_DOCUMENTS)), "gram_buckets": max(1, -(-words // BUCKET_TOKENS))}
     for kind in ("documents", "tokens", "ids", "index"):
-        df = parts[kind] if kind in parts else index_of(StoredLibrary(spark, path, [delta])._table(delta, "tokens"))
+        df = parts[kind] if kind in parts else index_of(_tokens(StoredLibrary(spark, path, [delta])._table(delta, "tokens")))
         schema, column = _KINDS[kind]
         buckets = delta["gram_buckets" if column == "gram" else "document_buckets"]
         order = [column, "document_id", "s_pos"] if kind == "index" else [column]
@@ -200,16 +205,18 @@ def upsert(spark: SparkSession, path: str, incoming: DataFrame) -> DataFrame:
     number, _ = _versions(spark, path)
     deltas = _pointer(spark, path, number)["deltas"] if number else []
     with Scratch(spark) as put:
-        batch = put(with_words(incoming.select(*SCHEMA_IN), F.coalesce("text", F.lit(""))), "library-batch")
+        read = with_words(incoming.select(*SCHEMA_IN), F.coalesce("text", F.lit("")))
+        batch = put(read.select(*SCHEMA_IN, F.size("tokens").alias("word_count"), F.array_join("tokens", " ").alias("words")), "library-batch")
         repeated = put(batch.groupBy("document_id").count().where("count > 1").select("document_id", F.lit(True).alias("_again")), "library-repeated")
         # as a rule none is, and then no text moves
         marked = batch.withColumn("_again", F.lit(None).cast("boolean")) if repeated.isEmpty() else batch.join(repeated, "document_id", "left")
-        problems = F.when(F.col("_again"), F.array_append(admission_problems(F.size("tokens")), "repeated")).otherwise(admission_problems(F.size("tokens")))
+        found = admission_problems(F.col("word_count"))
+        problems = F.when(F.col("_again"), F.array_append(found, "repeated")).otherwise(found)
         checked = marked.withColumn("problems", problems)
         rejected = put.keep(put(checked.where(F.size("problems") > 0).select("document_id", "problems"), "library-rejected"))
         good = checked.where(F.size("problems") == 0)
-        told = good.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("tokens")), F.lit(0)).alias("words")).first()
-        documents = good.withColumns({"word_count": F.size("tokens"), "content_sha256": F.sha2("text", 256), "indexed_at": F.current_timestamp()})
+        told = good.agg(F.count("*").alias("rows"), F.coalesce(F.sum("word_count"), F.lit(0)).alias("words")).first()
+        documents = good.withColumns({"content_sha256": F.sha2("text", 256), "indexed_at": F.current_timestamp()})
         delta = _write(spark, path, {"documents": documents, "tokens": good, "ids": good}, told["rows"], told["words"])
     _point(spark, path, number + 1, [*deltas, delta])
     return rejected

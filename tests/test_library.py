@@ -111,7 +111,7 @@ def test_the_library_is_read_as_it_lies(spark, tmp_path, world, monkeypatch, lit
         scan = next(i for i, x in enumerate(tree) if "Scan parquet" in x)
         join = max(i for i, x in enumerate(tree[:scan]) if "SortMergeJoin" in x)
         assert "Bucketed: true" in found and not any("Exchange" in x for x in tree[join:scan])
-    assert "Bucketed: true" in wanted and "struct<document_id:string,tokens:array<string>>" in wanted
+    assert "Bucketed: true" in wanted and "struct<document_id:string,words:string>" in wanted
 
 
 def test_a_batch_costs_what_it_holds(spark, tmp_path):
@@ -143,7 +143,7 @@ def test_of_two_writers_one_fails_and_readers_see_a_whole_version(spark, tmp_pat
 def test_null_and_rejected_rows_and_empty_batches(spark, tmp_path):
     path = str(tmp_path / "lib")
     assert library.upsert(spark, path, batch(spark, {})).count() == 0
-    rejected = library.upsert(spark, path, batch(spark, {"a": None, "b": "four words are few", "c": "a b c d e"}).withColumn("tokens", F.lit("clash")))
+    rejected = library.upsert(spark, path, batch(spark, {"a": None, "b": "four words are few", "c": "a b c d e"}).withColumns({"tokens": F.lit("clash"), "words": F.lit("clash")}))
     assert {r.document_id: r.problems for r in rejected.collect()} == {"a": ["text", "words"], "b": ["words"]}
     passages = spark.createDataFrame([("p", None), ("q", "a b c d e f g h i j k l m n")], "passage_id string, text string")
     matches, outcomes = overlap.search(passages, library.opened(spark, path))
