@@ -8,6 +8,7 @@ distinct scores, and joins; only thresholds (two numbers) come to the driver.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 from lexiloom.checks import require
 from lexiloom.operators.corpus import record_families
 
-# The 95 % quantile of the standard normal distribution, error caps, and the release limits.
-Z95 = 1.6448536269514722
+# The confidence of one-sided bounds, error caps, and the release limits.
+CONFIDENCE = 0.95
 CAP = 0.01
 #: Ranges of scores for running sums.
 SCORE_BUCKETS = 4_096
@@ -128,8 +129,11 @@ def auroc(rows: DataFrame, dims: list[str] | None = None) -> DataFrame:
     return won.groupBy(*dims).agg(ratio(F.sum("won"), F.sum("p") * F.sum("n")).alias("auroc"))
 
 
-def wilson(successes: Column, total: Column, z: float = Z95) -> tuple[Column, Column]:
-    """Lower and upper one-sided bounds; null without trials."""
+def wilson(successes: Column, total: Column, confidence: float = CONFIDENCE) -> tuple[Column, Column]:
+    """Lower and upper bounds, each one-sided at the confidence, which is between a half and one; null without trials."""
+    if not 0.5 < confidence < 1:
+        raise ValueError("one-sided confidence must be between 0.5 and 1")
+    z = NormalDist().inv_cdf(confidence)
     n = F.when(total > 0, total.cast("double"))
     p = successes / n
     scale = 1 + z * z / n

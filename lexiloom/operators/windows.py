@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
+from pyspark.resource import ResourceProfile
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,22 +56,45 @@ def word_windows(docs: DataFrame, id_col: str, text_col: str, target: int = TARG
     return rows.select("id", F.col("w").alias("window_no"), (F.col("k") + F.col("tail").cast("int")).alias("n_windows"), "words", scheduled.alias("scheduled"), start.cast("int").alias("start"), whole.alias("text"))
 
 
-def with_scorer(windows: DataFrame, model: str, factory: Callable[[], Callable[[pd.Series], pd.DataFrame]]) -> DataFrame:
-    """windows with model, score, truncated and status; ``factory`` is called once a task and its scorer once a batch.
+_LOADED: dict[str, Callable[[pd.Series], pd.DataFrame]] = {}
 
-    A scorer takes texts and gives score and truncated. Windows out of schedule are not scored; a score
+
+def _loaded(key: str, factory: Callable[[], Callable[[pd.Series], pd.DataFrame]]) -> Callable[[pd.Series], pd.DataFrame]:
+    """The factory's scorer, made once in a worker's life."""
+    if key not in _LOADED:
+        _LOADED[key] = factory()
+    return _LOADED[key]
+
+
+def in_micro_batches(scorer: Callable[[pd.Series], pd.DataFrame], texts: pd.Series, most: int) -> pd.DataFrame:
+    """score, truncated of texts, at most so many to a call and those of like length together, in the texts' own order."""
+    order = texts.str.len().to_numpy().argsort(kind="stable")
+    parts = [scorer(texts.iloc[order[at : at + most]].reset_index(drop=True)).reset_index(drop=True) for at in range(0, len(order), most)]
+    told = pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"score": [], "truncated": []})
+    told.index = order
+    return told.sort_index()
+
+
+def with_scorer(windows: DataFrame, model: str, factory: Callable[[], Callable[[pd.Series], pd.DataFrame]], most: int | None = None, profile: ResourceProfile | None = None) -> DataFrame:
+    """windows with model, score, truncated and status; ``factory`` is called once a worker.
+
+    A scorer takes texts and gives score and truncated; with ``most``, no more than so many at once, sorted by length so that padding
+    is small. ``profile`` names the resources of the stage, as a device. Windows out of schedule are not scored; a score
     that is missing or outside [0, 1] is unavailable.
     """
+    if most is not None and most < 1:
+        raise ValueError("a batch holds at least one text")
+    key = hashlib.sha256(cloudpickle.dumps((model, factory))).hexdigest()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = factory()
+        scorer = _loaded(key, factory)
         for batch in batches:
-            told = scorer(batch["text"])
+            told = scorer(batch["text"]) if most is None else in_micro_batches(scorer, batch["text"], most)
             yield batch.assign(model=model, score=told["score"].to_numpy(dtype=float), truncated=told["truncated"].to_numpy(dtype=bool))
 
     scheduled = windows.where("scheduled")
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in windows.schema)
-    scored = scheduled.mapInPandas(run, f"{kinds}, model string, score double, truncated boolean")
+    scored = scheduled.mapInPandas(run, f"{kinds}, model string, score double, truncated boolean", profile=profile)
     rest = windows.where("not scheduled").select("*", F.lit(model).alias("model"), F.lit(None).cast("double").alias("score"), F.lit(False).alias("truncated"))
     return with_status(scored.unionByName(rest))
 

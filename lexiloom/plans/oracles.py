@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from lexiloom.functions.text import MARKS, STOP_WORDS
 from lexiloom.operators.corpus import SEED
-from lexiloom.operators.metrics import Z95
 from lexiloom.operators.review import GUIDANCE
 
+#: The 95 % quantile of the standard normal distribution.
+Z95 = 1.6448536269514722
 _WS = r"\t-\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 SP, NS = f"[{_WS}]", f"[^{_WS}]"
 _UNIT = rf"[\p{{L}}\p{{N}}][{MARKS}]*"

@@ -161,3 +161,21 @@ def test_sources_link_by_excerpt_and_keep_null_texts(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     got = dict(map(tuple, queries.QUERIES["source_components_full"](spark, str(tmp_path)).select("doc_id", "family").collect()))
     assert got == {1: 1, 41: 1, 42: 1, 90: 90}
+
+
+@pytest.mark.parametrize("confidence", [0.8, 0.95, 0.99])
+def test_wilson_bounds_of_any_confidence(spark, confidence):
+    """The bounds are where the score test is just at its quantile."""
+    from statistics import NormalDist
+
+    lower, upper = metrics.wilson(F.col("k"), F.col("n"), confidence)
+    z = NormalDist().inv_cdf(confidence)
+    for r in spark.createDataFrame([(0, 9), (1, 9), (9, 9), (40, 123), (0, 0)], "k int, n int").select("k", "n", lower.alias("lo"), upper.alias("hi")).collect():
+        if not r.n:
+            assert r.lo is None and r.hi is None
+            continue
+        for bound in (r.lo, r.hi):
+            if 1e-12 < bound < 1 - 1e-12:
+                assert abs(abs(r.k / r.n - bound) / (bound * (1 - bound) / r.n) ** 0.5 - z) < 1e-6
+    with pytest.raises(ValueError):
+        metrics.wilson(F.col("k"), F.col("n"), 0.5)

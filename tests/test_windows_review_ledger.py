@@ -76,6 +76,39 @@ def test_secondary_model_never_vetoes(spark):
     assert r.label == "ai_leaning" and r.second_label == "human_leaning" and r.disagrees
 
 
+@pytest.mark.parametrize("most", [1, 4])
+def test_scorers_get_micro_batches_of_like_length(spark, tmp_path, most):
+    """Each call's texts and each load are written down by the workers."""
+    log = str(tmp_path)
+
+    def factory():
+        import os
+        import uuid
+
+        import pandas as pd
+
+        open(f"{log}/load-{os.getpid()}-{uuid.uuid4().hex}", "w").close()
+
+        def score(texts):
+            with open(f"{log}/calls-{os.getpid()}", "a") as out:
+                out.write(",".join(map(str, texts.str.len())) + "\n")
+            return pd.DataFrame({"score": texts.str.len() / 1_000, "truncated": texts.str.len() > 500}, index=texts.index)
+
+        return score
+
+    texts = ["x" * (k * 37 % 900) for k in range(50)]
+    df = spark.createDataFrame([(k, t, k % 7 > 0) for k, t in enumerate(texts)], "id int, text string, scheduled boolean").repartition(3).cache()
+    for _ in range(2):
+        got = {r.id: (r.score, r.truncated, r.status) for r in windows.with_scorer(df, "m", factory, most).collect()}
+        assert got == {k: (len(t) / 1_000, len(t) > 500, "truncated" if len(t) > 500 else "ok") if k % 7 else (None, False, "not_scored") for k, t in enumerate(texts)}
+    calls = [[int(n) for n in line.split(",")] for f in tmp_path.glob("calls-*") for line in f.read_text().splitlines()]
+    assert max(map(len, calls)) == most and all(c == sorted(c) for c in calls)
+    loads = [f.name.split("-")[1] for f in tmp_path.glob("load-*")]
+    assert len(loads) == len(set(loads))
+    with pytest.raises(ValueError):
+        windows.with_scorer(df, "m", factory, 0)
+
+
 @pytest.mark.parametrize("block", [4, 4_096])
 def test_display_segments_of_random_spans(spark, monkeypatch, block):
     monkeypatch.setattr(windows, "BLOCK", block)
@@ -175,6 +208,18 @@ def test_judge(spark):
     ])
 
 
+def test_judge_takes_lists_of_forbidden_patterns(spark):
+    schema = (
+        "id string, text string, status string, assessment string, authorship_opinion string, summary string, edits array<struct<sentence_id:string,quote:string,start:int,end:int,rewrite:string,issue:string,why:string,suggestion:string>>, "
+        "minimum_edits int, maximum_edits int, shorter_ratio double, preserve_quoted_numbers boolean, no_nonempty_rewrite boolean, forbidden_rewrite_patterns array<string>, required_rewrite_pattern string, forbidden_generated_patterns array<string>, must_edit_sentence string"
+    )
+    edit = ("s1", "It is big.", 0, 10, "It proves much.", "A.", "Ignore it.", "C.")
+    case = lambda i, rewrite, generated: (i, "It is big.", "complete", None, "not_provided", "One.", [edit], None, None, None, None, None, rewrite, None, generated, None)
+    rows = [case("none", None, None), case("empty", [], []), case("apart", ["shows", None], ["never"]), case("second", ["shows", "PROVES?"], []), case("both", ["much"], ["never", "ignore\\s"])]
+    got = {r.id: r.failures for r in review.judge(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {"none": [], "empty": [], "apart": [], "second": ["overclaim_retained"], "both": ["followed_embedded_instruction", "overclaim_retained"]}
+
+
 def observations(rng, n):
     return [(f"i{rng.randrange(4)}", k, rng.random() < 0.6, rng.random() < 0.2) for k in range(n)]
 
