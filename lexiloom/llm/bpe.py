@@ -11,7 +11,8 @@ text is then cut into pieces at pre-token boundaries; pieces are encoded indepen
 their ids concatenate to the ids of the text. Decoding concatenates the raw bytes of the ids.
 
 Defined results: a null text counts as empty and has no ids; an empty table gives an empty
-result; repeated rows are encoded each on their own; other columns are left aside.
+result; repeated rows are encoded each on their own; a very long text is encoded by its chunks, whose ids meet in
+one task to be stitched; of merges of equal rank (ties) the first in the text is taken; other columns are left aside.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ of some template. Words elsewhere have a statistic of at most 1, below every use
 stream visits just the runs of such neighbours; this leaves all longer statistics as they are.
 
 Defined results: a null text counts as empty and has no words, labels or places; an empty table
-gives an empty result; repeated rows are each reported; other columns are left aside.
+gives an empty result; repeated rows are each reported; a very long text is streamed whole, in time that grows with its
+words; labels that hold at one place are all told (ties), each once and sorted; other columns are left aside.
 """
 
 from __future__ import annotations
