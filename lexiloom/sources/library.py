@@ -36,8 +36,8 @@ SCHEMA = "document_id string, title string, text string, url string, license_id
 
 SCHEMA_IN = ["document_id", "title", "text", "url", "license_id", "license_url", "source_provider", "metadata"]
 
-#: Rows of a bucket, about; the most distinct grams that a search looks up as literals.
-BUCKET_TOKENS, BUCKET_DOCUMENTS, LITERAL_GRAMS = 16_000_000, 200_000, 2_000
+#: Words and documents of a bucket, about; the most buckets of a table (larger deltas have larger ones); the most distinct grams that a search looks up as literals.
+BUCKET_TOKENS, BUCKET_DOCUMENTS, MOST_BUCKETS, LITERAL_GRAMS = 4_000_000, 25_000, 50_000, 2_000
 _KINDS = {
     "documents": (SCHEMA, "document_id"), "tokens": ("document_id string, words string", "document_id"),
     "index": ("gram string, document_id string, s_pos int", "gram"), "ids": ("document_id string", "document_id"),
@@ -175,10 +175,16 @@ def status(spark: SparkSession, path: str) -> str:
         return "unavailable"
 
 
-def _write(spark: SparkSession, path: str, parts: dict[str, DataFrame], rows: int, words: int) -> dict:
-    """A delta's tables: one file a bucket, as each task has the rows of one. An index that is not among the parts is made of the tokens written."""
-    delta = {"name": f"d-{uuid.uuid4().hex}", "document_buckets": max(1, -(-rows // BUCKET_DOCUMENTS)), "gram_buckets": max(1, -(-words // BUCKET_TOKENS))}
+def _write(spark: SparkSession, path: str, parts: dict[str, DataFrame], rows: int, words: int, put: Scratch | None = None) -> dict:
+    """A delta's tables: one file a bucket, as each task has the rows of one.
+
+    An index that is not among the parts is made of the tokens written, when the tables of ``put`` are no longer needed and are deleted.
+    """
+    buckets_of = lambda n, size: min(MOST_BUCKETS, max(1, -(-n // size)))
+    delta = {"name": f"d-{uuid.uuid4().hex}", "document_buckets": buckets_of(rows, BUCKET_DOCUMENTS), "gram_buckets": buckets_of(words, BUCKET_TOKENS)}
     for kind in ("documents", "tokens", "ids", "index"):
+        if kind == "index" and put is not None:
+            put.drop(*(df for df, _ in list(put.tables.values())))
         df = parts[kind] if kind in parts else index_of(_tokens(StoredLibrary(spark, path, [delta])._table(delta, "tokens")))
         schema, column = _KINDS[kind]
         buckets = delta["gram_buckets" if column == "gram" else "document_buckets"]
@@ -217,7 +223,7 @@ def upsert(spark: SparkSession, path: str, incoming: DataFrame) -> DataFrame:
         good = checked.where(F.size("problems") == 0)
         told = good.agg(F.count("*").alias("rows"), F.coalesce(F.sum("word_count"), F.lit(0)).alias("words")).first()
         documents = good.withColumns({"content_sha256": F.sha2("text", 256), "indexed_at": F.current_timestamp()})
-        delta = _write(spark, path, {"documents": documents, "tokens": good, "ids": good}, told["rows"], told["words"])
+        delta = _write(spark, path, {"documents": documents, "tokens": good, "ids": good}, told["rows"], told["words"], put)
     _point(spark, path, number + 1, [*deltas, delta])
     return rejected
 
