@@ -183,6 +183,19 @@ def test_shown_scores(spark):
     ]
 
 
+def test_shown_scores_equal_their_sql_below_a_thousandth(spark, tmp_path):
+    # scores of these texts without quality: 0.0000146, 0.0000407, 0.0000071, 0.0000105914
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents AS SELECT unnest([34290, 36372, 2985100, 203612, 1])::BIGINT AS doc_id")
+    con.execute("CREATE TABLE labels AS SELECT doc_id, 0 AS quality, 0 AS toxic FROM documents")
+    con.execute("CREATE OR REPLACE TABLE documents AS SELECT doc_id, 'text ' || doc_id AS text, 'en' AS lang, 'src' AS source, 10::BIGINT AS n_chars FROM documents")
+    for t in ("documents", "labels"):
+        con.execute(f"COPY {t} TO '{tmp_path}/{t}.parquet'")
+    got = {tuple(r) for r in __spark_entry__.queries()["shown_scores"](spark, str(tmp_path)).collect()}
+    assert got == set(con.execute(__spark_entry__.oracle_sql()["shown_scores"]).fetchall())
+    assert (34290, "1.4552788343280554e-05") in got
+
+
 def test_blob_ids_and_softmax(spark):
     df = spark.createDataFrame([(bytearray(b"hello\n"), [800.0, 800.0]), (bytearray(b""), [float("inf"), 0.0])], "b binary, l array<double>")
     assert [r[0] for r in df.select(T.git_blob_id(F.col("b"))).collect()] == ["ce013625030ba8dba906f756967f9e9ca394464a", "e69de29bb2d1d6434b8b29ae775ad8c2e48c5391"]
