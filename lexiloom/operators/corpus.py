@@ -188,20 +188,18 @@ def excerpt(text: Column) -> Column:
     paragraphs = F.filter(F.split(text, rf"\n{SPACE}*\n"), lambda p: word_count(p).between(LEAST_WORDS, MOST_WORDS))
     edge = rf"^{SPACE}+|{SPACE}+$"
     trimmed = lambda x: F.regexp_replace(x, edge, "")
-    count = word_count(text)
     clip = F.regexp_extract(text, rf"^{SPACE}*(?:{NOT_SPACE}+{SPACE}+){{{MOST_WORDS - 1}}}{NOT_SPACE}+", 0)
     kind = lambda value, name: F.struct(trimmed(value).alias("excerpt"), F.lit(name).alias("kind"))
-    return (
-        F.when(F.size(paragraphs) > 0, kind(F.get(paragraphs, F.lit(0)), "natural_paragraph"))
-        .when(count < LEAST_WORDS, F.lit(None))
-        .when(count <= MOST_WORDS, kind(text, "whole_short_document"))
-        .otherwise(kind(clip, "first_250_words"))
-    )
+    # paragraphs and words are taken once each, so they are names inside functions of arrays
+    natural = F.get(F.transform(F.slice(paragraphs, 1, 1), lambda p: kind(p, "natural_paragraph")), F.lit(0))
+    other = lambda count: F.when(count < LEAST_WORDS, F.lit(None)).when(count <= MOST_WORDS, kind(text, "whole_short_document")).otherwise(kind(clip, "first_250_words"))
+    return F.coalesce(natural, F.get(F.transform(F.array(word_count(text)), other), F.lit(0)))
 
 
 def excerpts(records: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, excerpt, kind, words, length_bucket, excerpt_sha256 of the records that have an excerpt."""
-    cut = records.select(F.col(id_col).alias("id"), excerpt(F.coalesce(F.col(text_col), F.lit(""))).alias("e")).where("e is not null")
+    # a filter on the excerpt itself would be pushed below it and cut it once more; behind a generator it is cut once
+    cut = records.select(F.col(id_col).alias("id"), F.explode_outer(F.array(excerpt(F.coalesce(F.col(text_col), F.lit(""))))).alias("e")).where("e is not null")
     found = cut.select("id", "e.excerpt", "e.kind").withColumn("words", word_count(F.col("excerpt")))
     bucket = F.when(F.col("words") < SHORT_WORDS, "80-149").otherwise("150-250")
     return found.withColumn("length_bucket", bucket).withColumn("excerpt_sha256", text_hash(F.col("excerpt")))

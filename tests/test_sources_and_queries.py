@@ -341,6 +341,13 @@ def canonical(columns, rows):
     return [columns[i] for i in order], sorted(tuple(fix(row[i]) for i in order) for row in rows)
 
 
+def test_excerpts_are_cut_once(spark):
+    df = spark.createDataFrame([("a", "w " * 100), ("b", None)], "doc_id string, text string")
+    cut = corpus.excerpts(df, "doc_id", "text")
+    assert cut._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    assert [(r.id, r.words) for r in cut.collect()] == [("a", 100)]
+
+
 @pytest.mark.parametrize("name", sorted(k for k in __spark_entry__.oracle_sql() if not k.startswith("op") and k != "pipeline"))
 def test_queries_equal_their_oracles(spark, name):
     con = duckdb.connect()
