@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexiloom.checks import require_empty
 from lexiloom.functions.text import NOT_SPACE, SPACE, draw, normalized, text_hash, word_count
 from lexiloom.operators.linking import connected_components, joined_by_key
-from lexiloom.storage import Scratch
+from lexiloom.storage import Scratch, materialize
 
 # Words of near-duplicate grams, size of the sketch, least similarity, budget of pairs, excerpt bounds, split shares and seed.
 GRAM, SKETCH, NEAR, PAIR_BUDGET = 5, 16, 0.8, 200_000
@@ -19,26 +19,37 @@ SEED = "split-v1"
 HOT_GRAM = 100
 
 
+def _keyed(records: DataFrame, id_col: str, label_col: str, text_col: str) -> DataFrame:
+    return records.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), text_hash(F.coalesce(F.col(text_col), F.lit(""))).alias("normalized_sha256"))
+
+
+def _groups(keyed: DataFrame) -> DataFrame:
+    return keyed.groupBy("normalized_sha256").agg(
+        F.min("id").alias("kept"), F.count("*").alias("n"), F.min("label").alias("least_label"), F.max("label").alias("most_label")
+    ).withColumn("conflict", ~F.col("least_label").eqNullSafe(F.col("most_label")))
+
+
 def exact_groups(records: DataFrame, id_col: str, label_col: str, text_col: str) -> DataFrame:
     """normalized_sha256, kept, n, n_labels: the groups of records with equal normalised text.
 
     Groups of one label keep their first record by id; groups of several labels are conflicts.
     Aggregates have a fixed size, so a group of any size stays cheap.
     """
-    keyed = records.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), text_hash(F.coalesce(F.col(text_col), F.lit(""))).alias("normalized_sha256"))
-    return keyed.groupBy("normalized_sha256").agg(
-        F.min("id").alias("kept"), F.count("*").alias("n"), F.min("label").alias("least_label"), F.max("label").alias("most_label")
-    ).withColumn("conflict", ~F.col("least_label").eqNullSafe(F.col("most_label")))
+    return _groups(_keyed(records, id_col, label_col, text_col))
 
 
 def exact_dedup(records: DataFrame, id_col: str, label_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(admitted records, removed: id and kept id, conflicts: id and hash), one row each."""
-    groups = exact_groups(records, id_col, label_col, text_col)
-    keyed = records.withColumn("normalized_sha256", text_hash(F.coalesce(F.col(text_col), F.lit(""))))
-    joined = keyed.join(groups.select("normalized_sha256", "kept", "conflict"), "normalized_sha256")
-    admitted = joined.where(~F.col("conflict") & (F.col(id_col) == F.col("kept"))).drop("kept", "conflict")
-    removed = joined.where(~F.col("conflict") & (F.col(id_col) != F.col("kept"))).select(F.col(id_col).alias("removed"), "kept")
-    conflicts = joined.where("conflict").select(F.col(id_col).alias("id"), "normalized_sha256")
+    """(admitted records, removed: id and kept id, conflicts: id and hash), one row each.
+
+    Hashes are written once, as groups and their members are both made of them.
+    """
+    keyed = materialize(_keyed(records, id_col, label_col, text_col), "exact-hashes")
+    groups = _groups(keyed).select("normalized_sha256", "kept", "n", "conflict")
+    whole = records.withColumn("normalized_sha256", text_hash(F.coalesce(F.col(text_col), F.lit(""))))
+    admitted = whole.join(groups.drop("n"), "normalized_sha256").where(~F.col("conflict") & (F.col(id_col) == F.col("kept"))).drop("kept", "conflict")
+    joined = keyed.join(groups.where("n > 1"), "normalized_sha256")
+    removed = joined.where(~F.col("conflict") & (F.col("id") != F.col("kept"))).select(F.col("id").alias("removed"), "kept")
+    conflicts = joined.where("conflict").select("id", "normalized_sha256")
     return admitted, removed, conflicts
 
 

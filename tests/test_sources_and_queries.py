@@ -341,6 +341,13 @@ def canonical(columns, rows):
     return [columns[i] for i in order], sorted(tuple(fix(row[i]) for i in order) for row in rows)
 
 
+def test_exact_duplicates_are_hashed_once(spark):
+    df = spark.createDataFrame([(1, "x", "Same  text"), (2, "x", "same text"), (3, "y", "other"), (4, "x", "OTHER"), (5, "x", None)], "doc_id long, lang string, text string")
+    admitted, removed, conflicts = corpus.exact_dedup(df, "doc_id", "lang", "text")
+    assert all("regexp_replace" not in x._jdf.queryExecution().optimizedPlan().toString() for x in (removed, conflicts))
+    assert [tuple(r) for r in removed.collect()] == [(2, 1)] and sorted(r.id for r in conflicts.collect()) == [3, 4] and sorted(r.doc_id for r in admitted.collect()) == [1, 5]
+
+
 def test_excerpts_are_cut_once(spark):
     df = spark.createDataFrame([("a", "w " * 100), ("b", None)], "doc_id string, text string")
     cut = corpus.excerpts(df, "doc_id", "text")
