@@ -8,7 +8,9 @@ text. Only stretches whose minimizer occurs in two documents can hold a repeated
 Of stretches with equal content, those of any but the smallest document go whole; only the smallest
 document's own ones are sorted. They are dealt into shards by minimizer, so equal strings always meet, and a
 shard's stretches are sorted as one suffix array by external induced sorting (``induced``), whose common
-prefixes tell which neighbouring suffixes share ``length`` bytes. The smallest document of such a group keeps them.
+prefixes tell which neighbouring suffixes share ``length`` bytes. The smallest document of such a group keeps them. Stretches
+that can't share a string with one of another document are not sorted: a string holds at least half of its other bytes on one side of its
+minimizer's gram, so in two places of it the bytes on the left or those on the right are equal too (``Partners``).
 
 Scale. The scan of the texts emits four numbers a stretch; texts travel once, to the places of the stretches to be
 sorted. Exact copies of a whole text are settled by its digest and take no part in the rest. A minimizer with over a
@@ -43,6 +45,8 @@ from lexiloom.storage import Scratch, batch_rows, small_batches
 GRAM, STRETCH, SHARD_BYTES, HOT_SHARE = 20, 64, 1 << 20, 1_000
 #: Distinct stretches of a minimizer that are never cut up, and rows of Arrow batches of texts' stretches.
 HOT_LEAST, NUMBER_ROWS = 1 << 15, 4_000
+#: Logarithm of the places of the table that tells a shard's stretches with a partner.
+PARTNER_BITS = 20
 #: A null id in comparisons.
 LAST = (1 << 63) - 1
 #: Of a place: bits of the number of windows and of the text's tag, below those of the start.
@@ -59,17 +63,22 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), _tag(text).alias("tag"), text.alias("text"))
 
 
-def minimizers(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, start byte, windows, minimizer) of the stretches of a flat batch."""
-    none = np.zeros(0, np.int64)
-    if len(raw) < length:
-        return none, none, none, none.view(U64)
+def _gram_hashes(raw: np.ndarray, gram: int) -> np.ndarray:
     padded = np.concatenate([raw, np.zeros(8, np.uint8)])
     words = np.ndarray((len(raw),), "<u8", padded.data, strides=(1,))
     n = len(raw) - gram + 1
     h = words[:n] * U64(0x9E3779B97F4A7C15)
     for k in (*range(8, gram - 7, 8), gram - 8):
         h = (h ^ (h >> U64(31)) ^ words[k : k + n]) * U64(0xD6E8FEB86659FD93)
+    return h
+
+
+def minimizers(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start byte, windows, minimizer) of the stretches of a flat batch."""
+    none = np.zeros(0, np.int64)
+    if len(raw) < length:
+        return none, none, none, none.view(U64)
+    h = _gram_hashes(raw, gram)
     least, width, wanted = h, 1, length - gram + 1
     while width * 2 <= wanted:
         least = np.minimum(least[:-width], least[width:])
@@ -200,25 +209,91 @@ def _span_batch(doc: np.ndarray, place: np.ndarray, first: np.ndarray, last: np.
     return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(tag), pa.array(start + first), pa.array(start + last + length)], names=["doc", "tag", "start", "stop"])
 
 
-def _sorted_spans(shards: DataFrame, length: int, budget: int | None) -> DataFrame:
+class Partners:
+    """Tells which stretches of a shard may share a string of ``length`` bytes with one of another document.
+
+    A stretch has a key for either side of its minimizer's gram, of the gram and half of a string's other bytes. A table of a fixed size
+    holds the smallest and the largest document by key; keys that fall together only leave more stretches in. Stretches that hold the gram
+    twice have no sides: they and all others of their minimizer stay.
+    """
+
+    def __init__(self, length: int, gram: int):
+        self.length, self.gram = length, gram
+        self.low, self.high = np.full(1 << PARTNER_BITS, LAST), np.full(1 << PARTNER_BITS, -LAST - 1)
+        self.odd = np.zeros(1 << PARTNER_BITS, bool)
+
+    def keys(self, raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Three columns: the places of the minimizer, and of its left and right side or -1; of strings raw[ends[i]:ends[i + 1]]."""
+        h, at, width = _gram_hashes(raw, self.gram), ends[:-1], np.diff(ends)
+        wanted, side = self.length - self.gram + 1, (self.length - self.gram) // 2
+        least = h[at]
+        for o in range(1, wanted):
+            least = np.minimum(least, h[at + o])
+        where, seen = at.copy(), np.zeros(len(at), np.int64)
+        for o in range(2 * wanted - 1):
+            hit = (h[np.minimum(at + o, len(h) - 1)] == least) & (o <= width - self.gram)
+            seen += hit
+            where[hit] = at[hit] + o
+        odd = (seen > 1) | (width - self.gram > 2 * wanted - 2)
+        shift = U64(64 - PARTNER_BITS)
+        out = np.full((len(at), 3), -1)
+        out[:, 0] = mix(least) >> shift
+        self.odd[out[odd, 0]] = True
+        for k, begin in ((1, where - side), (2, where + self.gram)):
+            inside = ~odd & (begin >= at) & (begin + side <= ends[1:])
+            begin = begin[inside]
+            out[inside, k] = mix(least[inside] * U64(2 * k + 1) ^ span_hashes(raw, begin, begin + side)) >> shift
+        return out
+
+    def add(self, keys: np.ndarray, doc: np.ndarray) -> None:
+        for k in (1, 2):
+            known = keys[:, k] >= 0
+            np.minimum.at(self.low, keys[known, k], doc[known])
+            np.maximum.at(self.high, keys[known, k], doc[known])
+
+    def several(self, keys: np.ndarray) -> np.ndarray:
+        met = self.low < self.high
+        return self.odd[keys[:, 0]] | (met[keys[:, 1]] & (keys[:, 1] >= 0)) | (met[keys[:, 2]] & (keys[:, 2] >= 0))
+
+
+def _sorted_spans(shards: DataFrame, length: int, gram: int, budget: int | None) -> DataFrame:
     """The spans of each shard's stretches that an earlier document has, by an external suffix sort."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with Store(budget) as store:
+            partners = Partners(length, gram)
+            shard: list[tuple[np.ndarray, ...]] = []
             kept: list[tuple[np.ndarray, np.ndarray]] = []
 
+            def stored(values: np.ndarray) -> np.ndarray:
+                out = store.empty(values.size, values.dtype.type)
+                out[:] = values.ravel()
+                return out
+
+            for batch in batches:
+                column = batch.column("bytes")
+                ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+                if len(ends) < 2:
+                    continue
+                raw = np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+                ends = ends - ends[0]
+                keys, doc = partners.keys(raw, ends), batch.column("doc").to_numpy()
+                partners.add(keys, doc)
+                shard.append(tuple(stored(x) for x in (doc, batch.column("place").to_numpy(), keys, ends, raw)))
+
             def strings() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-                for batch in batches:
-                    doc, place = store.empty(batch.num_rows, np.int64), store.empty(batch.num_rows, np.int64)
-                    doc[:], place[:] = batch.column("doc").to_numpy(), batch.column("place").to_numpy()
-                    kept.append((doc, place))
-                    column = batch.column("bytes")
-                    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-                    raw = np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+                for doc, place, keys, ends, raw in shard:
+                    stays = partners.several(keys.reshape(-1, 3))
                     size = np.diff(ends)
                     codes = np.full(len(raw) + len(size), -1, np.int16)
                     codes[np.arange(len(raw)) + np.repeat(np.arange(len(size)), size)] = raw
-                    yield codes, doc
+                    codes = codes[np.repeat(stays, size + 1)]
+                    chosen = stored(doc[stays]), stored(place[stays])
+                    store.free(doc, place, keys, ends, raw)
+                    if len(codes):
+                        kept.append(chosen)
+                        yield codes, chosen[0]
+                shard.clear()
 
             for (owner, count), (doc, place) in zip(repeats(strings(), length, store), kept, strict=True):
                 row = np.repeat(np.arange(len(count)), count)
@@ -280,7 +355,7 @@ def removed_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", tex
         entry = F.struct("minimizer", "place", F.coalesce("hot", F.lit(False)).alias("hot"))
         lists = marked.groupBy("doc", F.shiftright("place", SIZE_BITS).bitwiseAND((1 << TAG_BITS) - 1).alias("tag")).agg(F.collect_list(entry).alias("list"))
         wanted = texts.join(lists.hint("shuffle_merge"), ["doc", "tag"]).select("doc", "tag", "text", "list")
-        sorted_ = put(_sorted_spans(_contents(wanted, length, shards), length, budget), "dedup-sorted")
+        sorted_ = put(_sorted_spans(_contents(wanted, length, shards), length, gram, budget), "dedup-sorted")
         spans = sorted_.unionByName(_whole_spans(found.where("goes"), length)).unionByName(copies)
         spans = put(spans.groupBy("doc", "tag").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans")), "dedup-spans")
         return put.keep(spans) if owner is None else put.give(spans, owner)

@@ -167,6 +167,27 @@ def test_suffix_dedup_of_a_very_long_text(spark):
     assert got == {1: (900_000, 0, 0), 2: (81, 80, 1), 3: (700_000, 0, 0)}
 
 
+def test_stretches_without_a_partner_are_not_sorted(spark):
+    """Words that many documents share, between words of their own, hold no repeated string of 50 bytes."""
+    rng = random.Random(11)
+    common = ["".join(rng.choice("abcdefgh") for _ in range(26)) for _ in range(40)]
+    own = lambda: "".join(rng.choice("stuvwxyz") for _ in range(30))
+    rows = [(i, " ".join(x for _ in range(12) for x in (rng.choice(common), own()))) for i in range(60)]
+    found, partners = [], suffixdedup.Partners(50, 20)
+    for data in (x.encode() for _, x in rows):
+        raw = np.frombuffer(data, np.uint8)
+        _, at, size, _ = suffixdedup.minimizers(raw, np.array([0, len(raw)]), 50)
+        found.append((b"".join(data[a : a + n + 49] for a, n in zip(at, size, strict=True)), np.concatenate([[0], np.cumsum(size + 49)])))
+    keys = [partners.keys(np.frombuffer(data, np.uint8), ends) for data, ends in found]
+    for i, told in enumerate(keys):
+        partners.add(told, np.full(len(told), i))
+    assert sum(partners.several(x).sum() for x in keys) < sum(map(len, keys)) / 10
+    rows += [(100 + i, own() + rows[i][1][200:300] + own()) for i in range(5)]
+    rows += [(200, "ab" * 60), (201, "x" + "ab" * 40), (202, "ab" * 24 + "a" * 200), (203, "a" * 90)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixdedup.dedup_digests(texts(spark, rows)).collect()}
+    assert got == {i: tuple(x) for i, x in brute.kept_bytes(rows).items()} and sum(x[1] for x in got.values()) > 500
+
+
 def test_deduplicated_texts_keep_whole_characters(spark):
     shared = "é" * 40
     df = spark.createDataFrame([(1, "a" + shared + "b", 42, "s"), (2, "cé" + shared + "éd", 44, "s"), (3, "tiny", 4, "s"), (4, None, 0, "s"), (5, "a" + shared + "b", 42, "s")], "doc_id long, text string, n_chars long, source string")
