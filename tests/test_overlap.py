@@ -219,3 +219,13 @@ def test_registered_hits_are_kept_up_to_the_bound_of_the_operator(spark, tmp_pat
     spark.createDataFrame([(1, words)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = queries.QUERIES["bounded_hits_full"](spark, str(tmp_path)).collect()
     assert sorted((r.q_pos, r.s_pos, r.truncated) for r in got) == [(i, i, False) for i in range(0, 56, 5)]
+
+
+def test_pairs_are_made_once(spark):
+    """The plan of the runs holds the grams of both sides, not the search for the pairs."""
+    passages = spark.createDataFrame([(1, "a b c d e f g h i j k l m")], "passage_id long, text string")
+    library = spark.createDataFrame([(7, "x a b c d e f g h i j k l m y"), (8, "none of it")], "document_id long, text string")
+    pairs = overlap.seeds(passages, library).select("passage_id", "document_id").distinct()
+    found = overlap.blocks(passages, library, pairs)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate inline") <= 4  # each side with and without intricate texts
+    assert [tuple(r) for r in found.collect()] == [(1, 7, 0, 13, 1, 14, 13)]
