@@ -229,3 +229,12 @@ def test_pairs_are_made_once(spark):
     found = overlap.blocks(passages, library, pairs)
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate inline") <= 4  # each side with and without intricate texts
     assert [tuple(r) for r in found.collect()] == [(1, 7, 0, 13, 1, 14, 13)]
+
+
+def test_chains_are_spread_over_tasks(spark):
+    rows = [(p, d, k * 20, k * 20 + 10, k * 20 + 3, k * 20 + 13, 10) for p in range(6) for d in range(6) for k in range(3)]
+    rows += [(p, d, 10, 20, 13, 23, 10) for p in range(6) for d in range(6)]
+    found = spark.createDataFrame(rows, "passage_id long, document_id long, q_start int, q_end int, s_start int, s_end int, matched int")
+    spans = overlap.chained(found)
+    assert spans.count() >= 36
+    assert spans._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 1
