@@ -26,13 +26,15 @@ def hot_keys(rows: DataFrame, key: str) -> DataFrame:
 def joined_by_key(rows: DataFrame, told: DataFrame, key: str, put: Scratch, how: str = "inner") -> DataFrame:
     """``rows`` joined (inner or left) with ``told``, which has one row a key, so that no task gets all rows of a hot key.
 
-    What is told of hot keys is broadcast, at most a thousand rows; the other rows meet by a shuffle.
+    What is told of hot keys is broadcast, at most a thousand rows; the other rows meet by a shuffle, also where Spark would take
+    the table for small by its compressed files and send all of it through the driver.
     """
+    by_shuffle = told.hint("merge")
     hot = put(hot_keys(rows, key), "hot-keys")
     if hot.isEmpty():
-        return rows.join(told, key, how)
+        return rows.join(by_shuffle, key, how)
     warm = rows.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(told.join(hot, key, "left_semi")), key, how)
-    return warm.unionByName(rows.join(F.broadcast(hot), key, "left_anti").join(told, key, how))
+    return warm.unionByName(rows.join(F.broadcast(hot), key, "left_anti").join(by_shuffle, key, how))
 
 
 def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,8 +76,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", o
     stars. Then large and small stars alternate: an edge moves to the smallest neighbour of its smaller end, and the smaller ends of one node
     move to the smallest of them; what two nodes reach stays the same, and the smaller ends only fall. It ends when no smaller end is
     itself the larger end of an edge: all edges then go to the component's smallest node. Both steps sum by key map-side and join one row a key,
-    with hubs split off (``joined_by_key``), so a node of any degree spreads over the tasks. Edges live in the shared folder between the steps, and only
-    a flag and the hubs' check come to the driver. Nodes may be of any type with an order; numbers are cheapest. The result reads a table, which
+    with hubs split off (``joined_by_key``), so a node of any degree spreads over the tasks. Edges live in the shared folder between the steps and meet by shuffles alone, so only
+    a flag, the hubs' check and what is told of hubs come to the driver. Nodes may be of any type with an order; numbers are cheapest. The result reads a table, which
     ``owner`` deletes if given.
     """
     order = F.when(F.col("u") > F.col("v"), F.struct(F.col("u").alias("hi"), F.col("v").alias("lo"))).otherwise(F.struct(F.col("v").alias("hi"), F.col("u").alias("lo")))
@@ -84,7 +86,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", o
         whole = put(whole.select(F.inline(F.array(order))).distinct(), "cc-edges")
         kind = whole.schema["hi"].dataType.simpleString()
         found = put(whole.where("hi <> lo").mapInArrow(_contracted, f"hi {kind}, lo {kind}").distinct(), "cc-stars")
-        while not found.select(F.col("lo").alias("hi")).join(found, "hi", "left_semi").isEmpty() or not found.groupBy("hi").agg(F.min("lo").alias("a"), F.max("lo").alias("b")).where("a <> b").isEmpty():
+        while not found.select(F.col("lo").alias("hi")).join(found.hint("merge"), "hi", "left_semi").isEmpty() or not found.groupBy("hi").agg(F.min("lo").alias("a"), F.max("lo").alias("b")).where("a <> b").isEmpty():
             least = put(found.groupBy("hi").agg(F.min("lo").alias("least")), "cc-least")
             # large star: (hi, lo) to (hi, the smallest below lo)
             large = joined_by_key(found, least.select(F.col("hi").alias("lo"), "least"), "lo", put, "left")
@@ -97,5 +99,5 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", o
             old, found = found, put(small.where("hi <> lo").distinct(), "cc-small")
             put.drop(old, least)
         nodes = whole.select(F.explode(F.array("hi", "lo")).alias("node")).distinct()
-        out = put(nodes.join(found.select(F.col("hi").alias("node"), "lo"), "node", "left").select("node", F.coalesce("lo", "node").alias("component")), "cc-found")
+        out = put(nodes.join(found.select(F.col("hi").alias("node"), "lo").hint("merge"), "node", "left").select("node", F.coalesce("lo", "node").alias("component")), "cc-found")
         return put.keep(out) if owner is None else put.give(out, owner)

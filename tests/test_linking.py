@@ -89,3 +89,17 @@ def test_families_by_any_key(spark, tight):
                 nodes.setdefault((n, v), []).append(k)
     want = plain([(k, k) for k, *_ in rows] + [(v[0], x) for v in nodes.values() for x in v])
     assert got == want
+
+
+def test_no_step_sends_a_whole_table_through_the_driver(spark, monkeypatch):
+    """Joins of tables whose files are small, but for hubs, are not broadcast."""
+    seen, real = [], linking.Scratch.__call__
+
+    def planned(self, df, name):
+        seen.append(df._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin"))
+        return real(self, df, name)
+
+    monkeypatch.setattr(linking.Scratch, "__call__", planned)
+    edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(k, k + 100) for k in range(30)], "src long, dst long").repartition(5)
+    assert {r.node: r.component for r in linking.connected_components(edges).collect()} == plain([tuple(r) for r in edges.collect()])
+    assert len(seen) >= 3 and sum(seen) == 0
