@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from lexiloom.checks import require_empty
 from lexiloom.functions.text import NOT_SPACE, SPACE, draw, normalized, text_hash, word_count
@@ -17,6 +20,8 @@ TRAIN_BELOW, CALIBRATION_BELOW = 0.6, 0.8
 SEED = "split-v1"
 #: Records beyond which a gram of their sketches is not paired out.
 HOT_GRAM = 100
+#: Bits of a set's marks, and sets whose marks are made at once.
+MARK_BITS, MARK_ROWS = 2_048, 256
 
 
 def _keyed(records: DataFrame, id_col: str, label_col: str, text_col: str) -> DataFrame:
@@ -97,6 +102,34 @@ def near_candidates(sets: DataFrame, ids: DataFrame, put: Scratch) -> DataFrame:
     return cold.unionByName(_pairs(put(rarest, "near-rarest"))).distinct()
 
 
+@F.arrow_udf(ArrayType(LongType()))
+def marks(sets: pa.Array) -> pa.Array:
+    """MARK_BITS bits of each set of longs: whether an odd number of its elements has the bit's number as its last bits."""
+    ends, words = sets.offsets.to_numpy(), MARK_BITS // 64
+    flat, out = sets.values.to_numpy(), [np.zeros(0, np.int64)]
+    for lo in range(0, len(sets), MARK_ROWS):
+        hi = min(lo + MARK_ROWS, len(sets))
+        row = np.repeat(np.arange(hi - lo), np.diff(ends[lo : hi + 1]))
+        counts = np.bincount(row * MARK_BITS + (flat[ends[lo] : ends[hi]] & (MARK_BITS - 1)), minlength=(hi - lo) * MARK_BITS)
+        out.append(np.packbits((counts & 1).astype(np.uint8)).view(np.int64))
+    flat = np.concatenate(out)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * words, pa.int32()), pa.array(flat))
+
+
+def possible_pairs(sets: DataFrame, pairs: DataFrame, put: Scratch) -> DataFrame:
+    """left, right: the pairs that may be similar by the marks of their sets, so that whole sets travel only for these.
+
+    Sets of a and b elements with a similarity of 0.8 differ in a ninth of a + b elements at most, and their marks in no more bits than
+    that. Most other pairs differ in more, unless their sets have several times as many elements as there are bits.
+    """
+    met = pairs.select(F.explode(F.array("left", "right")).alias("id")).distinct()
+    told = put(sets.join(met, "id", "left_semi").select("id", F.size("grams").alias("n"), marks("grams").alias("marks")), "near-marks")
+    a, b = (told.select(F.col("id").alias(side), F.col("n").alias(f"{side}_n"), F.col("marks").alias(f"{side}_marks")) for side in ("left", "right"))
+    differ = F.zip_with("left_marks", "right_marks", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    differ = F.aggregate(differ, F.lit(0), lambda total, x: total + x)
+    return put(pairs.join(a, "left").join(b, "right").where(9 * differ <= F.col("left_n") + F.col("right_n")).select("left", "right"), "near-possible")
+
+
 def near_duplicates(records: DataFrame, id_col: str, label_col: str, text_col: str) -> DataFrame:
     """left, right, jaccard, label_conflict: an audit, which never drops records.
 
@@ -107,6 +140,7 @@ def near_duplicates(records: DataFrame, id_col: str, label_col: str, text_col: s
         sets, first = _with_first(records, id_col, text_col, put)
         equal = first.where("id <> first").select(F.col("first").alias("left"), F.col("id").alias("right"), F.lit(1.0).alias("jaccard"))
         pairs = put(near_candidates(sets, first.where("id = first").select("id"), put), "near-pairs")
+        pairs = possible_pairs(sets, pairs, put)
         # only sets that are in some pair travel
         both = pairs
         for side, name in (("left", "a"), ("right", "b")):

@@ -78,3 +78,23 @@ def test_nothing_to_pair(spark):
     df = spark.createDataFrame([], "i long, label string, text string")
     assert corpus.near_duplicates(df, "i", "label", "text").count() == 0
     assert tuple(corpus.near_status(df, "i", "text").first()) == (200_000, 0, "complete")
+
+
+def test_whole_sets_travel_only_for_pairs_that_may_be_similar(spark):
+    """Records that share a few rare grams by chance make pairs, which the marks of their sets tell apart."""
+    rng = random.Random(6)
+    sizes = [5, 40, 200, 900]
+    sets, n = [], 0
+    for size in sizes:
+        for _ in range(6):
+            base = [rng.getrandbits(62) for _ in range(size)]
+            for k in range(4):
+                sets.append((n, sorted({*base[: size - k * size // 30], *(rng.getrandbits(62) for _ in range(k * size // 30))})))
+                n += 1
+    df = spark.createDataFrame(sets, "id long, grams array<long>")
+    pairs = [(a, b) for a in range(n) for b in range(a + 1, n)]
+    known = dict(sets)
+    similar = {(a, b) for a, b in pairs if len({*known[a]} & {*known[b]}) >= 0.8 * len({*known[a]} | {*known[b]})}
+    with Scratch(spark) as put:
+        got = {tuple(r) for r in corpus.possible_pairs(df, spark.createDataFrame(pairs, "left long, right long"), put).collect()}
+    assert similar <= got and len(similar) > 90 and len(got) < len(similar) + 60  # of 4,560 pairs
