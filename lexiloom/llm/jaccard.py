@@ -9,7 +9,10 @@ Light sets (up to a boundary size) enumerate the fixed-size subsets, here pairs,
 linked light sets have a subset in common. Heavy sets scan inverted lists: the lists of the elements
 of their 1-prefix hold the heavy sets and those light sets that are large enough to link with one.
 The boundary minimises an estimated cost: subsets to enumerate on one side, list entries and the
-pairs that lists of their mean length give on the other.
+pairs that lists of their mean length give on the other. Lists grow with the table and the number of a
+set's subsets with the square of its size, so above COMMON_SHARE elements, up to which sets have about as many subsets
+as elements, the subsets of all sets may be SUBSET_SHARE of the list keys at most: the keys of a text depend on
+its size, and not on how many texts there are.
 
 For long texts one common element is often chance, so heavy sets take l = 1 + size / COMMON_SHARE, lengthen
 their prefixes by as many elements, and must share l of them. Short lists give their pairs, which are
@@ -22,7 +25,7 @@ cluster. A cluster's texts travel once, in blocks of at most BLOCK_SETS or so. I
 verified on their whole sets, and what is linked becomes one group, named by its smallest id. Of
 clusters of several blocks the groups' own texts then meet in blocks again, until they fit one block or
 hardly merge any more. Only groups that are still apart, of one cluster, are compared member by member, by pairs
-of blocks; pairs of one group are not needed. So a group of near copies costs as much as it has texts,
+of blocks: by marks of a bit or two an element first, and by whole sets where the marks leave a link possible; pairs of one group are not needed. So a group of near copies costs as much as it has texts,
 and still every pair of a cluster is verified or known to be connected. Sets are hashed by 64 bits;
 one collision needs some 2**32 shingles.
 
@@ -50,8 +53,9 @@ from lexiloom.operators.linking import connected_components
 from lexiloom.storage import Scratch, small_batches
 
 #: Logarithm of the frequency counters; hashes of a counted block; members of a list that are paired;
-#: elements of a set for each further common one that is asked for; texts of a block of a cluster.
-SKETCH_BITS, BLOCK_HASHES, LIST_MEMBERS, COMMON_SHARE, BLOCK_SETS = 20, 2_000_000, 48, 64, 512
+#: elements of a set for each further common one that is asked for; texts of a block of a cluster;
+#: the most subset keys for each list key; blocks of a wide block, whose members' marks meet.
+SKETCH_BITS, BLOCK_HASHES, LIST_MEMBERS, COMMON_SHARE, BLOCK_SETS, SUBSET_SHARE, WIDE_BLOCKS = 20, 2_000_000, 48, 64, 512, 1 / 4, 8
 
 
 def _sets(raw: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -121,15 +125,23 @@ def common_elements(size):
 
 
 def boundary(sizes: dict[int, int], list_length: float, percent: int) -> int:
-    """The light sets' largest size, among powers of two, with the least estimated cost."""
+    """The light sets' largest size, among powers of two, with the least estimated cost.
+
+    However long the lists are, no boundary above COMMON_SHARE gives more than SUBSET_SHARE subsets for each key that lists alone would have.
+    """
+    prefixes = {level: (size := int(1.5 * 2**level)) - least_overlap(size, percent) + 1 for level in sizes}
+    listed = sum(number * (prefixes[level] - 1 + common_elements(int(1.5 * 2**level))) for level, number in sizes.items())
     best, chosen = float("inf"), 1
     for at in range(0, 16):
-        cost = 0.0
+        cost = subsets = 0.0
         for level, number in sizes.items():
-            size = int(1.5 * 2**level)
-            prefix = size - least_overlap(size, percent) + 1
-            cost += number * ((prefix + 1) * prefix / 2 if size <= 2**at else prefix * (1 + list_length))
-        if cost < best:
+            prefix = prefixes[level]
+            if int(1.5 * 2**level) <= 2**at:
+                cost += number * (prefix + 1) * prefix / 2
+                subsets += number * (prefix + 1) * prefix / 2
+            else:
+                cost += number * prefix * (1 + list_length)
+        if cost < best and (2**at <= COMMON_SHARE or subsets <= SUBSET_SHARE * listed):
             best, chosen = cost, 2**at
     return chosen
 
@@ -353,6 +365,96 @@ def _block_links(n: int, percent: int):
     return run
 
 
+def _marks(n: int):
+    """(id, size, mark) of texts: a mark has as many bits as the set has elements, or more up to the next power of two, and tells for each
+    bit whether an odd number of elements falls on it. Two marks differ in no more bits than their sets do in elements, also when
+    the longer is folded to the length of the shorter.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            raw, offsets = utf8(batch.column(1))
+            for lo, hi in slices(offsets, SLICE_BYTES):
+                rows, hashes = _sets(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], n)
+                sizes = np.bincount(rows, minlength=hi - lo)
+                bits = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64))
+                ends = np.concatenate([[0], np.cumsum(bits)])
+                place = ends[rows] + (mix(hashes) & (bits[rows] - 1).astype(U64)).astype(np.int64)
+                odd = np.packbits((np.bincount(place, minlength=ends[-1]) & 1).astype(np.uint8))
+                marks = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((ends // 8).astype(np.int32)), pa.py_buffer(odd)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sizes, pa.int64()), marks], names=["id", "size", "mark"])
+        give_back()
+
+    return run
+
+
+def _possible_links(percent: int):
+    """(component, i, j, side, node, label): of each pair of wide blocks the blocks i, j, and of these the members, that may link by sizes and marks.
+
+    With an overlap that links, sets of x and y elements differ in (100 - percent) / (100 + percent) of x + y elements at most.
+    """
+
+    def folded(rows: np.ndarray, words: int) -> np.ndarray:
+        while rows.shape[1] > words:
+            half = rows.shape[1] // 2
+            rows = rows[:, :half] ^ rows[:, half:]
+        return rows
+
+    def met(alone: bool, side: np.ndarray, block: np.ndarray, label: np.ndarray, size: np.ndarray, marks: list[bytes]) -> np.ndarray:
+        """i, j, side, member of the possible links."""
+        names, own = np.unique(block, return_inverse=True)
+        found = np.zeros((len(own), len(names)), bool)
+        words = np.array([len(m) // 8 for m in marks])
+        every = np.arange(len(own))
+        order = np.argsort(size, kind="stable")
+        groups = {w: (at := order[words[order] == w], np.frombuffer(b"".join(marks[k] for k in at), U64).reshape(len(at), w)) for w in np.unique(words).tolist()}
+        for v, (left, first) in groups.items():
+            for w, (right, second) in groups.items():
+                left_on, right_on = (every[: len(left)], every[: len(right)]) if alone else (np.flatnonzero(side[left] == 0), np.flatnonzero(side[right] == 1))
+                if not len(left_on) or not len(right_on):
+                    continue
+                a, b = folded(first[left_on], min(v, w)), folded(second[right_on], min(v, w))
+                at, to = left[left_on], right[right_on]
+                low = size[at] if alone else -(-percent * size[at] // 100)
+                lows, highs = np.searchsorted(size[to], low, "left"), np.searchsorted(size[to], 100 * size[at] // percent, "right")
+                for k in np.flatnonzero(lows < highs).tolist():
+                    x, near = at[k], slice(lows[k], highs[k])
+                    differ = np.bitwise_count(b[near] ^ a[k]).sum(1, dtype=np.int64)
+                    hit = to[near][((100 + percent) * differ <= (100 - percent) * (size[to[near]] + size[x])) & (label[to[near]] != label[x])]
+                    found[x, own[hit]] = True
+                    found[hit, own[x]] = True
+        member, other = np.nonzero(found)
+        i, j = names[own[member]], names[other]
+        later = i > j if alone else side[member] == 1
+        return np.stack([np.where(later, j, i), np.where(later, i, j), later, member], 1)
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        key, held = None, []
+
+        def told():
+            side, block, node, label, size, marks = zip(*held, strict=True)
+            component, wide, other = key
+            rows = met(wide == other, np.array(side), np.array(block), np.array(label), np.array(size), marks)
+            node, label = np.array(node), np.array(label)
+            for at in range(0, len(rows), 50_000):
+                i, j, later, member = rows[at : at + 50_000].T
+                columns = (np.full(len(i), component), i, j, later.astype(np.int32), node[member], label[member])
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=["component", "i", "j", "side", "node", "label"])
+
+        for batch in batches:
+            for *place, side, block, node, label, size, mark in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != tuple(place):
+                    if len(held) > 1:
+                        yield from told()
+                    key, held = tuple(place), []
+                held.append((side, block, node, label, size, mark))
+        if len(held) > 1:
+            yield from told()
+        give_back()
+
+    return run
+
+
 def _passing(texts: DataFrame, wanted: Bloom) -> DataFrame:
     """The rows whose ids pass the filter."""
     sent = texts.sparkSession.sparkContext.broadcast(wanted)
@@ -383,11 +485,12 @@ def _relabelled(labels: DataFrame, stars: DataFrame) -> DataFrame:
     return labels.join(moved, "label", "left").select("component", "node", F.coalesce("to", "label").alias("label"))
 
 
-def _apart(put: Scratch, labels: DataFrame) -> DataFrame:
-    """component, i, j, side, node, label: the pairs of blocks in which groups of one cluster that are still apart meet.
+def _apart(put: Scratch, texts: DataFrame, labels: DataFrame, n: int, percent: int) -> DataFrame:
+    """component, i, j, side, node, label: the pairs of blocks in which members of groups of one cluster that are still apart may link.
 
     Groups of BLOCK_SETS members have blocks of their own, which are not compared with one another; the
-    others of a cluster share blocks.
+    others of a cluster share blocks. Marks of the sets meet in wide blocks, of WIDE_BLOCKS blocks, so a text is read once here,
+    and its mark travels as often as its cluster has wide blocks; what the marks leave possible is all that meets with its text.
     """
     wide = labels.join(labels.groupBy("component").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("component"), "component", "left_semi")
     sizes = wide.groupBy("component", "label").agg(F.count("*").alias("n")).withColumn("own", F.col("n") >= BLOCK_SETS)
@@ -395,13 +498,21 @@ def _apart(put: Scratch, labels: DataFrame) -> DataFrame:
     sizes = sizes.join(pooled, "component", "left").withColumn("blocks", F.ceil(F.when(F.col("own"), F.col("n")).otherwise(F.col("pool")) / BLOCK_SETS))
     part = F.pmod(F.xxhash64("node"), F.col("blocks"))
     group = F.when(F.col("own"), F.col("label"))
-    named = wide.join(sizes.select("component", "label", "own", "blocks"), ["component", "label"]).select("component", "node", "label", group.alias("group"), F.xxhash64("component", group, part).alias("block"))
+    named = wide.join(sizes.select("component", "label", "own", "blocks"), ["component", "label"]).select(
+        "component", "node", "label", group.alias("group"), F.xxhash64("component", group, part).alias("block"), F.xxhash64("component", group, F.floor(part / WIDE_BLOCKS), F.lit(1)).alias("wide")
+    )
     named = put(named, "jaccard-apart")
-    blocks = named.select("component", "group", "block").distinct()
-    other = blocks.select("component", F.col("group").alias("other"), F.col("block").alias("j"))
-    pairs = blocks.withColumnRenamed("block", "i").join(other, "component").where("i <= j and (group is null or other is null or group <> other)").select("component", "i", "j")
-    met = pairs.select("component", "i", "j", F.lit(0).alias("side"), F.col("i").alias("block")).unionByName(pairs.where("i <> j").select("component", "i", "j", F.lit(1).alias("side"), F.col("j").alias("block")))
-    return put(named.join(met, ["component", "block"]).select("component", "i", "j", "side", "node", "label"), "jaccard-pairs")
+    if named.isEmpty():
+        return named
+    marked = _passing(texts, bloom(named.select("node"))).mapInArrow(_marks(n), "id long, size long, mark binary")
+    marked = put(named.join(marked, F.col("id") == F.col("node")).where("size > 0").select(*named.columns, "size", "mark").distinct(), "jaccard-marks")
+    blocks = named.select("component", "group", "wide").distinct()
+    other = blocks.select("component", F.col("group").alias("other"), F.col("wide").alias("j"))
+    pairs = blocks.withColumnRenamed("wide", "i").join(other, "component").where("i <= j and (group is null or other is null or group <> other)").select("component", "i", "j")
+    met = pairs.select("component", "i", "j", F.lit(0).alias("side"), F.col("i").alias("wide")).unionByName(pairs.where("i <> j").select("component", "i", "j", F.lit(1).alias("side"), F.col("j").alias("wide")))
+    met = marked.join(met, ["component", "wide"]).select("component", "i", "j", "side", "block", "node", "label", "size", "mark")
+    met = met.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
+    return put(met.mapInArrow(_possible_links(percent), "component long, i long, j long, side int, node long, label long"), "jaccard-pairs")
 
 
 def linked_labels(put: Scratch, texts: DataFrame, clusters: DataFrame, n: int, percent: int) -> DataFrame:
@@ -426,7 +537,7 @@ def linked_labels(put: Scratch, texts: DataFrame, clusters: DataFrame, n: int, p
         level += 1
         if groups.count() * 2 > before:
             break
-    pairs = _apart(put, labels.join(several, "component", "left_semi"))
+    pairs = _apart(put, texts, labels.join(several, "component", "left_semi"), n, percent)
     if pairs.isEmpty():
         return labels
     last = connected_components(verified(put, texts, pairs, n, percent), "a", "b", put)
