@@ -148,3 +148,29 @@ def test_null_and_rejected_rows_and_empty_batches(spark, tmp_path):
     passages = spark.createDataFrame([("p", None), ("q", "a b c d e f g h i j k l m n")], "passage_id string, text string")
     matches, outcomes = overlap.search(passages, library.opened(spark, path))
     assert matches.count() == 0 and {r.status for r in outcomes.collect()} == {"insufficient_text", "complete"}
+
+
+def test_a_delta_is_sorted_once_and_its_files_are_in_order(spark, tmp_path, world, monkeypatch):
+    _, texts, _ = world
+    monkeypatch.setattr(library, "BUCKET_TOKENS", 300)
+    monkeypatch.setattr(library, "BUCKET_DOCUMENTS", 7)
+    store = spark._jsparkSession.sharedState().statusStore()
+    before, path = store.executionsCount(), str(tmp_path / "lib")
+    library.upsert(spark, path, batch(spark, texts))
+    found = store.executionsList()
+    plans = [found.apply(k).physicalPlanDescription() for k in range(int(before), found.size())]
+    written = [p for p in plans if "WriteFiles" in p and "hashpartitioning(gram" in p]
+    assert written and not any("pmod(" in p for p in written)
+    at = f"{path}/{library.opened(spark, path).deltas[0]['name']}/index"
+    files = [f"{at}/{name}" for name in os.listdir(at) if name.startswith("part-")]
+    assert len(files) > 4
+    for name in files:
+        rows = [(r.gram.encode(), r.document_id, r.s_pos) for r in spark.read.parquet(name).collect()]
+        assert rows == sorted(rows)
+
+
+def test_stored_words_are_indexed_as_tokens_are(spark):
+    rows = spark.createDataFrame([(f"d{n}", " ".join(f"w{k}'s" if k % 3 else "ä" * (k + 1) for k in range(n))) for n in (0, 1, 4, 5, 6, 9, 10, 57)], "document_id string, words string")
+    told = lambda df: sorted((r.document_id, r.s_pos, r.gram) for r in df.collect())
+    assert told(library._index(rows)) == told(overlap.index_of(library._tokens(rows)))
+    assert library._index(rows).dtypes == overlap.index_of(library._tokens(rows)).dtypes
